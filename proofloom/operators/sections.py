@@ -260,7 +260,7 @@ def union_sections(*frames: DataFrame) -> DataFrame:
     return out
 
 
-HTML_NOISE = r"(?is)<!--.*?-->|<(script|style|nav|head)\b.*?</\1>"
+HTML_NOISE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
