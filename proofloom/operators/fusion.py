@@ -376,12 +376,10 @@ def _full(spark, rows, leaves, lexical, k, k_rrf, boost) -> DataFrame:
 def _report(top: DataFrame) -> DataFrame:
     source = F.when(F.col("by_rrf"), rank_source("rank_rq", "rank_hyde", "rank_bm25")).otherwise(
         score_source("score_rq", "score_hyde"))
-    digits = lambda c, n: F.round(F.col(c), n)
     return top.select(
         "leaf_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "parent_id",
-        digits("score", 6).alias("score"), digits("score_rq", 4).alias("score_rq"),
-        digits("score_hyde", 4).alias("score_hyde"),
-        F.round(F.coalesce("score_bm25", F.lit(0.0)), 4).alias("score_bm25"),
+        F.round("score", DIGITS).alias("score"), "score_rq", "score_hyde",
+        F.coalesce("score_bm25", F.lit(0.0)).alias("score_bm25"),
         F.col("rank_rq").cast("long").alias("rank_rq"), F.col("rank_hyde").cast("long").alias("rank_hyde"),
         F.coalesce("rank_bm25", F.lit(fixed.MISSING_RANK)).cast("long").alias("rank_bm25"),
         source.alias("source"), F.when(F.col("by_rrf"), "rrf").otherwise("max").alias("fusion_mode"),

@@ -148,10 +148,10 @@ def blocks(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str,
     """Both sides cut into hash blocks of about ``size`` and paired block by block."""
     m = max(1, -(-rows.count() // size))
     n = max(1, -(-targets.count() // size))
+    own = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.withColumn("bi", F.pmod(F.xxhash64(row_id), F.lit(m))).withColumn("bj", every(n))
-    right = targets.withColumn("bj", F.pmod(F.xxhash64(target_id), F.lit(n)).cast("int")).withColumn(
-        "bi", every(m).cast("long"))
+    left = rows.withColumn("bi", own(row_id, m)).withColumn("bj", every(n))
+    right = targets.withColumn("bj", own(target_id, n)).withColumn("bi", every(m))
     return left, right
 
 

@@ -1 +1,457 @@
+"""Queries over sectioning and chunking."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.text import meaningful_chars
+from ..operators import chunks as C
+from ..operators import sections as S
+from ..session import table
+from . import tables as t
+
 QUERIES, ORACLE = {}, {}
+
+
+def query(sql: str | None = None):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+    return keep
+
+
+_STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_COUNT = r"length(regexp_replace({0}, '[^\x{{4e00}}-\x{{9fff}}\x{{3400}}-\x{{4dbf}}a-zA-Z0-9]', '', 'g'))"
+
+
+def strip(c):
+    return _STRIP.format(c)
+
+
+def count(c):
+    return _COUNT.format(c)
+
+
+def _numbered(df, key, *order):
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+# Sections of lines(doc_id, i, text, level, page); level 0 is body text.
+def sections_sql(strip_untitled: bool = True) -> str:
+    whole = strip("string_agg(text, chr(10) ORDER BY i)") if strip_untitled else "string_agg(text, chr(10) ORDER BY i)"
+    return f"""deep AS (SELECT *, max(level) OVER (PARTITION BY doc_id) AS depth FROM lines),
+cuts AS (SELECT *, CASE WHEN level > 0 AND (depth < 3 OR level <= 2) THEN 1 ELSE 0 END AS cut FROM deep),
+grouped AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp,
+  last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS top FROM cuts),
+bodies AS (SELECT doc_id, grp, any_value(depth) AS depth, min(i) AS first_i, arg_min(text, i) AS head, arg_min(level, i) AS head_level,
+    arg_min(page, i) AS page, arg_min(coalesce(top, ''), i) AS top,
+    string_agg(text, chr(10) ORDER BY i) AS everything, string_agg(text, chr(10) ORDER BY i) FILTER (WHERE cut = 0) AS rest
+  FROM grouped WHERE depth > 0 GROUP BY doc_id, grp),
+texts AS (SELECT doc_id, grp, page, CASE WHEN depth >= 3 THEN top ELSE '' END AS section_title,
+    CASE WHEN head_level > 0 AND grp > 0 AND NOT (depth >= 3 AND head_level = 1)
+      THEN {strip("head || chr(10) || " + strip("coalesce(rest, '')"))} ELSE {strip("everything")} END AS text FROM bodies),
+sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS pos, page AS page_or_sheet, text, section_title
+  FROM texts WHERE text <> ''),
+named_sections AS (SELECT doc_id, pos, 's' || pos AS section_id, page_or_sheet, text, section_title FROM sections
+  UNION ALL SELECT doc_id, 0, 'doc', arg_min(page, i), {whole}, '' FROM deep WHERE depth = 0 GROUP BY doc_id
+  HAVING regexp_matches({whole}, '[^\\s\\p{{Z}}]'))"""
+
+
+def _shown(df, *keys):
+    return df.select(*keys, "pos", "section_id", "page_or_sheet", F.md5("text").alias("text"), "section_title")
+
+
+_SECTIONS_OUT = "SELECT doc_id, pos, section_id, page_or_sheet, md5(text) AS text, section_title FROM named_sections"
+
+
+def markdown_documents(spark, sf):
+    """Documents with every fifth line turned into a heading, some three levels deep."""
+    mark = lambda i: (F.when(i % 5 == 0, "# ").when(i % 5 == 2, "## ")
+                      .when((F.col("doc_id") % 3 == 0) & (i % 7 == 3), "### ").otherwise(""))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(
+        F.when(F.col("doc_id") % 8 == 7, "").otherwise(mark(i)), x))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+_MD_LINES = rf"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+marked AS (SELECT doc_id, i, CASE WHEN doc_id % 8 = 7 THEN '' WHEN i % 5 = 0 THEN '# ' WHEN i % 5 = 2 THEN '## '
+  WHEN doc_id % 3 = 0 AND i % 7 = 3 THEN '### ' ELSE '' END || x AS x FROM raw),
+lines AS (SELECT doc_id, i, length(regexp_extract({strip('x')}, '^(#{{1,6}})\s+(.+)$', 1)) AS level,
+  CASE WHEN regexp_matches({strip('x')}, '^(#{{1,6}})\s+(.+)$') THEN {strip("regexp_extract(" + strip('x') + ", '^(#{1,6})" + chr(92) + "s+(.+)$', 2)")} ELSE x END AS text, '1' AS page FROM marked)"""
+
+
+@query(f"WITH {_MD_LINES}, {sections_sql()} {_SECTIONS_OUT}")
+def markdown_sections(spark, sf):
+    """C1"""
+    return _shown(S.sections_from_markdown(markdown_documents(spark, sf)), "doc_id")
+
+
+@query(f"WITH {_MD_LINES}, {sections_sql()} {_SECTIONS_OUT}")
+def titled_markdown_sections(spark, sf):
+    """C1 with a list of expected titles used up in order"""
+    docs = markdown_documents(spark, sf)
+    pattern = r"^(#{1,6})\s+(.+)$"
+    from ..functions.text import strip as strip_col
+    heads = F.filter(F.split("text", "\n"), lambda x: strip_col(x).rlike(pattern))
+    titles = F.transform(heads, lambda x: F.struct(
+        F.length(F.regexp_extract(strip_col(x), pattern, 1)).alias("level"),
+        strip_col(F.regexp_extract(strip_col(x), pattern, 2)).alias("text")))
+    return _shown(S.sections_from_markdown(docs.withColumn("titles", titles), titles="titles"), "doc_id")
+
+
+_BLOCK = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}>" for tag in ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li"])
+_PLAIN = r"regexp_replace(b, '(?s)<[^>]*>', '', 'g')"
+for _entity, _char in S.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = strip(rf"regexp_replace({_PLAIN}, '[\s\p{{{{Z}}}}]+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
+
+
+@query(rf"""WITH cleaned AS (SELECT page_id AS doc_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS html FROM pages),
+found AS (SELECT doc_id, regexp_extract_all(html, '(?is)(<table[^>]*>.*?</table>|{_BLOCK})', 1) AS blocks FROM cleaned),
+opened AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i FROM found),
+lines AS (SELECT doc_id, i, {_PLAIN} AS text, coalesce(TRY_CAST(nullif(regexp_extract(b, '(?i)^<h([1-6])', 1), '') AS INTEGER), 0) AS level, '1' AS page
+  FROM opened WHERE {_PLAIN} <> ''), {sections_sql()}
+SELECT doc_id AS page_id, pos, section_id, page_or_sheet, md5(text) AS text, section_title FROM named_sections""")
+def html_sections(spark, sf):
+    """S19 C1"""
+    return _shown(S.sections_from_html(table(spark, sf, "pages").select("page_id", "html")), "page_id")
+
+
+@query(rf"""WITH opened AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+typed AS (SELECT doc_id, i, {strip('x')} AS s, x, i % 4 <> 3 AS para, i % 6 = 0 AS styled,
+  CASE WHEN regexp_extract({strip('x')}, '^([0-9]+(\.[0-9]+)*)[\.、\s]', 1) <> '' THEN len(string_split(regexp_extract({strip('x')}, '^([0-9]+(\.[0-9]+)*)[\.、\s]', 1), '.'))
+  WHEN regexp_matches({strip('x')}, '^([一二三四五六七八九十]+[\.、\s]|第[一二三四五六七八九十百0-9]+[章节条款])') THEN 1 ELSE 0 END AS lv FROM opened),
+lines AS (SELECT doc_id, i, CASE WHEN para THEN s ELSE x END AS text, '1' AS page,
+  CASE WHEN para AND (styled OR (lv > 0 AND length(s) <= 30)) THEN greatest(lv, 1) ELSE 0 END AS level FROM typed WHERE regexp_matches(x, '[^\s\p{{Z}}]')),
+{sections_sql(False)} {_SECTIONS_OUT}""")
+def element_sections(spark, sf):
+    """C2"""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    elements = lines.select(
+        "doc_id", "pos", F.when(F.col("pos") % 4 == 3, "table").otherwise("para").alias("kind"),
+        F.when(F.col("pos") % 6 == 0, "Heading 1").otherwise("Normal").alias("style"), "text")
+    return _shown(S.sections_from_elements(elements), "doc_id")
+
+
+def _font_rows(spark, sf, key):
+    rows = _numbered(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    body = F.repeat("l_returnflag", (F.col("l_quantity") * 5).cast("int"))
+    return rows.select(F.col(key).alias("doc_id"), F.col("rn").alias("pos"), F.col("rn").alias("page"),
+                       F.col("l_quantity").alias("size"), F.col("l_quantity").alias("max_size"), body.alias("text"))
+
+
+def _threshold_sql(key: str) -> str:
+    return f"""fonts AS (SELECT {key} AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i,
+  l_quantity AS size, repeat(l_returnflag, CAST(trunc(l_quantity * 5) AS INTEGER)) AS text FROM lineitem),
+bases AS (SELECT doc_id, count(*) AS blocks, list(size ORDER BY size) AS sizes,
+  sizes[CAST(least(floor(count(*) * 0.75), count(*) - 1) AS BIGINT) + 1] AS base FROM fonts GROUP BY doc_id),
+levels AS (SELECT DISTINCT doc_id, size FROM fonts),
+short_blocks AS (SELECT doc_id, size, count(*) FILTER (WHERE length(text) <= 200) AS c FROM fonts GROUP BY ALL),
+hits AS (SELECT doc_id, size, sum(c) OVER (PARTITION BY doc_id ORDER BY size DESC) AS hits FROM short_blocks),
+rated AS (SELECT h.doc_id, h.size, hits, hits / blocks AS ratio, base FROM hits h JOIN bases USING (doc_id)),
+thresholds AS (SELECT doc_id, CASE WHEN max(CASE WHEN size = base THEN ratio END) <= 0.5
+    THEN CASE WHEN max(CASE WHEN size = base THEN hits END) > 0 THEN max(base) ELSE 0.0 END
+    ELSE coalesce(min(CASE WHEN size > base AND hits > 2 AND ratio <= 0.5 THEN size END), 0.0) END AS threshold FROM rated GROUP BY doc_id)"""
+
+
+@query(f"WITH {_threshold_sql('l_suppkey')} SELECT doc_id, threshold FROM thresholds")
+def title_font_threshold(spark, sf):
+    """C3"""
+    rows = _font_rows(spark, sf, "l_suppkey")
+    return S.title_thresholds(rows.select("doc_id", "size"), rows)
+
+
+@query(f"""WITH {_threshold_sql('l_orderkey')},
+lines AS (SELECT doc_id, i, text, CAST(i AS VARCHAR) AS page, CASE WHEN threshold > 0 AND size >= threshold AND length(text) <= 200 THEN 1 ELSE 0 END AS level
+  FROM fonts JOIN thresholds USING (doc_id)), {sections_sql(False)} {_SECTIONS_OUT}""")
+def font_sections(spark, sf):
+    """C4"""
+    rows = _font_rows(spark, sf, "l_orderkey")
+    return _shown(S.sections_from_blocks(rows.select("doc_id", "size"), rows), "doc_id")
+
+
+@query(f"""WITH u AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS unit, l_linenumber AS pos, l_partkey, l_suppkey,
+  CASE WHEN l_linenumber % 5 = 4 THEN '  ' ELSE ' ' || l_returnflag || l_partkey || ' ' END AS text FROM lineitem),
+g AS (SELECT doc_id, unit, string_agg(trim(text), chr(10) ORDER BY pos, trim(text)) AS text FROM u WHERE trim(text) <> '' GROUP BY ALL)
+SELECT doc_id, 'p' || unit AS section_id, CAST(unit AS VARCHAR) AS page_or_sheet, text FROM g WHERE {count('text')} > 0""")
+def unit_sections(spark, sf):
+    """C5"""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("unit"), F.col("l_linenumber").alias("pos"),
+        F.when(F.col("l_linenumber") % 5 == 4, "  ").otherwise(F.concat(
+            F.lit(" "), "l_returnflag", F.col("l_partkey").cast("string"), F.lit(" "))).alias("text"))
+    return S.sections_from_units(rows).drop("section_title")
+
+
+# --- tables: an order's lines as an HTML table ----------------------------------------------
+
+def order_tables(spark, sf):
+    """A text per order: intro, HTML table of its lines, and for some orders a tail."""
+    rows = _numbered(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = F.concat(F.lit("<tr><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"),
+                    F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat("l_returnflag", F.lit(" &amp; "), "l_linestatus")),
+                    F.lit("</td></tr>"))
+    body = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("x")))).alias("r"))
+    key = F.col("l_orderkey")
+    text = F.concat(F.lit("Order "), key.cast("string"), F.lit("\n<TABLE border=1><tr><th>part</th><th>flag</th></tr>"),
+                    F.array_join(F.transform("r", lambda r: r["x"]), ""), F.lit("</TABLE>"),
+                    F.when(key % 3 == 0, "\nclosing words of this order").otherwise(""))
+    return body.select(F.concat(F.lit("o/"), key.cast("string")).alias("relative_path"),
+                       F.lit("s0").alias("section_id"), F.lit("1").alias("page_or_sheet"), text.alias("text"))
+
+
+_ORDER_ROWS = """o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS rn,
+  CAST(l_partkey AS VARCHAR) AS a, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || ' & ' || l_linestatus END AS b FROM lineitem),
+md AS (SELECT l_orderkey, rn // 3 AS part, '| part | flag |' || chr(10) || '| --- | --- |' || chr(10) ||
+    string_agg('| ' || a || ' | ' || b || ' |', chr(10) ORDER BY rn) AS text, count(*) AS rows,
+  '<table><tr><th>part</th><th>flag</th></tr>' || string_agg('<tr><td>' || a || '</td><td>' || replace(b, '&', '&amp;') || '</td></tr>', '' ORDER BY rn) || '</table>' AS html
+  FROM o GROUP BY ALL),
+whole AS (SELECT l_orderkey, '| part | flag |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || a || ' | ' || b || ' |', chr(10) ORDER BY rn) AS text FROM o GROUP BY ALL)"""
+
+
+@query(f"""WITH {_ORDER_ROWS} SELECT 'o/' || l_orderkey AS relative_path, md5('Order ' || l_orderkey || chr(10) || chr(10) || text || chr(10) ||
+  CASE WHEN l_orderkey % 3 = 0 THEN chr(10) || 'closing words of this order' ELSE '' END) AS markdown FROM whole""")
+def html_table_markdown(spark, sf):
+    """C6"""
+    return order_tables(spark, sf).select("relative_path", F.md5(C.tables_as_markdown("text")).alias("markdown"))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT 'o/' || l_orderkey AS relative_path, 0 AS i, 'content' AS kind, 'Order ' || l_orderkey AS head FROM k
+UNION ALL SELECT 'o/' || l_orderkey, 1, 'table', '<TABLE border=1><tr>' FROM k
+UNION ALL SELECT 'o/' || l_orderkey, 2, 'content', 'closing words of thi' FROM k WHERE l_orderkey % 3 = 0""")
+def section_segments(spark, sf):
+    """C7"""
+    rows = order_tables(spark, sf).select("relative_path", F.posexplode(C.segments("text")).alias("i", "s"))
+    return rows.select("relative_path", "i", "s.kind", F.substring("s.body", 1, 20).alias("head"))
+
+
+@query(f"""WITH {_ORDER_ROWS}, n AS (SELECT l_orderkey, count(*) AS parts FROM md GROUP BY ALL)
+SELECT 'o/' || l_orderkey AS relative_path, CAST(part AS INTEGER) AS part, part * 3 AS first_row, part * 3 + rows AS end_row, rows AS row_count, md5(text) AS markdown,
+  CASE WHEN parts > 1 THEN md5(html) END AS html FROM md JOIN n USING (l_orderkey)""")
+def table_row_split(spark, sf):
+    """C9"""
+    html = F.get(C.table_html_list("text"), F.lit(0))
+    rows = order_tables(spark, sf).select("relative_path", F.posexplode(C.split_table(html, 3)).alias("part", "p"), html.alias("src"))
+    return rows.select("relative_path", "part", "p.first_row", "p.end_row", "p.row_count", F.md5("p.table_markdown").alias("markdown"),
+                       F.when(F.col("p.table_html") != F.col("src"), F.md5("p.table_html")).alias("html"))
+
+
+@query(f"""WITH {_ORDER_ROWS}, n AS (SELECT l_orderkey, count(*) AS parts FROM md GROUP BY ALL),
+t AS (SELECT 'o/' || l_orderkey || '#s0#t0' || CASE WHEN parts > 1 THEN 'p' || part ELSE '' END AS chunk_id, l_orderkey, part + 1 AS pos, text, rows AS table_rows
+  FROM md JOIN n USING (l_orderkey)),
+k AS (SELECT DISTINCT l_orderkey FROM lineitem),
+c AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'o/' || l_orderkey || '#s0#c1' ELSE 'o/' || l_orderkey || '#s0#c0' END AS chunk_id, l_orderkey,
+  'Order ' || l_orderkey || CASE WHEN l_orderkey % 3 = 0 THEN chr(10) || 'closing words of this order' ELSE '' END AS text FROM k)
+SELECT chunk_id, 'o/' || l_orderkey || '#s0' AS parent_id, md5(text) AS text, {count('text')} AS char_count, true AS is_table, table_rows FROM t
+UNION ALL SELECT chunk_id, 'o/' || l_orderkey || '#s0', md5(text), {count('text')} + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END, false, NULL FROM c""")
+def table_chunks(spark, sf):
+    """Short texts around a table wait for the next text piece"""
+    return C.make_chunks(order_tables(spark, sf), max_rows=3).select(
+        "chunk_id", "parent_id", F.md5("text").alias("text"), "char_count", "is_table", "table_rows")
+
+
+@query(f"""WITH {_ORDER_ROWS} SELECT 'o/' || l_orderkey || '#s0' AS parent_id, md5('Order ' || l_orderkey || chr(10) || chr(10) || text || chr(10) ||
+  CASE WHEN l_orderkey % 3 = 0 THEN chr(10) || 'closing words of this order' ELSE '' END) AS parent_text FROM whole""")
+def parent_texts(spark, sf):
+    """parents"""
+    return C.make_parents(order_tables(spark, sf)).withColumn("parent_text", F.md5("parent_text"))
+
+
+# --- splitting ------------------------------------------------------------------------------
+
+def split_sql(column: str, high: int, low: int) -> str:
+    parts = f"CASE WHEN length({column}) > 0 THEN [{column}] ELSE []::VARCHAR[] END"
+    for sep in ("chr(10) || chr(10)", "chr(10)", "'。'", "'，'"):
+        parts = f"""flatten(list_transform({parts}, lambda p: CASE WHEN length(p) <= {high} OR NOT contains(p, {sep}) THEN [p]
+          ELSE list_filter(list_transform(string_split(p, {sep}), lambda x, i: CASE WHEN i < len(string_split(p, {sep})) THEN x || {sep} ELSE x END),
+            lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]')) END))"""
+    parts = f"""flatten(list_transform({parts}, lambda p: CASE WHEN length(p) <= {high} THEN [p]
+      ELSE list_transform(range(1, length(p) + 1, {high}), lambda i: substr(p, i, {high})) END))"""
+    packed = f"""list_reduce({parts}, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + length(x) <= {high}
+      THEN list_append(acc[1:len(acc) - 1], acc[-1] || x) ELSE list_append(acc, x) END, []::VARCHAR[])"""
+    return f"""list_transform([{packed}], lambda m: CASE WHEN len(m) >= 2 AND length(m[-1]) < {low}
+      THEN list_append(m[1:len(m) - 2], m[-2] || m[-1]) ELSE m END)[1]"""
+
+
+@query(f"""WITH s AS (SELECT doc_id, {split_sql('text', 400, 100)} AS parts FROM documents)
+SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, length(unnest(parts)) AS n, md5(unnest(parts)) AS chunk FROM s""")
+def recursive_text_split(spark, sf):
+    """C8"""
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(C.recursive_split("text", 400, 100)).alias("pos", "x"))
+    return rows.select("doc_id", "pos", F.length("x").alias("n"), F.md5("x").alias("chunk"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {split_sql('text', 400, 100)} AS parts FROM documents)
+SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, length(unnest(parts)) AS n, md5(unnest(parts)) AS chunk FROM s""")
+def split_table_function(spark, sf):
+    """The splitter as a table function in SQL"""
+    from ..functions.register import register_chunker
+
+    register_chunker(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("documents_u3")
+    rows = spark.sql("SELECT doc_id, c.pos, c.chunk AS x FROM documents_u3, LATERAL split_chunks(text, 400, 100) c")
+    return rows.select("doc_id", "pos", F.length("x").alias("n"), F.md5("x").alias("chunk"))
+
+
+def document_sections(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(
+        "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("relative_path"),
+        F.col("source").alias("file_name"), F.lit("doc").alias("section_id"), F.lit("1").alias("page_or_sheet"),
+        F.lit("").alias("section_title"), "text")
+
+
+CHUNKS_SQL = f"""split AS (SELECT doc_id, source, {split_sql(strip('text'), 1200, 100)} AS parts FROM documents),
+pieces AS (SELECT doc_id, source || '/' || doc_id || '#doc' AS parent_id, list_transform(parts, lambda x, i: {{'id': source || '/' || doc_id || '#doc#c0' ||
+    CASE WHEN len(parts) > 1 THEN 'p' || (i - 1) ELSE '' END, 'text': x, 'n': {count('x')}}}) AS p FROM split),
+merged AS (SELECT doc_id, parent_id, list_reduce(p[2:], lambda acc, x: CASE
+    WHEN len(acc) = 1 AND acc[1].n < 100 THEN [{{'id': x.id, 'text': acc[1].text || chr(10) || x.text, 'n': acc[1].n + x.n + 1}}]
+    WHEN x.n < 100 THEN list_append(acc[1:len(acc) - 1], {{'id': acc[-1].id, 'text': acc[-1].text || chr(10) || x.text, 'n': acc[-1].n + x.n + 1}})
+    ELSE list_append(acc, x) END, p[1:1]) AS m FROM pieces WHERE len(p) > 0),
+doc_chunks AS (SELECT doc_id, parent_id, unnest(m, recursive := true), generate_subscripts(m, 1) - 1 AS chunk_pos FROM merged)"""
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT id AS chunk_id, parent_id, chunk_pos, md5(text) AS text, n AS char_count FROM doc_chunks""")
+def document_chunks(spark, sf):
+    """C8 C11 C12"""
+    return C.make_chunks(document_sections(spark, sf)).select(
+        "chunk_id", "parent_id", "chunk_pos", F.md5("text").alias("text"), "char_count")
+
+
+_LINE_SECTIONS = """rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+lists AS (SELECT doc_id, list({'id': 's' || pos, 'text': text, 'title': CASE WHEN pos % 3 = 0 THEN '' ELSE 't' || pos END} ORDER BY pos) AS l FROM rows GROUP BY doc_id)"""
+
+
+def _settle(out: str, held: str) -> str:
+    return f"""CASE WHEN {count(held + '.text')} < 60 AND len({out}) > 0 AND length({out}[-1].text) + length({held}.text) + 1 <= 400
+      THEN list_append({out}[1:len({out}) - 1], {{'id': {out}[-1].id, 'text': {out}[-1].text || chr(10) || {held}.text, 'title': coalesce(nullif({out}[-1].title, ''), {held}.title)}})
+      ELSE list_append({out}, {held}) END"""
+
+
+_MERGED_LINES = f"""WITH {_LINE_SECTIONS}, folded AS (SELECT doc_id, list_reduce(l[2:], lambda s, x:
+  CASE WHEN {count('s.held.text')} < 60 AND length(s.held.text) + length(x.text) + 1 <= 400
+    THEN {{'out': s.out, 'held': {{'id': s.held.id, 'text': s.held.text || chr(10) || x.text, 'title': coalesce(nullif(s.held.title, ''), x.title)}}}}
+    ELSE {{'out': {_settle('s.out', 's.held')}, 'held': x}} END, {{'out': l[1:0], 'held': l[1]}}) AS s FROM lists),
+settled AS (SELECT doc_id, {_settle('s.out', 's.held')} AS m FROM folded)
+SELECT doc_id, unnest(m, recursive := true) FROM settled"""
+_MERGED_LINES = f"SELECT doc_id, id AS section_id, md5(text) AS text, title AS section_title FROM ({_MERGED_LINES})"
+
+
+def _line_section(x, i):
+    return F.struct(
+        F.concat(F.lit("s"), i.cast("string")).alias("section_id"), F.lit("1").alias("page_or_sheet"), x.alias("text"),
+        F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("t"), i.cast("string"))).alias("section_title"))
+
+
+@query(_MERGED_LINES)
+def short_section_merge(spark, sf):
+    """C10 inside one row"""
+    lines = F.transform(F.split("text", "\n"), _line_section)
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(C.merge_short_sections(lines, 60, 400)).alias("s"))
+    return rows.select("doc_id", "s.section_id", F.md5("s.text").alias("text"), "s.section_title")
+
+
+@query(_MERGED_LINES)
+def short_section_row_merge(spark, sf):
+    """C10 on a table with one row per section"""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x"))
+    rows = lines.select("doc_id", "pos", _line_section(F.col("x"), F.col("pos")).alias("s")).select("doc_id", "pos", "s.*")
+    return C.merge_section_rows(rows, ["doc_id"], 60, 400).select(
+        "doc_id", "section_id", F.md5("text").alias("text"), "section_title")
+
+
+# --- context --------------------------------------------------------------------------------
+
+@query(f"""WITH p AS (SELECT doc_id, text, substr(text, 101, 200) AS tab FROM documents), f AS (SELECT *, CASE WHEN tab <> '' THEN position(tab IN text) ELSE 0 END AS place FROM p)
+SELECT doc_id, CASE WHEN place > 0 THEN md5(right({strip('substr(text, 1, place - 1)')}, 300)) ELSE md5('') END AS before,
+  CASE WHEN place > 0 THEN md5(left({strip('substr(text, place + length(tab))')}, 300)) ELSE md5('') END AS after FROM f""")
+def table_context(spark, sf):
+    """C13"""
+    rows = table(spark, sf, "documents").withColumn("tab", F.substring("text", 101, 200))
+    c = C.table_context("tab", "text")
+    return rows.select("doc_id", F.md5(c["before"]).alias("before"), F.md5(c["after"]).alias("after"))
+
+
+@query("""WITH p AS (SELECT doc_id, text, substr(text, 801, 400) AS chunk FROM documents), f AS (SELECT *, position(chunk IN text) AS place FROM p)
+SELECT doc_id, md5(CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, greatest(place - 301, 0) + 1,
+  least(place - 1 + length(chunk) + 300, length(text)) - greatest(place - 301, 0)) END) AS context FROM f""")
+def chunk_context(spark, sf):
+    """C14 J4"""
+    parents = table(spark, sf, "documents").select("doc_id", F.col("text").alias("parent_text"))
+    chunks = table(spark, sf, "documents").select("doc_id", F.substring("text", 801, 400).alias("text"))
+    joined = chunks.join(parents, "doc_id", "left")
+    return joined.select("doc_id", F.md5(C.chunk_context("text", F.lit(None).cast("string"), "parent_text")).alias("context"))
+
+
+@query(f"""WITH {t.CHUNKS} SELECT chunk_id, CASE WHEN is_table AND pos % 2 = 0 THEN 'sum ' || pos END AS table_summary,
+  md5(CASE WHEN is_table AND pos % 2 = 0 THEN '[表格摘要]' || chr(10) || 'sum ' || pos || chr(10) || chr(10) || '[表格数据]' || chr(10) || text ELSE text END) AS text,
+  CASE WHEN is_table AND pos % 2 = 0 THEN length('[表格摘要]' || chr(10) || 'sum ' || pos || chr(10) || chr(10) || '[表格数据]' || chr(10) || text) ELSE char_count END AS char_count
+FROM chunks""")
+def table_summaries(spark, sf):
+    """C15"""
+    rows = t.chunks(spark, sf).withColumn("table_markdown", F.col("text"))
+    summaries = rows.filter("pos % 2 = 0").select("chunk_id", F.concat(F.lit("sum "), F.col("pos").cast("string")).alias("summary"))
+    return C.apply_table_summaries(rows, summaries).select("chunk_id", "table_summary", F.md5("text").alias("text"), "char_count")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS page,
+  CAST(trunc(l_quantity * 3) AS INTEGER) AS chars, l_extendedprice AS width, 30000.0 AS height, l_linenumber % 2 AS n_images, (l_partkey % 200 + l_suppkey % 150) / 2 AS block FROM lineitem),
+s AS (SELECT doc_id, avg(width / height) FILTER (WHERE page <= 5) AS aspect, avg(block) FILTER (WHERE page <= 5) AS block,
+  avg(n_images) FILTER (WHERE page <= 5) AS images, min(chars) AS fewest FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN (aspect > 1.2 AND (block < 80 OR images >= 1)) OR fewest < 30 THEN 'sdk' ELSE 'text' END AS route FROM s""")
+def document_routing(spark, sf):
+    """C16"""
+    rows = _numbered(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return S.route_documents(rows.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("rn").alias("page"), (F.col("l_quantity") * 3).cast("int").alias("chars"),
+        F.col("l_extendedprice").alias("width"), F.lit(30000.0).alias("height"), (F.col("l_linenumber") % 2).alias("n_images"),
+        F.array((F.col("l_partkey") % 200).cast("int"), (F.col("l_suppkey") % 150).cast("int")).alias("block_chars")))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS doc_id, sha256(CAST(l_partkey % 4 AS VARCHAR)) AS sha256, row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey) AS page FROM lineitem), f AS (SELECT doc_id, sha256, min(page) AS page FROM a GROUP BY ALL)
+SELECT doc_id, sha256, CAST(page AS INTEGER) AS page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS number FROM f""")
+def image_numbering(spark, sf):
+    """C17"""
+    rows = _numbered(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    assets = rows.select(F.col("l_orderkey").alias("doc_id"), F.sha2((F.col("l_partkey") % 4).cast("string"), 256).alias("sha256"),
+                         F.col("rn").alias("page"), F.lit(0).alias("pos"))
+    return S.number_images(assets).drop("pos")
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, substr(text, 1, 50) AS description, CASE doc_id % 3 WHEN 0 THEN '文档扫描件' WHEN 1 THEN '照片' END AS type,
+  CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, doc_id % 25) END AS ocr_text FROM documents)
+SELECT doc_id, '[图片] 来源：' || source || ' 第' || (doc_id % 7) || '页 | 类型：' || coalesce(type, '其他') || chr(10) ||
+  CASE WHEN type = '文档扫描件' AND {count('ocr_text')} > 10 THEN ocr_text ELSE description END AS text FROM d""")
+def image_section_text(spark, sf):
+    """C18"""
+    key = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("file_name"), (key % 7).alias("page"), F.substring("text", 1, 50).alias("description"),
+        F.when(key % 3 == 0, "文档扫描件").when(key % 3 == 1, "照片").alias("type"),
+        F.when(key % 2 == 0, F.substr("text", F.lit(1), (key % 25).cast("int"))).alias("ocr_text"))
+    return S.image_sections(rows).select("doc_id", "text")
+
+
+@query("""SELECT doc_id, 'doc' AS section_id, length(text) AS n FROM documents
+UNION ALL SELECT doc_id, 'img', length('[图片] 来源：' || source || ' 第1页 | 类型：其他' || chr(10)) FROM documents WHERE doc_id % 4 = 0""")
+def section_union(spark, sf):
+    """C19"""
+    texts = document_sections(spark, sf).select("doc_id", "section_id", "text")
+    images = table(spark, sf, "documents").filter("doc_id % 4 = 0").select(
+        "doc_id", F.lit("img").alias("section_id"), F.col("source").alias("file_name"), F.lit(1).alias("page"),
+        F.lit(None).cast("string").alias("type"), F.lit("").alias("description"), F.lit("").alias("ocr_text"))
+    both = S.union_sections(texts, S.image_sections(images).select("doc_id", "section_id", "text"))
+    return both.select("doc_id", "section_id", F.length("text").alias("n"))
+
+
+@query(f"""SELECT source AS file, count(*) AS sections FROM documents GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM documents""")
+def sections_per_file(spark, sf):
+    """A14"""
+    from ..operators.stats import sections_per_file
+
+    return sections_per_file(table(spark, sf, "documents").withColumnRenamed("source", "file"), "file")

@@ -1 +1,452 @@
+"""Queries over vectors, BM25, alignment, fusion and rerank."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import alignment as A
+from ..operators import fusion as X
+from ..operators import lexical as L
+from ..operators import stats
+from ..operators import vectors as V
+from ..session import cut_lineage, table, top_n
+from . import tables as t
+from .chunking import CHUNKS_SQL, document_sections
+
 QUERIES, ORACLE = {}, {}
+
+
+def query(sql: str | None = None):
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+    return keep
+
+
+# --- the flagship: passages for questions ---------------------------------------------
+
+@query(f"""WITH {CHUNKS_SQL}, d AS (SELECT id, text FROM doc_chunks), q AS (SELECT item_id AS qid, text FROM benchmark), {t.BM25},
+top AS (SELECT * FROM bm25 WHERE rank <= 100),
+one AS (SELECT qid, b.id, score, c.doc_id FROM top b JOIN doc_chunks c ON c.id = b.id
+  QUALIFY row_number() OVER (PARTITION BY qid, c.doc_id ORDER BY score DESC, b.id) = 1)
+SELECT qid AS item_id, id AS chunk_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+FROM one QUALIFY rank <= 10""")
+def passages_for_questions(spark, sf):
+    """Best passage of the ten best documents of each question"""
+    from ..operators.chunks import make_chunks
+
+    chunks = cut_lineage(make_chunks(document_sections(spark, sf)).select("chunk_id", "doc_id", "text"))
+    hits = L.search(chunks, "chunk_id", table(spark, sf, "benchmark"), "item_id", 100)
+    placed = hits.drop("rank").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    order = [F.desc("score"), F.col("chunk_id")]
+    first = top_n(placed, ["item_id", "doc_id"], order, 1, "one").drop("one")
+    return top_n(first, ["item_id"], order, 10).select(
+        "item_id", "chunk_id", "doc_id", "score", "rank")
+
+
+# --- vectors -----------------------------------------------------------------------------
+
+@query("""SELECT vec_id, round(sqrt(list_dot_product(w, w)), 4) AS norm, round(w[1] / greatest(sqrt(list_dot_product(w, w)), 1e-12), 4) AS first_value,
+  sqrt(list_dot_product(w, w)) < 1e-9 AS empty
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS w FROM embeddings)""")
+def unit_vectors(spark, sf):
+    """V1"""
+    rows = table(spark, sf, "embeddings").withColumn("w", F.transform(
+        "embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7)))
+    return rows.select("vec_id", F.round(V.norm("w"), 4).alias("norm"), F.round(V.unit("w")[0], 4).alias("first_value"),
+                       V.is_empty("w").alias("empty"))
+
+
+@query(f"""WITH {t.LEAVES} SELECT leaf_id, chunk_id, round(list_dot_product(c.v, rq), 6) AS score_rq,
+  round(list_dot_product(c.v, hyde), 6) AS score_hyde, greatest(score_rq, score_hyde) AS score
+FROM leaves, chunks c""")
+def dual_similarity(spark, sf):
+    """V2 V3 J5"""
+    return V.dual_scores(t.chunks(spark, sf), t.query_leaves(spark, sf))
+
+
+_NEAR = """near AS (SELECT chunk_id, code, score, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, code) AS rank
+  FROM (SELECT chunk_id, i.code, round(list_dot_product(c.v, i.v), 6) AS score FROM chunks c, indicators i) QUALIFY rank <= 5)"""
+
+
+@query(f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_NEAR} SELECT chunk_id, code, score, rank FROM near""")
+def nearest_indicators(spark, sf):
+    """V4 V5"""
+    return V.nearest(t.chunks(spark, sf), "chunk_id", V.indicator_vectors(t.indicators(spark, sf)), "code")
+
+
+@query(f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_NEAR} SELECT chunk_id, code, score, rank FROM near""")
+def nearest_indicators_by_blocks(spark, sf):
+    """V4 when the indicators exceed the shipped bound"""
+    return V.nearest(t.chunks(spark, sf), "chunk_id", t.indicators(spark, sf), "code", shipped=0)
+
+
+@query()
+def text_vectors(spark, sf):
+    """Hashing embedder (its hash has no counterpart in the checking engine)"""
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("char_count"))
+    return V.embed(rows).select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 6).alias("norm"))
+
+
+@query()
+def query_vectors(spark, sf):
+    """Two vectors per question, the second from its sample answer or the question"""
+    rows = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("leaf_id"), F.col("text").alias("retrieval_query"),
+        F.when(F.col("item_id") % 2 == 0, F.upper("text")).otherwise("").alias("hypothetical_doc"))
+    ready, _ = V.split_ready(rows)
+    return V.embed_queries(ready, "find passages").select(
+        "leaf_id", F.round(V.norm("rq"), 6).alias("rq"), F.round(V.norm("hyde"), 6).alias("hyde"))
+
+
+# --- BM25 -------------------------------------------------------------------------------------
+
+@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT 1 AS qid, '' AS text), {t.BM25}
+SELECT token, df, round(idf, 6) AS idf FROM d_idf""")
+def bm25_vocabulary(spark, sf):
+    """V6"""
+    docs = table(spark, sf, "documents")
+    idf = L.inverse_frequency(L.term_counts(docs, "doc_id"), L.corpus_stats(docs))
+    return idf.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark), {t.BM25}
+SELECT qid AS item_id, id AS doc_id, score, rank FROM bm25 WHERE rank <= 100""")
+def bm25_search(spark, sf):
+    """V7 L1"""
+    return L.search(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id")
+
+
+# limits that make every status occur on these vectors
+LOW, EXTRA = 0.20, 0.24
+
+# --- alignment -------------------------------------------------------------------------------
+
+_LABELS = {mark: label for mark, label, _, _ in fixed.STATUSES}
+
+
+def _classify_sql(top: str, low: str, extra: str, strong: float = EXTRA) -> str:
+    return f"""CASE WHEN len({top}) = 0 THEN '❓' WHEN {top}[1].score < {low} THEN '➖' WHEN folder_code IS NULL THEN '🔍'
+  WHEN len(list_filter({top}[1:5], lambda x: x.code = folder_code)) > 0 THEN
+    CASE WHEN len(list_filter({extra}, lambda x: x.code <> folder_code AND x.score > {strong})) > 0 THEN '➕' ELSE '✅' END
+  ELSE '⚠️' END"""
+
+
+_ALIGNED = f"""{_NEAR}, tops AS (SELECT chunk_id, list({{'code': code, 'score': score}} ORDER BY rank) AS top FROM near GROUP BY chunk_id),
+aligned AS (SELECT c.*, top, {_classify_sql('top', LOW, 'top')} AS consistency,
+  CASE WHEN top[1].score < {LOW} THEN coalesce(folder_code, top[1].code) WHEN folder_code IS NULL THEN top[1].code
+    WHEN len(list_filter(top[1:5], lambda x: x.code = folder_code)) > 0 THEN folder_code ELSE top[1].code END AS suggested_code
+  FROM chunks c JOIN tops USING (chunk_id))"""
+_WITH = f"WITH {t.CHUNKS}, {t.INDICATORS}, {_ALIGNED}"
+
+
+def aligned(spark, sf):
+    return A.align(t.chunks(spark, sf), t.indicators(spark, sf), low=LOW, extra=EXTRA)
+
+
+@query(f"{_WITH} SELECT chunk_id, consistency, suggested_code, array_to_string(list_transform(top, lambda x: x.code), ',') AS codes FROM aligned")
+def chunk_alignment(spark, sf):
+    """V11"""
+    return aligned(spark, sf).select("chunk_id", "consistency", "suggested_code", F.array_join(
+        F.transform("semantic_topk", lambda x: x["code"]), ",").alias("codes"))
+
+
+_RRF2 = f"""{_NEAR}, iq AS (SELECT i.code AS qid, substr(f.text, 1, 200) AS text FROM indicators i JOIN
+  (SELECT label, arg_min(text, pos) AS text FROM chunks GROUP BY label) f ON f.label = i.code),
+d AS (SELECT chunk_id AS id, text FROM chunks), q AS (SELECT qid, text FROM iq), {t.BM25},
+lex AS (SELECT qid AS code, id AS chunk_id, rank FROM bm25 WHERE rank <= 10),
+fused AS (SELECT coalesce(n.chunk_id, l.chunk_id) AS chunk_id, coalesce(n.code, l.code) AS code,
+  coalesce(1.0 / (60 + n.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS score
+  FROM near n FULL JOIN lex l ON n.chunk_id = l.chunk_id AND n.code = l.code),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, code) AS rank FROM fused QUALIFY rank <= 5),
+emb AS (SELECT chunk_id, list({{'code': code, 'score': score}} ORDER BY rank) AS e FROM near GROUP BY chunk_id),
+rrf AS (SELECT chunk_id, list({{'code': code, 'score': score}} ORDER BY rank) AS f FROM ranked GROUP BY chunk_id),
+both_lists AS (SELECT c.*, e, CASE WHEN e[1].score >= {LOW} THEN f ELSE e END AS top, CASE WHEN e[1].score >= {LOW} THEN 0.01 ELSE {LOW} END AS low
+  FROM chunks c JOIN emb USING (chunk_id) JOIN rrf USING (chunk_id))"""
+
+
+@query(f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_RRF2} SELECT chunk_id, {_classify_sql('top', 'low', 'e')} AS consistency,
+  array_to_string(list_transform(top, lambda x: x.code), ',') AS codes FROM both_lists""")
+def two_route_alignment(spark, sf):
+    """V9 X3"""
+    first = t.chunks(spark, sf).groupBy("label").agg(F.substring(F.min_by("text", "pos"), 1, 200).alias("query_text"))
+    ind = t.indicators(spark, sf).join(first.withColumnRenamed("label", "code"), "code")
+    rows = A.align_two_routes(t.chunks(spark, sf), ind, low=LOW, extra=EXTRA)
+    return rows.select("chunk_id", "consistency", F.array_join(F.transform("semantic_topk", lambda x: x["code"]), ",").alias("codes"))
+
+
+_ORDER = "CASE consistency " + " ".join(f"WHEN '{m}' THEN {o}" for m, _, o, _ in fixed.STATUSES) + " END"
+
+
+@query(f"""{_WITH} SELECT a.chunk_id, file_name, file_path, coalesce(folder_code, '') AS folder_code, coalesce(i.topic, '') AS folder_topic,
+  coalesce(i.indicator, '') AS folder_indicator, len(top) AS semantic_top5, consistency,
+  regexp_replace(substr(text, 1, 200), '[\\n\\r]', ' ', 'g') AS text_preview, page_or_sheet, pos AS chunk_index, suggested_code AS human_code, '' AS human_note,
+  row_number() OVER (ORDER BY {_ORDER}, pos) AS place FROM aligned a LEFT JOIN indicators i ON i.code = folder_code""")
+def review_table(spark, sf):
+    """S11 J1 L5; the shown score list is reduced to its length (two-digit rounding is unit-tested)"""
+    from ..operators.ranking import global_rank
+
+    rows = A.review_table(aligned(spark, sf), t.indicators(spark, sf)).withColumn(
+        "semantic_top5", F.size(F.split("semantic_top5", ", ")))
+    return global_rank(rows, [], [A.review_order("consistency"), F.col("chunk_index")], "place")
+
+
+@query(f"""{_WITH}, f AS (SELECT DISTINCT file_path, file_name FROM chunks UNION ALL SELECT '/d/none/' || source, source FROM (SELECT DISTINCT source FROM documents)),
+g AS (SELECT *, CASE WHEN file_path LIKE '/d/fr/%' THEN '➖' ELSE consistency END AS c2 FROM aligned),
+p AS (SELECT file_path, count(*) AS n, count(*) FILTER (WHERE c2 IN ('✅', '➕', '⚠️', '🔍')) AS rel FROM g GROUP BY 1)
+SELECT f.file_path, f.file_name, '' AS folder_code, coalesce(n, 0) AS chunks, CASE WHEN n > 0 THEN '所有chunk均低相关（top1 < 0.40）' ELSE '提取失败或无有效内容' END AS reason
+FROM f LEFT JOIN p USING (file_path) WHERE coalesce(rel, 0) = 0""")
+def uncovered_files(spark, sf):
+    """Every French file is turned low, and one file per source has no chunk"""
+    files, rows = _files_and_rows(spark, sf)
+    return A.uncovered_files(files, rows)
+
+
+def _files_and_rows(spark, sf):
+    none = F.lit(None).cast("string").alias("folder_code")
+    files = t.chunks(spark, sf).select("file_path", "file_name", none).distinct().unionByName(
+        table(spark, sf, "documents").select(F.concat(F.lit("/d/none/"), "source").alias("file_path"),
+                                             F.col("source").alias("file_name"), none).distinct())
+    rows = aligned(spark, sf).withColumn("consistency", F.when(
+        F.col("file_path").startswith("/d/fr/"), "➖").otherwise(F.col("consistency")))
+    return files, rows
+
+
+@query(f"""{_WITH}, f AS (SELECT DISTINCT file_path FROM chunks UNION ALL SELECT '/d/none/' || source FROM (SELECT DISTINCT source FROM documents)),
+g AS (SELECT *, CASE WHEN file_path LIKE '/d/fr/%' THEN '➖' ELSE consistency END AS c2 FROM aligned),
+good AS (SELECT DISTINCT file_path FROM g WHERE c2 IN ('✅', '➕', '⚠️', '🔍'))
+SELECT count(*) AS files, count(good.file_path) AS covered, round(count(good.file_path) / count(*) * 100, 1) AS percent,
+  (SELECT count(*) FROM g WHERE c2 IN ('⚠️', '🔍', '➕')) AS review_rows FROM f LEFT JOIN good USING (file_path)""")
+def file_coverage(spark, sf):
+    """A3"""
+    return A.coverage(*_files_and_rows(spark, sf))
+
+
+_STATUS_ROWS = ", ".join(f"({i}, '{m}', '{l}')" for i, (m, l, _, _) in enumerate(fixed.STATUSES))
+
+
+@query(f"""{_WITH}, s AS (SELECT * FROM (VALUES {_STATUS_ROWS}) v(place, status, label)), c AS (SELECT consistency, count(*) AS n FROM aligned GROUP BY 1)
+SELECT place, status, label, coalesce(n, 0) AS chunks, round(coalesce(n, 0) / (SELECT count(*) FROM aligned) * 100, 1) AS percent
+FROM s LEFT JOIN c ON consistency = status""")
+def alignment_status_counts(spark, sf):
+    """A2"""
+    return A.status_counts(aligned(spark, sf))
+
+
+_STORED = "CASE consistency " + " ".join(f"WHEN '{m}' THEN '{s}'" for m, _, _, s in fixed.STATUSES) + " END"
+
+
+@query(f"""{_WITH} SELECT c.chunk_id, coalesce({_STORED}, 'low_relevance') AS alignment_status FROM chunks c
+LEFT JOIN (SELECT chunk_id, consistency FROM aligned WHERE pos % 17 <> 0) USING (chunk_id)""")
+def status_write_back(spark, sf):
+    """J3"""
+    return A.write_back(t.chunks(spark, sf), aligned(spark, sf).filter("pos % 17 <> 0")).select("chunk_id", "alignment_status")
+
+
+# --- pool and fusion ----------------------------------------------------------------------------
+
+def pool_reasons(spark, sf):
+    c = t.chunks(spark, sf)
+    vectors = c.select("chunk_id", F.when(F.col("pos") % 23 != 0, F.col("embedding")).alias("embedding"))
+    scores = V.nearest(c, "chunk_id", t.indicators(spark, sf), "code", 1).filter("CAST(chunk_id AS INT) % 19 <> 0").select(
+        "chunk_id", F.col("score").alias("top1"))
+    text = F.when(F.col("pos") % 29 == 0, F.concat("text", F.lit(" 类型：照片"))).otherwise(F.col("text"))
+    return X.candidate_reasons(c.drop("embedding").withColumn("text", text), vectors, scores, LOW)
+
+
+_REASONS = f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_NEAR}, r AS (SELECT c.chunk_id, CASE WHEN pos % 23 = 0 THEN 'invalid_embedding' WHEN pos % 19 = 0 THEN 'not_in_table'
+  WHEN score < {LOW} THEN 'low_score' WHEN pos % 29 = 0 THEN 'photo' END AS reason FROM chunks c JOIN near USING (chunk_id) WHERE rank = 1)"""
+
+
+@query(f"{_REASONS} SELECT chunk_id FROM r WHERE reason IS NULL")
+def candidate_pool(spark, sf):
+    """V12 J2"""
+    return X.candidate_pool(pool_reasons(spark, sf)).select("chunk_id")
+
+
+@query(f"{_REASONS} SELECT coalesce(reason, 'kept') AS reason, count(*) AS chunks FROM r GROUP BY 1")
+def candidate_exclusions(spark, sf):
+    """A13"""
+    return X.exclusion_counts(pool_reasons(spark, sf))
+
+
+def fusion_inputs(spark, sf):
+    """Pool and leaves; statuses follow the id, so boosts and penalties both occur."""
+    pool = t.chunks(spark, sf).withColumn("alignment_status", F.when(F.col("pos") % 5 == 0, "misplaced").otherwise("consistent"))
+    leaves = t.query_leaves(spark, sf)
+    lexical = L.search(pool, "chunk_id", leaves.select("leaf_id", F.col("retrieval_query").alias("text")), "leaf_id", 100)
+    # one leaf has no BM25 row and is ranked by its cosines
+    return pool, leaves, lexical.filter(F.col("leaf_id") != "r003")
+
+
+_RANKED = f"""{t.LEAVES}, d AS (SELECT chunk_id AS id, text FROM chunks), q AS (SELECT leaf_id AS qid, retrieval_query AS text FROM leaves), {t.BM25},
+pairs AS (SELECT leaf_id, chunk_id, parent_id, folder_code, code, pos, file_name, page_or_sheet, c.text, round(list_dot_product(c.v, rq), 6) AS score_rq,
+  round(list_dot_product(c.v, hyde), 6) AS score_hyde FROM leaves, chunks c),
+ranks AS (SELECT p.*, row_number() OVER (PARTITION BY p.leaf_id ORDER BY score_rq DESC, chunk_id) AS rank_rq,
+  row_number() OVER (PARTITION BY p.leaf_id ORDER BY score_hyde DESC, chunk_id) AS rank_hyde, b.rank AS rank_bm25, b.score AS score_bm25
+  FROM pairs p LEFT JOIN (SELECT qid, id, rank, score FROM bm25 WHERE rank <= 100 AND qid <> 'r003') b ON qid = leaf_id AND id = chunk_id),
+fused AS (SELECT *, CASE WHEN leaf_id <> 'r003' THEN 1.0::DOUBLE / (60 + rank_rq) + 1.0::DOUBLE / (60 + rank_hyde) + coalesce(1.0::DOUBLE / (60 + rank_bm25), 0)
+    ELSE greatest(score_rq, score_hyde) END +
+  CASE WHEN folder_code = code AND pos % 5 <> 0 THEN 0.5 WHEN folder_code = code THEN -0.25 ELSE 0.0 END AS s FROM ranks),
+one AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY leaf_id, parent_id ORDER BY round(s, 9) DESC, chunk_id) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM one),
+labelled AS (SELECT *, list_sort([rank_rq, rank_hyde, coalesce(rank_bm25, 9999)]) AS rs FROM placed),
+results AS (SELECT leaf_id, rank, chunk_id, parent_id, s AS score, score_rq, score_hyde, coalesce(score_bm25, 0.0) AS score_bm25, rank_rq, rank_hyde,
+  coalesce(rank_bm25, 9999) AS rank_bm25, CASE WHEN leaf_id = 'r003' THEN CASE WHEN abs(score_rq - score_hyde) < 0.02 THEN 'both'
+      WHEN score_rq > score_hyde THEN 'retrieval_query' ELSE 'hypothetical_doc' END
+    WHEN rs[2] - rs[1] <= 5 THEN 'multi' WHEN rank_rq = rs[1] THEN 'retrieval_query' WHEN rank_hyde = rs[1] THEN 'hypothetical_doc' ELSE 'bm25' END AS source,
+  CASE WHEN leaf_id = 'r003' THEN 'max' ELSE 'rrf' END AS fusion_mode, file_name, page_or_sheet, text FROM labelled WHERE rank <= 50)"""
+_FUSED_OUT = """SELECT leaf_id, rank, chunk_id, parent_id, round(score, 6) AS score, score_rq, score_hyde, score_bm25, rank_rq, rank_hyde, rank_bm25, source, fusion_mode FROM results"""
+
+
+def results(spark, sf, **options):
+    pool, leaves, lexical = fusion_inputs(spark, sf)
+    top = X.fuse(pool, leaves, lexical, **options)
+    facts = pool.select("chunk_id", "file_name", "page_or_sheet", "text")
+    return top.drop("score_raw").join(facts, "chunk_id")
+
+
+def _fused_out(rows):
+    return rows.drop("file_name", "page_or_sheet", "text")
+
+
+@query(f"WITH {_RANKED} {_FUSED_OUT}")
+def three_route_fusion(spark, sf):
+    """V3 V10 V13 J6 X3 F31 F32"""
+    return _fused_out(results(spark, sf))
+
+
+@query(f"WITH {_RANKED} {_FUSED_OUT}")
+def three_route_fusion_shallow(spark, sf):
+    """A first cut so shallow that deeper rounds are needed"""
+    return _fused_out(results(spark, sf, depth=8))
+
+
+@query(f"WITH {_RANKED} {_FUSED_OUT}")
+def three_route_fusion_full_ranking(spark, sf):
+    """Ranks of all pairs, spread over range partitions"""
+    return _fused_out(results(spark, sf, depth=8, depth_limit=1))
+
+
+@query(f"WITH {_RANKED} SELECT leaf_id, chunk_id, rank_rq, rank_hyde FROM ranks")
+def route_ranks(spark, sf):
+    """W1"""
+    pool, leaves, _ = fusion_inputs(spark, sf)
+    return X.route_ranks(pool, leaves).select("leaf_id", "chunk_id", "rank_rq", "rank_hyde")
+
+
+_RERANK = f"""{_RANKED}, overlap AS (SELECT r.*, CASE WHEN r.leaf_id = 'r005' THEN NULL ELSE
+   round(len(list_intersect(list_distinct(regexp_extract_all(lower(retrieval_query), '[\\p{{L}}\\p{{N}}]+')), list_distinct(regexp_extract_all(lower(r.text), '[\\p{{L}}\\p{{N}}]+'))))
+   / greatest(len(list_distinct(regexp_extract_all(lower(retrieval_query), '[\\p{{L}}\\p{{N}}]+'))), 1), 6) END AS new_score FROM results r JOIN leaves USING (leaf_id)),
+again AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY new_score DESC NULLS LAST, rank) AS new_rank FROM overlap),
+reranked AS (SELECT leaf_id, chunk_id, new_rank AS rank, rank AS biencoder_rank, coalesce(new_score, score) AS score, score AS score_biencoder,
+  source, new_score IS NULL AS skipped, file_name, page_or_sheet, text FROM again WHERE new_rank <= 10)"""
+
+
+def reranked(spark, sf):
+    """Second ranking by the share of question words a text holds; one leaf fails."""
+    from ..operators.model import call_model
+
+    leaves = t.query_leaves(spark, sf).select("leaf_id", "full_path", "gloss", "retrieval_query")
+    pairs = results(spark, sf).join(leaves, "leaf_id").withColumn(
+        "query_text", X.rerank_text("full_path", "gloss", "retrieval_query"))
+
+    def overlap(items):
+        import regex
+
+        out = []
+        for leaf, query, text in items:
+            if leaf == "r005":
+                raise ConnectionError("no answer")
+            asked = set(regex.findall(r"[\p{L}\p{N}]+", query.split("检索描述：", 1)[1].lower()))
+            held = set(regex.findall(r"[\p{L}\p{N}]+", text.lower()))
+            out.append(len(asked & held) / max(len(asked), 1))
+        return out
+
+    scored = call_model(pairs, ["leaf_id", "query_text", "text"], overlap, "new_score", "double", batch=1, tries=1)
+    return X.rerank(scored.drop("query_text", "new_score_error"))
+
+
+@query(f"""WITH {_RERANK} SELECT leaf_id, chunk_id, rank, biencoder_rank, round(score, 6) AS score, round(score_biencoder, 6) AS score_biencoder, skipped FROM reranked""")
+def rerank(spark, sf):
+    """V16 U1"""
+    return reranked(spark, sf).select("leaf_id", "chunk_id", "rank", "biencoder_rank", "score", "score_biencoder", "skipped")
+
+
+# --- figures over results -------------------------------------------------------------------------
+
+@query(f"""WITH {_RANKED} SELECT leaf_id, round(avg(round(score, 6)), 4) AS avg_score, round(max(score), 4) AS max_score, count(*) AS chunk_count,
+  array_to_string(list_sort(list(DISTINCT file_name)), ',') AS source_files FROM results GROUP BY leaf_id""")
+def leaf_stats(spark, sf):
+    """A4"""
+    return stats.leaf_stats(results(spark, sf), t.query_leaves(spark, sf)).withColumn("source_files", F.array_join("source_files", ","))
+
+
+@query(f"""WITH {_RANKED} SELECT leaf_id, source, count(*) AS chunks FROM results GROUP BY GROUPING SETS ((leaf_id, source), (source))""")
+def source_distribution(spark, sf):
+    """A5"""
+    return stats.source_distribution(results(spark, sf))
+
+
+@query(f"""WITH {_RERANK} SELECT CASE WHEN rank < biencoder_rank THEN 'improved' WHEN rank > biencoder_rank THEN 'declined' ELSE 'unchanged' END AS change,
+  count(*) AS chunks FROM reranked WHERE NOT skipped GROUP BY 1""")
+def rank_changes(spark, sf):
+    """A6"""
+    return stats.rank_changes(reranked(spark, sf))
+
+
+@query(f"""WITH {_RERANK}, s AS (SELECT leaf_id, avg(round(score, 6)) AS a FROM reranked GROUP BY 1),
+b AS (SELECT * FROM (VALUES (0, '≥ 0.60'), (1, '0.50-0.59'), (2, '0.40-0.49'), (3, '0.30-0.39'), (4, '< 0.30')) v(place, bracket))
+SELECT place, bracket, count(leaf_id) AS leaves, round(count(leaf_id) / (SELECT count(*) FROM s) * 100, 1) AS percent
+FROM b LEFT JOIN (SELECT leaf_id, CASE WHEN round(a, 4) >= 0.6 THEN 0 WHEN round(a, 4) >= 0.5 THEN 1 WHEN round(a, 4) >= 0.4 THEN 2 WHEN round(a, 4) >= 0.3 THEN 3 ELSE 4 END AS place FROM s) USING (place) GROUP BY ALL""")
+def score_brackets(spark, sf):
+    """A7"""
+    return stats.score_brackets(stats.leaf_stats(reranked(spark, sf)))
+
+
+@query(f"""WITH {_RANKED}, p AS (SELECT r.text, c.text AS own, c.pos, repeat(c.text, 1 + CAST(c.pos % 2 AS INTEGER)) AS parent_text FROM results r JOIN chunks c USING (chunk_id))
+SELECT count(*) AS chunks, min(length(parent_text)) AS min_length, median(length(parent_text)) AS median_length, round(avg(length(parent_text)), 2) AS mean_length,
+  max(length(parent_text)) AS max_length, count(*) FILTER (WHERE length(parent_text) > 2000) AS over_limit, count(*) FILTER (WHERE text = parent_text) AS uncut FROM p""")
+def parent_lengths(spark, sf):
+    """Half of the parents hold the text twice"""
+    parents = t.chunks(spark, sf).select("chunk_id", F.repeat("text", (F.lit(1) + F.col("pos") % 2).cast("int")).alias("parent_text"))
+    return stats.parent_lengths(results(spark, sf).join(parents, "chunk_id"))
+
+
+@query(f"""WITH {_RANKED} SELECT source, count(*) AS chunks, round(avg(round(score, 6)), 4) AS avg_score FROM results GROUP BY 1""")
+def mean_score_by_source(spark, sf):
+    """A9"""
+    return stats.mean_by_source(results(spark, sf))
+
+
+@query(f"""WITH {_RERANK}, a AS (SELECT leaf_id, round(avg(round(score, 6)), 4) AS m FROM results GROUP BY 1), b AS (SELECT leaf_id, round(avg(round(score, 6)), 4) AS m FROM reranked GROUP BY 1)
+SELECT round((SELECT avg(m) FROM a), 4) AS coarse, round((SELECT avg(m) FROM b), 4) AS reranked, round((SELECT avg(m) FROM b) - (SELECT avg(m) FROM a), 4) AS uplift""")
+def rerank_uplift(spark, sf):
+    """A9"""
+    return stats.rerank_uplift(stats.leaf_stats(results(spark, sf)), stats.leaf_stats(reranked(spark, sf)))
+
+
+@query(f"""WITH {_RANKED} SELECT leaf_id, round(avg(round(score, 6)), 4) AS avg_score FROM results GROUP BY 1 ORDER BY 2, 1 LIMIT 5""")
+def weakest_leaves(spark, sf):
+    """L1 S18"""
+    return stats.weakest(stats.leaf_stats(results(spark, sf))).select("leaf_id", "avg_score")
+
+
+@query(f"""WITH {_RANKED}, old AS (SELECT leaf_id, chunk_id, rank FROM results WHERE leaf_id <> 'r009'),
+now AS (SELECT leaf_id, CASE WHEN leaf_id = 'r001' AND rank = 1 THEN 'other' ELSE chunk_id END AS chunk_id FROM results),
+s AS (SELECT coalesce(n.leaf_id, o.leaf_id) AS leaf_id, count(n.chunk_id) AS a, count(o.chunk_id) AS b, count(*) FILTER (WHERE n.chunk_id IS NOT NULL AND o.chunk_id IS NOT NULL) AS c
+  FROM now n FULL JOIN old o ON n.leaf_id = o.leaf_id AND n.chunk_id = o.chunk_id GROUP BY 1)
+SELECT leaf_id, CASE WHEN b = 0 THEN 'added' WHEN a = b AND b = c THEN 'unchanged' ELSE 'changed' END AS change, leaf_id IN ('r001', 'r002') AS edited FROM s WHERE a > 0""")
+def retrieval_diff(spark, sf):
+    """J13 J14"""
+    from ..operators import history as H
+
+    now = cut_lineage(results(spark, sf).select("leaf_id", "chunk_id", "rank"))
+    old = now.filter("leaf_id <> 'r009'")
+    new = now.withColumn("chunk_id", F.when((F.col("leaf_id") == "r001") & (F.col("rank") == 1), "other").otherwise(F.col("chunk_id")))
+    diff = H.retrieval_diff(new, old)
+    edits = t.query_leaves(spark, sf).filter("row IN (1, 2)").select("leaf_id").withColumn("edited", F.lit(True))
+    return diff.join(edits, "leaf_id", "left").withColumn("edited", F.coalesce("edited", F.lit(False)))

@@ -114,7 +114,7 @@ def plan_targets(path: str = "relative_path") -> Column:
     folders = F.slice(parts, 1, F.size(parts) - 1)
     pure = F.transform(F.filter(folders, codes.is_pure_code), lambda p: F.upper(F.trim(p)))
     inner_first = F.reverse(F.filter(folders, lambda p: ~codes.is_pure_code(p)))
-    loose = F.array_distinct(F.flatten(F.transform(inner_first, codes.all_codes)))
+    loose = F.array_distinct(F.flatten(F.transform(inner_first, lambda p: codes.all_codes(p))))
     return (
         F.when(F.size(pure) > 0, F.slice(pure, 1, 1))
         .when(F.size(loose) > 0, F.slice(loose, 1, 3))

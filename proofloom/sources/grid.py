@@ -56,11 +56,34 @@ def find_columns(grid: DataFrame, header: DataFrame, fields: dict[str, list[str]
     return head.groupBy("sheet", "header").agg(*picks)
 
 
-def forward_fill(grid: DataFrame, keys: list[str] = ["sheet", "col"], order: str = "row",
-                 value: str = "value") -> DataFrame:
-    """Fill blank values from the nearest earlier value of the same column."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return grid.withColumn(value, F.last(cell_text(value), ignorenulls=True).over(upto))
+def fill_down(rows: DataFrame, keys: list[str], order: str, fields: list[str],
+              block: int = 10_000) -> DataFrame:
+    """Fill NULLs of some fields from the nearest earlier row of the same keys.
+
+    ``order`` is an integer row number. Rows are filled inside blocks of it;
+    only the last value of every block is carried on, so a very long sheet is
+    spread over many tasks.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col(order) / block))
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "__block").agg(*[
+        F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f"__{f}") for f in fields])
+    carried = ends.select(*keys, "__block", *[
+        F.last(f"__{f}", ignorenulls=True).over(before).alias(f"__{f}") for f in fields])
+    filled = rows.withColumns({f: F.last(f, ignorenulls=True).over(inside) for f in fields})
+    joined = filled.join(carried, [*keys, "__block"])
+    return joined.withColumns({f: F.coalesce(f, f"__{f}") for f in fields}).drop(
+        "__block", *[f"__{f}" for f in fields])
+
+
+def forward_fill(grid: DataFrame, start_row: int = 0, columns: list[int] | None = None) -> DataFrame:
+    """Fill blank cells below ``start_row`` from the cell above, for some columns."""
+    fits = F.col("row") >= start_row
+    if columns is not None:
+        fits = fits & F.col("col").isin(columns)
+    todo = grid.filter(fits).withColumn("value", cell_text("value"))
+    return fill_down(todo, ["sheet", "col"], "row", ["value"]).unionByName(grid.filter(~fits))
 
 
 def flatten_merged(grid: DataFrame, merged: DataFrame) -> DataFrame:
@@ -94,10 +117,7 @@ def filled_rows(grid: DataFrame, header: DataFrame, fields: dict[str, list[str]]
     """Named rows of every sheet, with some fields filled downwards."""
     columns = find_columns(grid, header, {f"{f}_col": words for f, words in fields.items()})
     rows = pick_columns(grid, columns, list(fields))
-    upto = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    for field in filled:
-        rows = rows.withColumn(field, F.last(field, ignorenulls=True).over(upto))
-    return rows
+    return fill_down(rows, ["sheet"], "row", filled)
 
 
 def sheets_to_text(grid: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:
