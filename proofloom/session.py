@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,3 +79,14 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int,
         .withColumn(rank, F.row_number().over(whole))
         .filter(F.col(rank) <= n)
     )
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for written stage tables.
+
+    Only where ``spark.checkpoint.dir`` is unset is a local folder used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,26 +32,29 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, process: Callable[[D
            text: str = "text", key: str = "content_key"):
     """Process unseen content of every micro-batch and append it to ``target``.
 
-    A batch writes its own partition and overwrites it when replayed, so a
-    restart after a lost driver or executor neither loses nor doubles rows.
-    ``process`` must keep the key column.
+    A batch writes its own partition, named by checkpoint and batch number, and
+    overwrites it when replayed: a restart after a lost driver or executor
+    neither loses nor doubles rows, and a second stream with a checkpoint of
+    its own adds only what is new. ``process`` must keep the key column.
     """
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = _earlier(spark, target, batch_id, key)
+        own = f"{source}-{batch_id}"
+        seen = _earlier(batch.sparkSession, target, own, key)
         rows = process(new_content(batch, seen, text, key))
-        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={own}")
 
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
 
 
-def _earlier(spark: SparkSession, target: str, batch_id: int, key: str) -> DataFrame | None:
+def _earlier(spark: SparkSession, target: str, own: str, key: str) -> DataFrame | None:
     """Keys written by other batches; folder pruning skips this batch's own rows."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(target)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(folder) or not system.listStatus(folder):
         return None
     rows = spark.read.option("basePath", target).parquet(target)
-    return rows.filter(F.col(BATCH) != batch_id).select(key).distinct()
+    return rows.filter(F.col(BATCH) != own).select(key).distinct()

@@ -95,3 +95,19 @@ def _done(stages: list, stage: str, status: str) -> list:
 def _row(run, stage, status, percent, done, millis) -> pd.DataFrame:
     return pd.DataFrame({"run_id": [run], "stage": [stage], "status": [status], "percent": [float(percent)],
                          "stages_completed": [done], "ts": [pd.Timestamp(millis, unit="ms")]})
+
+
+def states_to_table(stream: DataFrame, path: str, checkpoint: str):
+    """Write every emitted state; a replayed batch overwrites its own folder."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (stream.writeStream.outputMode("update").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_states(written: DataFrame) -> DataFrame:
+    """Last emitted state per run of a table written batch by batch."""
+    names = [c for c in written.columns if c not in ("run_id", "batch")]
+    return written.groupBy("run_id").agg(
+        F.max_by(F.struct(*names), F.struct("batch", "ts")).alias("s")).select("run_id", "s.*")
