@@ -1,3 +1,10 @@
 """Evidence retrieval on Spark: sections, chunks, alignment, ranking, drafts."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

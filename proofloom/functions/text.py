@@ -39,13 +39,14 @@ def empty_to_null(c) -> Column:
 
 def meaningful_chars(c) -> Column:
     """Count Han characters, ASCII letters and digits."""
-    kept = F.regexp_replace(col(c), r"[^一-鿿㐀-䶿a-zA-Z0-9]", "")
-    return F.length(kept)
+    # taking runs out is several times faster than replacing everything else
+    runs = F.regexp_extract_all(col(c), F.lit(r"[一-鿿㐀-䶿a-zA-Z0-9]+"), F.lit(0))
+    return F.aggregate(runs, F.lit(0), lambda n, run: n + F.length(run))
 
 
 def squeeze(c) -> Column:
     """Drop every line break, tab and blank."""
-    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\n\r\t ]", ""))
+    return strip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\n\r\t ]+", ""))
 
 
 def is_blank(c) -> Column:
@@ -59,7 +60,7 @@ def cell_text(c) -> Column:
 
 def word_count(c) -> Column:
     """Characters left once blanks, punctuation and digits are gone."""
-    marks = r"""(?U)[\s\[\]【】（）(),.，。、；;：:"'!！?？\-—\d]"""
+    marks = r"""(?U)[\s\[\]【】（）(),.，。、；;：:"'!！?？\-—\d]+"""
     return F.length(F.regexp_replace(col(c), marks, ""))
 
 
@@ -88,7 +89,7 @@ def title_level(label, text) -> Column:
 
 
 def without_control_chars(c) -> Column:
-    return F.regexp_replace(col(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
+    return F.regexp_replace(col(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]+", "")
 
 
 def one_line_preview(c, chars: int = 200) -> Column:

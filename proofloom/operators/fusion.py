@@ -27,6 +27,9 @@ LEAF_BLOCK = 512            # leaves searched in one round
 DEPTH = 256                 # chunks kept per leaf, route and class at first
 DEPTH_LIMIT = 16384         # deeper leaves get a full ranking
 MATCH, PLAIN, PENALTY = 0, 1, 2
+RESULT = ("leaf_id string, rank int, chunk_id string, parent_id string, score double, score_rq double, "
+          "score_hyde double, score_bm25 double, rank_rq long, rank_hyde long, rank_bm25 long, "
+          "source string, fusion_mode string, score_raw double")
 
 
 def candidate_reasons(chunks: DataFrame, vectors: DataFrame, alignment: DataFrame,
@@ -245,14 +248,14 @@ def fuse(pool: DataFrame, leaves: DataFrame, bm25: DataFrame | None = None, k: i
     found = []
     for block in range(n_blocks):
         part = asked.filter(F.pmod(F.xxhash64("leaf_id"), F.lit(n_blocks)) == block)
-        found.append(_fuse_block(spark, rows, part, lexical, k, k_rrf, boost, depth, depth_limit))
-    out = found[0]
-    for frame in found[1:]:
+        found.extend(_fuse_block(spark, rows, part, lexical, k, k_rrf, boost, depth, depth_limit))
+    out = spark.createDataFrame([], RESULT)
+    for frame in found:
         out = out.unionByName(frame)
     return out
 
 
-def _fuse_block(spark, rows, asked, lexical, k, k_rrf, boost, depth, depth_limit) -> DataFrame:
+def _fuse_block(spark, rows, asked, lexical, k, k_rrf, boost, depth, depth_limit) -> list[DataFrame]:
     waiting = asked.collect()  # at most about LEAF_BLOCK leaves
     done = []
     while waiting and depth <= depth_limit:
@@ -262,12 +265,7 @@ def _fuse_block(spark, rows, asked, lexical, k, k_rrf, boost, depth, depth_limit
         depth *= 8
     if waiting:
         done.append(_full(spark, rows, waiting, lexical, k, k_rrf, boost))
-    if not done:
-        return _search(spark, rows, [], lexical, k, k_rrf, boost, depth)[0]
-    out = done[0]
-    for frame in done[1:]:
-        out = out.unionByName(frame)
-    return out
+    return done
 
 
 def _leaf_frame(spark, leaves: list) -> DataFrame:
@@ -277,11 +275,8 @@ def _leaf_frame(spark, leaves: list) -> DataFrame:
 
 def _search(spark, rows, leaves, lexical, k, k_rrf, boost, depth):
     names = _leaf_frame(spark, leaves)
-    dim = len(leaves[0]["rq"]) if leaves else 1
     shared = spark.sparkContext.broadcast((
-        matrix([r["rq"] for r in leaves]).reshape(len(leaves), dim),
-        matrix([r["hyde"] for r in leaves]).reshape(len(leaves), dim),
-        [r["code"] for r in leaves]))
+        matrix([r["rq"] for r in leaves]), matrix([r["hyde"] for r in leaves]), [r["code"] for r in leaves]))
     kept = cut_lineage(_keep_best(rows, leaves, shared, depth))
     lexical_rows = None
     wanted = kept.select("leaf", "cls", "chunk_id", "parent_id", "score_rq", "score_hyde")

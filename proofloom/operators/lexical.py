@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.text import col, let
-from ..session import top_n
+from ..functions.text import col
+from ..session import broadcast_if_small, collect_if_small, cut_lineage, top_n
 
 WORD = r"[\p{L}\p{N}]+"
 HAN_RUN = r"^\p{IsHan}+$"
+DIGITS = 6                  # scores are compared after rounding
+MAX_TERMS = 500_000         # (query, token) pairs sent to the tasks
+MAX_CELLS = 20_000_000      # distinct tokens times queries sent to the tasks
 
 
 def words(c) -> Column:
@@ -42,45 +49,72 @@ def words_and_han_pairs(c, terms: list[str] | None = None) -> Column:
 Tokenizer = Callable[[str], Column]
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str = "text",
-                tokenizer: Tokenizer = words) -> DataFrame:
+def _explode(rows: DataFrame, *kept) -> DataFrame:
+    """One row per entry of ``tokens``.
+
+    The outer form keeps the optimizer from guarding the explode with a filter
+    that tokenizes every text once more.
+    """
+    return rows.select(*kept, F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
+
+
+def term_counts(docs: DataFrame, doc_id: str, text: str = "text", tokenizer: Tokenizer = words,
+                vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, token, tf, length) of every document with a token.
 
-    Documents are placed by id first. Counting terms and later scoring
-    documents then need no further shuffle of the token stream.
+    Given a ``vocabulary(token)``, all other tokens are dropped before anything
+    is shuffled. Rows are placed by document once: counting terms here and
+    summing a document's score later need no further shuffle.
     """
-    placed = docs.filter(F.col(text).isNotNull()).select(doc_id, text).repartition(doc_id)
-    tokens = placed.select(doc_id, tokenizer(text).alias("tokens")).filter(F.size("tokens") > 0)
-    return (
-        tokens.select(doc_id, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-        .groupBy(doc_id, "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    )
+    tokens = docs.filter(F.col(text).isNotNull()).select(doc_id, tokenizer(text).alias("tokens"))
+    rows = _explode(tokens, doc_id, F.size("tokens").alias("length"))
+    if vocabulary is not None:
+        rows = rows.join(broadcast_if_small(vocabulary.select("token")), "token", "left_semi")
+    return rows.repartition(doc_id).groupBy(doc_id, "token").agg(
+        F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = words) -> DataFrame:
     """One row: number of documents with a token, and their mean length."""
-    sized = docs.filter(F.col(text).isNotNull()).select(F.size(tokenizer(text)).alias("n")).filter("n > 0")
-    return sized.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length"))
+    sized = docs.filter(F.col(text).isNotNull()).select(F.size(tokenizer(text)).alias("n"))
+    docs_with = F.count_if(F.col("n") > 0)
+    return sized.agg(docs_with.alias("docs"), (F.sum("n") / F.nullif(docs_with, F.lit(0))).alias("avg_length"))
 
 
-def inverse_frequency(counts: DataFrame, stats: DataFrame,
+def document_frequency(docs: DataFrame, text: str = "text", tokenizer: Tokenizer = words) -> DataFrame:
+    """(token, df). Tokens are made distinct inside a row, so counts merge map-side."""
+    tokens = docs.filter(F.col(text).isNotNull()).select(F.array_distinct(tokenizer(text)).alias("tokens"))
+    return _explode(tokens).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def inverse_frequency(frequency: DataFrame, stats: DataFrame,
                       epsilon: float = fixed.BM25_EPSILON) -> DataFrame:
     """(token, df, idf); negative values are replaced by a share of the mean."""
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
     docs = stats.select("docs").scalar()
-    raw = df.select(
+    raw = frequency.select(
         "token", "df", (F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).scalar()
     idf = F.when(F.col("raw") < 0, mean * epsilon).otherwise(F.col("raw"))
     return raw.select("token", "df", idf.alias("idf"))
 
 
+def vocabulary_index(docs: DataFrame, text: str = "text",
+                     tokenizer: Tokenizer = words) -> tuple[DataFrame, DataFrame]:
+    """Token statistics and corpus statistics, written once for many searches.
+
+    Their size is that of the vocabulary, not of the text.
+    """
+    stats = cut_lineage(corpus_stats(docs, text, tokenizer))
+    frequency = cut_lineage(document_frequency(docs, text, tokenizer))
+    return inverse_frequency(frequency, stats), stats
+
+
 def postings(counts: DataFrame, idf: DataFrame, stats: DataFrame, doc_id: str,
              k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
     """(token, doc_id, weight): what one query occurrence of a token adds to a document."""
     norm = F.lit(1 - b) + F.lit(b) * F.col("length") / stats.select("avg_length").scalar()
     weight = F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm))
-    joined = counts.join(idf.select("token", "idf"), "token")
+    joined = counts.join(broadcast_if_small(idf.select("token", "idf")), "token")
     return joined.select("token", doc_id, weight.alias("weight"))
 
 
@@ -95,35 +129,117 @@ def query_terms(queries: DataFrame, query_id: str, text: str = "text",
 
 def search(docs: DataFrame, doc_id: str, queries: DataFrame, query_id: str, n: int = fixed.BM25_TOP,
            text: str = "text", query_text: str = "text", tokenizer: Tokenizer = words,
-           salts: int = 16, pad: bool = False, digits: int = 6) -> DataFrame:
+           pad: bool = False, index: tuple[DataFrame, DataFrame] | None = None,
+           max_terms: int = MAX_TERMS, max_cells: int = MAX_CELLS) -> DataFrame:
     """Best ``n`` documents of every query: (query_id, doc_id, score, rank).
 
-    Only tokens some query uses reach the scoring join, which is on equal
-    (token, salt): the postings of a very common token spread over ``salts``
-    join tasks. Ranks follow the rounded score, then the id. ``pad`` keeps
+    Queries whose distinct terms stay within ``max_terms`` (and times queries
+    within ``max_cells``) are shipped to the tasks; documents are then scored
+    where they are read and each task returns at most ``n`` per query. More
+    queries are joined with the postings of their tokens. Both ways give the
+    same rows. Ranks follow the rounded score, then the id. ``pad`` keeps
     documents without a matching token at score zero in the order of ids.
+    ``index`` is a stored :func:`vocabulary_index` of the documents.
     """
-    counts = term_counts(docs, doc_id, text, tokenizer)
-    stats = corpus_stats(docs, text, tokenizer)
-    idf = inverse_frequency(counts, stats)
-    asked = query_terms(queries, query_id, query_text, tokenizer)
-    vocabulary = asked.select("token").distinct()
-    needed = postings(counts, idf.join(vocabulary, "token", "left_semi"), stats, doc_id)
-    salted = needed.withColumn("salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int"))
-    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    scored = (
-        salted.join(spread, ["token", "salt"])
-        .groupBy(query_id, doc_id)
-        .agg(F.round(F.sum(F.col("weight") * F.col("qtf")), digits).alias("score"))
-        .filter(F.col("score") > 0)
-    )
+    idf, stats = index or vocabulary_index(docs, text, tokenizer)
+    asked = cut_lineage(query_terms(queries, query_id, query_text, tokenizer))
+    vocabulary = cut_lineage(idf.join(asked.select("token").distinct(), "token", "left_semi"))
+    terms = collect_if_small(asked.join(vocabulary.select("token", "idf"), "token"), max_terms)
+    cells = 0 if terms is None else len({r["token"] for r in terms}) * len({r[query_id] for r in terms})
+    if terms is not None and cells <= max_cells:
+        scored = _scan(docs, doc_id, text, tokenizer, terms, stats.first(), asked.schema[query_id], n)
+    else:
+        scored = _join(docs, doc_id, text, tokenizer, asked, vocabulary, stats, query_id)
     order = [F.desc("score"), F.col(doc_id)]
     best = top_n(scored, [query_id], order, n)
     if not pad:
         return best
-    # a query short of hits is filled from the n + hits lowest ids, which suffices
+    # a query short of hits is filled from the lowest ids; 2 n of them always suffice
     fill = docs.select(doc_id).orderBy(doc_id).limit(2 * n).withColumn("score", F.lit(0.0))
     padded = queries.select(query_id).distinct().withColumn("j", F.lit(1)).join(
         fill.withColumn("j", F.lit(1)), "j").drop("j")
     missing = padded.join(best, [query_id, doc_id], "left_anti")
     return top_n(best.drop("rank").unionByName(missing), [query_id], order, n)
+
+
+def _join(docs, doc_id, text, tokenizer, asked, vocabulary, stats, query_id, salts: int = 16) -> DataFrame:
+    """Scores of all matching pairs by a join on equal (token, salt).
+
+    The salt spreads the postings of a very common token over many tasks.
+    """
+    counts = term_counts(docs, doc_id, text, tokenizer, vocabulary)
+    needed = postings(counts, vocabulary, stats, doc_id)
+    salted = needed.withColumn("salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int"))
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (
+        salted.join(broadcast_if_small(spread), ["token", "salt"])
+        .groupBy(query_id, doc_id)
+        .agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score"))
+        .filter(F.col("score") > 0))
+
+
+def _scan(docs, doc_id, text, tokenizer, terms, totals, query_field, n: int) -> DataFrame:
+    """Best ``n`` documents per query and task, scored on Arrow batches of token lists."""
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    schema = T.StructType([query_field, docs.schema[doc_id], T.StructField("score", T.DoubleType())])
+    names = sorted({r[query_field.name] for r in terms})
+    tokens = sorted({r["token"] for r in terms})
+    at_query = {name: i for i, name in enumerate(names)}
+    at_token = {token: i for i, token in enumerate(tokens)}
+    gain = np.zeros((len(tokens), len(names)))
+    for r in terms:
+        gain[at_token[r["token"]], at_query[r[query_field.name]]] = r["qtf"] * r["idf"]
+    mean = totals["avg_length"] or 1.0
+    sent = docs.sparkSession.sparkContext.broadcast((tokens, gain))
+
+    def best(ids, scores):
+        order = np.lexsort((ids, -scores))[:n]
+        return ids[order], scores[order]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, gain = sent.value
+        known, width = pa.array(tokens, pa.string()), max(len(tokens), 1)
+        step = max(1, 4_000_000 // max(gain.shape[1], 1))
+        kept: dict[int, tuple] = {}
+        id_type = None
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            ids = np.asarray(batch.column(0).to_pylist())
+            lists = batch.column(1)
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            place = pc.index_in(lists.flatten(), value_set=known)
+            hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(ids)), lengths)[hit]
+            token = place.drop_null().to_numpy(zero_copy_only=False)
+            cell, tf = np.unique(doc * width + token, return_counts=True)
+            doc, token = cell // width, cell % width
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
+            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else doc
+            # whole documents, in slices whose score matrix stays small
+            first = 0
+            while first < len(starts):
+                last = max(first + 1, np.searchsorted(starts, starts[first] + step, side="right") - 1)
+                low, high = starts[first], starts[last] if last < len(starts) else len(doc)
+                score = np.round(np.add.reduceat(
+                    weight[low:high, None] * gain[token[low:high]], starts[first:last] - low, axis=0), DIGITS)
+                own = ids[doc[starts[first:last]]]
+                for q in range(gain.shape[1]):
+                    column = score[:, q]
+                    old = kept.get(q)
+                    floor = old[1][-1] if old is not None and len(old[1]) == n else 0.0
+                    rows = np.flatnonzero((column > 0) & (column >= floor))
+                    if len(rows) > n:
+                        edge = np.partition(column[rows], len(rows) - n)[len(rows) - n]
+                        rows = rows[column[rows] >= edge]
+                    if len(rows):
+                        found = best(own[rows], column[rows])
+                        kept[q] = found if old is None else best(
+                            np.concatenate([old[0], found[0]]), np.concatenate([old[1], found[1]]))
+                first = last
+        for q, (found, score) in kept.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[q]] * len(found)), pa.array(found.tolist(), id_type), pa.array(score)],
+                names=[f.name for f in schema])
+
+    rows = docs.filter(F.col(text).isNotNull()).select(doc_id, tokenizer(text).alias("tokens"))
+    return rows.mapInArrow(scan, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import meaningful_chars
 from ..operators import chunks as C
 from ..operators import sections as S
-from ..session import table
+from ..session import table, text_table
 from . import tables as t
 
 QUERIES, ORACLE = {}, {}
@@ -73,7 +73,7 @@ def markdown_documents(spark, sf):
                       .when((F.col("doc_id") % 3 == 0) & (i % 7 == 3), "### ").otherwise(""))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(
         F.when(F.col("doc_id") % 8 == 7, "").otherwise(mark(i)), x))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
 _MD_LINES = rf"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -117,7 +117,7 @@ lines AS (SELECT doc_id, i, {_PLAIN} AS text, coalesce(TRY_CAST(nullif(regexp_ex
 SELECT doc_id AS page_id, pos, section_id, page_or_sheet, md5(text) AS text, section_title FROM named_sections""")
 def html_sections(spark, sf):
     """S19 C1"""
-    return _shown(S.sections_from_html(table(spark, sf, "pages").select("page_id", "html")), "page_id")
+    return _shown(S.sections_from_html(text_table(spark, sf, "pages").select("page_id", "html")), "page_id")
 
 
 @query(rf"""WITH opened AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -129,7 +129,7 @@ lines AS (SELECT doc_id, i, CASE WHEN para THEN s ELSE x END AS text, '1' AS pag
 {sections_sql(False)} {_SECTIONS_OUT}""")
 def element_sections(spark, sf):
     """C2"""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = text_table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     elements = lines.select(
         "doc_id", "pos", F.when(F.col("pos") % 4 == 3, "table").otherwise("para").alias("kind"),
         F.when(F.col("pos") % 6 == 0, "Heading 1").otherwise("Normal").alias("style"), "text")
@@ -281,7 +281,7 @@ def split_sql(column: str, high: int, low: int) -> str:
 SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, length(unnest(parts)) AS n, md5(unnest(parts)) AS chunk FROM s""")
 def recursive_text_split(spark, sf):
     """C8"""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(C.recursive_split("text", 400, 100)).alias("pos", "x"))
+    rows = text_table(spark, sf, "documents").select("doc_id", F.posexplode(C.recursive_split("text", 400, 100)).alias("pos", "x"))
     return rows.select("doc_id", "pos", F.length("x").alias("n"), F.md5("x").alias("chunk"))
 
 
@@ -292,13 +292,13 @@ def split_table_function(spark, sf):
     from ..functions.register import register_chunker
 
     register_chunker(spark)
-    table(spark, sf, "documents").createOrReplaceTempView("documents_u3")
+    text_table(spark, sf, "documents").createOrReplaceTempView("documents_u3")
     rows = spark.sql("SELECT doc_id, c.pos, c.chunk AS x FROM documents_u3, LATERAL split_chunks(text, 400, 100) c")
     return rows.select("doc_id", "pos", F.length("x").alias("n"), F.md5("x").alias("chunk"))
 
 
 def document_sections(spark, sf):
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select(
         "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("relative_path"),
         F.col("source").alias("file_name"), F.lit("doc").alias("section_id"), F.lit("1").alias("page_or_sheet"),
@@ -351,14 +351,14 @@ def _line_section(x, i):
 def short_section_merge(spark, sf):
     """C10 inside one row"""
     lines = F.transform(F.split("text", "\n"), _line_section)
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(C.merge_short_sections(lines, 60, 400)).alias("s"))
+    rows = text_table(spark, sf, "documents").select("doc_id", F.explode(C.merge_short_sections(lines, 60, 400)).alias("s"))
     return rows.select("doc_id", "s.section_id", F.md5("s.text").alias("text"), "s.section_title")
 
 
 @query(_MERGED_LINES)
 def short_section_row_merge(spark, sf):
     """C10 on a table with one row per section"""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x"))
+    lines = text_table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x"))
     rows = lines.select("doc_id", "pos", _line_section(F.col("x"), F.col("pos")).alias("s")).select("doc_id", "pos", "s.*")
     return C.merge_section_rows(rows, ["doc_id"], 60, 400).select(
         "doc_id", "section_id", F.md5("text").alias("text"), "section_title")
@@ -371,7 +371,7 @@ SELECT doc_id, CASE WHEN place > 0 THEN md5(right({strip('substr(text, 1, place
   CASE WHEN place > 0 THEN md5(left({strip('substr(text, place + length(tab))')}, 300)) ELSE md5('') END AS after FROM f""")
 def table_context(spark, sf):
     """C13"""
-    rows = table(spark, sf, "documents").withColumn("tab", F.substring("text", 101, 200))
+    rows = text_table(spark, sf, "documents").withColumn("tab", F.substring("text", 101, 200))
     c = C.table_context("tab", "text")
     return rows.select("doc_id", F.md5(c["before"]).alias("before"), F.md5(c["after"]).alias("after"))
 
@@ -381,8 +381,8 @@ SELECT doc_id, md5(CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, gr
   least(place - 1 + length(chunk) + 300, length(text)) - greatest(place - 301, 0)) END) AS context FROM f""")
 def chunk_context(spark, sf):
     """C14 J4"""
-    parents = table(spark, sf, "documents").select("doc_id", F.col("text").alias("parent_text"))
-    chunks = table(spark, sf, "documents").select("doc_id", F.substring("text", 801, 400).alias("text"))
+    parents = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("parent_text"))
+    chunks = text_table(spark, sf, "documents").select("doc_id", F.substring("text", 801, 400).alias("text"))
     joined = chunks.join(parents, "doc_id", "left")
     return joined.select("doc_id", F.md5(C.chunk_context("text", F.lit(None).cast("string"), "parent_text")).alias("context"))
 
@@ -430,7 +430,7 @@ SELECT doc_id, '[图片] 来源：' || source || ' 第' || (doc_id % 7) || '页
 def image_section_text(spark, sf):
     """C18"""
     key = F.col("doc_id")
-    rows = table(spark, sf, "documents").select(
+    rows = text_table(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("file_name"), (key % 7).alias("page"), F.substring("text", 1, 50).alias("description"),
         F.when(key % 3 == 0, "文档扫描件").when(key % 3 == 1, "照片").alias("type"),
         F.when(key % 2 == 0, F.substr("text", F.lit(1), (key % 25).cast("int"))).alias("ocr_text"))
@@ -442,7 +442,7 @@ UNION ALL SELECT doc_id, 'img', length('[图片] 来源：' || source || ' 第1
 def section_union(spark, sf):
     """C19"""
     texts = document_sections(spark, sf).select("doc_id", "section_id", "text")
-    images = table(spark, sf, "documents").filter("doc_id % 4 = 0").select(
+    images = text_table(spark, sf, "documents").filter("doc_id % 4 = 0").select(
         "doc_id", F.lit("img").alias("section_id"), F.col("source").alias("file_name"), F.lit(1).alias("page"),
         F.lit(None).cast("string").alias("type"), F.lit("").alias("description"), F.lit("").alias("ocr_text"))
     both = S.union_sections(texts, S.image_sections(images).select("doc_id", "section_id", "text"))
@@ -454,4 +454,4 @@ def sections_per_file(spark, sf):
     """A14"""
     from ..operators.stats import sections_per_file
 
-    return sections_per_file(table(spark, sf, "documents").withColumnRenamed("source", "file"), "file")
+    return sections_per_file(text_table(spark, sf, "documents").withColumnRenamed("source", "file"), "file")

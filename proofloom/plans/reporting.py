@@ -12,7 +12,7 @@ from ..operators import history as H
 from ..operators import lexical as L
 from ..operators import model as M
 from ..operators import stats
-from ..session import cut_lineage, table, work_folder
+from ..session import table, text_table, work_folder
 from ..sources import sinks
 from ..streaming import ingest as I
 from ..streaming import progress as P
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 def passages(spark, sf):
     """Five best documents of every question, with file, page and parent text."""
-    docs = table(spark, sf, "documents")
+    docs = text_table(spark, sf, "documents")
     hits = L.search(docs, "doc_id", table(spark, sf, "benchmark"), "item_id", 5)
     key = F.col("doc_id")
     facts = docs.select(

@@ -38,17 +38,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when they were read from too few files to fill them.
+
+    Looks at the number of input partitions only; a large table stays where it
+    is and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process, spread if it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for written stage tables.
+
+    Only where ``spark.checkpoint.dir`` is unset is a local folder used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder the cluster names and read it back.
+    """Write ``df`` once to a shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a fresh temporary folder is used.
+    Later stages start from the files, also after an executor is lost. A
+    checkpoint would compute the rows twice, once to count and once to save.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    folder = work_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(f"{folder}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def collect_if_small(df: DataFrame, max_rows: int) -> list | None:
@@ -60,6 +84,14 @@ def collect_if_small(df: DataFrame, max_rows: int) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` short rows.
+
+    A larger side is left to a shuffled join. The count stops at the bound.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int,
           rank: str = "rank", pieces: int = 64) -> DataFrame:
     """First ``n`` rows of every group under a total order, with their rank.
@@ -79,14 +111,3 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int,
         .withColumn(rank, F.row_number().over(whole))
         .filter(F.col(rank) <= n)
     )
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, for written stage tables.
-
-    Only where ``spark.checkpoint.dir`` is unset is a local folder used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"

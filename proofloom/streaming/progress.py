@@ -54,10 +54,29 @@ def latest_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return latest.select("run_id", "s.*").withColumn("percent", _percent("current", "total"))
 
 
+EVENT = ("run_id string, stage string, first_ms long, ts timestamp, event_id long, status string, "
+         "current int, total int")
+
+
+def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per run and stage of an Arrow batch: when first seen, and its latest event."""
+    for frame in frames:
+        if frame.empty:
+            continue
+        rows = frame.sort_values(["ts", "event_id"])
+        group = rows.groupby(["run_id", "stage"], sort=False)
+        last = group.tail(1).copy()
+        first = group["ts"].min().astype("datetime64[ms]").astype("int64").rename("first_ms").reset_index()
+        yield last.merge(first, on=["run_id", "stage"])[
+            ["run_id", "stage", "first_ms", "ts", "event_id", "status", "current", "total"]]
+
+
 def progress_stream(events: DataFrame, silence_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
     """Streaming fold with time-outs: a run that falls silent while running fails.
 
-    State per run is its latest event and the ordered stage names.
+    Events are first reduced where they are read to one row per run and stage,
+    so a very busy run sends few rows to its state. State per run is its
+    latest event and the ordered stage names.
     """
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run,) = key
@@ -70,20 +89,23 @@ def progress_stream(events: DataFrame, silence_ms: int = 600_000, late: str = "1
         stage, status, percent, stages, millis, order = (
             state.get if state.exists else (None, "running", 0.0, [], 0, -1))
         stages = list(stages)
-        for frame in frames:
-            frame = frame.assign(ms=frame["ts"].astype("datetime64[ms]").astype("int64"))
-            for e in frame.sort_values(["ms", "event_id"]).itertuples():
-                if e.stage not in stages:
-                    stages.append(e.stage)
-                if (e.ms, e.event_id) >= (millis, order):
-                    stage, status, millis, order = e.stage, e.status, int(e.ms), int(e.event_id)
-                    percent = 100.0 if status == "completed" else (
-                        round(e.current / e.total * 100, 1) if e.total else 0.0)
+        rows = pd.concat(list(frames))  # one row per stage and Arrow batch
+        rows = rows.assign(ms=rows["ts"].astype("datetime64[ms]").astype("int64"))
+        for name in rows.sort_values("first_ms")["stage"]:
+            if name not in stages:
+                stages.append(name)
+        e = rows.sort_values(["ms", "event_id"]).iloc[-1]
+        if (e.ms, e.event_id) >= (millis, order):
+            stage, status, millis, order = e.stage, e.status, int(e.ms), int(e.event_id)
+            percent = 100.0 if status == "completed" else (
+                round(float(e.current) / float(e.total) * 100, 1) if e.total else 0.0)
         state.update((stage, status, float(percent), stages, millis, order))
         state.setTimeoutTimestamp(max(millis, state.getCurrentWatermarkMs()) + silence_ms)
         yield _row(run, stage, status, percent, _done(stages, stage, status), millis)
 
-    return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(
+    combined = events.select("run_id", "stage", "ts", "event_id", "status", "current", "total").mapInPandas(
+        _combine, EVENT)
+    return combined.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(
         fold, STATE, "stage string, status string, percent double, stages array<string>, ms long, event_id long",
         "update", GroupStateTimeout.EventTimeTimeout)
 
