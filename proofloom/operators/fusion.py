@@ -26,6 +26,7 @@ from .vectors import DIGITS, dual_scores, is_empty, matrix
 LEAF_BLOCK = 512            # leaves searched in one round
 DEPTH = 256                 # chunks kept per leaf, route and class at first
 DEPTH_LIMIT = 16384         # deeper leaves get a full ranking
+KEPT_ROWS = 1_000_000       # kept chunks (3 classes, 2 routes) of the leaves searched together
 MATCH, PLAIN, PENALTY = 0, 1, 2
 RESULT = ("leaf_id string, rank int, chunk_id string, parent_id string, score double, score_rq double, "
           "score_hyde double, score_bm25 double, rank_rq long, rank_hyde long, rank_bm25 long, "
@@ -259,9 +260,15 @@ def _fuse_block(spark, rows, asked, lexical, k, k_rrf, boost, depth, depth_limit
     waiting = asked.collect()  # at most about LEAF_BLOCK leaves
     done = []
     while waiting and depth <= depth_limit:
-        result, open_ids = _search(spark, rows, waiting, lexical, k, k_rrf, boost, depth)
-        done.append(result.filter(~F.col("leaf_id").isin(open_ids)) if open_ids else result)
-        waiting = [w for w in waiting if w["leaf_id"] in set(open_ids)]
+        again = []
+        # deeper lists are searched for fewer leaves at a time
+        size = max(1, KEPT_ROWS // (6 * depth))
+        for start in range(0, len(waiting), size):
+            part = waiting[start:start + size]
+            result, open_ids = _search(spark, rows, part, lexical, k, k_rrf, boost, depth)
+            done.append(result.filter(~F.col("leaf_id").isin(open_ids)) if open_ids else result)
+            again += [w for w in part if w["leaf_id"] in set(open_ids)]
+        waiting = again
         depth *= 8
     if waiting:
         done.append(_full(spark, rows, waiting, lexical, k, k_rrf, boost))
@@ -284,7 +291,7 @@ def _search(spark, rows, leaves, lexical, k, k_rrf, boost, depth):
         lexical_rows = lexical.join(names, "leaf_id").select("leaf", "chunk_id", "rank_bm25", "score_bm25")
         new = lexical_rows.join(wanted.select("leaf", "chunk_id"), ["leaf", "chunk_id"], "left_anti")
         wanted = cut_lineage(wanted.unionByName(_score_rows(rows, new.join(names, "leaf"), shared)))
-    # 3 classes * 2 routes * depth + BM25 rows per leaf, for at most LEAF_BLOCK leaves
+    # at most KEPT_ROWS and the BM25 rows of these leaves
     listed = wanted.collect()
     ranks = _count_before(rows, listed, len(leaves), shared)
     joined = wanted.join(ranks, ["leaf", "chunk_id"])

@@ -29,6 +29,11 @@ def global_rank(df: DataFrame, group: list[str], order: list[Column], name: str
         F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    joined = placed.join(offsets.drop("__n"), [*group, "__range"])
+    keys_of = offsets.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
+                             F.col("__range").alias("__r"), "__first", "__before")
+    same = F.col("__range") == F.col("__r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))  # NULL is a group like any other
+    joined = placed.join(keys_of, same)
     rank = F.col("__before") + F.col("__at") - F.col("__first") + 1
-    return joined.withColumn(name, rank).drop("__at", "__range", "__before", "__first")
+    return joined.withColumn(name, rank).select(*df.columns, name)

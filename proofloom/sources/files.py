@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, fixed
 from ..functions.text import col
+from ..operators.ranking import global_rank
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -87,8 +88,6 @@ def inventory(paths: DataFrame, indicators: DataFrame) -> DataFrame:
     Running numbers follow the path order and are computed without pulling the
     list into one task.
     """
-    from ..operators.ranking import global_rank
-
     named = paths.withColumn("file_name", F.element_at(F.split("relative_path", "/"), -1))
     kept = named.filter(~F.col("file_name").rlike(r"^[.~]"))
     coded = resolve_codes(kept, indicators)
@@ -132,8 +131,9 @@ def sorting_plan(paths: DataFrame) -> DataFrame:
     planned = kept.select(
         "relative_path", "file_name", F.explode_outer("codes").alias("code")
     ).withColumn("target", F.when(F.col("code").isNotNull(), codes.target_folder("code")))
-    first = Window.partitionBy("target", "file_name").orderBy("relative_path")
-    return planned.withColumn("duplicate", F.row_number().over(first) > 1)
+    # the fallback folder may hold most files: ranks come from range partitions
+    placed = global_rank(planned, ["target", "file_name"], [F.col("relative_path")], "place")
+    return placed.withColumn("duplicate", F.col("place") > 1).drop("place")
 
 
 def plan_counts(plan: DataFrame, limit: int = 20) -> DataFrame:
