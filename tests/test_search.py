@@ -137,3 +137,26 @@ def test_rerank(spark):
     df = spark.createDataFrame(rows, "leaf_id string, rank int, score double, new_score double")
     got = [(r.leaf_id, r["rank"], r.biencoder_rank, r.score, r.skipped) for r in X.rerank(df, k=2).orderBy("leaf_id", "rank").collect()]
     assert got == [("a", 1, 2, 0.7, False), ("a", 2, 3, 0.7, False), ("b", 1, 1, 0.9, True), ("b", 2, 2, 0.8, True)]
+
+
+def test_hashing_vector_equals_plain_computation(spark):
+    import xxhash
+
+    texts = ["the cat the dog", "Étage 12 cat", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(V.hashing_vector("t", 8).alias("v")).collect()
+    for text, row in zip(texts, rows):
+        want = np.zeros(8)
+        for token in re.findall(r"\w+", text.lower()):
+            h = xxhash.xxh64(token.encode(), seed=42).intdigest()
+            h -= 2 ** 64 if h >= 2 ** 63 else 0
+            want[h % 8] += 1.0 if (h >> 40) % 2 == 0 else -1.0
+        want /= np.linalg.norm(want) or 1.0
+        assert np.allclose(row["v"], want)
+
+
+def test_query_vectors_fall_back_to_the_query(spark):
+    leaves = spark.createDataFrame([("a", "q one", ""), ("b", "q two", "answer"), ("c", " ", "x")],
+                                   "leaf_id string, retrieval_query string, hypothetical_doc string")
+    ready, rejected = V.split_ready(leaves)
+    got = {r.leaf_id: r for r in V.embed_queries(ready).collect()}
+    assert got["a"].rq == got["a"].hyde and got["b"].rq != got["b"].hyde and [r.leaf_id for r in rejected.collect()] == ["c"]
