@@ -21,7 +21,7 @@ from ..functions import fixed
 from ..functions.text import is_photo, rank_source, score_source
 from ..session import cut_lineage, top_n
 from .ranking import global_rank
-from .vectors import DIGITS, dual_scores, is_empty, matrix
+from .vectors import DIGITS, dual_scores, has_vector, is_empty, matrix, usable_rows
 
 LEAF_BLOCK = 512            # leaves searched in one round
 DEPTH = 256                 # chunks kept per leaf, route and class at first
@@ -104,14 +104,20 @@ def _classes(codes: np.ndarray, statuses: np.ndarray, code) -> np.ndarray:
     return np.where(match & ~bad, MATCH, np.where(match & bad, PENALTY, PLAIN)).astype("int8")
 
 
-def _cut(frame: pd.DataFrame, depth: int) -> pd.DataFrame:
-    """Rows among the best ``depth`` of their leaf and class in either route."""
+def _cut(frame: pd.DataFrame, depth: int, floors: np.ndarray | None = None) -> pd.DataFrame:
+    """Rows among the best ``depth`` of their leaf and class in either route.
+
+    ``floors[route, leaf, class]`` takes the last kept score of full lists.
+    """
     frame = frame.sort_values("chunk_id", kind="stable")
     group = [frame["leaf"], frame["cls"]]
     keep = np.zeros(len(frame), dtype=bool)
-    for route in ("score_rq", "score_hyde"):
+    for i, route in enumerate(("score_rq", "score_hyde")):
         place = (-frame[route]).groupby(group).rank(method="first")
         keep |= (place <= depth).to_numpy()
+        if floors is not None:
+            edge = frame[(place == depth).to_numpy()]
+            floors[i, edge["leaf"], edge["cls"]] = edge[route]
     return frame[keep]
 
 
@@ -121,24 +127,28 @@ def _keep_best(pool: DataFrame, leaves: list, shared, depth: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rq, hyde, codes = shared.value
-        kept, waiting = None, 0
+        floors = np.full((2, len(codes), 3), -np.inf)
+        kept, limit = None, 0
         for batch in batches:
+            batch, x = usable_rows(batch)
             if batch.empty:
                 continue
-            x = matrix(batch["v"])
             a, b = np.round(x @ rq.T, DIGITS), np.round(x @ hyde.T, DIGITS)
             ids, parents = batch["chunk_id"].to_numpy(), batch["parent_id"].to_numpy()
             folders, statuses = batch["folder_code"].to_numpy(), batch["status"].to_numpy()
             parts = [] if kept is None else [kept]
             for i, code in enumerate(codes):
                 cls = _classes(folders, statuses, code)
-                frame = pd.DataFrame({"leaf": np.int32(i), "cls": cls, "chunk_id": ids,
-                                      "parent_id": parents, "score_rq": a[:, i], "score_hyde": b[:, i]})
-                parts.append(frame if len(frame) <= depth else _cut(frame, depth))
+                # rows below the last place of both full lists cannot enter them
+                at = np.flatnonzero((a[:, i] >= floors[0, i, cls]) | (b[:, i] >= floors[1, i, cls]))
+                if len(at):
+                    parts.append(pd.DataFrame({
+                        "leaf": np.int32(i), "cls": cls[at], "chunk_id": ids[at], "parent_id": parents[at],
+                        "score_rq": a[at, i], "score_hyde": b[at, i]}))
             kept = pd.concat(parts, ignore_index=True)
-            waiting += 1
-            if waiting % 8 == 0 or len(kept) > 400_000:
-                kept = _cut(kept, depth)
+            if len(kept) > limit:
+                kept = _cut(kept, depth, floors)
+                limit = max(100_000, 2 * len(kept))
         if kept is not None:
             yield _cut(kept, depth)
 
@@ -183,10 +193,10 @@ def _count_before(pool: DataFrame, kept: list, n_leaves: int, shared) -> DataFra
         hist = {key: np.zeros(len(keys) + 1, dtype=np.int64) for key, (keys, _) in sent.value.items()}
         seen = False
         for batch in batches:
+            batch, x = usable_rows(batch)
             if batch.empty:
                 continue
             seen = True
-            x = matrix(batch["v"])
             ids = batch["chunk_id"].to_numpy().astype(str)
             scores = (np.round(x @ rq.T, DIGITS), np.round(x @ hyde.T, DIGITS))
             for (leaf, route), (keys, key_ids) in sent.value.items():
@@ -234,7 +244,7 @@ def fuse(pool: DataFrame, leaves: DataFrame, bm25: DataFrame | None = None, k: i
     cosine. One chunk per parent, order (score desc, chunk_id).
     """
     spark = pool.sparkSession
-    rows = pool.filter(~is_empty("embedding")).select(
+    rows = pool.filter(has_vector("embedding")).select(
         F.col("chunk_id").cast("string").alias("chunk_id"), F.col("parent_id").cast("string").alias("parent_id"),
         F.col("folder_code").cast("string").alias("folder_code"),
         F.col("alignment_status").alias("status"), F.col("embedding").alias("v"))
@@ -304,7 +314,6 @@ def _search(spark, rows, leaves, lexical, k, k_rrf, boost, depth):
                                      "score_bm25": F.lit(None).cast("double"), "by_rrf": F.lit(False)})
     fused = cut_lineage(_fused(joined, k_rrf, boost))
     top = _report(top_per_parent(fused.join(names, "leaf"), k))
-    top = cut_lineage(top)
     return top, _open_leaves(kept, fused, top, names, k, k_rrf, boost, depth)
 
 
@@ -315,9 +324,10 @@ def _score_rows(rows: DataFrame, pairs: DataFrame, shared) -> DataFrame:
     def score(batches):
         rq, hyde, codes = shared.value
         for batch in batches:
+            batch, x = usable_rows(batch)
             if batch.empty:
                 continue
-            x, at = matrix(batch["v"]), batch["leaf"].to_numpy()
+            at = batch["leaf"].to_numpy()
             cls = np.empty(len(batch), dtype="int8")
             for leaf in np.unique(at):
                 here = at == leaf

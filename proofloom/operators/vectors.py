@@ -95,6 +95,23 @@ def matrix(vectors) -> np.ndarray:
     return m / np.where(length < TINY, 1.0, length)
 
 
+def has_vector(v) -> Column:
+    """Cheap test in the scan; near-zero vectors are dropped where lengths are known."""
+    return col(v).isNotNull() & (F.size(col(v)) > 0)
+
+
+def usable_rows(batch: pd.DataFrame, column: str = "v") -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of a batch whose vector is not near zero, and their unit vectors."""
+    if batch.empty:
+        return batch, np.zeros((0, 0))
+    x = np.stack(batch[column].tolist()).astype(np.float64)
+    length = np.linalg.norm(x, axis=1)
+    good = length >= TINY
+    if not good.all():
+        batch, x, length = batch[good], x[good], length[good]
+    return batch, x / length[:, None]
+
+
 def nearest(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str, k: int = fixed.TOP_K,
             vector: str = "embedding", shipped: int = MAX_SHIPPED) -> DataFrame:
     """The ``k`` targets closest to every row: (row_id, code, score, rank).
@@ -103,7 +120,7 @@ def nearest(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str, k:
     scored where they lie, without a shuffle. More targets are scored block by
     block and merged per row.
     """
-    rows = rows.filter(~is_empty(vector)).select(F.col(row_id), F.col(vector).alias("v"))
+    rows = rows.filter(has_vector(vector)).select(F.col(row_id), F.col(vector).alias("v"))
     targets = targets.filter(~is_empty(vector)).select(
         F.col(target_id).cast("string").alias("code"), F.col(vector).alias("v"))
     schema = T.StructType([rows.schema[row_id], T.StructField("code", T.StringType()),
@@ -127,8 +144,9 @@ def nearest(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str, k:
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
+                batch, x = usable_rows(batch)
                 if len(batch) and len(codes):
-                    yield best(batch[row_id], matrix(batch["v"]), codes, table.value)
+                    yield best(batch[row_id], x, codes, table.value)
 
         return rows.mapInPandas(scan, schema)
 
@@ -136,7 +154,8 @@ def nearest(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str, k:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema})
         right = right.sort_values("code")
-        return best(left[row_id], matrix(left["v"]), right["code"].to_numpy(dtype=object), matrix(right["v"]))
+        left, x = usable_rows(left)
+        return best(left[row_id], x, right["code"].to_numpy(dtype=object), matrix(right["v"]))
 
     left, right = blocks(rows, row_id, targets, "code")
     scored = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(pair, schema)
@@ -162,7 +181,7 @@ def dual_scores(pool: DataFrame, leaves: DataFrame, vector: str = "embedding",
     The result has one row per pair by definition; top-k fusion does not use
     it but scores and cuts in one pass.
     """
-    rows = pool.filter(~is_empty(vector)).select("chunk_id", F.col(vector).alias("v"))
+    rows = pool.filter(has_vector(vector)).select("chunk_id", F.col(vector).alias("v"))
     asked = leaves.select(F.col("leaf_id").cast("string").alias("leaf_id"), "rq", "hyde")
     schema = ("leaf_id string, chunk_id string, score_rq double, score_hyde double, score double")
 
@@ -181,15 +200,17 @@ def dual_scores(pool: DataFrame, leaves: DataFrame, vector: str = "embedding",
 
         def scan(batches):
             for batch in batches:
+                batch, x = usable_rows(batch)
                 if len(batch) and len(names):
-                    yield score(batch["chunk_id"], matrix(batch["v"]), names, *shipped_pair.value)
+                    yield score(batch["chunk_id"], x, names, *shipped_pair.value)
 
         return rows.mapInPandas(scan, schema)
 
     def pair(left, right):
         if left.empty or right.empty:
             return pd.DataFrame({"leaf_id": [], "chunk_id": [], "score_rq": [], "score_hyde": [], "score": []})
-        return score(left["chunk_id"], matrix(left["v"]), right["leaf_id"].to_numpy(dtype=object),
+        left, x = usable_rows(left)
+        return score(left["chunk_id"], x, right["leaf_id"].to_numpy(dtype=object),
                      matrix(right["rq"]), matrix(right["hyde"]))
 
     left, right = blocks(rows, "chunk_id", asked, "leaf_id")
