@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR: tables (default sf0.1); BENCH_CPUS: local threads (default 8);
-BENCH_RUNS: timed runs per query after one warm-up (default 3, median counts).
+BENCH_RUNS: timed runs per query after one warm-up (default 2, median counts).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("OFF")

@@ -84,15 +84,19 @@ def rrf_score(ranks: list[Column], k: int = fixed.RRF_K) -> Column:
     return total
 
 
-def top_per_parent(fused: DataFrame, k: int) -> DataFrame:
+def top_per_parent(fused: DataFrame, k: int, bounded: bool = False) -> DataFrame:
     """Best chunk of every parent, then the best ``k`` of every leaf.
 
-    A missing parent counts as a parent of its own.
+    A missing parent counts as a parent of its own. Leaves with a bounded
+    number of rows are placed once, which serves both steps.
     """
+    pieces = 1 if bounded else 64
+    if bounded:
+        fused = fused.repartition("leaf_id")
     parent = F.coalesce(F.nullif("parent_id", F.lit("")), F.concat(F.lit("\u0000"), F.col("chunk_id")))
     order = [F.desc("score"), F.col("chunk_id")]
-    first = top_n(fused.withColumn("__parent", parent), ["leaf_id", "__parent"], order, 1, "__one")
-    return top_n(first.drop("__one", "__parent"), ["leaf_id"], order, k)
+    first = top_n(fused.withColumn("__parent", parent), ["leaf_id", "__parent"], order, 1, "__one", pieces)
+    return top_n(first.drop("__one", "__parent"), ["leaf_id"], order, k, pieces=pieces)
 
 
 # --- scan 1: keep the best chunks per leaf, route and class ---------------------------
@@ -313,7 +317,7 @@ def _search(spark, rows, leaves, lexical, k, k_rrf, boost, depth):
         joined = joined.withColumns({"rank_bm25": F.lit(None).cast("long"),
                                      "score_bm25": F.lit(None).cast("double"), "by_rrf": F.lit(False)})
     fused = cut_lineage(_fused(joined, k_rrf, boost))
-    top = _report(top_per_parent(fused.join(names, "leaf"), k))
+    top = _report(top_per_parent(fused.join(names, "leaf"), k, bounded=True))
     return top, _open_leaves(kept, fused, top, names, k, k_rrf, boost, depth)
 
 

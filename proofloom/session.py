@@ -98,8 +98,12 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int,
 
     A hot group is cut twice: first inside ``pieces`` salted parts (Spark
     already drops rows beyond ``n`` before that shuffle), then as a whole, so
-    the last window never sees more than ``pieces * n`` rows per group.
+    the last window never sees more than ``pieces * n`` rows per group. Groups
+    of known small size are ranked at once with ``pieces=1``.
     """
+    if pieces == 1:
+        small = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(rank, F.row_number().over(small)).filter(F.col(rank) <= n)
     salt = "__salt"
     part = Window.partitionBy(*group, salt).orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)
