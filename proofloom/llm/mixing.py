@@ -34,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def length_merit(text: Column) -> Column:
+    """A merit that grows with the logarithm of the words: fragments get lower odds than articles."""
+    return F.log2(1 + word_count(text)) / 8
+
+
 def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = CYCLE) -> DataFrame:
     """Adds ``weight`` by place of the source in code-point order, null last, repeating ``cycle``."""
     ranked = global_rank(sources, [], [F.col("source").asc_nulls_last()], "__place")

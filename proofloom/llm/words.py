@@ -98,10 +98,14 @@ def words(texts: pa.Array) -> Words:
     begins[edges] |= inside[edges]
     stops[edges - 1] |= inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("down", n), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * _power("up", n)[start])
-    return Words(hashed, start, end, np.searchsorted(start, offsets), offsets)
+    return Words(span_hashes(data, start, end), start, end, np.searchsorted(start, offsets), offsets)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, equal to those of words with the same bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power("down", max(len(data), 1))[:len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power("up", len(data) + 1)[start])
 
 
 _PLACE = seeds(64, 5)
