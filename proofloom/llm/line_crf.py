@@ -255,7 +255,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> Da
         .filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("id"))) \
         .groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other") \
         .orderBy(F.xxhash64("id"), "id").limit(sample)
-    return docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("id")).select("text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids), "id").select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:

@@ -179,15 +179,16 @@ def mix(docs: DataFrame, weights=cyclic_weights, merit: Column | None = None, ma
     ones are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    plan = source_plan(docs, weights, merit, max_copies, seed)
-    plan = plan.select(
-        F.col("source").alias("__source"), "source_size", "target", "scale", "stop", "turned")
-    rows = docs.withColumns({"size": word_count(F.col("text")), "merit": _merit(merit), "u": _uniform(F.col("doc_id"), F.col("text"), seed)})
-    joined = _ranked(rows.join(plan, rows["source"].cast("string").eqNullSafe(plan["__source"]), "left"), max_copies)
+    plan = source_plan(docs, weights, merit, max_copies, seed).withColumnRenamed("source", "__source")
+    # The row travels as one value, so no column of the caller meets one of ours.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("__row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        _merit(merit).alias("merit"), _uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    joined = _ranked(rows.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left"), max_copies)
     ahead = F.col("stop").isNull() | (F.col("v") < F.col("stop"))
     one_more = F.col("v").isNotNull() & (ahead != F.coalesce(F.col("v") == F.col("turned"), F.lit(False)))
     taken = (F.col("copies") + F.when(one_more, 1).otherwise(0)) * F.col("size")
-    return joined.select(*docs.columns, "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
+    return joined.select("__row.*", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
                          F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
 
 
