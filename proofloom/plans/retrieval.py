@@ -62,14 +62,14 @@ def unit_vectors(spark, sf):
 
 @query(f"""WITH {t.LEAVES} SELECT leaf_id, chunk_id, round(list_dot_product(c.v, rq), 6) AS score_rq,
   round(list_dot_product(c.v, hyde), 6) AS score_hyde, greatest(score_rq, score_hyde) AS score
-FROM leaves, chunks c""")
+FROM leaves, chunks c WHERE c.v IS NOT NULL""")
 def dual_similarity(spark, sf):
     """V2 V3 J5"""
     return V.dual_scores(t.chunks(spark, sf), t.query_leaves(spark, sf))
 
 
 _NEAR = """near AS (SELECT chunk_id, code, score, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, code) AS rank
-  FROM (SELECT chunk_id, i.code, round(list_dot_product(c.v, i.v), 6) AS score FROM chunks c, indicators i) QUALIFY rank <= 5)"""
+  FROM (SELECT chunk_id, i.code, round(list_dot_product(c.v, i.v), 6) AS score FROM chunks c, indicators i WHERE c.v IS NOT NULL) QUALIFY rank <= 5)"""
 
 
 @query(f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_NEAR} SELECT chunk_id, code, score, rank FROM near""")
@@ -140,9 +140,10 @@ def _classify_sql(top: str, low: str, extra: str, strong: float = EXTRA) -> str:
   ELSE '⚠️' END"""
 
 
-_ALIGNED = f"""{_NEAR}, tops AS (SELECT chunk_id, list({{'code': code, 'score': score}} ORDER BY rank) AS top FROM near GROUP BY chunk_id),
+_ALIGNED = f"""{_NEAR}, tops AS (SELECT c.chunk_id, coalesce(list({{'code': code, 'score': score}} ORDER BY rank) FILTER (code IS NOT NULL), []) AS top
+  FROM chunks c LEFT JOIN near n USING (chunk_id) GROUP BY c.chunk_id),
 aligned AS (SELECT c.*, top, {_classify_sql('top', LOW, 'top')} AS consistency,
-  CASE WHEN top[1].score < {LOW} THEN coalesce(folder_code, top[1].code) WHEN folder_code IS NULL THEN top[1].code
+  CASE WHEN len(top) = 0 THEN folder_code WHEN top[1].score < {LOW} THEN coalesce(folder_code, top[1].code) WHEN folder_code IS NULL THEN top[1].code
     WHEN len(list_filter(top[1:5], lambda x: x.code = folder_code)) > 0 THEN folder_code ELSE top[1].code END AS suggested_code
   FROM chunks c JOIN tops USING (chunk_id))"""
 _WITH = f"WITH {t.CHUNKS}, {t.INDICATORS}, {_ALIGNED}"
@@ -159,7 +160,7 @@ def chunk_alignment(spark, sf):
         F.transform("semantic_topk", lambda x: x["code"]), ",").alias("codes"))
 
 
-_RRF2 = f"""{_NEAR}, iq AS (SELECT i.code AS qid, substr(f.text, 1, 200) AS text FROM indicators i JOIN
+_RRF2 = f"""{_NEAR}, iq AS (SELECT i.code AS qid, f.text AS text FROM indicators i JOIN
   (SELECT label, arg_min(text, pos) AS text FROM chunks GROUP BY label) f ON f.label = i.code),
 d AS (SELECT chunk_id AS id, text FROM chunks), q AS (SELECT qid, text FROM iq), {t.BM25},
 lex AS (SELECT qid AS code, id AS chunk_id, rank FROM bm25 WHERE rank <= 10),
@@ -167,17 +168,18 @@ fused AS (SELECT coalesce(n.chunk_id, l.chunk_id) AS chunk_id, coalesce(n.code,
   coalesce(1.0 / (60 + n.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS score
   FROM near n FULL JOIN lex l ON n.chunk_id = l.chunk_id AND n.code = l.code),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, code) AS rank FROM fused QUALIFY rank <= 5),
-emb AS (SELECT chunk_id, list({{'code': code, 'score': score}} ORDER BY rank) AS e FROM near GROUP BY chunk_id),
+emb AS (SELECT c.chunk_id, coalesce(list({{'code': code, 'score': score}} ORDER BY rank) FILTER (code IS NOT NULL), []) AS e
+  FROM chunks c LEFT JOIN near n USING (chunk_id) GROUP BY c.chunk_id),
 rrf AS (SELECT chunk_id, list({{'code': code, 'score': score}} ORDER BY rank) AS f FROM ranked GROUP BY chunk_id),
 both_lists AS (SELECT c.*, e, CASE WHEN e[1].score >= {LOW} THEN f ELSE e END AS top, CASE WHEN e[1].score >= {LOW} THEN 0.01 ELSE {LOW} END AS low
-  FROM chunks c JOIN emb USING (chunk_id) JOIN rrf USING (chunk_id))"""
+  FROM chunks c JOIN emb USING (chunk_id) LEFT JOIN rrf USING (chunk_id))"""
 
 
 @query(f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_RRF2} SELECT chunk_id, {_classify_sql('top', 'low', 'e')} AS consistency,
   array_to_string(list_transform(top, lambda x: x.code), ',') AS codes FROM both_lists""")
 def two_route_alignment(spark, sf):
     """V9 X3"""
-    first = t.chunks(spark, sf).groupBy("label").agg(F.substring(F.min_by("text", "pos"), 1, 200).alias("query_text"))
+    first = t.chunks(spark, sf).groupBy("label").agg(F.min_by("text", "pos").alias("query_text"))
     ind = t.indicators(spark, sf).join(first.withColumnRenamed("label", "code"), "code")
     rows = A.align_two_routes(t.chunks(spark, sf), ind, low=LOW, extra=EXTRA)
     return rows.select("chunk_id", "consistency", F.array_join(F.transform("semantic_topk", lambda x: x["code"]), ",").alias("codes"))

@@ -165,11 +165,12 @@ def leaf_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- chunks, indicators and query leaves for search ------------------------------------------
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a vector as chunks; the label is the folder, sometimes off or missing."""
+    """All documents as chunks, with their vector or NULL; the label is the folder, sometimes off or missing."""
     e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
-    key, label = F.col("vec_id"), F.col("label")
+    key = F.col("doc_id")
+    label = F.coalesce("label", (key % 10).cast("int"))
     folder = F.when(key % 11 == 0, None).when(key % 7 == 0, (label + 1) % 10).otherwise(label)
-    return e.join(d, key == F.col("doc_id")).select(
+    return d.join(e, F.col("vec_id") == key, "left").select(
         key.cast("string").alias("chunk_id"), F.concat(F.lit("p"), F.floor(key / 2).cast("string")).alias("parent_id"),
         F.concat(F.lit("/d/"), F.col("lang"), F.lit("/"), F.col("source")).alias("file_path"),
         F.col("source").alias("file_name"), folder.cast("string").alias("folder_code"),
@@ -179,14 +180,14 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHUNKS = """chunks AS (
-  SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 'p' || (vec_id // 2) AS parent_id,
-    '/d/' || lang || '/' || source AS file_path, source AS file_name,
-    CAST(CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS VARCHAR) AS folder_code,
-    CAST(vec_id % 9 + 1 AS VARCHAR) AS page_or_sheet, '' AS section_title, text, length(text) AS char_count,
-    vec_id % 13 = 0 AS is_table, embedding, CAST(label AS VARCHAR) AS label, vec_id AS pos,
+  SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 'p' || (doc_id // 2) AS parent_id,
+    '/d/' || lang || '/' || source AS file_path, source AS file_name, coalesce(embeddings.label, doc_id % 10) AS l,
+    CAST(CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN (l + 1) % 10 ELSE l END AS VARCHAR) AS folder_code,
+    CAST(doc_id % 9 + 1 AS VARCHAR) AS page_or_sheet, '' AS section_title, text, length(text) AS char_count,
+    doc_id % 13 = 0 AS is_table, embedding, CAST(l AS VARCHAR) AS label, doc_id AS pos,
     list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v0,
     sqrt(list_dot_product(v0, v0)) AS n0, list_transform(v0, lambda x: x / n0) AS v
-  FROM embeddings JOIN documents ON vec_id = doc_id)"""
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
 
 
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +222,7 @@ def query_leaves(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("r00"), "code").alias("leaf_id"), "code",
         F.concat(F.lit("part "), F.col("code"), F.lit(" > leaf "), F.col("code")).alias("full_path"),
         F.concat(F.lit("leaf "), "code").alias("leaf_title"), F.concat(F.lit("about "), "code").alias("gloss"),
-        F.substring("f.text", 1, 200).alias("retrieval_query"), F.lit("").alias("hypothetical_doc"),
+        F.col("f.text").alias("retrieval_query"), F.lit("").alias("hypothetical_doc"),
         F.col("embedding").alias("rq"), F.col("f.embedding").alias("hyde"), F.col("code").cast("int").alias("row"))
 
 
@@ -229,7 +230,7 @@ LEAVES = CHUNKS + ",\n" + INDICATORS + """,
 leaves AS (
   SELECT 'r00' || i.code AS leaf_id, i.code, 'part ' || i.code || ' > leaf ' || i.code AS full_path,
     'leaf ' || i.code AS leaf_title, 'about ' || i.code AS gloss,
-    substr(f.text, 1, 200) AS retrieval_query, i.v AS rq, f.v AS hyde, CAST(i.code AS INTEGER) AS "row"
+    f.text AS retrieval_query, i.v AS rq, f.v AS hyde, CAST(i.code AS INTEGER) AS "row"
   FROM indicators i JOIN (SELECT label, arg_min(text, pos) AS text, arg_min(v, pos) AS v FROM chunks GROUP BY label) f
     ON i.code = f.label)"""
 
