@@ -11,8 +11,8 @@ used up (a fixed-size sample in words).
 No source is sorted. The cut in the ranking is found from word totals per
 (source, bucket of q), then per finer bucket inside the bucket that holds the
 cut, then among the few values left; the final pass compares every row with its
-source's cut. At last one document per source may change side where that brings the
-words closer to the target.
+source's cut. Where a source still misses its target by over ``NEAR``, up to ``MAX_TURNS`` of its
+documents change side, each the one that closes the gap best.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ MAX_COPIES = 3
 BUCKETS = 4096
 MERIT_STEPS = 16
 CYCLE = (5.0, 2.0, 1.0)
+NEAR, MAX_TURNS = 0.005, 8
 
 
 def word_count(text: Column) -> Column:
@@ -114,7 +115,7 @@ def _crossing(totals: DataFrame, at: str) -> DataFrame:
 
 
 def source_plan(docs: DataFrame, weights=cyclic_weights, merit: Column | None = None, max_copies: int = MAX_COPIES, seed: int = 20) -> DataFrame:
-    """One row per source: source_size, target, scale, the cut in the ranking and the value that changes side."""
+    """One row per source: source_size, target, scale, the cut in the ranking and the values that change side."""
     narrow = cut_lineage(docs.select(
         F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _merit(merit).alias("merit"),
         _uniform(F.col("doc_id"), F.col("text"), seed).alias("u")))
@@ -148,15 +149,26 @@ def source_plan(docs: DataFrame, weights=cyclic_weights, merit: Column | None =
         "source", ((F.col("b") * BUCKETS + F.col("f_at") + 1) / float(BUCKETS * BUCKETS)).alias("edge"))
     out = _with(_with(_with(plan, room, "room"), cut, "stop"), edge, "edge")
     stops = cut_lineage(out.withColumn("stop", F.coalesce("stop", "edge")).select("source", "source_size", "target", "scale", "room", "stop"))
-    # One long document at the cut can leave a gap: the one document whose change of side closes it best changes side.
-    drawn = _with(ranked.filter("v IS NOT NULL").select("source", "v", "size"), stops, "stop", "room")
-    inside = F.col("stop").isNull() | (F.col("v") < F.col("stop"))
-    gaps = cut_lineage(drawn.groupBy("source").agg((F.max("room") - F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0))).alias("gap")))
-    change = F.when(inside, -F.col("size")).otherwise(F.col("size"))
-    off = F.abs(F.col("gap") - change)
-    turned = _with(drawn, gaps, "gap").filter(off < F.abs("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "v")).alias("t")) \
-        .select("source", F.col("t.v").alias("turned"))
-    return cut_lineage(_with(stops, turned, "turned").select("source", "source_size", "target", "scale", "stop", "turned"))
+    # Long documents at the cut can leave a gap: documents whose change of side closes it best change side, one a round.
+    drawn = _with(ranked.filter("v IS NOT NULL").select("source", "v", "size"), stops, "stop")
+    ahead = F.col("stop").isNull() | (F.col("v") < F.col("stop"))
+    drawn = cut_lineage(drawn.select("source", "v", "size", ahead.alias("ahead")))
+    words = drawn.filter("ahead").groupBy("source").agg(F.sum("size").alias("words"))
+    gaps = cut_lineage(_with(stops, words, "words").select(
+        "source", "target", (F.col("room") - F.coalesce("words", F.lit(0))).alias("gap"), F.array().cast("array<double>").alias("turned")))
+    for _ in range(MAX_TURNS):
+        wide = gaps.filter(F.abs("gap") > NEAR * F.col("target"))
+        inside = F.col("ahead") != F.array_contains("turned", F.col("v"))
+        change = F.when(inside, -F.col("size")).otherwise(F.col("size"))
+        off = F.col("gap") - change
+        turned = _with(drawn, wide, "gap", "turned").filter(F.abs(off) < F.abs("gap")).groupBy("source").agg(
+            F.min(F.struct(F.abs(off).alias("off"), "v", off.alias("left"))).alias("t")).select("source", F.col("t.v").alias("more"), "t.left")
+        turned = cut_lineage(turned)
+        if turned.isEmpty():
+            break
+        gaps = cut_lineage(_with(gaps, turned, "more", "left").select("source", "target", F.coalesce("left", "gap").alias("gap"), F.when(
+            F.col("more").isNull(), F.col("turned")).otherwise(F.array_append("turned", F.col("more"))).alias("turned")))
+    return cut_lineage(_with(stops, gaps, "turned").select("source", "source_size", "target", "scale", "stop", "turned"))
 
 
 def _with(rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
@@ -186,7 +198,7 @@ def mix(docs: DataFrame, weights=cyclic_weights, merit: Column | None = None, ma
         _merit(merit).alias("merit"), _uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     joined = _ranked(rows.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left"), max_copies)
     ahead = F.col("stop").isNull() | (F.col("v") < F.col("stop"))
-    one_more = F.col("v").isNotNull() & (ahead != F.coalesce(F.col("v") == F.col("turned"), F.lit(False)))
+    one_more = F.col("v").isNotNull() & (ahead != F.coalesce(F.array_contains("turned", F.col("v")), F.lit(False)))
     taken = (F.col("copies") + F.when(one_more, 1).otherwise(0)) * F.col("size")
     return joined.select("__row.*", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
                          F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
