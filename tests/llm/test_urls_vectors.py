@@ -73,8 +73,8 @@ def test_mined_rules_equal_brute_force(spark):
 
 
 def test_rules_block_unlabelled_urls(spark):
-    bad = [f"http://casino-win.example.net/en/{i}" for i in range(40)]
-    good = [f"http://news.example.net/en/{i}" for i in range(200)]
+    bad = [f"http://casino-win.example.net/en/{100 + i}" for i in range(40)]
+    good = [f"http://news.example.net/en/{100 + i}" for i in range(200)]
     pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
     labels = spark.createDataFrame([(i, i < 40) for i in range(0, 240, 2)] + [(1, True), (1, False), (None, True), (5, None)], "id long, bad boolean")
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels).collect()}
