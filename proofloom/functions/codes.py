@@ -71,14 +71,10 @@ def dimension_letter(c) -> Column:
 
 def dimension_folder(c) -> Column:
     letter = dimension_letter(c)
-    known = _lookup([(k, folder) for k, folder, _ in fixed.DIMENSIONS], letter)
+    known = _lookup(fixed.DIMENSIONS, letter)
     return F.coalesce(known, F.concat(letter, F.lit(fixed.OTHER_DIMENSION_SUFFIX)))
 
 
-def dimension_text(c) -> Column:
-    return _lookup([(k, text) for k, _, text in fixed.DIMENSIONS], dimension_letter(c))
-
-
 def topic_folder(c) -> Column:
     letters = code_letters(c)
     return F.coalesce(_lookup(fixed.TOPIC_FOLDERS, letters),
@@ -105,21 +101,6 @@ def codes_in_file_name(c) -> Column:
     return F.array_distinct(F.concat(spelled, all_codes(c)))
 
 
-def best_code_in_path(parts, known) -> Column:
-    """Best code of a path array: a known code wins, then the deepest segment.
-
-    ``known`` is an array column of codes or a function from a code column to
-    a boolean column.
-    """
-    is_known = known if callable(known) else (lambda code: F.array_contains(known, code))
-    found = F.flatten(F.transform(col(parts), lambda part, i: F.transform(
-        all_codes(part),
-        lambda code: F.struct(code.alias("code"), part.alias("part"), i.alias("depth")),
-    )))
-    listed = F.filter(found, lambda x: is_known(x["code"]))
-    return F.coalesce(F.try_element_at(listed, F.lit(-1)), F.try_element_at(found, F.lit(-1)))
-
-
 def display_folder(parts, best) -> Column:
     """Folder shown for a file, given its path array and best code."""
     parts, best = col(parts), col(best)

@@ -12,11 +12,11 @@ CODE_PREFIX = r"[AGEDS][A-Z]{0,3}"
 
 # First letter of a code -> dimension folder and description.
 DIMENSIONS = [
-    ("A", "A-总体概况", "总体概况：公司基本信息、发展历程、荣誉奖项等"),
-    ("G", "G-公司治理", "公司治理：可持续发展治理、规范治理与党建、商业行为"),
-    ("E", "E-环境保护", "环境保护：应对气候变化、污染物管控、资源利用、生态多样性"),
-    ("D", "D-产业价值", "产业价值：科技创新、产品质量与客户、供应链管理、信息安全"),
-    ("S", "S-人权与社会", "人权与社会：员工权益、劳动关系、职业健康与培训、安全生产"),
+    ("A", "A-总体概况"),
+    ("G", "G-公司治理"),
+    ("E", "E-环境保护"),
+    ("D", "D-产业价值"),
+    ("S", "S-人权与社会"),
 ]
 
 # Letters of a code -> topic folder.

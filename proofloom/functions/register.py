@@ -7,8 +7,10 @@ from pyspark.sql import SparkSession
 # name -> (parameters, return type, SQL body)
 SQL_FUNCTIONS = {
     "meaningful_chars": ("t STRING", "INT", r"length(regexp_replace(t, '[^一-鿿㐀-䶿a-zA-Z0-9]', ''))"),
-    "squeeze_text": ("t STRING", "STRING", r"regexp_replace(coalesce(t, ''), '\\s', '')"),
-    "is_blank_text": ("t STRING", "BOOLEAN", r"t IS NULL OR lower(trim(t)) IN ('', 'nan', 'none')"),
+    "squeeze_text": ("t STRING", "STRING",
+                     r"regexp_replace(regexp_replace(coalesce(t, ''), '[\\n\\r\\t ]+', ''), '(?U)^\\s+|\\s+$', '')"),
+    "is_blank_text": ("t STRING", "BOOLEAN",
+                      r"t IS NULL OR lower(regexp_replace(t, '(?U)^\\s+|\\s+$', '')) IN ('', 'nan', 'none')"),
     "first_code": ("t STRING", "STRING",
                    r"nullif(regexp_extract(upper(t), '(?<![A-Z0-9])([AGEDS][A-Z]{0,3}\\d{1,3})(?!\\d)', 1), '')"),
     "all_codes": ("t STRING", "ARRAY<STRING>",
@@ -32,40 +34,16 @@ def register(spark: SparkSession) -> list[str]:
 def register_chunker(spark: SparkSession, name: str = "split_chunks") -> str:
     """Table function ``split_chunks(text, max, min)`` for lateral joins in SQL.
 
-    Rows stream through Arrow-free Python workers; DataFrame users take the
-    column form, which stays in the JVM.
+    The splitter keeps cut positions, so a text of any length takes time in proportion.
     """
     from pyspark.sql.functions import udtf
 
-    from .fixed import SEPARATORS
+    from .splitting import split_text
 
     @udtf(returnType="pos int, chunk string")
-    class SplitChunks:
+    class ChunksOfText:
         def eval(self, text: str, max_size: int, min_size: int):
-            parts = [text] if text else []
-            for sep in [*SEPARATORS, ""]:
-                finer = []
-                for part in parts:
-                    if len(part) <= max_size:
-                        finer.append(part)
-                    elif not sep:
-                        finer += [part[i:i + max_size] for i in range(0, len(part), max_size)]
-                    elif sep not in part:
-                        finer.append(part)
-                    else:
-                        head, tail = part.split(sep)[:-1], part.split(sep)[-1]
-                        finer += [p for p in [*(h + sep for h in head), tail] if p.strip()]
-                parts = finer
-            packed = []
-            for part in parts:
-                if packed and len(packed[-1]) + len(part) <= max_size:
-                    packed[-1] += part
-                else:
-                    packed.append(part)
-            if len(packed) > 1 and len(packed[-1]) < min_size:
-                packed[-2:] = [packed[-2] + packed[-1]]
-            for pos, chunk in enumerate(packed):
-                yield pos, chunk
+            yield from enumerate(split_text(text, max_size, min_size))
 
-    spark.udtf.register(name, SplitChunks)
+    spark.udtf.register(name, ChunksOfText)
     return name

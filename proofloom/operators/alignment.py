@@ -29,7 +29,7 @@ def classify(folder, top, topn: int = fixed.TOP_N, extra: float = fixed.EXTRA_SC
     ``extra_top`` is the list searched for further strong codes (default: the
     same list).
     """
-    folder, top = col(folder), F.coalesce(col(top), F.array().cast(TOP))
+    folder, top = F.nullif(col(folder), F.lit("")), F.coalesce(col(top), F.array().cast(TOP))
     wide = top if extra_top is None else F.coalesce(col(extra_top), F.array().cast(TOP))
     first = F.get(top, F.lit(0))
     inside = F.exists(F.slice(top, 1, topn), lambda x: x["code"] == folder)

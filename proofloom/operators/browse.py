@@ -47,10 +47,6 @@ def search_sections(sections: DataFrame, term: str, file: str = "file_path") ->
     return sections.join(files, file, "left_semi")
 
 
-def section_list(sections: DataFrame, chars: int = 500) -> DataFrame:
-    return sections.withColumn("text", shorten("text", chars))
-
-
 def result_list(results: DataFrame, chars: int = 300) -> DataFrame:
     return results.withColumn("text", shorten("text", chars)).drop("file_path", "parent_text")
 

@@ -133,22 +133,25 @@ def route_answers(prepared: DataFrame, answers: DataFrame) -> DataFrame:
     """Status of every prepared leaf from its answer (leaf_id, content, error).
 
     A failed call is an error, a no-content answer is skipped, all else is a
-    draft with counts, citations and a density note.
+    draft with counts, citations and a density note. A leaf without an answer
+    row stays, as ``no_answer``.
     """
-    joined = prepared.join(answers, "leaf_id")
+    joined = prepared.join(answers.withColumn("__answered", F.lit(True)), "leaf_id", "left")
+    absent = F.col("__answered").isNull()
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     content = F.coalesce("content", F.lit(""))
     nothing = citations.is_no_content(content)
-    made = ~failed & ~nothing
+    nothing = nothing & ~absent
+    made = ~failed & ~nothing & ~absent
     cited, words = citations.cited_sources(content), word_count(content)
     first = joined.withColumns({
-        "status": F.when(failed, "error").when(nothing, "skipped").otherwise("generated"),
+        "status": F.when(absent, "no_answer").when(failed, "error").when(nothing, "skipped").otherwise("generated"),
         "skip_reason": F.when(~failed & nothing, "insufficient_evidence: LLM 判断资料不足以支撑本章节撰写"),
-        "no_content_analysis": F.when(~failed, citations.no_content_analysis(content)),
-        "word_count": F.when(made, words).when(~failed, 0),
-        "cited_sources": F.when(made, cited).when(~failed, F.array().cast("array<int>")),
-        "content": F.when(made, content).when(~failed, F.lit("")),
-    })
+        "no_content_analysis": F.when(~failed & ~absent, citations.no_content_analysis(content)),
+        "word_count": F.when(made, words).when(~failed & ~absent, 0),
+        "cited_sources": F.when(made, cited).when(~failed & ~absent, F.array().cast("array<int>")),
+        "content": F.when(made, content).when(~failed & ~absent, F.lit("")),
+    }).drop("__answered")
     return first.withColumn("citation_warning", F.when(
         F.col("status") == "generated", citations.citation_warning("cited_sources", "word_count")))
 
@@ -265,9 +268,3 @@ def assemble_report(rows: DataFrame, titles: DataFrame, order: str = "row",
     return joined.select(*report, F.concat(
         F.lit("# "), text("title"), F.lit("\n\n## "), text("subtitle"), F.lit("\n\n---\n\n## 目录\n\n"),
         glue("toc"), F.lit("\n---\n\n"), glue("body")).alias("report"))
-
-
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """Cleaned chapter text as one row per paragraph."""
-    parts = F.filter(F.split("content", "\n\n"), has_text)
-    return rows.select("leaf_id", F.posexplode(F.transform(parts, lambda p: strip(p))).alias("pos", "paragraph"))

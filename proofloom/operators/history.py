@@ -80,7 +80,7 @@ def runs_of_project(runs: DataFrame, project: str, limit: int = 20, config: str
 
 
 def step_states(events: DataFrame, keys: list[str] = ["run_id", "step_name"]) -> DataFrame:
-    """Latest status and details per step, and the first start that was set."""
+    """Latest status and details per step; of each field, also the start, the newest value that was set."""
     at = F.struct("ts", "event_id")
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
     return events.groupBy(*keys).agg(

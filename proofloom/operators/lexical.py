@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed
 from ..functions.text import col
@@ -17,7 +18,7 @@ from ..session import broadcast_if_small, collect_if_small, cut_lineage, top_n
 
 WORD = r"[\p{L}\p{N}]+"
 HAN_RUN = r"^\p{IsHan}+$"
-DIGITS = 6                  # scores are compared after rounding
+DIGITS = 6                  # scores are compared after rounding, half up, the same way in both search forms
 MAX_TERMS = 500_000         # (query, token) pairs sent to the tasks
 MAX_CELLS = 20_000_000      # distinct tokens times queries sent to the tasks
 
@@ -154,10 +155,9 @@ def search(docs: DataFrame, doc_id: str, queries: DataFrame, query_id: str, n: i
     best = top_n(scored, [query_id], order, n)
     if not pad:
         return best
-    # a query short of hits is filled from the lowest ids; 2 n of them always suffice
-    fill = docs.select(doc_id).orderBy(doc_id).limit(2 * n).withColumn("score", F.lit(0.0))
-    padded = queries.select(query_id).distinct().withColumn("j", F.lit(1)).join(
-        fill.withColumn("j", F.lit(1)), "j").drop("j")
+    # a query short of hits is filled from the lowest ids; 2 n of them always suffice, and they travel as one value
+    lowest = docs.select(doc_id).orderBy(doc_id).limit(2 * n).agg(F.collect_list(doc_id).alias("ids")).scalar()
+    padded = queries.select(query_id).distinct().select(query_id, F.explode(lowest).alias(doc_id), F.lit(0.0).alias("score"))
     missing = padded.join(best, [query_id, doc_id], "left_anti")
     return top_n(best.drop("rank").unionByName(missing), [query_id], order, n)
 
@@ -174,7 +174,7 @@ def _join(docs, doc_id, text, tokenizer, asked, vocabulary, stats, query_id, sal
     return (
         salted.join(broadcast_if_small(spread), ["token", "salt"])
         .groupBy(query_id, doc_id)
-        .agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score"))
+        .agg((F.floor(F.sum(F.col("weight") * F.col("qtf")) * 10.0**DIGITS + 0.5) / 10.0**DIGITS).alias("score"))
         .filter(F.col("score") > 0))
 
 
@@ -190,6 +190,7 @@ def _scan(docs, doc_id, text, tokenizer, terms, totals, query_field, n: int) ->
     for r in terms:
         gain[at_token[r["token"]], at_query[r[query_field.name]]] = r["qtf"] * r["idf"]
     mean = totals["avg_length"] or 1.0
+    name_type = to_arrow_type(query_field.dataType)
     sent = docs.sparkSession.sparkContext.broadcast((tokens, gain))
 
     def best(ids, scores):
@@ -220,8 +221,8 @@ def _scan(docs, doc_id, text, tokenizer, terms, totals, query_field, n: int) ->
             while first < len(starts):
                 last = max(first + 1, np.searchsorted(starts, starts[first] + step, side="right") - 1)
                 low, high = starts[first], starts[last] if last < len(starts) else len(doc)
-                score = np.round(np.add.reduceat(
-                    weight[low:high, None] * gain[token[low:high]], starts[first:last] - low, axis=0), DIGITS)
+                score = np.floor(np.add.reduceat(
+                    weight[low:high, None] * gain[token[low:high]], starts[first:last] - low, axis=0) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
                 own = ids[doc[starts[first:last]]]
                 for q in range(gain.shape[1]):
                     column = score[:, q]
@@ -238,7 +239,7 @@ def _scan(docs, doc_id, text, tokenizer, terms, totals, query_field, n: int) ->
                 first = last
         for q, (found, score) in kept.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[q]] * len(found)), pa.array(found.tolist(), id_type), pa.array(score)],
+                [pa.array([names[q]] * len(found), name_type), pa.array(found.tolist(), id_type), pa.array(score)],
                 names=[f.name for f in schema])
 
     rows = docs.filter(F.col(text).isNotNull()).select(doc_id, tokenizer(text).alias("tokens"))

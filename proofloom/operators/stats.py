@@ -149,13 +149,6 @@ def query_completeness(leaves: DataFrame) -> DataFrame:
         F.count_if(rq & hyde).alias("both_ok"), F.count_if(~(rq & hyde)).alias("needs_review"))
 
 
-def failed_leaves(leaves: DataFrame) -> DataFrame:
-    """Ids of the leaves that still lack a text."""
-    rq = has_text(F.coalesce("retrieval_query", F.lit("")))
-    hyde = has_text(F.coalesce("hypothetical_doc", F.lit("")))
-    return leaves.filter(~(rq & hyde)).select("leaf_id")
-
-
 def project_rollup(files: DataFrame, drafts: DataFrame) -> DataFrame:
     """Files, drafts and stage of every project.
 

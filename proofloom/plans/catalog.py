@@ -188,7 +188,7 @@ _UNIQ = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _NAMES = "(CASE WHEN spelled <> '' THEN [spelled || '1', spelled || '2', spelled || '3'] ELSE [] END || plain)"
 _PLAN = _PLAN.replace("{loose}", _UNIQ.format("loose")).replace("{name}", _UNIQ.format(_NAMES))
 
-_TARGET_DIM = "CASE substr(sub, 1, 1) " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f, _ in fixed.DIMENSIONS) + " END"
+_TARGET_DIM = "CASE substr(sub, 1, 1) " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in fixed.DIMENSIONS) + " END"
 _TARGET_TOPIC = "CASE sub " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in fixed.TOPIC_FOLDERS) + " ELSE sub || '-议题' END"
 _PLANNED = f"""{_PLAN}, opened AS (SELECT relative_path, file_name, unnest(codes) AS code FROM coded_files
   UNION ALL SELECT relative_path, file_name, NULL FROM coded_files WHERE len(codes) = 0),

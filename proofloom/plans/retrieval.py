@@ -84,27 +84,44 @@ def nearest_indicators_by_blocks(spark, sf):
     return V.nearest(t.chunks(spark, sf), "chunk_id", t.indicators(spark, sf), "code", shipped=0)
 
 
-@query()
+_HASHED = r"""codes AS (SELECT id, ('0x' || substr(md5(token), 1, 4))::INTEGER AS h FROM
+  (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM texts)),
+places AS (SELECT id, h % 64 AS place, sum(CASE WHEN (h // 256) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM codes GROUP BY ALL),
+vectors AS (SELECT id, place, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS value FROM places)"""
+
+
+def _places(rows, *columns):
+    """Non-zero places of vector columns, one row each."""
+    long = None
+    for c in columns:
+        part = rows.select(F.col("id"), F.lit(c).alias("vector"), F.posexplode(c).alias("place", "x"))
+        long = part if long is None else long.unionByName(part)
+    return long.filter("x <> 0").select("id", "vector", "place", F.round("x", 6).alias("value"))
+
+
+@query(rf"""WITH texts AS (SELECT doc_id AS id, text FROM documents WHERE regexp_matches(text, '\S') AND n_chars > 0), {_HASHED}
+SELECT id AS doc_id, place, value FROM vectors WHERE value <> 0""")
 def text_vectors(spark, sf):
-    """Hashing embedder (its hash has no counterpart in the checking engine)"""
+    """Every non-zero place of the built-in vectors"""
     rows = table(spark, sf, "documents").select("doc_id", "text", F.col("n_chars").alias("char_count"))
-    return V.embed(rows).select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 6).alias("norm"))
+    return _places(V.embed(rows).withColumnRenamed("doc_id", "id"), "embedding").select(F.col("id").alias("doc_id"), "place", "value")
 
 
-@query()
+@query(rf"""WITH texts AS (SELECT {{'leaf_id': item_id, 'vector': 'rq'}} AS id, 'Instruct: find passages' || chr(10) || 'Query: ' || text AS text FROM benchmark
+  UNION ALL SELECT {{'leaf_id': item_id, 'vector': 'hyde'}}, CASE WHEN item_id % 2 = 0 THEN 'Sample answer: ' || text ELSE text END FROM benchmark), {_HASHED}
+SELECT id.leaf_id AS leaf_id, id.vector AS vector, place, value FROM vectors WHERE value <> 0""")
 def query_vectors(spark, sf):
     """Two vectors per question, the second from its sample answer or the question"""
     rows = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("leaf_id"), F.col("text").alias("retrieval_query"),
-        F.when(F.col("item_id") % 2 == 0, F.upper("text")).otherwise("").alias("hypothetical_doc"))
+        F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Sample answer: "), F.col("text"))).otherwise("").alias("hypothetical_doc"))
     ready, _ = V.split_ready(rows)
-    return V.embed_queries(ready, "find passages").select(
-        "leaf_id", F.round(V.norm("rq"), 6).alias("rq"), F.round(V.norm("hyde"), 6).alias("hyde"))
+    return _places(V.embed_queries(ready, "find passages").withColumnRenamed("leaf_id", "id"), "rq", "hyde").withColumnRenamed("id", "leaf_id")
 
 
 # --- BM25 -------------------------------------------------------------------------------------
 
-@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT 1 AS qid, '' AS text), {t.BM25}
+@query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {t.BM25_CORPUS}
 SELECT token, df, round(idf, 6) AS idf FROM d_idf""")
 def bm25_vocabulary(spark, sf):
     """V6"""

@@ -234,14 +234,17 @@ leaves AS (
   FROM indicators i JOIN (SELECT label, arg_min(text, pos) AS text, arg_min(v, pos) AS v FROM chunks GROUP BY label) f
     ON i.code = f.label)"""
 
-# Okapi BM25 of (query id, text) rows ``q`` over (id, text) rows ``d``.
-BM25 = r"""d_tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM d),
+# Token statistics of (id, text) rows ``d``.
+BM25_CORPUS = r"""d_tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM d),
 d_tf AS (SELECT id, token, count(*) AS tf FROM d_tok GROUP BY ALL),
 d_len AS (SELECT id, count(*) AS len FROM d_tok GROUP BY id),
 d_n AS (SELECT count(*) AS n, avg(len) AS avgdl FROM d_len),
 d_df AS (SELECT token, count(*) AS df FROM d_tf GROUP BY token),
 d_raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d_df, d_n),
-d_idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM d_raw) ELSE raw END AS idf FROM d_raw),
+d_idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM d_raw) ELSE raw END AS idf FROM d_raw)"""
+
+# Okapi BM25 of (query id, text) rows ``q`` over (id, text) rows ``d``.
+BM25 = BM25_CORPUS + r""",
 q_tok AS (SELECT qid, token, count(*) AS qtf FROM
   (SELECT qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM q) GROUP BY ALL),
 bm25_scored AS (

@@ -255,7 +255,7 @@ def embedding_text_and_key(spark, sf):
         text.content_key("text", "source", "lang").alias("key"), text.is_photo(body).alias("photo"))
 
 
-_DIM = " ".join(f"WHEN '{k}' THEN '{f}'" for k, f, _ in fixed.DIMENSIONS)
+_DIM = " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in fixed.DIMENSIONS)
 _TOPIC = " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in fixed.TOPIC_FOLDERS)
 
 

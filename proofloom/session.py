@@ -56,10 +56,14 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder, for written stage tables.
 
-    Only where ``spark.checkpoint.dir`` is unset is a local folder used.
+    Only a local session may leave ``spark.checkpoint.dir`` unset; it gets a
+    local folder. On a cluster such a folder would not be seen by all, so the
+    setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 

@@ -138,6 +138,8 @@ def test_drafts(spark):
                                     "leaf_id string, content string, error string")
     got = {r.leaf_id: r for r in D.route_answers(prepared, answers).collect()}
     assert [got[k].status for k in ("r1", "r2", "r3", "r4")] == ["error", "skipped", "generated", "generated"]
+    lost = D.route_answers(prepared, answers.filter("leaf_id <> 'r2'")).filter("leaf_id = 'r2'").first()
+    assert lost.status == "no_answer" and lost.content is None and lost.citation_warning is None
     assert got["r2"].no_content_analysis == "why" and got["r3"].cited_sources == [1, 2] and got["r3"].citation_warning is None
     results = spark.createDataFrame([("r1", i, 0.5, f"c{i}", "f" if i != 2 else "", "1", f"t{i}", None) for i in (1, 2, 10)],
                                     "leaf_id string, rank int, score double, chunk_id string, file_name string, page_or_sheet string, text string, parent_text string")

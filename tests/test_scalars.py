@@ -120,3 +120,37 @@ def test_sql_functions(spark):
     register_chunker(spark)
     got = spark.sql("SELECT * FROM split_chunks('ab\\n\\ncd\\n\\nef', 5, 1)").collect()
     assert [r["chunk"] for r in got] == ["ab\n\n", "cd\n\n", "ef"]
+
+
+def test_sql_bodies_equal_their_columns(spark):
+    register(spark)
+    odd = ["a\fb", "\t\n", " \u3000 nan\u3000", None, "", "NaN", "a\n b\t"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    rows.createOrReplaceTempView("odd_texts")
+    got = spark.sql("SELECT squeeze_text(t) AS a, is_blank_text(t) AS b FROM odd_texts").collect()
+    want = rows.select(text.squeeze("t").alias("a"), text.is_blank("t").alias("b")).collect()
+    assert got == want
+
+
+def test_splitter_by_positions_equals_the_column_form(spark):
+    import random
+
+    from proofloom.functions.splitting import split_batches, split_text
+    from proofloom.operators.chunks import recursive_split
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "bc ", "\n", "\n\n", "。", "，", " ", "文字"]) for _ in range(rng.randrange(80))) for _ in range(150)] + [None, "", " \n\n \n\n", "x" * 95]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    want = rows.select("id", recursive_split("t", 20, 6).alias("c")).collect()
+    assert [(r.c or []) for r in sorted(want)] == [split_text(t, 20, 6) for t in texts]
+    long = rows.mapInArrow(split_batches(20, 6), "key long, pos int, chunk string").groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in long} == {r.id: len(r.c) for r in want if r.c}
+
+
+def test_splitter_takes_long_texts():
+    import time
+
+    from proofloom.functions.splitting import split_text
+
+    begun = time.time()
+    assert len(split_text("abcd efgh ijkl。\n" * 200_000, 16, 1)) >= 100_000 and time.time() - begun < 20

@@ -140,18 +140,28 @@ def test_rerank(spark):
 
 
 def test_hashing_vector_equals_plain_computation(spark):
-    import xxhash
+    import hashlib
 
-    texts = ["the cat the dog", "Étage 12 cat", "x"]
+    texts = ["the cat the dog", "Étage 12 cat", "x", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(V.hashing_vector("t", 8).alias("v")).collect()
-    for text, row in zip(texts, rows):
+    assert rows[3].v == [0.0] * 8 and rows[4].v is None
+    for text, row in zip(texts[:3], rows):
         want = np.zeros(8)
         for token in re.findall(r"\w+", text.lower()):
-            h = xxhash.xxh64(token.encode(), seed=42).intdigest()
-            h -= 2 ** 64 if h >= 2 ** 63 else 0
-            want[h % 8] += 1.0 if (h >> 40) % 2 == 0 else -1.0
-        want /= np.linalg.norm(want) or 1.0
-        assert np.allclose(row["v"], want)
+            h = int(hashlib.md5(token.encode()).hexdigest()[:4], 16)
+            want[h % 8] += -1 if h >> 8 & 1 else 1
+        assert np.allclose(row.v, want / np.linalg.norm(want))
+
+
+@pytest.mark.parametrize("kind,first", [("int", 1), ("long", 1), ("string", "a"), ("date", __import__("datetime").date(2020, 1, 1))])
+def test_search_ways_agree_for_every_kind_of_id(spark, kind, first):
+    ids = [first, {"string": "b"}.get(kind, first + __import__("datetime").timedelta(1) if kind == "date" else 2)]
+    docs = spark.createDataFrame([(ids[0], "red fox red"), (ids[1], "blue fox")], f"d {kind}, text string")
+    asked = spark.createDataFrame([(ids[0], "red"), (ids[1], "blue fox"), (ids[1], None)], f"q {kind}, text string")
+    show = lambda df: sorted(map(tuple, df.collect()))
+    one, two = (show(L.search(docs, "d", asked, "q", 5, max_terms=m, pad=True)) for m in (500_000, 0))
+    assert one == two and len(one) == 4
+
 
 
 def test_query_vectors_fall_back_to_the_query(spark):
