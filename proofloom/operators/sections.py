@@ -260,7 +260,10 @@ def union_sections(*frames: DataFrame) -> DataFrame:
     return out
 
 
-HTML_NOISE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>"
+HTML_NOISE = r"(?is)<!--.*?-->|<(script|style|head|template)\b.*?</\1>"
+HTML_BLOCKS = ("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form "
+               "h[1-6] header hr html li main nav ol option p pre section summary td th tr ul").split()
+BLOCK_TAG = rf"(?i)</?(?:{'|'.join(HTML_BLOCKS)})\b[^>]*>"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
@@ -273,15 +276,21 @@ def plain_html(c) -> Column:
 
 
 def html_marks(html) -> Column:
-    """Headings, paragraphs, list items and tables of a page, in order.
+    """All visible text of a page in order, cut at block tags, headings with their level.
 
-    Tables stay as HTML so that chunking can treat them as tables.
+    A block ends where the next one begins, so unclosed tags lose nothing.
+    Tables stay as HTML so that chunking can treat them as tables. Marks in the
+    text: 0x01 parts blocks, 0x02 leads a heading's level, 0x03 leads a table.
     """
-    clean = F.regexp_replace(col(html), HTML_NOISE, "")
-    blocks = F.regexp_extract_all(
-        clean, F.lit(r"(?is)(<table[^>]*>.*?</table>|<(h[1-6]|p|li)\b[^>]*>.*?</\2>)"), F.lit(1))
-    level = lambda b: F.coalesce(F.regexp_extract(b, r"(?i)^<h([1-6])", 1).try_cast("int"), F.lit(0))
-    body = lambda b: F.when(b.rlike(r"(?i)^<table"), b).otherwise(plain_html(b))
+    cut, head, table = "\x01", "\x02", "\x03"
+    clean = F.regexp_replace(F.translate(col(html), cut + head + table, ""), HTML_NOISE, "")
+    tables = F.split(F.regexp_replace(clean, r"(?is)(<table\b[^>]*>.*?</table>)", f"{cut}{table}$1{cut}"), cut)
+    texts = lambda part: F.split(F.regexp_replace(
+        F.regexp_replace(part, r"(?i)<h([1-6])\b[^>]*>", f"{cut}{head}$1"), BLOCK_TAG, cut), cut)
+    blocks = F.flatten(F.transform(tables, lambda part: F.when(part.startswith(table), F.array(part)).otherwise(texts(part))))
+    level = lambda b: F.when(b.startswith(head), F.substring(b, 2, 1).cast("int")).otherwise(0)
+    body = lambda b: F.when(b.startswith(table), F.substr(b, F.lit(2))).otherwise(
+        plain_html(F.when(b.startswith(head), F.substr(b, F.lit(3))).otherwise(b)))
     marks = F.transform(blocks, lambda b: marked_line(body(b), level(b)))
     return F.filter(marks, lambda m: m["text"] != "")
 

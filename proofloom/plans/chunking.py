@@ -102,18 +102,21 @@ def titled_markdown_sections(spark, sf):
     return _shown(S.sections_from_markdown(docs.withColumn("titles", titles), titles="titles"), "doc_id")
 
 
-_BLOCK = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}>" for tag in ["h1", "h2", "h3", "h4", "h5", "h6", "p", "li"])
-_PLAIN = r"regexp_replace(b, '(?s)<[^>]*>', '', 'g')"
+_PLAIN = r"regexp_replace(CASE WHEN starts_with(b, chr(2)) THEN substr(b, 3) ELSE b END, '(?s)<[^>]*>', '', 'g')"
 for _entity, _char in S.ENTITIES:
     _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
 _PLAIN = strip(rf"regexp_replace({_PLAIN}, '[\s\p{{{{Z}}}}]+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
 
 
-@query(rf"""WITH cleaned AS (SELECT page_id AS doc_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS html FROM pages),
-found AS (SELECT doc_id, regexp_extract_all(html, '(?is)(<table[^>]*>.*?</table>|{_BLOCK})', 1) AS blocks FROM cleaned),
+@query(rf"""WITH cleaned AS (SELECT page_id AS doc_id, regexp_replace(translate(html, chr(1) || chr(2) || chr(3), ''),
+  '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<template\b.*?</template>', '', 'g') AS html FROM pages),
+parted AS (SELECT doc_id, string_split(regexp_replace(html, '(?is)(<table\b[^>]*>.*?</table>)', chr(1) || chr(3) || '\1' || chr(1), 'g'), chr(1)) AS parts FROM cleaned),
+found AS (SELECT doc_id, flatten(list_transform(parts, lambda part: CASE WHEN starts_with(part, chr(3)) THEN [part] ELSE
+  string_split(regexp_replace(regexp_replace(part, '(?i)<h([1-6])\b[^>]*>', chr(1) || chr(2) || '\1', 'g'), '{S.BLOCK_TAG}', chr(1), 'g'), chr(1)) END)) AS blocks FROM parted),
 opened AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i FROM found),
-lines AS (SELECT doc_id, i, {_PLAIN} AS text, coalesce(TRY_CAST(nullif(regexp_extract(b, '(?i)^<h([1-6])', 1), '') AS INTEGER), 0) AS level, '1' AS page
-  FROM opened WHERE {_PLAIN} <> ''), {sections_sql()}
+block_texts AS (SELECT doc_id, i, CASE WHEN starts_with(b, chr(3)) THEN substr(b, 2) ELSE {_PLAIN} END AS text,
+  CASE WHEN starts_with(b, chr(2)) THEN CAST(substr(b, 2, 1) AS INTEGER) ELSE 0 END AS level, '1' AS page FROM opened),
+lines AS (SELECT * FROM block_texts WHERE text <> ''), {sections_sql()}
 SELECT doc_id AS page_id, pos, section_id, page_or_sheet, md5(text) AS text, section_title FROM named_sections""")
 def html_sections(spark, sf):
     """S19 C1"""

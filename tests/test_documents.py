@@ -156,3 +156,15 @@ def test_images(spark):
                                    ("a.png", 1, "表格截图", "d", "短")], "file_name string, page int, type string, description string, ocr_text string")
     got = [r.text.split("\n")[1] for r in S.image_sections(found).collect()]
     assert got == ["识别出的文字内容超过十个字", "d", "d"]
+
+
+def test_html_keeps_all_visible_text(spark):
+    from proofloom.operators.sections import html_marks
+
+    html = ("<html><head><title>no</title></head><body>loose<div>in div<p>one<p>two <b>bold</b></div><!-- no --><H2 class='x'>Head</H2>after"
+            "<table><tr><td><p>cell</p></td></tr></table><footer>foot&nbsp;er</footer><script>no()</script><li>item<h3>last")
+    rows = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(html_marks("h").alias("m")).collect()
+    got = [(m["level"], m["text"]) for m in rows[0]["m"]]
+    assert got == [(0, "loose"), (0, "in div"), (0, "one"), (0, "two bold"), (2, "Head"), (0, "after"),
+                   (0, "<table><tr><td><p>cell</p></td></tr></table>"), (0, "foot er"), (0, "item"), (3, "last")]
+    assert rows[1]["m"] is None and rows[2]["m"] == []
