@@ -547,11 +547,13 @@ def _as_steps(events):
 _STEPS = """steps AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, ts, event_type AS stage, CAST(json_extract_string(props, '$.k') AS INTEGER) AS current,
   CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 50 THEN 'completed' ELSE 'running' END AS status FROM events),
 last AS (SELECT run_id, arg_max(stage, (ts, event_id)) AS stage, arg_max(status, (ts, event_id)) AS status, arg_max(current, (ts, event_id)) AS current, max(ts) AS ts FROM steps GROUP BY 1),
-first_seen AS (SELECT run_id, stage, min((ts, event_id)) AS entered FROM steps GROUP BY ALL)"""
+first_seen AS (SELECT run_id, stage, min((ts, event_id)) AS entered FROM steps GROUP BY ALL),
+last_seen AS (SELECT run_id, stage, max((ts, event_id)) AS seen FROM steps GROUP BY ALL)"""
 
 
 @query(f"""WITH {_STEPS} SELECT l.run_id, l.stage, status, CASE WHEN status = 'completed' THEN 100.0 ELSE round(current / 100 * 100, 1) END AS percent,
-  coalesce((SELECT string_agg(f.stage, ',' ORDER BY entered) FROM first_seen f WHERE f.run_id = l.run_id AND (f.stage <> l.stage OR l.status = 'completed')), '') AS stages_completed, ts FROM last l""")
+  coalesce((SELECT string_agg(f.stage, ',' ORDER BY entered) FROM first_seen f WHERE f.run_id = l.run_id AND (f.stage <> l.stage OR l.status = 'completed'
+    OR EXISTS (SELECT 1 FROM last_seen o WHERE o.run_id = l.run_id AND o.stage <> f.stage AND o.seen > f.entered))), '') AS stages_completed, ts FROM last l""")
 def run_progress(spark, sf):
     """T2, batch fold"""
     return P.progress(_as_steps(table(spark, sf, "events"))).withColumn("stages_completed", F.array_join("stages_completed", ","))

@@ -24,6 +24,8 @@ def _percent(current, total):
 def progress(events: DataFrame) -> DataFrame:
     """Latest state, percentage and finished stages per run.
 
+    A stage is finished once another one has followed it, also when it was
+    entered again later; the current stage of a completed run is finished too.
     Stages are first reduced to one row per (run, stage), so a run's log is
     never gathered.
     """
@@ -32,10 +34,10 @@ def progress(events: DataFrame) -> DataFrame:
         F.min(at).alias("entered"), F.max_by(F.struct("ts", "event_id", "status", "current", "total"), at).alias("last"))
     folded = per_stage.groupBy("run_id").agg(
         F.max_by(F.struct("stage", "last"), F.struct("last.ts", "last.event_id")).alias("now"),
-        F.array_sort(F.collect_list(F.struct("entered", "stage"))).alias("stages"))
+        F.array_sort(F.collect_list(F.struct("entered", "stage", F.struct("last.ts", "last.event_id").alias("seen")))).alias("stages"))
     flat = folded.select("run_id", F.col("now.stage").alias("stage"), "now.last.*", "stages")
-    done = F.filter(F.transform("stages", lambda s: s["stage"]),
-                    lambda s: (s != F.col("stage")) | (F.col("status") == "completed"))
+    done = F.transform(F.filter("stages", lambda s: (s["stage"] != F.col("stage")) | (F.col("status") == "completed") | F.exists(
+        F.col("stages"), lambda o: (o["stage"] != s["stage"]) & (o["seen"] > s["entered"]))), lambda s: s["stage"])
     return flat.select("run_id", "stage", "status", _percent("current", "total").alias("percent"),
                        done.alias("stages_completed"), "ts")
 
@@ -76,42 +78,49 @@ def progress_stream(events: DataFrame, silence_ms: int = 600_000, late: str = "1
 
     Events are first reduced where they are read to one row per run and stage,
     so a very busy run sends few rows to its state. State per run is its
-    latest event and the ordered stage names.
+    latest event and, per stage, its name and when it was first and last seen.
     """
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run,) = key
         if state.hasTimedOut:
-            stage, status, percent, stages, millis, order = state.get
+            stage, status, percent, stages, firsts, lasts, millis, order = state.get
             state.remove()
             if status == "running":
-                yield _row(run, stage, "failed", percent, _done(list(stages), stage, "failed"), millis)
+                yield _row(run, stage, "failed", percent, _done(list(stages), list(firsts), list(lasts), stage, "failed"), millis)
             return
-        stage, status, percent, stages, millis, order = (
-            state.get if state.exists else (None, "running", 0.0, [], 0, -1))
-        stages = list(stages)
+        stage, status, percent, stages, firsts, lasts, millis, order = (
+            state.get if state.exists else (None, "running", 0.0, [], [], [], 0, -1))
+        stages, firsts, lasts = list(stages), [int(x) for x in firsts], [int(x) for x in lasts]
         rows = pd.concat(list(frames))  # one row per stage and Arrow batch
         rows = rows.assign(ms=rows["ts"].astype("datetime64[ms]").astype("int64"))
-        for name in rows.sort_values("first_ms")["stage"]:
-            if name not in stages:
-                stages.append(name)
+        for r in rows.sort_values("first_ms").itertuples():
+            if r.stage not in stages:
+                stages.append(r.stage)
+                firsts.append(int(r.first_ms))
+                lasts.append(int(r.ms))
+            at = stages.index(r.stage)
+            firsts[at], lasts[at] = min(firsts[at], int(r.first_ms)), max(lasts[at], int(r.ms))
         e = rows.sort_values(["ms", "event_id"]).iloc[-1]
         if (e.ms, e.event_id) >= (millis, order):
             stage, status, millis, order = e.stage, e.status, int(e.ms), int(e.event_id)
             percent = 100.0 if status == "completed" else (
                 round(float(e.current) / float(e.total) * 100, 1) if e.total else 0.0)
-        state.update((stage, status, float(percent), stages, millis, order))
+        state.update((stage, status, float(percent), stages, firsts, lasts, millis, order))
         state.setTimeoutTimestamp(max(millis, state.getCurrentWatermarkMs()) + silence_ms)
-        yield _row(run, stage, status, percent, _done(stages, stage, status), millis)
+        yield _row(run, stage, status, percent, _done(stages, firsts, lasts, stage, status), millis)
 
     combined = events.select("run_id", "stage", "ts", "event_id", "status", "current", "total").mapInPandas(
         _combine, EVENT)
     return combined.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(
-        fold, STATE, "stage string, status string, percent double, stages array<string>, ms long, event_id long",
+        fold, STATE, "stage string, status string, percent double, stages array<string>, firsts array<long>, lasts array<long>, ms long, event_id long",
         "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def _done(stages: list, stage: str, status: str) -> list:
-    return [s for s in stages if s != stage or status == "completed"]
+def _done(stages: list, firsts: list, lasts: list, stage: str, status: str) -> list:
+    """Stages in the order of their first events that another one has followed."""
+    order = sorted(range(len(stages)), key=lambda i: firsts[i])
+    followed = lambda i: any(lasts[j] > firsts[i] for j in order if j != i)
+    return [stages[i] for i in order if stages[i] != stage or status == "completed" or followed(i)]
 
 
 def _row(run, stage, status, percent, done, millis) -> pd.DataFrame:

@@ -46,3 +46,15 @@ def test_ingest_only_takes_new_content(spark, tmp_path):
     run()
     assert calls == [2, 1]
     assert sorted(r.text for r in spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_a_stage_entered_again_stays_finished(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    stages = {"aba": "ABA", "abab": "ABAB", "ab": "AB", "a": "AA"}
+    rows = [(run, i, t0 + timedelta(minutes=i), s, "running", 1, 10) for run, order in stages.items() for i, s in enumerate(order)]
+    df = spark.createDataFrame(rows, "run_id string, event_id long, ts timestamp, stage string, status string, current int, total int")
+    want = {"aba": ["A", "B"], "abab": ["A", "B"], "ab": ["A"], "a": []}
+    assert {r.run_id: r.stages_completed for r in progress.progress(df).collect()} == want
+    assert progress._done(["A", "B"], [0, 1], [2, 1], "A", "running") == ["A", "B"] and progress._done(["A"], [0], [5], "A", "running") == []
