@@ -76,17 +76,19 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 OP2_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
-g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+y AS (SELECT doc_id, i, n, concat_ws(' ', t, lead(t, 1) OVER v, lead(t, 2) OVER v, lead(t, 3) OVER v, lead(t, 4) OVER v) AS g
+  FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, g FROM y WHERE i <= n - 4 OR (n < 5 AND i = 1)),
+g AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * k >= 75 * (na + nb - k)),
 r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
-FROM s LEFT JOIN c ON a = doc_id"""
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, doc_id = coalesce(c, doc_id) AS kept
+FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN c ON a = doc_id"""
 
 _HOST = _LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")
 
@@ -131,4 +133,31 @@ FROM u LEFT JOIN hit USING (url) LEFT JOIN LATERAL (
   SELECT h, p, v FROM {_given_sql()} WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
   ORDER BY length(h) + length(p) DESC, length(h) DESC LIMIT 1) g ON true"""
 
-ORACLE = {"op2_near_dedup": OP2_SQL, "op4_url_filter": OP4_SQL}
+def _seeds_sql(table: str, key: str) -> str:
+    """Rows (key, mask, place, seed) of all windows; a seed joins the words that the mask looks at."""
+    parts = []
+    for number, mask in enumerate(spaced_seeds.MASKS):
+        looked = ", ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "1")
+        parts.append(f"SELECT {key}, {number} AS m, i, array_to_string([{looked}], ' ') AS seed FROM "
+                     f"(SELECT *, unnest(range(1, len(w) - {spaced_seeds.SPAN - 2})) AS i FROM {table})")
+    return " UNION ALL ".join(parts)
+
+
+#: Seeds joined as strings, then every diagonal word by word. All given items have at least as many words as a mask.
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS ({_seeds_sql("d", "doc_id")}),
+bs AS ({_seeds_sql("b", "item_id")}),
+c AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
+k AS (SELECT doc_id, item_id, shift, b.w AS bw, d.w AS dw, least({spaced_seeds.WINDOW}, len(b.w)) AS width,
+  unnest(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1)) AS k, least(len(b.w), len(d.w) - shift) AS last
+  FROM c JOIN d USING (doc_id) JOIN b USING (item_id)),
+a AS (SELECT doc_id, item_id, shift, width, k, last, sum(CAST(bw[k] = dw[k + shift] AS INTEGER)) OVER (
+  PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS agree FROM k)
+SELECT doc_id, item_id, CAST(k + shift - 1 AS INTEGER) AS start, CAST(k + shift - 1 + width AS INTEGER) AS "end",
+  CAST(width AS INTEGER) AS n_words, CAST(agree AS INTEGER) AS n_agree
+FROM a WHERE k + width - 1 <= last AND agree >= {spaced_seeds.AGREE} * width
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, k + shift) = 1"""
+
+ORACLE = {"op2_near_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_decontamination": OP9_SQL}
