@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.splitting import split_batches
 from ..functions.text import content_key
 from ..operators import browse as B
 from ..operators import drafts as D
@@ -17,6 +18,7 @@ from ..sources import sinks
 from ..streaming import ingest as I
 from ..streaming import progress as P
 from . import tables as t
+from .chunking import split_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -591,13 +593,17 @@ def streamed_progress_with_timeouts(spark, sf):
     return P.latest_states(spark.read.parquet(f"{folder}/out")).select("run_id", "stage", "status", "percent")
 
 
-@query("""WITH k AS (SELECT substr(sha256(text), 1, 16) AS content_key, length(text) AS n FROM documents) SELECT DISTINCT content_key, n FROM k""")
+@query(f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' v2' ELSE text END AS text FROM documents),
+s AS (SELECT doc_id, text, {split_sql('text', 400, 100)} AS parts FROM changed)
+SELECT doc_id, substr(sha256(text), 1, 16) AS content_key, generate_subscripts(parts, 1) - 1 AS pos, md5(unnest(parts)) AS chunk FROM s""")
 def incremental_ingest(spark, sf):
-    """Two runs over the same documents; the second finds nothing new"""
+    """All documents, then a version in which every tenth has changed, cut into chunks; copies share theirs"""
     folder = work_folder(spark)
     schema = table(spark, sf, "documents").schema
-    keep = lambda rows: rows.select("content_key", F.length("text").alias("n"))
-    for log in ("first", "second"):
-        stream = spark.readStream.schema(schema).parquet(f"{sf}/document[s].parquet")
-        I.ingest(stream, f"{folder}/out", f"{folder}/{log}", keep).awaitTermination()
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select("content_key", "n")
+    cut = lambda rows: rows.select("content_key", "text").mapInArrow(split_batches(400, 100), "key string, pos int, chunk string") \
+        .withColumnRenamed("key", "content_key")
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
+    for log, text in (("first", F.col("text")), ("second", changed)):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/document[s].parquet").withColumn("text", text)
+        I.ingest(stream, f"{folder}/out", f"{folder}/{log}", cut, path="doc_id").awaitTermination()
+    return I.current(spark, f"{folder}/out", "doc_id").select("doc_id", "content_key", "pos", F.md5("chunk").alias("chunk"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +30,17 @@ def new_content(batch: DataFrame, seen: DataFrame | None, text: str = "text",
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, process: Callable[[DataFrame], DataFrame],
-           text: str = "text", key: str = "content_key"):
+           text: str = "text", key: str = "content_key", path: str | None = None):
     """Process unseen content of every micro-batch and append it to ``target``.
 
     A batch writes its own partition, named by checkpoint and batch number, and
     overwrites it when replayed: a restart after a lost driver or executor
     neither loses nor doubles rows, and a second stream with a checkpoint of
     its own adds only what is new. ``process`` must keep the key column.
+
+    Given the name of a ``path`` column, every path of the batch is noted with the
+    key of its content in ``path_table(target)``, also where the content is known:
+    equal files share what was processed, and none is lost.
     """
     source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
@@ -44,17 +49,32 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, process: Callable[[D
         seen = _earlier(batch.sparkSession, target, own, key)
         rows = process(new_content(batch, seen, text, key))
         rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={own}")
+        if path:
+            batch.select(path, content_key(text).alias(key), F.current_timestamp().alias("ingested_at")).write.mode(
+                "overwrite").parquet(f"{path_table(target)}/{BATCH}={own}")
 
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
 
 
+def path_table(target: str) -> str:
+    return f"{target.rstrip('/')}_paths"
+
+
+def current(spark: SparkSession, target: str, path: str, key: str = "content_key") -> DataFrame:
+    """What was processed of every path's newest content; a changed file replaces its rows, an equal one shares them."""
+    noted = spark.read.option("basePath", path_table(target)).parquet(path_table(target))
+    newest = noted.groupBy(path).agg(F.max_by(key, F.struct("ingested_at", BATCH)).alias(key))
+    return newest.join(spark.read.option("basePath", target).parquet(target).drop(BATCH), key, "left")
+
+
 def _earlier(spark: SparkSession, target: str, own: str, key: str) -> DataFrame | None:
     """Keys written by other batches; folder pruning skips this batch's own rows."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder) or not system.listStatus(folder):
-        return None
-    rows = spark.read.option("basePath", target).parquet(target)
+    try:
+        rows = spark.read.option("basePath", target).parquet(target)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     return rows.filter(F.col(BATCH) != own).select(key).distinct()

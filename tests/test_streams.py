@@ -58,3 +58,16 @@ def test_a_stage_entered_again_stays_finished(spark):
     want = {"aba": ["A", "B"], "abab": ["A", "B"], "ab": ["A"], "a": []}
     assert {r.run_id: r.stages_completed for r in progress.progress(df).collect()} == want
     assert progress._done(["A", "B"], [0, 1], [2, 1], "A", "running") == ["A", "B"] and progress._done(["A"], [0], [5], "A", "running") == []
+
+
+def test_ingest_keeps_every_path_and_replaces_changed_files(spark, tmp_path):
+    docs = "path string, text string"
+    cut = lambda rows: rows.select("content_key", F.explode(F.split("text", " ")).alias("word"))
+    out = str(tmp_path / "out")
+    for n, rows in enumerate([[("p1", "a b"), ("p2", "a b"), ("p3", "c")], [("p3", "a b"), ("p4", "d e")]]):
+        spark.createDataFrame(rows, docs).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = ingest.read_documents(spark, str(tmp_path / "in/*"), docs)
+        ingest.ingest(stream, out, str(tmp_path / "log"), cut, path="path").awaitTermination()
+    got = sorted((r.path, r.word) for r in ingest.current(spark, out, "path").collect())
+    assert got == [("p1", "a"), ("p1", "b"), ("p2", "a"), ("p2", "b"), ("p3", "a"), ("p3", "b"), ("p4", "d"), ("p4", "e")]
+    assert spark.read.option("basePath", out).parquet(out).count() == 5
