@@ -42,7 +42,7 @@ def passages(spark, sf):
     facts = docs.select(
         "doc_id", F.when(key % 5 != 0, F.col("source")).alias("file_name"),
         F.when(key % 7 != 0, (key % 9).cast("string")).alias("page_or_sheet"),
-        F.substring("text", 1, 300).alias("text"), F.when(key % 2 == 0, F.col("text")).alias("parent_text"))
+        F.col("text"), F.when(key % 2 == 0, F.col("text")).alias("parent_text"))
     return hits.join(facts, "doc_id").select(
         F.col("item_id").alias("leaf_id"), "rank", "score", key.cast("string").alias("chunk_id"),
         "file_name", "page_or_sheet", "text", "parent_text")
@@ -50,12 +50,12 @@ def passages(spark, sf):
 
 _PASSAGES = f"""d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark), {t.BM25},
 passages AS (SELECT qid AS leaf_id, rank, score, CAST(id AS VARCHAR) AS chunk_id, CASE WHEN id % 5 <> 0 THEN source ELSE '未知文件' END AS file_name,
-  CASE WHEN id % 7 <> 0 THEN CAST(id % 9 AS VARCHAR) ELSE '?' END AS page, substr(o.text, 1, 300) AS text, CASE WHEN id % 2 = 0 THEN o.text END AS parent_text
+  CASE WHEN id % 7 <> 0 THEN CAST(id % 9 AS VARCHAR) ELSE '?' END AS page, o.text AS text, CASE WHEN id % 2 = 0 THEN o.text END AS parent_text
   FROM bm25 JOIN documents o ON o.doc_id = id WHERE rank <= 5)"""
 
 
 @query(f"""WITH {_PASSAGES} SELECT leaf_id, md5(string_agg('【来源' || rank || '】' || file_name || ' | 第' || page || '页 | 相关度: ' || printf('%.2f', score) || chr(10) ||
-  CASE WHEN length(parent_text) <= 2000 THEN parent_text ELSE text END || chr(10), chr(10) ORDER BY rank)) AS context_text,
+  CASE WHEN length(parent_text) <= 2000 THEN parent_text WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 2000) || '...' END || chr(10), chr(10) ORDER BY rank)) AS context_text,
   string_agg(chunk_id || '/' || file_name || '/' || page, ';' ORDER BY rank) AS sources, string_agg('[来源' || rank || ']', ', ' ORDER BY rank) AS available FROM passages GROUP BY leaf_id""")
 def source_contexts(spark, sf):
     """D1"""
@@ -79,7 +79,7 @@ def cited_source_texts(spark, sf):
     """Sources of a draft with their text; every third chunk is gone"""
     rows = D.contexts(passages(spark, sf)).select("leaf_id", "sources_mapping", F.array(F.lit(1), F.lit(3)).alias("cited_sources"))
     chunks = table(spark, sf, "documents").filter("doc_id % 3 <> 0").select(
-        F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 300).alias("text"), F.lit(False).alias("is_table"))
+        F.col("doc_id").cast("string").alias("chunk_id"), F.col("text"), F.lit(False).alias("is_table"))
     return D.sources_with_text(rows, chunks).select("leaf_id", F.col("source_id").alias("rank"), "chunk_id", "text", "is_cited")
 
 
