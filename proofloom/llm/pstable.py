@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, work_folder
 
 TABLES, HASHES, PROBES = 16, 8, 120
 WIDTH = 1.6
@@ -253,12 +253,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
         asked = sound(queries.select("vec_id", "embedding").dropDuplicates(["vec_id"]), dimensions)
         probed = cut_lineage(asked.mapInArrow(_prober(f, n_probes), "vec_id long, vector binary, codes binary"))
         rows = max(1, block_bytes // (8 * dimensions + 16 * tables * (n_probes + 1)))
+        folder = f"{work_folder(spark)}/found"
+        out.write.parquet(folder)  # so that the folder exists without queries
+
+        def scan(block: Probes, full: bool) -> None:
+            """One pass over the vectors for one block; its rows join those of the others, and no plan grows with the blocks."""
+            task = _searcher(spark.sparkContext.broadcast((f, block)), dimensions, k, full)
+            vectors.mapInArrow(task, FOUND).write.mode("append").parquet(folder)
+
         for block in _blocks(probed, f, rows):
-            out = out.unionByName(vectors.mapInArrow(_searcher(spark.sparkContext.broadcast((f, block)), dimensions, k, False), FOUND))
-        found = cut_lineage(out)
+            scan(block, False)
+        found = spark.read.schema(FOUND).parquet(folder)
         enough = found.groupBy(F.col("query_id").alias("__q")).agg(F.countDistinct("vec_id").alias("__n")).filter(F.col("__n") >= k)
-        for block in _blocks(probed.join(enough, F.col("vec_id") == F.col("__q"), "left_anti"), f, rows):
-            found = found.unionByName(vectors.mapInArrow(_searcher(spark.sparkContext.broadcast((f, block)), dimensions, k, True), FOUND))
+        short = cut_lineage(probed.join(enough, F.col("vec_id") == F.col("__q"), "left_anti"))
+        for block in _blocks(short, f, rows):
+            scan(block, True)
+        found = spark.read.schema(FOUND).parquet(folder)
         out = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return out.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
