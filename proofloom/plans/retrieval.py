@@ -207,14 +207,14 @@ _ORDER = "CASE consistency " + " ".join(f"WHEN '{m}' THEN {o}" for m, _, o, _ in
 
 @query(f"""{_WITH} SELECT a.chunk_id, file_name, file_path, coalesce(folder_code, '') AS folder_code, coalesce(i.topic, '') AS folder_topic,
   coalesce(i.indicator, '') AS folder_indicator, len(top) AS semantic_top5, consistency,
-  regexp_replace(substr(text, 1, 200), '[\\n\\r]', ' ', 'g') AS text_preview, page_or_sheet, pos AS chunk_index, suggested_code AS human_code, '' AS human_note,
+  regexp_replace(substr(text, 1, 200), '[\\n\\r]', ' ', 'g') AS text_preview, page_or_sheet, pos AS chunk_index, coalesce(suggested_code, '') AS human_code, '' AS human_note,
   row_number() OVER (ORDER BY {_ORDER}, pos) AS place FROM aligned a LEFT JOIN indicators i ON i.code = folder_code""")
 def review_table(spark, sf):
     """S11 J1 L5; the shown score list is reduced to its length (two-digit rounding is unit-tested)"""
     from ..operators.ranking import global_rank
 
     rows = A.review_table(aligned(spark, sf), t.indicators(spark, sf)).withColumn(
-        "semantic_top5", F.size(F.split("semantic_top5", ", ")))
+        "semantic_top5", F.when(F.col("semantic_top5") == "", 0).otherwise(F.size(F.split("semantic_top5", ", "))))
     return global_rank(rows, [], [A.review_order("consistency"), F.col("chunk_index")], "place")
 
 
@@ -281,8 +281,8 @@ def pool_reasons(spark, sf):
     return X.candidate_reasons(c.drop("embedding").withColumn("text", text), vectors, scores, LOW)
 
 
-_REASONS = f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_NEAR}, r AS (SELECT c.chunk_id, CASE WHEN pos % 23 = 0 THEN 'invalid_embedding' WHEN pos % 19 = 0 THEN 'not_in_table'
-  WHEN score < {LOW} THEN 'low_score' WHEN pos % 29 = 0 THEN 'photo' END AS reason FROM chunks c JOIN near USING (chunk_id) WHERE rank = 1)"""
+_REASONS = f"""WITH {t.CHUNKS}, {t.INDICATORS}, {_NEAR}, r AS (SELECT c.chunk_id, CASE WHEN pos % 23 = 0 OR v IS NULL THEN 'invalid_embedding' WHEN pos % 19 = 0 THEN 'not_in_table'
+  WHEN score < {LOW} THEN 'low_score' WHEN pos % 29 = 0 THEN 'photo' END AS reason FROM chunks c LEFT JOIN (SELECT * FROM near WHERE rank = 1) n USING (chunk_id))"""
 
 
 @query(f"{_REASONS} SELECT chunk_id FROM r WHERE reason IS NULL")
@@ -308,7 +308,7 @@ def fusion_inputs(spark, sf):
 
 _RANKED = f"""{t.LEAVES}, d AS (SELECT chunk_id AS id, text FROM chunks), q AS (SELECT leaf_id AS qid, retrieval_query AS text FROM leaves), {t.BM25},
 pairs AS (SELECT leaf_id, chunk_id, parent_id, folder_code, code, pos, file_name, page_or_sheet, c.text, round(list_dot_product(c.v, rq), 6) AS score_rq,
-  round(list_dot_product(c.v, hyde), 6) AS score_hyde FROM leaves, chunks c),
+  round(list_dot_product(c.v, hyde), 6) AS score_hyde FROM leaves, chunks c WHERE c.v IS NOT NULL),
 ranks AS (SELECT p.*, row_number() OVER (PARTITION BY p.leaf_id ORDER BY score_rq DESC, chunk_id) AS rank_rq,
   row_number() OVER (PARTITION BY p.leaf_id ORDER BY score_hyde DESC, chunk_id) AS rank_hyde, b.rank AS rank_bm25, b.score AS score_bm25
   FROM pairs p LEFT JOIN (SELECT qid, id, rank, score FROM bm25 WHERE rank <= 100 AND qid <> 'r003') b ON qid = leaf_id AND id = chunk_id),
