@@ -194,6 +194,26 @@ def _scanner(shared, short: list[int]):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay, so do rows without doc_id that hold none."""
-    named = contaminated(docs.filter("doc_id IS NOT NULL"), benchmark, block_words).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(named, docs["doc_id"].cast("long") == named["__held"], "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay.
+
+    Each row is judged by its own text, where it is read, so nothing is shuffled and
+    rows without doc_id or with a repeated one need no special case.
+    """
+    context = docs.sparkSession.sparkContext
+    for block in blocks(benchmark, block_words):
+        short = sorted({len(w) for _, w in block if 0 < len(w) < SPAN})
+        docs = docs.mapInArrow(_sieve(context.broadcast(build(block)), short), docs.schema)
+    return docs
+
+
+def _sieve(shared, short: list[int]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for at, texts in words.slices(batch.column("text")):
+                w = words.words(texts)
+                for t in hopeful(w, index, short):
+                    clean[at + t] = not find(w.hash[w.first[t]:w.first[t + 1]], index, short)
+            yield batch.filter(pa.array(clean))
+    return task

@@ -317,4 +317,5 @@ def test_decontamination_of_odd_rows(spark):
     got = sorted((r["doc_id"], r["item_id"]) for r in spaced_seeds.contaminated(docs, items).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (6, 4), (7, 4), (8, 1), (9, 1)]
     assert spaced_seeds.decontaminate(docs, items).count() == docs.count() - 7
+    assert spaced_seeds.decontaminate(docs, items, block_words=1).count() == docs.count() - 7
     assert spaced_seeds.contaminated(docs.limit(0), items).collect() == [] == spaced_seeds.contaminated(docs, items.limit(0)).collect()
