@@ -2,7 +2,7 @@
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z count as a-z. The
 kernels work on UTF-8 bytes, so texts are never decoded, and on slices of
-about a megabyte, so memory does not grow with the batch. A text longer than
+about a quarter of a megabyte, so memory does not grow with the batch. A text longer than
 that is a slice of its own and is still handled whole.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
