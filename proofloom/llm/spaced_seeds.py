@@ -5,8 +5,13 @@ ignores the rest, so two passages share a seed hash although words at
 ignored places differ. Hashes of all benchmark windows are joined with the hashes of
 all training windows; every hit fixes a diagonal (place in the document minus
 place in the item), along which the words are compared one by one. A document is
-contaminated by an item when, along a diagonal, a stretch of ``WINDOW`` words (or
-the whole item, if it is shorter) agrees in at least ``AGREE`` of its words.
+contaminated by an item when, along a diagonal that holds a hit,
+
+- a stretch of ``WINDOW`` words (or the whole item, if it is shorter) agrees in at least ``AGREE`` of its words, or
+- the document's start or end leaves less of the item than that, but at least ``LEAST`` words, and ``AGREE`` of them agree, or
+- a shorter stretch inside other text, of at least ``LEAST`` words, agrees in at least ``EXCERPT`` of its words, or
+- one of these holds when words also count on the ``DRIFT`` diagonals to either side, in the order of both texts,
+  so that inserted or deleted words do not split an item (items of at least ``SPAN`` words).
 
 The benchmark is the stated query set. It is taken in blocks of at most
 ``BLOCK_WORDS`` words; a block's index (a sorted table of hashes) has a size
@@ -31,6 +36,9 @@ MASKS = ("11011011", "11100111", "10110111")
 SPAN = 8
 WINDOW = 32
 AGREE = 0.75
+LEAST = 13
+EXCERPT = 0.8
+DRIFT = 4
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
 
@@ -89,6 +97,47 @@ def best_stretch(agree: np.ndarray, width: int) -> tuple[int, int]:
     return at, int(sums[at])
 
 
+def drifting(body: np.ndarray, hashed: np.ndarray, shift: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(start in the item, words, agreeing words) of the first best stretch of 1, 2, ... ``width`` words of an item.
+
+    Words agree on the diagonals ``shift - DRIFT`` to ``shift + DRIFT``. To a later one words of the
+    document are passed over; to an earlier one words of the item, which count as not agreeing. Stretches
+    without a word that agrees on ``shift`` itself are left to other hits.
+    """
+    reach = np.arange(len(body))[:, None] + np.arange(shift - DRIFT, shift + DRIFT + 1)
+    inside = (reach >= 0) & (reach < len(hashed))
+    agree = (inside & (hashed[np.clip(reach, 0, len(hashed) - 1)] == body[:, None])).astype(np.int32)
+    run = np.concatenate([[0], np.cumsum(agree[:, DRIFT])])
+    first = np.arange(len(body))
+    first = first[run[np.minimum(first + width, len(body))] > run[first]]
+    total = np.zeros((len(first), agree.shape[1]), np.int32)
+    for k in range(width):
+        there = first + k < len(body)
+        if not there.any():
+            return
+        first, total = first[there], total[there]
+        skipped = np.concatenate([total[:, 1:], total[:, -1:]], axis=1)
+        total = np.maximum(np.maximum.accumulate(total, axis=1) + agree[first + k], skipped)
+        most = total.max(axis=1)
+        at = int(np.argmax(most))
+        yield int(first[at]), k + 1, int(most[at])
+
+
+def excerpts(body: np.ndarray, hashed: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """(start in the item, words, agreeing words) of stretches that count though no whole window does."""
+    least, width = min(LEAST, len(body)), min(WINDOW, len(body))
+    low, high = max(0, -shift), min(len(body), len(hashed) - shift)
+    same = body[low:high] == hashed[low + shift:high + shift]
+    for n in range(least, min(width, high - low + 1)):
+        start, agree = best_stretch(same, n)
+        if agree >= (AGREE if n == high - low else EXCERPT) * n:
+            yield low + start, n, agree
+    if len(body) >= SPAN:
+        for start, n, agree in drifting(body, hashed, shift, width):
+            if n >= least and agree >= (AGREE if n == width else EXCERPT) * n:
+                yield start, n, agree
+
+
 def find(hashed: np.ndarray, index: Index, short: list[int]) -> list[tuple[int, int, int, int, int]]:
     """(item_id, start, end, words, agreeing words) of every item that one text holds, by word places of the text."""
     found: set[tuple[int, int]] = set()
@@ -117,6 +166,15 @@ def find(hashed: np.ndarray, index: Index, short: list[int]) -> list[tuple[int,
             row = (int(index.item[item]), low + shift + start, low + shift + start + width, width, agree)
             if item not in best or (-row[4], row[1]) < (-best[item][4], best[item][1]):
                 best[item] = row
+    whole = set(best)
+    for item, shift in found:
+        if item in whole:
+            continue
+        for start, n, agree in excerpts(index.word[index.first[item]:index.first[item + 1]], hashed, shift):
+            at = max(0, start + shift)
+            row = (int(index.item[item]), at, min(len(hashed), start + shift + n), n, agree)
+            if item not in best or (-row[4], row[3], row[1]) < (-best[item][4], best[item][3], best[item][1]):
+                best[item] = row
     return sorted(best.values())
 
 
@@ -162,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
     ``docs`` has (doc_id, text), ``benchmark`` (item_id, text). Words are
     lower-cased runs of characters other than white space; start and end are word
-    places in the document of its best stretch.
+    places in the document of its best stretch, on the diagonal of its hit; n_words are words of the item.
 
     Null or wordless texts hold nothing and are held by nothing; items of fewer words
     than a mask must agree in every word; rows without item_id are no items; a null

@@ -311,6 +311,40 @@ def test_whole_items_inside_documents_are_found(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(texts) - {d for d, _ in got}
 
 
+def test_parts_of_items_are_found(spark):
+    """Items cut by the document's ends, excerpts inside other text, and items with an inserted or a deleted word."""
+    docs, want = [], set()
+    items = [(n, helpers.prose(n, n * 60).split()) for n in (15, 20, 30, 40, 46, 59)]
+    around = lambda k: [f"x{k}y{i}" for i in range(40)]
+
+    def add(item, part, before=True, after=True, held=True):
+        d = len(docs)
+        docs.append((d, " ".join([*(around(2 * d) if before else []), *part, *(around(2 * d + 1) if after else [])])))
+        want.update({(d, item)} if held else ())
+
+    for i, w in items:
+        half = len(w) // 2
+        for cut in (["new"], ["one", "two", "three"]):
+            add(i, w[:half] + cut + w[half:])
+            add(i, w[:half] + cut + w[half:], False, False)
+        if len(w) > 15:  # else both parts are shorter than a seed
+            add(i, w[:half] + w[half + 1:])
+        for n in range(13, min(len(w), 32)):
+            for before, after in ((False, False), (False, True), (True, False), (True, True)):
+                add(i, w[-n:] if not before else w[:n], before, after)
+        if len(w) > 32:
+            add(i, w[5:28])
+            add(i, [*w[5:14], "new", *w[14:28]])
+            add(i, [*w[5:10], "a", *w[11:16], "b", *w[17:22], "c", *w[23:31]])
+            add(i, [v if k % 4 else f"s{k}" for k, v in enumerate(w[:8])] + w[8:20], False, False)
+        add(i, w[:10], held=False)  # 10 of 13 words are too few inside other text
+        add(i, w[::2], held=False)
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    documents, benchmark = frame(docs, "doc_id"), frame([(i, " ".join(w)) for i, w in items], "item_id")
+    assert {(r["doc_id"], r["item_id"]) for r in spaced_seeds.contaminated(documents, benchmark).collect()} == want
+    assert {r["doc_id"] for r in spaced_seeds.decontaminate(documents, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_decontamination_of_odd_rows(spark):
     docs = odd(spark, "item_id string, start string")
     items = spark.createDataFrame([(1, helpers.prose(40)), (1, helpers.prose(40)), (2, None), (3, ""), (None, helpers.prose(40)), (4, "two words")], "item_id long, text string")
