@@ -2,10 +2,10 @@
 
 A byte-pair vocabulary packs ordinary words and identifiers into few tokens; random
 strings break into tokens of one or two characters. A candidate is a run of key
-characters; its text without separators is encoded, and it is reported when it has
-fewer than ``MAX_CHARS_PER_TOKEN`` characters per token and mixes letters with
-digits. Left out are UUIDs, digests of the usual lengths that no key word leads,
-dates and numbers, links and file paths, and words joined by separators.
+characters; its parts between separators are encoded one by one, and it is reported when
+consecutive tokens with ``MIN_LENGTH`` characters or more have fewer than
+``MAX_CHARS_PER_TOKEN`` characters per token, so words beside a secret do not hide it. Left
+out are UUIDs, digests of the usual lengths that no key word leads, and runs without letters (dates, numbers).
 
 The base forms (assignments, access keys, long hex) are always reported.
 """
@@ -37,8 +37,9 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _HEX = re.compile(r"[0-9a-fA-F]+")
-_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-_PLAIN = re.compile(r"[0-9_/+=-]*|[A-Za-z_/+=-]*")
+_UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+_PLAIN = re.compile(r"[0-9_/+=-]*")
+_PART = re.compile(r"[A-Za-z0-9]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -51,33 +52,61 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def excluded(run: str) -> bool:
-    """Known digests and identifiers: UUIDs, bare digests, runs of one class, separated plain words."""
-    if _UUID.fullmatch(run) or (_HEX.fullmatch(run) and len(run) in DIGESTS) or _PLAIN.fullmatch(run):
-        return True
-    parts = [p for p in re.split(r"[_/+=-]", run) if p]
-    return max(map(len, parts), default=0) < 12
+def _digest(part: str) -> bool:
+    return len(part) in DIGESTS and bool(_HEX.fullmatch(part))
 
 
-def efficiency_spans(text: str, encode) -> list[tuple[int, int, str]]:
-    """Runs of key characters that the vocabulary packs badly. A run is measured in windows, so its length costs nothing."""
+def badly_packed(run: str, encode, size) -> bool:
+    """Whether consecutive tokens of a run, ``MIN_LENGTH`` characters or more, have too few characters each.
+
+    UUIDs and digests inside the run end a stretch. ``ahead`` is characters minus ``MAX_CHARS_PER_TOKEN`` per token
+    so far; it has to fall over a stretch, so the highest value that lies far enough back decides, in one pass.
+    """
+    for text in _UUID.split(run):
+        chars, ahead, high, back = [0], [0.0], float("-inf"), 0
+        for m in _PART.finditer(text):
+            part = m.group()
+            if _digest(part):
+                chars, ahead, high, back = [0], [0.0], float("-inf"), 0
+                continue
+            for i in range(0, len(part), MAX_LENGTH):
+                for token in encode(part[i:i + MAX_LENGTH]):
+                    n = int(size(token))
+                    chars.append(chars[-1] + n)
+                    ahead.append(ahead[-1] + n - MAX_CHARS_PER_TOKEN)
+                    while chars[-1] - chars[back] >= MIN_LENGTH:
+                        high = max(high, ahead[back])
+                        back += 1
+                    if ahead[-1] < high:
+                        return True
+    return False
+
+
+def efficiency_spans(text: str, encode, size=None, taken: list[tuple[int, int, str]] = ()) -> list[tuple[int, int, str]]:
+    """Runs of key characters that hold a stretch the vocabulary packs badly; ``taken`` spans cut runs.
+
+    ``size`` gives the characters of a token; without it the encoder is asked. A run is encoded in windows, so its length costs nothing.
+    """
+    size = size or (lambda token: len(encode.__self__.decode_single_token_bytes(token)))
     out = []
     for m in _CANDIDATE.finditer(text):
-        run = m.group()
-        if excluded(run):
-            continue
-        tokens = sum(len(encode(run[i:i + MAX_LENGTH])) for i in range(0, len(run), MAX_LENGTH))
-        if len(run) < MAX_CHARS_PER_TOKEN * tokens:
-            out.append((m.start(), m.end(), "efficiency"))
+        at, pieces = m.start(), []
+        for start, end, _ in sorted(taken):
+            if start < m.end() and at < end:
+                pieces.append((at, start))
+                at = max(at, end)
+        for start, end in [*pieces, (at, m.end())]:
+            run = text[start:end]
+            if len(run) >= MIN_LENGTH and not _PLAIN.fullmatch(run) and badly_packed(run, encode, size):
+                out.append((start, end, "efficiency"))
     return out
 
 
-def scan_text(text: str, encode) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan_text(text: str, encode, size=None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each ordered by start, then kind as listed; added spans overlap no base span."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(base_spans(text), key=order)
-    more = [s for s in efficiency_spans(text, encode) if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
-    return base, sorted(base + more, key=order)
+    return base, sorted(base + efficiency_spans(text, encode, size, base), key=order)
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
@@ -98,12 +127,12 @@ def scan(docs: DataFrame, vocabulary_path: str = vocabulary.DEFAULT_PATH) -> Dat
     shared = vocabulary.share(docs.sparkSession, vocabulary_path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, _ = vocabulary.encoder(shared)
+        encoding, lengths = vocabulary.encoder(shared)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             rows, digests = [], []
             for text in batch.column("text"):
-                base, spans = scan_text(text.as_py() or "", encoding.encode_ordinary)
+                base, spans = scan_text(text.as_py() or "", encoding.encode_ordinary, lengths.__getitem__)
                 rows.append([{"kind": k, "start": s, "end": e} for s, e, k in spans])
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.list_(kind)), pa.array(digests, pa.string())],
