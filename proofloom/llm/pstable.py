@@ -10,7 +10,7 @@ The candidates of all tables are merged and ranked by their exact distance.
 Index fit: the cell width comes from the distances of a sample of at most ``SAMPLE``
 vectors, picked by a hash of their ids. Every vector is indexed: each batch of rows is hashed once and looked up
 in the probes of all queries, which are sent in blocks of bounded size. A task keeps the
-best ``k`` per query, so what is shuffled is queries times tasks times ``k`` rows.
+best ``k`` ids per query, so what is shuffled is queries times tasks times ``k`` rows.
 A query that found fewer than ``k`` rows in its buckets is answered by a full scan.
 """
 
@@ -122,13 +122,24 @@ def probes(ids: np.ndarray, vectors: np.ndarray, visited: np.ndarray) -> Probes:
     return Probes(ids, vectors, found, owners)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` (id, score) by score and id, each id once with its smallest score."""
+    order = np.lexsort((ids, scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], scores[first]
+
+
 def _nearest(ids: np.ndarray, vectors: np.ndarray, block: Probes, reached: np.ndarray | None, k: int) -> Iterator[tuple]:
     """(query, ids, scores) of the best ``k`` rows per query, exact distances, ties to smaller ids.
 
     ``reached`` marks candidate rows per query; without it every row is one.
-    A matrix product finds who can be among the best, with room for its rounding.
+    A matrix product finds who can be among the best, with room for its rounding. Rows
+    that share an id count once, before the cut: without repeats the k-th row is the edge,
+    with them the k-th of the smallest distances per id.
     """
     square = (vectors**2).sum(axis=1)
+    names, name = np.unique(ids, return_inverse=True)
     for low in range(0, len(block.ids), 256):
         part = block.vectors[low:low + 256]
         rough = square[None] + (part**2).sum(axis=1)[:, None] - 2 * part @ vectors.T
@@ -138,11 +149,15 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, block: Probes, reached: np.nd
                 continue
             if len(row) > k:
                 r = rough[i][row]
-                edge = np.partition(r, k - 1)[k - 1]
+                if len(names) < len(ids):
+                    least = np.full(len(names), np.inf)
+                    np.minimum.at(least, name[row], r)
+                    edge = np.partition(least, k - 1)[k - 1] if k <= len(names) else np.inf
+                else:
+                    edge = np.partition(r, k - 1)[k - 1]
                 row = row[r <= edge + 1e-9 * (1 + abs(edge) + float((part[i]**2).sum()))]
             exact = np.sqrt(((vectors[row] - part[i])**2).sum(axis=1))
-            order = np.lexsort((ids[row], exact))[:k]
-            yield low + i, ids[row[order]], exact[order]
+            yield low + i, *_best(ids[row], exact, k)
 
 
 def _usable(batch: pa.RecordBatch, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +196,7 @@ def _searcher(shared, dimensions: int, k: int, full: bool):
                         reached |= visited[:, inverse]
                 for q, near, score in _nearest(ids, vectors, block, reached, k):
                     if q in kept:
-                        near, score = np.concatenate([kept[q][0], near]), np.concatenate([kept[q][1], score])
-                        order = np.lexsort((near, score))[:k]
-                        near, score = near[order], score[order]
+                        near, score = _best(np.concatenate([kept[q][0], near]), np.concatenate([kept[q][1], score]), k)
                     kept[q] = (near, score)
         if kept:
             yield pa.record_batch([pa.array(np.concatenate([np.full(len(n), block.ids[q]) for q, (n, _) in kept.items()])),

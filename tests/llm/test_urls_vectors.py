@@ -148,3 +148,19 @@ def test_blocks_of_queries_agree(spark):
     queries = table.filter("vec_id % 100 = 0")
     show = lambda df: sorted(map(tuple, df.collect()))
     assert show(pstable.search(table, queries, 3)) == show(pstable.search(table, queries, 3, block_bytes=1))
+
+
+def test_repeated_rows_take_one_place(spark):
+    """More than k copies of one id, in one batch and over several, and more than k other rows."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    others = [(i, (base + 0.1 * i * np.ones(8)).tolist()) for i in range(2, 40)]
+    near = [(1, (base + 0.01 * (1 + c % 3)).tolist()) for c in range(30)]
+    ids, vectors = np.array([0, 1, *(i for i, _ in others)]), np.array([base, base + 0.01, *(v for _, v in others)])
+    want = exact(ids, vectors, 0, 5)
+    for rows in ([(0, base.tolist()), *near, *others], [*near * 150, (0, base.tolist()), *others, *near * 150]):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        for frame in (table, table.repartition(3)):
+            got = pstable.search(frame, table.filter("vec_id = 0"), 5).orderBy("rank").collect()
+            assert [(r["vec_id"], r["rank"]) for r in got] == [(v, i) for i, (v, _) in enumerate(want, 1)]
+            assert np.allclose([r["score"] for r in got], [d for _, d in want])
