@@ -22,7 +22,6 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
-MAX_TOKENS = 3
 #: Fixed rules (host, path, verdict) of the registered query.
 GIVEN = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -71,13 +70,14 @@ def given_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE,
-               min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+               min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (tokens, n, bad, confidence) from rows (tokens array, bad boolean).
 
     ``n`` URLs hold all tokens, ``bad`` of them are bad. Support counts bad
     URLs: at least ``min_support`` of all labelled URLs and ``min_count``. Tokens that are too
-    rare for that are dropped before mining. A rule with a proper part that is
-    at least as confident is dropped. Without labels there are no rules.
+    rare for that are dropped before mining; combinations have any length. Confidence is at least ``min_lift`` times
+    the share of bad URLs, or half-way from that share to 1 where this is less, so rules stay possible when most URLs are bad.
+    A rule with a proper part that is at least as confident is dropped. Without labels there are no rules.
     """
     urls = cut_lineage(urls.select("tokens", "bad"))
     totals = urls.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
@@ -87,31 +87,42 @@ def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_count: int
     if bad < least:
         return none
     # A rule's tokens are frequent among bad URLs, so only such tokens are mined.
+    bound = max(min_confidence, min(min_lift * bad / n, (1 + bad / n) / 2))
     frequent = urls.filter("bad").select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= least).select("token")
+    if bad / n < bound:  # a token of every URL is no rule then, and a set with it is no better than without
+        every = urls.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") == n).select("token")
+        frequent = frequent.join(every, "token", "left_anti")
     kept = cut_lineage(urls.withColumn("id", F.monotonically_increasing_id()))
     seen = kept.select("id", "bad", F.explode("tokens").alias("token")).join(broadcast_if_small(frequent), "token") \
         .groupBy("id", "bad").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     seen = cut_lineage(seen)
     grow = lambda rows: FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(rows.count(), 1), minConfidence=1.0,
                                  numPartitions=rows.sparkSession.sparkContext.defaultParallelism).fit(rows).freqItemsets
-    sets = grow(seen.filter("bad").select(F.col("tokens").alias("items"))).filter(F.size("items") <= max_tokens) \
-        .select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
+    sets = grow(seen.filter("bad").select(F.col("tokens").alias("items"))).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
     sets = cut_lineage(sets)
     # How often bad or not: every combination of a URL that is in the list of candidates is counted.
     counted = matches(seen.select("id", "tokens"), sets).groupBy("rule").agg(F.count("*").alias("n"))
-    rules = sets.join(counted.withColumnRenamed("rule", "tokens"), "tokens").withColumn("confidence", F.col("bad") / F.col("n"))
-    rules = cut_lineage(rules.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * bad / n)))
-    parts = rules.withColumn("part", F.explode(_parts(max_tokens)))
-    beaten = parts.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("other")), "part") \
-        .filter("other >= confidence").select("tokens").distinct()
-    return rules.join(beaten, "tokens", "left_anti").select("tokens", "n", "bad", "confidence")
-
-
-def _parts(max_tokens: int) -> Column:
-    """All proper non-empty parts of the array ``tokens`` of at most ``max_tokens`` values."""
-    numbers = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("tokens")) - 2).cast("int"))
-    return F.when(F.size("tokens") > 1, F.transform(numbers, lambda m: F.filter(
-        F.col("tokens"), lambda t, i: F.getbit(m.cast("long"), i) == 1)))
+    sets = cut_lineage(sets.join(counted.withColumnRenamed("rule", "tokens"), "tokens").withColumn("confidence", F.col("bad") / F.col("n")))
+    rules = sets.filter(F.col("confidence") >= bound)
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    # Every part of a frequent set is frequent, so the best confidence among all parts climbs one token at a time.
+    below, kept = None, none
+    for size in range(1, longest + 1):
+        here = sets.filter(F.size("tokens") == size)
+        if below is None:
+            here = here.withColumn("parts", F.lit(-1.0))
+        else:
+            best = here.select("tokens", F.explode(_shorter()).alias("part")).join(below, "part").groupBy("tokens").agg(F.max("best").alias("parts"))
+            here = here.join(best, "tokens")
+        here = cut_lineage(here)
+        kept = kept.unionByName(here.filter((F.col("confidence") >= bound) & (F.col("confidence") > F.col("parts"))).drop("parts"))
+        below = here.select(F.col("tokens").alias("part"), F.greatest("confidence", "parts").alias("best"))
+    return kept
+
+
+def _shorter() -> Column:
+    """The parts of the array ``tokens`` that lack one of its values."""
+    return F.transform("tokens", lambda t: F.array_except(F.col("tokens"), F.array(t)))
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:

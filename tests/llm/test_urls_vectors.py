@@ -72,6 +72,24 @@ def test_mined_rules_equal_brute_force(spark):
         assert (r["n"], r["bad"]) == (len(holds), sum(holds))
 
 
+def test_rules_of_more_than_three_tokens(spark):
+    """Four tokens that are bad together while every part of them is mostly good; and a fifth that they need nowhere."""
+    four = ("a", "b", "c", "d")
+    taught = [({*four, f"x{i % 2}"}, True) for i in range(20)] + [({*four} - {t}, False) for t in four for _ in range(30)]
+    taught += [({"z", *four}, False)] * 2 + [({"y"}, False)] * 60
+    rows = spark.createDataFrame([(sorted(t), b) for t, b in taught], "tokens array<string>, bad boolean")
+    rules = {tuple(r["tokens"]): (r["n"], r["bad"]) for r in url_rules.mine_rules(rows).collect()}
+    assert set(rules) == brute_rules(taught, 5, 0.5, 1.5, 5) and rules[four] == (22, 20)
+
+
+def test_rules_where_most_urls_are_bad(spark):
+    taught = [({"a", "s"}, True)] * 80 + [({"b", "s"}, True)] * 10 + [({"b", "s"}, False)] * 20
+    rows = spark.createDataFrame([(sorted(t), b) for t, b in taught], "tokens array<string>, bad boolean")
+    assert [tuple(r["tokens"]) for r in url_rules.mine_rules(rows).collect()] == [("a",)]
+    rows = rows.filter("bad")
+    assert {tuple(r["tokens"]) for r in url_rules.mine_rules(rows).collect()} == {("a",), ("b",), ("s",)}
+
+
 def test_rules_block_unlabelled_urls(spark):
     bad = [f"http://casino-win.example.net/en/{100 + i}" for i in range(40)]
     good = [f"http://news.example.net/en/{100 + i}" for i in range(200)]
