@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, on whole tables, and their SQL."""
+"""The registered queries of the operators, on whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_crf, minhash, mixing, ordinal, pstable, secrets, sharding, spaced_seeds, token_spans, url_rules
+from . import first_fit, line_crf, minhash, mixing, ordinal, packed_products, pstable, secrets, sharding, spaced_seeds, token_spans, turn_trie, url_rules
 
 
 def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +67,25 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_spans.count_tokens(table(spark, sf, "documents"), ["source", "lang", "text"], "most")
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh row's label is moved on by one."""
+    label = F.col("label").cast("long")
+    rows = table(spark, sf, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return packed_products.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix trie of all conversations, each branched from the first one of its hundred."""
+    return turn_trie.trie(turn_trie.branched(table(spark, sf, "conversations")))
+
+
+def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return first_fit.pack(table(spark, sf, "documents"), first_fit.vocabulary_path())
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_url_filter, op5_nearest, op6_quality, op7_secrets,
-                                   op8_toxicity, op9_decontamination, op10_token_counts)}
+                                   op8_toxicity, op9_decontamination, op10_token_counts, op11_hard_negatives, op12_conversation_trie, op13_packing)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -160,4 +177,44 @@ SELECT doc_id, item_id, CAST(k + shift - 1 AS INTEGER) AS start, CAST(k + shift
 FROM a WHERE k + width - 1 <= last AND agree >= {spaced_seeds.AGREE} * width
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, k + shift) = 1"""
 
-ORACLE = {"op2_near_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_decontamination": OP9_SQL}
+#: Integer inner products of all anchors with all rows, ranked twice.
+OP11_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({packed_products.SCALE} * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {packed_products.POSITIVES}),
+n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) AS "rank"
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+    AND {packed_products.LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {packed_products.HIGH} * positive_score)
+SELECT anchor_id, positive_id, CAST("rank" AS INTEGER) AS "rank", negative_id, positive_score, negative_score
+FROM n WHERE "rank" <= {packed_products.NEGATIVES}"""
+
+_CRC_BITS = "list_reduce(list_prepend({x}, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
+
+#: Every prefix of every branched conversation as a list; subtrees by joining each prefix to those it starts.
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % {turn_trie.GROUP} AS base, CAST(xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))),
+    lambda c, d: {_CRC_BITS.format(x="xor(c, d)")}), 4294967295) % {turn_trie.SHARED} AS INTEGER) AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h], h.own[h + 1:]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.base),
+m AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+x AS (SELECT conv_id, depth, s[1:depth] AS p, len(s) = depth AS e, CASE WHEN depth > 0 THEN length(s[depth].text) ELSE 0 END AS size FROM m),
+n AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (e), '')) AS ends FROM x GROUP BY p, depth),
+k AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS k FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(k, 0) AS k FROM n LEFT JOIN k USING (p, depth)),
+u AS (SELECT *, unnest(range(0, depth + 1)) AS d FROM f),
+z AS (SELECT p[1:d] AS p, d AS depth, sum(CAST(k = 0 AS BIGINT)) AS leaves, sum((n - 1) * size) AS saved FROM u GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n AS n_convs, f.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN z USING (p, depth) LEFT JOIN f a ON a.depth = f.depth - 1 AND a.p = f.p[1:f.depth - 1]"""
+
+ORACLE = {"op2_near_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_trie": OP12_SQL}
