@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, fields: list[str], rule: str = "start", vocabu
     The fields are joined by line feeds, in the order given. The counts of a document add up to
     the tokens of its joined text. A null field counts as empty and is one
     empty section; a null doc_id stays null; repeated rows are counted each; no rows give
-    no rows. ``n_crossing`` of a section's tokens reach over a border.
+    no rows. Texts of any length and runs of white space of any length are encoded. ``n_crossing`` of a section's tokens reach over a border.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, fields: list[str], rule: str = "start", vocabu
                 part = [c.slice(low, 256).to_pylist() for c in columns]
                 rows = []
                 for doc, values in zip(batch.column("doc_id").slice(low, 256).to_pylist(), zip(*part)):
-                    rows += [(doc, i, *row) for i, row in enumerate(count_document(list(values), fields, encoding.encode_ordinary, lengths, rule))]
+                    rows += [(doc, i, *row) for i, row in enumerate(count_document(list(values), fields, lambda t: vocabulary.encode(encoding, t), lengths, rule))]
                 kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                       ["doc_id", "section", "field", "start", "end", "n_tokens", "n_crossing"])
