@@ -7,8 +7,8 @@ carry the document's label. Forward-backward marginals of "good", weighted
 by line length, give a document's share of good text, and a logistic
 curve fitted on the same documents turns the share into a score.
 
-Only the fit leaves the tasks: the features of at most ``SAMPLE`` labelled documents, picked by a
-hash of their ids, come to the driver.
+Only the fit leaves the tasks: the features of at most ``SAMPLE`` labelled documents of at most
+``MAX_LINES`` lines, picked by a hash of their ids, come to the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import words
 
-SAMPLE = 3000
+SAMPLE, MAX_LINES = 3000, 1000
 ROUNDS = 80
 THRESHOLD = 0.3
 _L2 = 1e-3
@@ -246,22 +246,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["label", "features", "length"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int, wanted: str = "label IS NOT NULL") -> DataFrame:
     """(text, label) of at most ``sample`` labelled documents outside the held-out part, by a hash of their ids.
 
-    An id with two different labels teaches nothing.
+    Labels of ids that are not among ``docs`` and documents of more than ``MAX_LINES`` lines are passed over before the
+    sample is taken. An id with two different labels teaches nothing; one with several texts teaches its smallest.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(column).cast("int").alias("label")) \
-        .filter("id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("id"))) \
-        .groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other") \
-        .orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "id").select("text", "label")
+        .filter("id IS NOT NULL AND label IS NOT NULL").filter(wanted).filter(~held_out(F.col("id"))) \
+        .groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")) \
+        .filter(F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) < MAX_LINES)
+    picked = ids.join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    return texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on the labelled documents; ``labels`` has (doc_id, quality)."""
-    rows = labelled(docs, labels, "quality", sample).filter("label IN (0, 1)").mapInArrow(
+    rows = labelled(docs, labels, "quality", sample, "label IN (0, 1)").mapInArrow(
         _features, "label int, features binary, length binary").collect()
     if not rows:
         return None

@@ -7,8 +7,9 @@ severity is the sum of these probabilities over the grades.
 Words are hashed into ``2 ** BITS`` buckets. Only buckets whose document counts
 speak for toxicity (a likelihood ratio of at least ``LEAST_RATIO`` on the labelled rows) get
 a weight, so words without evidence add nothing, however long a text is. Labels may be
-grades 0, 1, 2, ...; where they only say toxic or not, toxic rows are graded by how
-often they hold such words: up to twice, up to four times, or more.
+grades 0, 1, 2, ...; where they only say toxic or not, there is no severity to learn from, and
+as a substitute toxic rows are graded by how often they hold such words: up to twice, up to four times, or more.
+The cuts above the first then follow the features themselves.
 
 Only the fit leaves the tasks: bucket numbers of at most ``SAMPLE`` labelled documents, picked
 by a hash of their ids, come to the driver. The model's table has 2 ** BITS entries.
@@ -142,7 +143,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, size: int = 1 << BITS) -> Mo
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """Fit on labelled documents outside the held-out part; ``labels`` has (doc_id, ``column``)."""
-    rows = labelled(docs, labels, column, sample).filter("label >= 0").mapInArrow(_bags, "label int, bag binary").collect()
+    rows = labelled(docs, labels, column, sample, "label >= 0").mapInArrow(_bags, "label int, bag binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["bag"])))
     return fit([np.frombuffer(r["bag"], np.int32).astype(np.int64).reshape(2, -1) for r in rows], np.array([r["label"] for r in rows], np.int64)) if rows else None
 
