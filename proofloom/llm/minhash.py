@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import words
@@ -36,6 +37,7 @@ from .components import components
 BINS, BANDS, ROWS = 256, 42, 6
 PERCENT = 75
 BLOCK = 128
+HOT_SHARE = 1000
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
 #: Row i: place of every bin in the order in which empty bin i looks for a full one.
@@ -176,26 +178,20 @@ def _fits(a: str, b: str) -> F.Column:
     return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows, (d1, d2, n, component_id, k1, k2) of all classes of equal sets).
 
-    Two texts are linked when their sets of distinct five-word shingles have a
-    Jaccard similarity of at least 0.75. ``component_id`` is the smallest
-    doc_id a document reaches over links, ``kept`` is true for that document.
-
-    A null or wordless text has no shingles and no links. A row without doc_id
-    has no component (null) and is kept. Repeated rows share id and component.
-    If one id has different texts, one of them (smallest digest) stands for
-    the id in links. No rows give no rows.
+    ``component_id`` is the smallest doc_id that a class reaches, (``k1``, ``k2``) the set that it stands for there.
+    Nodes are classes, numbered as they are written, so different texts under one doc_id are different nodes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut_lineage(docs.mapInArrow(_signatures, SIGNATURES))
     with_id = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
 
-    classes = cut_lineage(with_id.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-    leads = classes.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("lead")).select("node", "lead.d1", "lead.d2")
-    members = with_id.join(leads, (with_id["doc_id"] == leads["node"]) & (with_id["d1"] == leads["d1"]) & (with_id["d2"] == leads["d2"])) \
-        .select("node", "n_shingles", F.explode("bands").alias("key"))
+    classes = cut_lineage(with_id.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+                          .withColumn("node", F.monotonically_increasing_id()))
+    leads = classes.select(F.col("d1").alias("l1"), F.col("d2").alias("l2"), "least", "node")
+    lead = (F.col("doc_id") == F.col("least")) & (F.col("d1") == F.col("l1")) & (F.col("d2") == F.col("l2"))
+    members = with_id.join(leads, lead).select("node", "n_shingles", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(
         F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("centre"), F.col("n_shingles").alias("size"))).alias("c"),
         F.max("node").alias("most"), F.min("node").alias("least")).filter("most > least").select("key", "c.centre", "c.size")
@@ -203,10 +199,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = cut_lineage(shared.filter(F.col("node") != F.col("centre")).filter(_fits("n_shingles", "size")).select(
         F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
-    busy = shared.select("node").distinct()
-    sets = docs.join(busy, docs["doc_id"] == busy["node"], "left_semi").mapInArrow(_sets, SETS)
-    sets = cut_lineage(sets.join(leads, (sets["doc_id"] == leads["node"]) & (sets["d1"] == leads["d1"]) & (sets["d2"] == leads["d2"]))
-                       .select("node", "shingles").dropDuplicates(["node"]))
+    busy = leads.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = docs.join(busy.select("least").distinct(), F.col("doc_id") == F.col("least"), "left_semi").mapInArrow(_sets, SETS)
+    sets = cut_lineage(sets.join(busy, lead).select("node", "shingles").dropDuplicates(["node"]))
 
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -228,19 +223,70 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = components(more.join(top("a"), "a", "left").join(top("b"), "b", "left").select(
         F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b")), "a", "b") \
         .select(F.col("node").alias("component"), F.col("component").alias("above"))
-    last = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")) \
-        .join(second, "component", "left").select("d1", "d2", F.coalesce("above", "component").alias("component_id"))
-    return signed.join(last, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn(
+    tops = first.join(second, "component", "full").select(
+        F.coalesce("node", "component").alias("node"), F.coalesce("above", "component").alias("top"))
+    # A component of the second round that has no row in the first is a node of its own; one that has is among its nodes.
+    linked_classes = classes.join(tops, "node")
+    heads = linked_classes.groupBy("top").agg(F.min(F.struct("least", "d1", "d2")).alias("head"))
+    joined = linked_classes.join(heads, "top").select("node", F.col("head.least").alias("component_id"), F.col("head.d1").alias("k1"), F.col("head.d2").alias("k2"))
+    last = classes.join(joined, "node", "left").select(
+        "d1", "d2", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("k1", "d1").alias("k1"), F.coalesce("k2", "d2").alias("k2"))
+    return signed, cut_lineage(last)
+
+
+def _with_component(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, d1, d2, component_id, k1, k2): every row with what its class reached.
+
+    Classes that hold over a thousandth of all rows, fewer than a thousand, are sent to the rows; the others
+    meet them in a join, none of whose keys has more rows than that. Rows without a set join nothing.
+    """
+    rows = signed.select("doc_id", "n_shingles", "d1", "d2")
+    alone = rows.filter("doc_id IS NULL OR d1 IS NULL").select("*", F.col("doc_id").alias("component_id"), F.col("d1").alias("k1"), F.col("d2").alias("k2"))
+    rest = rows.filter("doc_id IS NOT NULL AND d1 IS NOT NULL")
+    many = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // HOT_SHARE
+    found = ["component_id", "k1", "k2"]
+    hot = F.broadcast(classes.filter(F.col("n") > many).select("d1", "d2", *found))
+    out = rest.join(hot, ["d1", "d2"]).select(*rows.columns, *found)
+    cold = rest.join(hot, ["d1", "d2"], "left_anti").join(classes.filter(F.col("n") <= many).select("d1", "d2", *found), ["d1", "d2"])
+    return alone.unionByName(out).unionByName(cold.select(*rows.columns, *found))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    Two texts are linked when their sets of distinct five-word shingles have a
+    Jaccard similarity of at least 0.75. ``component_id`` is the smallest
+    doc_id a document reaches over links, ``kept`` is true for that document.
+
+    A null or wordless text has no shingles and no links. A row without doc_id
+    has no component (null) and is kept. Repeated rows share id and component.
+    Different texts under one id are judged each by its own set. No rows give no rows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _with_component(*_classes(docs)).select("doc_id", "n_shingles", "component_id").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, texts in words.slices(batch.column("text")):
+            named = [digest(s) if len(s) else (None, None) for s in words.shingle_sets(texts)]
+            ids = [pa.array(words.signed(np.array([d[i] or 0 for d in named], np.uint64)), mask=np.array([d[i] is None for d in named])) for i in (0, 1)]
+            yield pa.record_batch([batch.column("row").slice(at, len(texts)), *ids], ["row", "d1", "d2"])
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are not kept, one row for each kept doc_id; all columns stay.
+    """``docs`` with one row of each near-duplicate group, the one with the smallest doc_id; all columns stay.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays.
+    Each row is judged by its own text: of different texts under one id, those without a near duplicate stay.
+    Rows without doc_id stay. Of rows that repeat a doc_id and its set of shingles one stays.
     """
-    away = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__away"))
-    kept = docs.join(away, docs["doc_id"].cast("long") == away["__away"], "left_anti")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = _with_component(*_classes(plain)).filter("doc_id <> component_id OR d1 <> k1 OR d2 <> k2") \
+        .select(F.col("doc_id").alias("id"), "d1", "d2").distinct()
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    named = docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(
+        _digests, T.StructType([T.StructField("row", docs.select(row).schema["row"].dataType), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
+    named = named.withColumn("id", F.col("row.doc_id").cast("long"))
+    kept = named.filter("id IS NOT NULL").join(gone, ["id", "d1", "d2"], "left_anti").dropDuplicates(["id", "d1", "d2"])
+    return kept.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
