@@ -95,6 +95,27 @@ def test_different_texts_under_one_id(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    a, b, c = helpers.prose(50), helpers.prose(50, 900), helpers.prose(60, 2000)
+    rows = [(1, a), (2, a), (2, b), (3, b + " end"), (4, c), (4, c), (5, None), (5, None), (5, a), (None, a), (7, c + " x"), (7, c + " y")]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, [(1, a), (2, b), (4, c), (5, None), (None, a)]))
+
+
+def test_near_texts_under_one_smallest_id(spark):
+    a = helpers.prose(60)
+    kept = minhash.drop_near_duplicates(spark.createDataFrame([(1, a), (1, a + " x"), (2, a + " y")], "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [1]
+
+
+def test_hot_classes_meet_their_rows(spark, monkeypatch):
+    """Both ways to give a row its component, within one table."""
+    monkeypatch.setattr(minhash, "HOT_SHARE", 10)
+    rows = [(i, helpers.prose(40) if i % 3 == 0 else helpers.prose(40, 50 * (i // 4))) for i in range(1, 121)] + [(500, None), (None, "x")]
+    got = found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id IS NOT NULL"))
+    assert got == helpers.near_duplicates([r for r in rows if r[0] is not None])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], helpers.DOCS)
     assert minhash.near_duplicates(docs).collect() == [] and minhash.drop_near_duplicates(docs).collect() == []

@@ -93,6 +93,24 @@ def test_quality_of_odd_rows(spark):
     assert line_crf.classify(docs.limit(0), labels).collect() == []
 
 
+def test_sample_passes_over_labels_without_a_document(spark):
+    docs = spark.createDataFrame([(i, f"good line of words {i}\n" * 3 if i % 2 else "%% $$ ## !!\n" * 4) for i in range(1, 80)], "doc_id long, text string")
+    known = [(i, i % 2, 0) for i in range(1, 80)]
+    labels = spark.createDataFrame(known, LABELS)
+    absent = labels.unionByName(spark.range(1000, 20_000).selectExpr("id doc_id", "0 quality", "0 toxic"))
+    show = lambda df: sorted(tuple(r) for r in df.collect())
+    want = show(line_crf.labelled(docs, labels, "quality", 40))
+    assert len(want) == 40 and want == show(line_crf.labelled(docs, absent, "quality", 40))
+    assert show(line_crf.classify(docs, absent, sample=40)) == show(line_crf.classify(docs, labels, sample=40))
+
+
+def test_sample_takes_one_text_of_an_id_and_no_endless_one(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "x\n" * line_crf.MAX_LINES), (3, None), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3, None)], LABELS)
+    ids = {r["id"] for r in labels.select(F.col("doc_id").alias("id")).filter(~line_crf.held_out(F.col("doc_id"))).collect()}
+    assert {r["text"] for r in line_crf.labelled(docs, labels, "quality", 9).collect()} == {t for i, t in ((1, "a"), (3, None)) if i in ids}
+
+
 # --- secrets -----------------------------------------------------------------------------------
 
 
@@ -370,3 +388,26 @@ def test_decontamination_of_odd_rows(spark):
     assert spaced_seeds.decontaminate(docs, items).count() == docs.count() - 7
     assert spaced_seeds.decontaminate(docs, items, block_words=1).count() == docs.count() - 7
     assert spaced_seeds.contaminated(docs.limit(0), items).collect() == [] == spaced_seeds.contaminated(docs, items.limit(0)).collect()
+
+
+# --- texts of any length -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_encode_like_the_whole(encode, monkeypatch, seed):
+    monkeypatch.setattr(vocabulary, "STRETCH", 40)
+    monkeypatch.setattr(vocabulary, "RUN", 8)
+    monkeypatch.setattr(vocabulary, "_LONG_RUN", re.compile(f"{vocabulary._BLANK}{{8,}}"))
+    rng = random.Random(seed)
+    bits = [" ", "  ", " " * 7, " " * 8, " " * 30, "\n", "\n" * 9, "\t \n" * 5, "\u3000" * 9, "\x1c" * 9, "\x85 \xa0" * 4, "word", "Don't", "42", "!!!", "é漢", "a" * 50]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        assert vocabulary.encode(encode[0], text) == encode[0].encode_ordinary(text), repr(text)
+
+
+def test_a_million_of_one_character(spark):
+    runs = [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x" * 1_000_000, "!" * 1_000_000, "ab " * 300_000]
+    rows = token_spans.count_tokens(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), ["text"], "most") \
+        .groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    n = {r["doc_id"]: r["n"] for r in rows}
+    assert n[0] == 1_000_000 and n[1] == 1_000_001 and n[3] == n[4] == 125_000 and n[5] == 300_000 + 300_000 // 300_000
