@@ -9,7 +9,8 @@ Padding that first-fit leaves is then filled by cutting: the emptiest sequences
 fullest, and the one sequence that is left with a gap is cut at powers of two, which need no padding.
 
 Encoding is the costly part. Tokens never cross ASCII white space in this vocabulary, so a task encodes every distinct word
-once and remembers it, up to ``REMEMBERED`` words. Words of ASCII and Latin-1 letters go straight to the merges of the
+once and remembers it, up to ``REMEMBERED`` words. Most words are found by their hash in a table of
+``2 ** SEEN_BITS`` places, the others by their bytes. Words of ASCII and Latin-1 letters go straight to the merges of the
 tokenizer's model, piece by piece; all others go through the whole tokenizer.
 """
 
@@ -28,6 +29,7 @@ from . import words
 CAPACITY = 2048
 GROUP_BYTES = 4 << 20
 REMEMBERED, REMEMBERED_PIECES = 1_200_000, 200_000
+SEEN_BITS = 21
 END = 1
 MAX_FILE = 16 << 20
 _CUT = 1 << 20
@@ -75,6 +77,7 @@ class Encoder:
         self.n_words = self.n_ids = 0
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint16)
+        self.seen, self.seen_row = np.zeros(1 << SEEN_BITS, np.uint64), np.full(1 << SEEN_BITS, -1, np.int32)
 
     def word(self, raw: bytes) -> list[int]:
         text = raw.decode("utf-8", "replace")
@@ -118,9 +121,17 @@ class Encoder:
             self.forget()
         w = words.words(texts)
         data, _ = words.text_bytes(texts)
-        raw = data.tobytes()
-        _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        row = self.rows([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())])[inverse]
+        slot = (w.hash & np.uint64((1 << SEEN_BITS) - 1)).astype(np.int64)
+        row = np.where(self.seen[slot] == w.hash, self.seen_row[slot], -1)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            raw = data.tobytes()
+            _, first, inverse = np.unique(w.hash[new], return_index=True, return_inverse=True)
+            first = new[first]
+            found = self.rows([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())])
+            row[new] = found[inverse]
+            places, one = np.unique(slot[first], return_index=True)
+            self.seen[places], self.seen_row[places] = w.hash[first[one]], found[one]
         start, length = self.start[row], self.length[row]
         ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
         ids = self.flat[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
