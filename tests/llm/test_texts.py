@@ -295,7 +295,7 @@ def test_toxicity_of_odd_rows(spark):
 
 
 def brute_overlaps(docs, items):
-    """All pairs and diagonals, word by word, with a seed hit on the diagonal."""
+    """All pairs and diagonals, word by word; a seed hit is asked for on diagonals of items of fewer than 13 words only."""
     masks = [[i for i, c in enumerate(m) if c == "1"] for m in spaced_seeds.MASKS]
     out = {}
     for d, text in docs:
@@ -308,7 +308,7 @@ def brute_overlaps(docs, items):
             for shift in range(-len(b) + 1, len(w)):
                 low, high = max(0, -shift), min(len(b), len(w) - shift)
                 agree = [b[k] == w[k + shift] for k in range(low, high)]
-                if not width or len(agree) < width or not any(all(agree[k + j] for j in m) for k in range(len(agree) - span + 1) for m in looks):
+                if not width or len(agree) < width or len(b) < spaced_seeds.LEAST and not any(all(agree[k + j] for j in m) for k in range(len(agree) - span + 1) for m in looks):
                     continue
                 best = max(best, max(sum(agree[k:k + width]) for k in range(len(agree) - width + 1)))
             if width and best >= spaced_seeds.AGREE * width:
@@ -336,6 +336,40 @@ def test_overlaps_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): r["n_agree"] for r in small.collect()} == want
 
 
+def test_masks_leave_no_gap():
+    """The fewest substitutions among n words that keep every mask from every window are more than a quarter of n."""
+    ignored = [sum(1 << i for i, c in enumerate(m) if c == "0") for m in spaced_seeds.MASKS]
+    span, far = spaced_seeds.SPAN, 99
+    escapes = [all(w & ~i for i in ignored) for w in range(1 << span)]
+    least = [bin(w).count("1") if escapes[w] else far for w in range(1 << span)]
+    for n in range(span + 1, spaced_seeds.WINDOW + 1):
+        after = [far] * len(least)
+        for w, substituted in enumerate(least):
+            for last in (0, 1):
+                v = w >> 1 | last << (span - 1)
+                if escapes[v]:
+                    after[v] = min(after[v], substituted + last)
+        least = after
+        assert n < spaced_seeds.LEAST or min(least) > n - spaced_seeds.AGREE * n, n
+
+
+@pytest.mark.parametrize("phase", range(4))
+def test_every_fourth_word_replaced_is_found(spark, phase):
+    items = [(n, helpers.prose(n, n * 60).split()) for n in (13, 14, 16, 20, 32, 59)]
+    docs = [(i, " ".join(["before"] * 9 + [f"s{k}" if k % 4 == phase and sum(j % 4 == phase for j in range(k + 1)) <= len(w) // 4 else v for k, v in enumerate(w)] + ["after"] * 9))
+            for i, w in items]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = spaced_seeds.contaminated(frame(docs, "doc_id"), frame([(i, " ".join(w)) for i, w in items], "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
+
+
+def test_words_of_a_find_are_those_of_the_document(spark):
+    item = helpers.prose(40)
+    docs = [(n, " ".join(item.split()[:n])) for n in range(8, 20)]
+    got = spaced_seeds.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(13, 20)) and all(r["n_words"] == r["end"] - r["start"] == r["doc_id"] for r in got)
+
+
 def test_whole_items_inside_documents_are_found(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     texts = {r["doc_id"]: " " + " ".join(helpers.words(r["text"])) + " " for r in docs.collect()}
@@ -362,8 +396,7 @@ def test_parts_of_items_are_found(spark):
         for cut in (["new"], ["one", "two", "three"]):
             add(i, w[:half] + cut + w[half:])
             add(i, w[:half] + cut + w[half:], False, False)
-        if len(w) > 15:  # else both parts are shorter than a seed
-            add(i, w[:half] + w[half + 1:])
+        add(i, w[:half] + w[half + 1:])
         for n in range(13, min(len(w), 32)):
             for before, after in ((False, False), (False, True), (True, False), (True, True)):
                 add(i, w[-n:] if not before else w[:n], before, after)
