@@ -222,14 +222,15 @@ def html_table_markdown(spark, sf):
     return order_tables(spark, sf).select("relative_path", F.md5(C.tables_as_markdown("text")).alias("markdown"))
 
 
-@query("""WITH k AS (SELECT DISTINCT l_orderkey FROM lineitem)
-SELECT 'o/' || l_orderkey AS relative_path, 0 AS i, 'content' AS kind, 'Order ' || l_orderkey AS head FROM k
-UNION ALL SELECT 'o/' || l_orderkey, 1, 'table', '<TABLE border=1><tr>' FROM k
-UNION ALL SELECT 'o/' || l_orderkey, 2, 'content', 'closing words of thi' FROM k WHERE l_orderkey % 3 = 0""")
+@query(f"""WITH {_ORDER_ROWS}, k AS (SELECT DISTINCT l_orderkey FROM lineitem), x AS (SELECT l_orderkey, '<TABLE border=1><tr><th>part</th><th>flag</th></tr>' ||
+  string_agg('<tr><td>' || a || '</td><td>' || replace(b, '&', '&amp;') || '</td></tr>', '' ORDER BY rn) || '</TABLE>' AS html FROM o GROUP BY ALL)
+SELECT 'o/' || l_orderkey AS relative_path, 0 AS i, 'content' AS kind, 'Order ' || l_orderkey AS body FROM k
+UNION ALL SELECT 'o/' || l_orderkey, 1, 'table', html FROM x
+UNION ALL SELECT 'o/' || l_orderkey, 2, 'content', 'closing words of this order' FROM k WHERE l_orderkey % 3 = 0""")
 def section_segments(spark, sf):
     """C7"""
     rows = order_tables(spark, sf).select("relative_path", F.posexplode(C.segments("text")).alias("i", "s"))
-    return rows.select("relative_path", "i", "s.kind", F.substring("s.body", 1, 20).alias("head"))
+    return rows.select("relative_path", "i", "s.kind", "s.body")
 
 
 @query(f"""WITH {_ORDER_ROWS}, n AS (SELECT l_orderkey, count(*) AS parts FROM md GROUP BY ALL)
@@ -369,25 +370,40 @@ def short_section_row_merge(spark, sf):
 
 # --- context --------------------------------------------------------------------------------
 
-@query(f"""WITH p AS (SELECT doc_id, text, substr(text, 101, 200) AS tab FROM documents), f AS (SELECT *, CASE WHEN tab <> '' THEN position(tab IN text) ELSE 0 END AS place FROM p)
-SELECT doc_id, CASE WHEN place > 0 THEN md5(right({strip('substr(text, 1, place - 1)')}, 300)) ELSE md5('') END AS before,
-  CASE WHEN place > 0 THEN md5(left({strip('substr(text, place + length(tab))')}, 300)) ELSE md5('') END AS after FROM f""")
-def table_context(spark, sf):
-    """C13"""
-    rows = text_table(spark, sf, "documents").withColumn("tab", F.substring("text", 101, 200))
-    c = C.table_context("tab", "text")
-    return rows.select("doc_id", F.md5(c["before"]).alias("before"), F.md5(c["after"]).alias("after"))
+def _found(text: str, parent: str) -> str:
+    """Place of a text in its parent, by its first three lines if need be."""
+    lines = f"array_to_string(string_split({text}, chr(10))[1:3], chr(10))"
+    return f"CASE WHEN position({text} IN {parent}) > 0 THEN position({text} IN {parent}) WHEN {lines} <> '' THEN position({lines} IN {parent}) ELSE 0 END"
 
 
-@query("""WITH p AS (SELECT doc_id, text, substr(text, 801, 400) AS chunk FROM documents), f AS (SELECT *, position(chunk IN text) AS place FROM p)
-SELECT doc_id, md5(CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, greatest(place - 301, 0) + 1,
-  least(place - 1 + length(chunk) + 300, length(text)) - greatest(place - 301, 0)) END) AS context FROM f""")
+@query(f"""WITH {CHUNKS_SQL}, t AS (SELECT id, d.text AS parent, c.text AS tab FROM doc_chunks c JOIN documents d USING (doc_id)),
+f AS (SELECT *, {_found('tab', 'parent')} AS place FROM t)
+SELECT id, CASE WHEN place > 0 THEN md5(right({strip('substr(parent, 1, place - 1)')}, 300)) ELSE md5('') END AS before,
+  CASE WHEN place > 0 THEN md5(left({strip('substr(parent, place + length(tab))')}, 300)) ELSE md5('') END AS after FROM f
+UNION ALL SELECT 'o/' || l_orderkey, md5('Order ' || l_orderkey), md5(CASE WHEN l_orderkey % 3 = 0 THEN 'closing words of this order' ELSE '' END)
+FROM (SELECT DISTINCT l_orderkey FROM lineitem)""")
+def table_context(spark, sf):
+    """Every chunk of every document as a table in it, and the tables of all orders in their sections"""
+    docs = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("parent"))
+    pieces = C.make_chunks(document_sections(spark, sf)).select("doc_id", F.col("chunk_id").alias("id"), F.col("text").alias("tab"))
+    sections = order_tables(spark, sf)
+    tables = C.make_chunks(sections, max_rows=1000).filter("is_table").select("relative_path", F.col("table_markdown").alias("tab"))
+    parents = C.make_parents(sections).select(F.replace("parent_id", F.lit("#s0"), F.lit("")).alias("relative_path"), F.col("parent_text").alias("parent"))
+    rows = pieces.join(docs, "doc_id").select("id", "tab", "parent").unionByName(
+        tables.join(parents, "relative_path").select(F.col("relative_path").alias("id"), "tab", "parent"))
+    c = C.table_context("tab", "parent")
+    return rows.select("id", F.md5(c["before"]).alias("before"), F.md5(c["after"]).alias("after"))
+
+
+@query(f"""WITH {CHUNKS_SQL}, t AS (SELECT d.doc_id, id, d.text AS parent, c.text AS chunk FROM doc_chunks c JOIN documents d USING (doc_id)),
+f AS (SELECT *, {_found('chunk', 'parent')} AS place FROM t)
+SELECT id AS chunk_id, md5(CASE WHEN length(parent) <= 2000 THEN parent WHEN place = 0 THEN chunk ELSE substr(parent, greatest(place - 301, 0) + 1,
+  least(place - 1 + length(chunk) + 300, length(parent)) - greatest(place - 301, 0)) END) AS context FROM f""")
 def chunk_context(spark, sf):
-    """C14 J4"""
+    """Every chunk in its document"""
     parents = text_table(spark, sf, "documents").select("doc_id", F.col("text").alias("parent_text"))
-    chunks = text_table(spark, sf, "documents").select("doc_id", F.substring("text", 801, 400).alias("text"))
-    joined = chunks.join(parents, "doc_id", "left")
-    return joined.select("doc_id", F.md5(C.chunk_context("text", F.lit(None).cast("string"), "parent_text")).alias("context"))
+    joined = C.make_chunks(document_sections(spark, sf)).select("chunk_id", "doc_id", "text").join(parents, "doc_id", "left")
+    return joined.select("chunk_id", F.md5(C.chunk_context("text", F.lit(None).cast("string"), "parent_text")).alias("context"))
 
 
 @query(f"""WITH {t.CHUNKS} SELECT chunk_id, CASE WHEN is_table AND pos % 2 = 0 THEN 'sum ' || pos END AS table_summary,
@@ -426,30 +442,30 @@ def image_numbering(spark, sf):
     return S.number_images(assets).drop("pos")
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, substr(text, 1, 50) AS description, CASE doc_id % 3 WHEN 0 THEN '文档扫描件' WHEN 1 THEN '照片' END AS type,
-  CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, doc_id % 25) END AS ocr_text FROM documents)
-SELECT doc_id, '[图片] 来源：' || source || ' 第' || (doc_id % 7) || '页 | 类型：' || coalesce(type, '其他') || chr(10) ||
-  CASE WHEN type = '文档扫描件' AND {count('ocr_text')} > 10 THEN ocr_text ELSE description END AS text FROM d""")
+@query(f"""WITH d AS (SELECT doc_id, source, text AS description, CASE doc_id % 3 WHEN 0 THEN '文档扫描件' WHEN 1 THEN '照片' END AS type,
+  CASE doc_id % 4 WHEN 0 THEN text || ' end' WHEN 2 THEN lang || ' ' || source END AS ocr_text FROM documents)
+SELECT doc_id, md5('[图片] 来源：' || source || ' 第' || (doc_id % 7) || '页 | 类型：' || coalesce(type, '其他') || chr(10) ||
+  CASE WHEN type = '文档扫描件' AND {count('ocr_text')} > 10 THEN ocr_text ELSE description END) AS text FROM d""")
 def image_section_text(spark, sf):
-    """C18"""
+    """Whole texts as descriptions; recognised texts are whole ones or too short to count"""
     key = F.col("doc_id")
     rows = text_table(spark, sf, "documents").select(
-        "doc_id", F.col("source").alias("file_name"), (key % 7).alias("page"), F.substring("text", 1, 50).alias("description"),
+        "doc_id", F.col("source").alias("file_name"), (key % 7).alias("page"), F.col("text").alias("description"),
         F.when(key % 3 == 0, "文档扫描件").when(key % 3 == 1, "照片").alias("type"),
-        F.when(key % 2 == 0, F.substr("text", F.lit(1), (key % 25).cast("int"))).alias("ocr_text"))
-    return S.image_sections(rows).select("doc_id", "text")
+        F.when(key % 4 == 0, F.concat("text", F.lit(" end"))).when(key % 4 == 2, F.concat_ws(" ", "lang", "source")).alias("ocr_text"))
+    return S.image_sections(rows).select("doc_id", F.md5("text").alias("text"))
 
 
-@query("""SELECT doc_id, 'doc' AS section_id, length(text) AS n FROM documents
-UNION ALL SELECT doc_id, 'img', length('[图片] 来源：' || source || ' 第1页 | 类型：其他' || chr(10)) FROM documents WHERE doc_id % 4 = 0""")
+@query("""SELECT doc_id, 'doc' AS section_id, md5(text) AS text FROM documents
+UNION ALL SELECT doc_id, 'img', md5('[图片] 来源：' || source || ' 第1页 | 类型：其他' || chr(10) || text) FROM documents WHERE doc_id % 4 = 0""")
 def section_union(spark, sf):
     """C19"""
     texts = document_sections(spark, sf).select("doc_id", "section_id", "text")
     images = text_table(spark, sf, "documents").filter("doc_id % 4 = 0").select(
         "doc_id", F.lit("img").alias("section_id"), F.col("source").alias("file_name"), F.lit(1).alias("page"),
-        F.lit(None).cast("string").alias("type"), F.lit("").alias("description"), F.lit("").alias("ocr_text"))
+        F.lit(None).cast("string").alias("type"), F.col("text").alias("description"), F.lit("").alias("ocr_text"))
     both = S.union_sections(texts, S.image_sections(images).select("doc_id", "section_id", "text"))
-    return both.select("doc_id", "section_id", F.length("text").alias("n"))
+    return both.select("doc_id", "section_id", F.md5("text").alias("text"))
 
 
 @query(f"""SELECT source AS file, count(*) AS sections FROM documents GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM documents""")

@@ -523,7 +523,7 @@ def table_chunk_counts(spark, sf):
 
 @query("""WITH f AS (SELECT c_mktsegment || '_' || (2000 + c_nationkey) AS project_id, count(*) AS files FROM customer GROUP BY 1),
 d AS (SELECT c_mktsegment || '_' || (2000 + c_nationkey) AS project_id, count(*) AS chapters, count(*) FILTER (WHERE o_orderstatus = 'F') AS generated,
-  count(*) FILTER (WHERE o_orderstatus = 'O') AS skipped, count(*) FILTER (WHERE o_orderstatus = 'P') AS error FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20 GROUP BY 1)
+  count(*) FILTER (WHERE o_orderstatus = 'O') AS skipped, count(*) FILTER (WHERE o_orderstatus = 'P') AS error FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
 SELECT project_id, string_split(project_id, '_')[1] AS company, string_split(project_id, '_')[2] AS year, CASE WHEN chapters > 0 THEN 'draft_generated' ELSE 'data_uploaded' END AS status,
   files, coalesce(chapters, 0) AS chapters, coalesce(generated, 0) AS generated, coalesce(skipped, 0) AS skipped, coalesce(error, 0) AS error FROM f LEFT JOIN d USING (project_id)""")
 def project_rollup(spark, sf):
@@ -531,7 +531,7 @@ def project_rollup(spark, sf):
     project = F.concat("c_mktsegment", F.lit("_"), (F.col("c_nationkey") + 2000).cast("string"))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", project.alias("project_id"), F.col("c_name").alias("file_path"))
     status = F.when(F.col("o_orderstatus") == "F", "generated").when(F.col("o_orderstatus") == "O", "skipped").otherwise("error")
-    drafts = table(spark, sf, "orders").join(c.filter("c_nationkey < 20"), F.col("o_custkey") == F.col("c_custkey")).select("project_id", status.alias("status"))
+    drafts = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("project_id", status.alias("status"))
     return stats.project_rollup(c, drafts)
 
 

@@ -49,15 +49,15 @@ def passages_for_questions(spark, sf):
 
 # --- vectors -----------------------------------------------------------------------------
 
-@query("""SELECT vec_id, round(sqrt(list_dot_product(w, w)), 4) AS norm, round(w[1] / greatest(sqrt(list_dot_product(w, w)), 1e-12), 4) AS first_value,
-  sqrt(list_dot_product(w, w)) < 1e-9 AS empty
+@query("""SELECT vec_id, round(sqrt(list_dot_product(w, w)), 4) AS norm, sqrt(list_dot_product(w, w)) < 1e-9 AS empty,
+  unnest(range(1, len(w) + 1)) AS place, round(w[place] / greatest(sqrt(list_dot_product(w, w)), 1e-12), 4) + 0.0 AS value
 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS w FROM embeddings)""")
 def unit_vectors(spark, sf):
     """V1"""
     rows = table(spark, sf, "embeddings").withColumn("w", F.transform(
         "embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7)))
-    return rows.select("vec_id", F.round(V.norm("w"), 4).alias("norm"), F.round(V.unit("w")[0], 4).alias("first_value"),
-                       V.is_empty("w").alias("empty"))
+    every = rows.select("vec_id", F.round(V.norm("w"), 4).alias("norm"), V.is_empty("w").alias("empty"), F.posexplode(V.unit("w")).alias("at", "x"))
+    return every.select("vec_id", "norm", "empty", (F.col("at") + 1).cast("long").alias("place"), (F.round("x", 4) + 0.0).alias("value"))
 
 
 @query(f"""WITH {t.LEAVES} SELECT leaf_id, chunk_id, round(list_dot_product(c.v, rq), 6) AS score_rq,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import citations, codes, fixed, template, text
+from ..operators import chunks
 from ..operators.chunks import chunk_params
 from ..operators.lexical import words
 from ..session import table
 from . import tables as t
+from .chunking import CHUNKS_SQL, document_sections
 
 QUERIES, ORACLE = {}, {}
 
@@ -79,25 +81,30 @@ def code_prefix_and_serial(spark, sf):
         "p_partkey", codes.code_prefix("label").alias("prefix"), codes.serial_number("p_brand").alias("serial"))
 
 
-_TITLE = "CASE doc_id % 5 WHEN 0 THEN '1 ' WHEN 1 THEN '1.2、' WHEN 2 THEN '3.1.4.' WHEN 3 THEN '第二章' ELSE '' END || substr(text, 1, 10 + doc_id % 30)"
+_TITLE = "CASE (doc_id + line) % 5 WHEN 0 THEN '1 ' WHEN 1 THEN '1.2、' WHEN 2 THEN '3.1.4.' WHEN 3 THEN '第二章' ELSE '' END || x"
+_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)"
+_TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
-@query(rf"""SELECT doc_id, level, level > 0 AND length(trim(title)) <= 30 OR style = 'Heading 1' AS heading,
-  CASE WHEN doc_id % 10 = 4 THEN 1 WHEN level > 0 THEN level ELSE 2 END AS title_level
-FROM (SELECT *, CASE WHEN regexp_extract(title, '^([0-9]+(\.[0-9]+)*)[\.、\s]', 1) <> ''
-    THEN len(string_split(regexp_extract(title, '^([0-9]+(\.[0-9]+)*)[\.、\s]', 1), '.'))
-    WHEN regexp_matches(title, '^([一二三四五六七八九十]+[\.、\s]|第[一二三四五六七八九十百0-9]+[章节条款])') THEN 1 ELSE 0 END AS level,
-    CASE WHEN doc_id % 4 = 0 THEN 'Heading 1' ELSE 'Normal' END AS style
-  FROM (SELECT doc_id, {_TITLE} AS title FROM documents))""")
+_LEVEL = r"""CASE WHEN regexp_extract({0}, '^([0-9]+(\.[0-9]+)*)[\.、\s]', 1) <> ''
+    THEN len(string_split(regexp_extract({0}, '^([0-9]+(\.[0-9]+)*)[\.、\s]', 1), '.'))
+    WHEN regexp_matches({0}, '^([一二三四五六七八九十]+[\.、\s]|第[一二三四五六七八九十百0-9]+[章节条款])') THEN 1 ELSE 0 END"""
+
+
+@query(rf"""SELECT doc_id, line, level, numbered AND length({_TRIM.format('title')}) BETWEEN 1 AND 30 OR style = 'Heading 1' AS heading,
+  CASE WHEN line = 0 THEN 1 WHEN level > 0 THEN level ELSE 2 END AS title_level
+FROM (SELECT *, {_LEVEL.format('title')} AS level, {_LEVEL.format(_TRIM.format('title'))} > 0 AS numbered,
+    CASE WHEN line % 4 = 0 THEN 'Heading 1' ELSE 'Normal' END AS style
+  FROM (SELECT doc_id, line, {_TITLE} AS title FROM {_LINES}))""")
 def heading_levels(spark, sf):
-    """F8 F9 F10"""
-    key = F.col("doc_id") % 5
+    """Every line of every document, four of five with a number in front"""
+    key = (F.col("doc_id") + F.col("line")) % 5
     mark = (F.when(key == 0, "1 ").when(key == 1, "1.2、").when(key == 2, "3.1.4.").when(key == 3, "第二章").otherwise(""))
-    title = F.concat(mark, F.substr("text", F.lit(1), (F.lit(10) + F.col("doc_id") % 30).cast("int")))
-    rows = table(spark, sf, "documents").select(
-        "doc_id", title.alias("title"), F.when(F.col("doc_id") % 4 == 0, "Heading 1").otherwise("Normal").alias("style"),
-        F.when(F.col("doc_id") % 10 == 4, "doc_title").otherwise("paragraph_title").alias("label"))
-    return rows.select("doc_id", text.heading_level("title").alias("level"),
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
+    rows = lines.select(
+        "doc_id", "line", F.concat(mark, F.col("x")).alias("title"), F.when(F.col("line") % 4 == 0, "Heading 1").otherwise("Normal").alias("style"),
+        F.when(F.col("line") == 0, "doc_title").otherwise("paragraph_title").alias("label"))
+    return rows.select("doc_id", "line", text.heading_level("title").alias("level"),
                        text.is_heading("style", "title").alias("heading"),
                        text.title_level("label", "title").alias("title_level"))
 
@@ -150,18 +157,19 @@ def no_content_answers(spark, sf):
                        citations.no_content_analysis("content").alias("analysis"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 2000 AND text <> '' THEN 'parent'
-    WHEN length(child) <= 2000 AND child <> '' THEN 'text' ELSE 'cut' END AS kind,
-  md5(CASE WHEN length(text) <= 2000 AND text <> '' THEN text
-    WHEN length(child) <= 2000 AND child <> '' THEN child ELSE substr(child, 1, 2000) || '...' END) AS picked
-FROM (SELECT *, substr(text, 1, 1000 + (doc_id % 3) * 1000) AS child FROM documents)""")
+@query(f"""WITH {CHUNKS_SQL}, r AS (SELECT c.id, d.text AS parent, c.text AS child FROM doc_chunks c JOIN documents d USING (doc_id)
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, text FROM documents UNION ALL SELECT 'p' || doc_id, text, NULL FROM documents)
+SELECT id, md5(CASE WHEN parent <> '' AND length(parent) <= 2000 THEN parent WHEN child <> '' AND length(child) <= 2000 THEN child
+    WHEN child <> '' THEN substr(child, 1, 2000) || '...' WHEN parent <> '' THEN substr(parent, 1, 2000) || '...' ELSE '' END) AS picked FROM r""")
 def context_text_choice(spark, sf):
-    """F15"""
-    child = F.substr("text", F.lit(1), (F.lit(1000) + F.col("doc_id") % 3 * 1000).cast("int"))
-    rows = table(spark, sf, "documents").withColumn("child", child)
-    picked = text.context_text("text", "child")
-    kind = F.when(picked == F.col("text"), "parent").when(picked == F.col("child"), "text").otherwise("cut")
-    return rows.select("doc_id", kind.alias("kind"), F.md5(picked).alias("picked"))
+    """every chunk with its document, every document alone, every document as a parent alone"""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("parent"))
+    none = F.lit(None).cast("string")
+    rows = chunks.make_chunks(document_sections(spark, sf)).select("doc_id", F.col("chunk_id").alias("id"), F.col("text").alias("child")).join(docs, "doc_id") \
+        .select("id", "parent", "child") \
+        .unionByName(docs.select(F.col("doc_id").cast("string").alias("id"), none.alias("parent"), F.col("parent").alias("child"))) \
+        .unionByName(docs.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"), "parent", none.alias("child")))
+    return rows.select("id", F.md5(text.context_text("parent", "child")).alias("picked"))
 
 
 @query("""SELECT c_custkey, 'A1:' || printf('%.2f', (c_custkey % 97) / 97.0) || ', B2:' || printf('%.2f', (c_custkey % 89) / 89.0) AS shown,
@@ -215,14 +223,17 @@ def model_json_answers(spark, sf):
     return rows.select("conv_id", "turn", F.explode_outer("items").alias("i")).select("conv_id", "turn", "i.id", "i.value")
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '照片' WHEN 1 THEN '数据图表' ELSE '其他' END AS type,
-  CASE WHEN doc_id % 4 < 2 THEN regexp_replace(substr(regexp_replace(split_part(text, chr(10), 1), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 1, 200), '^x$', 'x')
-    ELSE substr(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 1, 100) END AS description FROM documents""".replace("\\\\", "\\"))
+_ANSWER = """CASE doc_id % 4 WHEN 0 THEN '类型：照片' || chr(10) || '描述：' || text WHEN 1 THEN '类型: 数据图表类' || chr(10) || '描述: ' || text ELSE text END"""
+
+
+@query(rf"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '照片' WHEN 1 THEN '数据图表' ELSE '其他' END AS type,
+  CASE WHEN told <> '' THEN substr(told, 1, 200) ELSE substr({_TRIM.format('raw')}, 1, 100) END AS description
+FROM (SELECT *, CASE WHEN doc_id % 4 < 2 THEN {_TRIM.format("split_part(regexp_replace(text, '^[ \t-\r]+', ''), chr(10), 1)")} ELSE '' END AS told
+  FROM (SELECT doc_id, text, {_ANSWER} AS raw FROM documents))""")
 def image_answers(spark, sf):
-    """F26"""
-    line = F.split("text", "\n")[0]
-    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("类型：照片\n描述："), line)).when(
-        F.col("doc_id") % 4 == 1, F.concat(F.lit("类型: 数据图表类\n描述: "), line)).otherwise(F.col("text"))
+    """whole texts as answers; a description ends with its line"""
+    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("类型：照片\n描述："), "text")).when(
+        F.col("doc_id") % 4 == 1, F.concat(F.lit("类型: 数据图表类\n描述: "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.image_answer(raw).alias("a")).select("doc_id", "a.*")
 
 
@@ -308,13 +319,11 @@ def indicator_query_text(spark, sf):
     return rows.select("s_suppkey", text.query_text("code", "topic", "s_name", "need", "enhanced").alias("query_text"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_tokens,
-  array_to_string((regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))[1:10], ' ') AS first_tokens FROM documents""")
+@query(r"""SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)""")
 def token_counts(spark, sf):
     """V8"""
     rows = table(spark, sf, "documents").select("doc_id", words("text").alias("tokens"))
-    return rows.select("doc_id", F.size("tokens").alias("n_tokens"),
-                       F.array_join(F.slice("tokens", 1, 10), " ").alias("first_tokens"))
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(text, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}a-zA-Z0-9]', '', 'g')) AS n,
