@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-from . import fixed
+from . import fixed, tables
 
-_VISIBLE = re.compile(r"\S")
+_VISIBLE = re.compile(f"[^{tables.BLANK}]")
+_MEANINGLESS = re.compile("[^一-鿿㐀-䶿a-zA-Z0-9]+")
 
 
 def _finer(text: str, start: int, end: int, mark: str) -> list[tuple[int, int]]:
@@ -65,3 +67,92 @@ def split_batches(max_size: int, min_size: int):
                 yield pa.record_batch([key.take(pa.array(np.zeros(len(chunks), np.int64))), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.string())],
                                       ["key", "pos", "chunk"])
     return task
+
+
+@dataclass
+class Piece:
+    """A chunk in the making; its text is the parts joined by line feeds."""
+
+    kind: str
+    chunk_id: str
+    parts: list[str]
+    count: int
+    html: str | None = None
+    rows: int | None = None
+
+
+def meaningful(text: str) -> int:
+    """Han characters, ASCII letters and digits."""
+    return len(_MEANINGLESS.sub("", text))
+
+
+def raw_pieces(parent_id: str, text: str, max_size: int, min_size: int, max_rows: int) -> Iterator[Piece]:
+    """Tables by rows and texts by separators, numbered by kind, in document order."""
+    number = {"content": 0, "table": 0}
+    for kind, body in tables.segments(text):
+        name = f"{parent_id}#{'c' if kind == 'content' else 't'}{number[kind]}"
+        number[kind] += 1
+        if kind == "content":
+            chunks = split_text(body, max_size, min_size)
+            for j, chunk in enumerate(chunks):
+                if _VISIBLE.search(chunk):
+                    yield Piece(kind, f"{name}p{j}" if len(chunks) > 1 else name, [chunk], meaningful(chunk))
+        else:
+            found = tables.parts(body, max_rows)
+            for j, (html, shown, _, _, rows) in enumerate(found):
+                yield Piece(kind, f"{name}p{j}" if len(found) > 1 else name, [shown], meaningful(shown), html, rows)
+
+
+def merged(pieces: Iterator[Piece], min_size: int) -> list[Piece]:
+    """Short text pieces join the nearest text piece before, else the next one; tables in between are passed over."""
+    out: list[Piece] = []
+    held = host = None  # a short text without one before it; the last text that was kept
+    for piece in pieces:
+        if piece.kind == "content":
+            if held:
+                held.parts.extend(piece.parts)
+                piece = Piece("content", piece.chunk_id, held.parts, held.count + piece.count + 1)
+                held = None
+            if piece.count < min_size:
+                if host:
+                    host.parts.extend(piece.parts)
+                    host.count += piece.count + 1
+                else:
+                    held = piece
+                continue
+            host = piece
+        out.append(piece)
+    return [*out, held] if held else out
+
+
+def section_chunks(parent_id: str, text: str | None, max_size: int = fixed.CHUNK_MAX, min_size: int = fixed.CHUNK_MIN,
+                   max_rows: int = fixed.TABLE_ROWS) -> list[Piece]:
+    """Chunks of one section in order."""
+    return merged(raw_pieces(parent_id, text, max_size, min_size, max_rows), min_size) if text else []
+
+
+def chunk_batches(max_size: int, min_size: int, max_rows: int, rows: int = 2000):
+    """A task for ``mapInArrow``: (row, parent_id, text) to chunk rows, some ``rows`` of them at a time."""
+    kinds = {"chunk_id": pa.string(), "chunk_pos": pa.int32(), "text": pa.string(), "char_count": pa.int32(), "is_table": pa.bool_(),
+             "table_html": pa.string(), "table_rows": pa.int32()}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            source: list[int] = []
+
+            def done() -> pa.RecordBatch:
+                at = pa.array(source, pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*held), kinds.values())]
+                return pa.record_batch([batch.column("row").take(at), batch.column("parent_id").take(at), *columns], ["row", "parent_id", *kinds])
+
+            for i in range(batch.num_rows):
+                for pos, p in enumerate(section_chunks(batch.column("parent_id")[i].as_py(), batch.column("text")[i].as_py(), max_size, min_size, max_rows)):
+                    held.append((p.chunk_id, pos, "\n".join(p.parts), p.count, p.kind == "table", p.html, p.rows))
+                    source.append(i)
+                    if len(held) >= rows:
+                        yield done()
+                        held, source = [], []
+            if held:
+                yield done()
+    return task

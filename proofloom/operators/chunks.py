@@ -1,23 +1,24 @@
 """Cut sections into chunks: tables by rows, text by separators.
 
-Everything here works inside one row (array functions), so the step from
-documents to chunks adds no shuffle.
+Everything here works inside one row (array functions, or one walk over a text in
+Arrow batches), so the step from documents to chunks adds no shuffle.
 """
 
 from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import fixed
+from ..functions import fixed, tables
+from ..functions.splitting import chunk_batches
 from ..functions.text import col, has_text, let, meaningful_chars, strip
-from .sections import SECTION, plain_html
+from .sections import SECTION
 
 TABLE = r"(?is)<table[^>]*>.*?</table>"
-PIECE = ("struct<kind:string,chunk_id:string,text:string,table_html:string,"
-         "table_rows:int,char_count:int>")
 
 
 # --- text ----------------------------------------------------------------------
@@ -123,65 +124,28 @@ def merge_short_sections(sections, min_size: int = fixed.CHUNK_MIN,
 
 # --- tables ----------------------------------------------------------------------
 
-def table_cells(html) -> Column:
-    """Rows of an HTML table as arrays of cell texts."""
-    rows = F.regexp_extract_all(col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = lambda r: F.transform(
-        F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), plain_html)
-    return F.filter(F.transform(rows, cells), lambda r: F.size(r) > 0)
+PART = "array<struct<table_html:string,table_markdown:string,first_row:int,end_row:int,row_count:int>>"
 
 
-def _padded_cells(html) -> Column:
-    """Rows of a table, short rows filled up to the widest one."""
-    widest = lambda rows: F.array_max(F.transform(rows, lambda r: F.size(r)))
-    return let(table_cells(html), lambda rows: let(widest(rows), lambda width: F.transform(
-        rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))))
-
-
-def cells_to_markdown(header: Column, rows: Column) -> Column:
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = line(F.transform(header, lambda _: F.lit("---")))
-    return F.array_join(F.concat(F.array(line(header), rule), F.transform(rows, line)), "\n")
-
-
-def cells_to_html(header: Column, rows: Column) -> Column:
-    def line(r, tag):
-        cells = F.transform(r, lambda c: F.concat(
-            F.lit(f"<{tag}>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-            F.lit(f"</{tag}>")))
-        return F.concat(F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"))
-
-    body = F.array_join(F.transform(rows, lambda r: line(r, "td")), "")
-    return F.concat(F.lit("<table>"), line(header, "th"), body, F.lit("</table>"))
+def _each(function, returns: str):
+    """A column of ``function`` of every non-null text, in Arrow batches: spans need a walk over the rows of a table."""
+    @F.pandas_udf(returns)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else function(t))
+    return run
 
 
 def table_to_markdown(html) -> Column:
-    """One HTML table as Markdown, first row as header; unreadable ones unchanged."""
-    return let(_padded_cells(html), lambda rows: F.when(F.size(rows) > 0, cells_to_markdown(
-        F.get(rows, F.lit(0)), F.slice(rows, 2, F.size(rows)))).otherwise(col(html)))
-
+    """One HTML table as Markdown, first row as header; unreadable ones unchanged.
 
-def split_table(html, max_rows: int = fixed.TABLE_ROWS) -> Column:
-    """A table in parts of ``max_rows`` data rows, the header on each."""
-    def parts(rows):
-        n = F.size(rows) - 1
-        head = F.get(rows, F.lit(0))
-
-        def part(start):
-            return let(F.slice(rows, start + 2, F.lit(max_rows)), lambda data: F.struct(
-                F.when(n <= max_rows, col(html)).otherwise(cells_to_html(head, data)).alias("table_html"),
-                cells_to_markdown(head, data).alias("table_markdown"),
-                start.cast("int").alias("first_row"),
-                F.least(start + max_rows, n).cast("int").alias("end_row"),
-                F.least(F.lit(max_rows), n - start).cast("int").alias("row_count")))
+    A cell that spans rows or columns is repeated in every place it covers.
+    """
+    return _each(tables.as_markdown, "string")(col(html))
 
-        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(max_rows))
-        return F.when(F.size(rows) > 0, F.transform(starts, part)).otherwise(F.array(unreadable))
 
-    unreadable = F.struct(
-        col(html).alias("table_html"), col(html).alias("table_markdown"),
-        F.lit(0).alias("first_row"), F.lit(0).alias("end_row"), F.lit(0).alias("row_count"))
-    return let(_padded_cells(html), parts)
+def split_table(html, max_rows: int = fixed.TABLE_ROWS) -> Column:
+    """A table in parts of ``max_rows`` data rows, the header on each; spanning cells are repeated."""
+    return _each(functools.partial(tables.parts, max_rows=max_rows), PART)(col(html))
 
 
 def table_html_list(text) -> Column:
@@ -190,11 +154,8 @@ def table_html_list(text) -> Column:
 
 def tables_as_markdown(text) -> Column:
     """Text with every HTML table replaced by its Markdown form."""
-    outside = F.split(col(text), TABLE, -1)
-    weave = lambda tables: F.array_join(F.transform(outside, lambda t, i: F.when(
-        i < F.size(tables),
-        F.concat(t, F.lit("\n"), table_to_markdown(F.get(tables, i)), F.lit("\n"))).otherwise(t)), "")
-    return F.when(F.lower(col(text)).contains("<table"), let(table_html_list(text), weave)).otherwise(col(text))
+    some = F.lower(col(text)).contains("<table")
+    return F.when(some, _each(tables.text_as_markdown, "string")(F.when(some, col(text)))).otherwise(col(text))
 
 
 def segments(text) -> Column:
@@ -208,106 +169,24 @@ def segments(text) -> Column:
 
 # --- chunks -------------------------------------------------------------------------
 
-def merge_short_pieces(pieces, min_size: int = fixed.CHUNK_MIN) -> Column:
-    """Join short text pieces to the nearest text piece before, else the next one.
-
-    Tables in between are passed over; document order is kept.
-    """
-    array_type = f"array<{PIECE}>"
-    is_text = lambda p: p["kind"] == "content"
-    start = F.struct(F.array().cast(array_type).alias("out"),
-                     F.array().cast(array_type).alias("held"), F.lit(-1).alias("last"))
-
-    def with_text(p, text, count):
-        return F.struct(
-            p["kind"].alias("kind"), p["chunk_id"].alias("chunk_id"), text.alias("text"),
-            p["table_html"].alias("table_html"), p["table_rows"].alias("table_rows"),
-            count.cast("int").alias("char_count")).cast(PIECE)
-
-    empty = F.array().cast(array_type)
-    state_of = lambda o, h, n: F.struct(o.alias("out"), h.alias("held"), n.alias("last"))
-
-    def grow(held, p):
-        """A text piece with the pieces held back for it in front."""
-        text = F.array_join(F.concat(F.transform(held, lambda h: h["text"]), F.array(p["text"])), "\n")
-        count = F.aggregate(held, p["char_count"], lambda a, h: a + h["char_count"] + 1)
-        return F.when(is_text(p) & (F.size(held) > 0), with_text(p, text, count)).otherwise(p)
-
-    def join_to(out, last, p):
-        host = F.get(out, last)
-        joined = with_text(host, F.concat(host["text"], F.lit("\n"), p["text"]),
-                           host["char_count"] + p["char_count"] + 1)
-        return F.concat(F.slice(out, 1, last), F.array(joined), F.slice(out, last + 2, F.size(out)))
-
-    def step(state, p):
-        out, held, last = state["out"], state["held"], state["last"]
-
-        def place(q):
-            short = is_text(q) & (q["char_count"] < min_size)
-            kept = F.when(is_text(q), empty).otherwise(held)
-            return (
-                F.when(short & (last >= 0), state_of(join_to(out, last, q), kept, last))
-                .when(short, state_of(out, F.concat(kept, F.array(q)), last))
-                .otherwise(state_of(F.concat(out, F.array(q)), kept,
-                                    F.when(is_text(q), F.size(out)).otherwise(last))))
-
-        return let(grow(held, p), place)
-
-    return F.aggregate(col(pieces).cast(array_type), start, step,
-                       lambda s: F.concat(s["out"], s["held"]))
-
-
-def section_pieces(parent_id, text, max_size: int = fixed.CHUNK_MAX,
-                   min_size: int = fixed.CHUNK_MIN, max_rows: int = fixed.TABLE_ROWS) -> Column:
-    """Chunk array of one section, before it becomes rows."""
-    number = lambda segs, seg, i: F.size(F.filter(
-        F.slice(segs, 1, i), lambda before: before["kind"] == seg["kind"])).cast("string")
-
-    def name(mark, place, many, j):
-        return F.concat(col(parent_id), F.lit(f"#{mark}"), place,
-                        F.when(many, F.concat(F.lit("p"), j.cast("string"))).otherwise(F.lit("")))
-
-    def content(texts, place):
-        many = lambda n: F.transform(texts, lambda t, j: F.struct(
-            F.lit("content").alias("kind"), name("c", place, n > 1, j).alias("chunk_id"),
-            t.alias("text"), F.lit(None).cast("string").alias("table_html"),
-            F.lit(None).cast("int").alias("table_rows"),
-            meaningful_chars(t).alias("char_count")).cast(PIECE))
-        return F.filter(let(F.size(texts), many), lambda p: has_text(p["text"]))
-
-    def table(parts, place):
-        many = lambda n: F.transform(parts, lambda t, j: F.struct(
-            F.lit("table").alias("kind"), name("t", place, n > 1, j).alias("chunk_id"),
-            t["table_markdown"].alias("text"), t["table_html"].alias("table_html"),
-            t["row_count"].alias("table_rows"),
-            meaningful_chars(t["table_markdown"]).alias("char_count")).cast(PIECE))
-        return let(F.size(parts), many)
-
-    def pieces(segs):
-        return F.flatten(F.transform(segs, lambda seg, i: let(number(segs, seg, i), lambda place: F.when(
-            seg["kind"] == "content",
-            let(recursive_split(seg["body"], max_size, min_size), lambda t: content(t, place)),
-        ).otherwise(let(split_table(seg["body"], max_rows), lambda t: table(t, place))))))
-
-    return merge_short_pieces(let(segments(text), pieces), min_size)
-
-
 def make_chunks(sections: DataFrame, path: str = "relative_path", max_size: int = fixed.CHUNK_MAX,
                 min_size: int = fixed.CHUNK_MIN, max_rows: int = fixed.TABLE_ROWS) -> DataFrame:
-    """Chunk rows of section rows; other columns are kept."""
+    """Chunk rows of section rows; other columns are kept.
+
+    Tables are cut by rows, texts by separators; a text piece below ``min_size`` joins the nearest text
+    piece before it, else the next one, over tables in between. A section is cut by positions in
+    one walk, so the work grows with its length; its chunks leave the task in bounded batches.
+    """
     others = [c for c in sections.columns if c not in ("text", "section_id", "pos")]
-    named = sections.withColumn("parent_id", F.concat_ws("#", F.replace(
-        F.col(path), F.lit("\\"), F.lit("/")), F.col("section_id")))
-    table = F.col("p.kind") == "table"
-    return named.select(
-        *others, "parent_id",
-        F.posexplode(section_pieces("parent_id", "text", max_size, min_size, max_rows)).alias("chunk_pos", "p"),
-    ).select(
-        "p.chunk_id", "parent_id", *others, "chunk_pos", F.col("p.text").alias("text"),
-        F.col("p.char_count").alias("char_count"), table.alias("is_table"),
-        F.when(table, F.col("p.text")).alias("table_markdown"),
-        F.col("p.table_html").alias("table_html"), F.col("p.table_rows").alias("table_rows"),
-    )
+    rows = sections.select(
+        F.struct(*[F.col(c) for c in others] or [F.lit(None).cast("string").alias("none")]).alias("row"),
+        F.concat_ws("#", F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.col("section_id")).alias("parent_id"), F.col("text").cast("string").alias("text"))
+    made = T.StructType([rows.schema["row"], *T.StructType.fromDDL(
+        "parent_id string, chunk_id string, chunk_pos int, text string, char_count int, is_table boolean, table_html string, table_rows int").fields])
+    chunks = rows.mapInArrow(chunk_batches(max_size, min_size, max_rows), made)
+    return chunks.select(
+        "chunk_id", "parent_id", *[F.col("row")[c].alias(c) for c in others], "chunk_pos", "text", "char_count", "is_table",
+        F.when(F.col("is_table"), F.col("text")).alias("table_markdown"), "table_html", "table_rows")
 
 
 def make_parents(sections: DataFrame, path: str = "relative_path") -> DataFrame:

@@ -244,6 +244,26 @@ def table_row_split(spark, sf):
                        F.when(F.col("p.table_html") != F.col("src"), F.md5("p.table_html")).alias("html"))
 
 
+@query("""WITH o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'none' ELSE l_returnflag END AS a, CASE WHEN l_linenumber % 3 = 0 THEN 'none' ELSE l_linestatus END AS b FROM lineitem),
+r AS (SELECT DISTINCT l_orderkey, 0 AS rn, 'order' AS k, 'return' AS a, 'status' AS b FROM o UNION ALL SELECT l_orderkey, rn, CAST(l_orderkey AS VARCHAR), a, b FROM o)
+SELECT 'o/' || l_orderkey AS relative_path, CAST(rn // 4 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS row_count,
+  '| order | flags | flags |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || k || ' | ' || a || ' | ' || b || ' |', chr(10) ORDER BY rn) AS markdown
+FROM r GROUP BY l_orderkey, rn // 4""")
+def spanning_tables(spark, sf):
+    """A cell over all rows of an order, heads and lines over two columns"""
+    rows = _numbered(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    cells = F.when(F.col("l_linenumber") % 3 == 0, F.lit('<td colspan="2">none</td>')).otherwise(
+        F.concat(F.lit("<td>"), "l_returnflag", F.lit("</td><td>"), "l_linestatus", F.lit("</td>")))
+    body = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("rn", cells.alias("x")))).alias("r"))
+    key = F.col("l_orderkey").cast("string")
+    whole = F.concat(F.lit("<td rowspan='"), F.size("r").cast("string"), F.lit("'>"), key, F.lit("</td>"))
+    lines = F.transform("r", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, whole).otherwise(""), r["x"], F.lit("</tr>")))
+    html = F.concat(F.lit("<table><tr><th rowspan=2>order</th><th colspan=2>flags</th></tr><tr><th>return</th><th>status</th></tr>"), F.array_join(lines, ""), F.lit("</table>"))
+    parts = body.select(F.concat(F.lit("o/"), key).alias("relative_path"), F.posexplode(C.split_table(html, 4)).alias("part", "p"))
+    return parts.select("relative_path", "part", "p.row_count", F.col("p.table_markdown").alias("markdown"))
+
+
 @query(f"""WITH {_ORDER_ROWS}, n AS (SELECT l_orderkey, count(*) AS parts FROM md GROUP BY ALL),
 t AS (SELECT 'o/' || l_orderkey || '#s0#t0' || CASE WHEN parts > 1 THEN 'p' || part ELSE '' END AS chunk_id, l_orderkey, part + 1 AS pos, text, rows AS table_rows
   FROM md JOIN n USING (l_orderkey)),

@@ -168,3 +168,37 @@ def test_html_keeps_all_visible_text(spark):
     assert got == [(0, "loose"), (0, "in div"), (0, "one"), (0, "two bold"), (2, "Head"), (0, "after"),
                    (0, "<table><tr><td><p>cell</p></td></tr></table>"), (0, "foot er"), (0, "item"), (3, "last")]
     assert rows[1]["m"] is None and rows[2]["m"] == []
+
+
+def test_spanning_cells_are_repeated():
+    from proofloom.functions import tables
+
+    cell = lambda text, **spans: f"<td{''.join(f' {k}={v}' for k, v in spans.items())}>{text}</td>"
+    rows = lambda *lines: tables.grid("<table>" + "".join(f"<tr>{x}</tr>" for x in lines) + "</table>")
+    assert rows(cell("a", rowspan=2) + cell("b", colspan=2), cell("c") + cell("d")) == [["a", "b", "b"], ["a", "c", "d"]]
+    assert rows(cell("a") + cell("b", rowspan=3), cell("c"), cell("d")) == [["a", "b"], ["c", "b"], ["d", "b"]]
+    assert rows(cell("a", rowspan=2, colspan=2), cell("b"), cell("c")) == [["a", "a", ""], ["a", "a", "b"], ["c", "", ""]]
+    assert rows(cell("a") + cell("b") + cell("c", rowspan=0), cell("d"), "", cell("e")) == [["a", "b", "c"], ["d", "", "c"], ["", "", "c"], ["e", "", "c"]]
+    assert rows(cell("a", rowspan='"9"'), "") == [["a"], ["a"]] and rows("", "") == []
+    assert rows(cell("x", colspan=0)) == [["x"]] and len(rows(cell("x", colspan=10**9))[0]) == tables.MAX_COLUMNS
+
+
+def test_long_sections_are_cut_in_one_walk():
+    import time
+
+    from proofloom.functions import splitting
+
+    begun = time.time()
+    lines = splitting.section_chunks("f#s", "word word\n" * 1_000_000, 20, 1)
+    tables = splitting.section_chunks("f#s", "<table><tr><td>h</td></tr><tr><td>1</td></tr></table>x\n" * 50_000)
+    leading = splitting.section_chunks("f#s", "a。\n" * 300_000, 4, 10**9)
+    assert len(lines) == 500_000 and len(tables) == 50_001 and len(leading) == 1 and time.time() - begun < 60
+    assert "\n".join(leading[0].parts).count("a") == 300_000 and leading[0].count == 300_000 + len(leading[0].parts) - 1
+
+
+def test_chunks_keep_other_columns(spark):
+    df = spark.createDataFrame([("f", "s", "a b", 1, [1, 2], ("x", 2)), ("g", "s", None, 2, None, None), ("h", "s", " ", 3, [], ("y", None))],
+                               "relative_path string, section_id string, text string, row int, list array<int>, parent struct<a:string,b:int>")
+    got = C.make_chunks(df)
+    assert got.columns == ["chunk_id", "parent_id", "relative_path", "row", "list", "parent", "chunk_pos", "text", "char_count", "is_table", "table_markdown", "table_html", "table_rows"]
+    assert [tuple(r)[:9] for r in got.collect()] == [("f#s#c0", "f#s", "f", 1, [1, 2], ("x", 2), 0, "a b", 2)]
