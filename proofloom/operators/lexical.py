@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -28,25 +29,43 @@ def words(c) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(WORD), F.lit(0))
 
 
-def words_and_han_pairs(c, terms: list[str] | None = None) -> Column:
-    """Words; runs of Han characters become overlapping pairs.
-
-    Whole ``terms`` of a user dictionary that occur in a run are added.
-    """
+def words_and_han_pairs(c) -> Column:
+    """Words; runs of Han characters become overlapping pairs."""
     runs = F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
 
     def cut(run):
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-        split = F.when(run.rlike(HAN_RUN) & (F.length(run) > 1), pairs).otherwise(F.array(run))
-        if not terms:
-            return split
-        known = F.filter(F.array(*[F.lit(t) for t in terms]),
-                         lambda t: (F.length(t) > 2) & F.contains(run, t))
-        return F.concat(split, known)
+        return F.when(run.rlike(HAN_RUN) & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
     return F.flatten(F.transform(runs, cut))
 
 
+def occurrences(runs: list[str], terms: set[str]) -> list[str]:
+    """Every occurrence of a term in the runs, also overlapping ones, by one look-up per place and length of terms."""
+    lengths = sorted({len(t) for t in terms})
+    return [run[i:i + n] for run in runs for n in lengths for i in range(len(run) - n + 1) if run[i:i + n] in terms]
+
+
+def with_dictionary(dictionary: DataFrame, term: str = "term", max_terms: int = MAX_TERMS) -> "Tokenizer":
+    """A tokenizer: words and Han pairs, and every occurrence of a dictionary term in a run of Han characters.
+
+    Terms are lower-cased; those of fewer than three characters add nothing to the pairs. The
+    dictionary is sent to the tasks, so it may hold at most ``max_terms`` terms; a larger one is an error.
+    """
+    spark = dictionary.sparkSession
+    rows = collect_if_small(dictionary.select(F.lower(F.col(term)).alias("t")).filter(F.length("t") > 2).distinct(), max_terms)
+    if rows is None:
+        raise ValueError(f"a dictionary may hold at most {max_terms} terms")
+    sent = spark.sparkContext.broadcast({r["t"] for r in rows})
+
+    @F.pandas_udf("array<string>")
+    def found(runs: pd.Series) -> pd.Series:
+        terms = sent.value
+        return runs.map(lambda r: None if r is None else occurrences(list(r), terms))
+
+    return lambda c: F.concat(words_and_han_pairs(c), found(F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{IsHan}+"), F.lit(0))))
+
+
 Tokenizer = Callable[[str], Column]
 
 

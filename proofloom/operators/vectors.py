@@ -19,6 +19,7 @@ from ..functions import fixed
 from ..functions.text import col, has_text, let, with_instruction
 from ..session import collect_if_small, top_n
 from .lexical import Tokenizer, words
+from .model import call_model
 
 TINY = 1e-9
 MAX_SHIPPED = 4096          # rows of the smaller side sent to every task
@@ -76,6 +77,27 @@ def embed(rows: DataFrame, text: str = "text", out: str = "embedding", dim: int
     return rows.withColumn(out, F.when(usable, hashing_vector(text, dim)))
 
 
+def embed_with(rows: DataFrame, fn, text: str = "text", out: str = "embedding", dim: int | None = None, batch: int = 20, tries: int = 3,
+               wait: float = 1.0, parallel: int | None = None) -> DataFrame:
+    """The caller's embedder: adds ``out`` and ``<out>_error``; rows are kept.
+
+    ``fn`` gets up to ``batch`` texts and returns as many vectors in order. Rows without text are not sent and get
+    NULL without an error. A batch that fails ``tries`` times, or returns too few vectors or vectors
+    of another length than ``dim``, gives NULL and the reason; other batches go on.
+    """
+    def asked(items: list[tuple]) -> list:
+        sent = [i for i, (t,) in enumerate(items) if t is not None and t.strip()]
+        found = list(fn([items[i][0] for i in sent])) if sent else []
+        if len(found) != len(sent):
+            raise ValueError(f"{len(found)} vectors for {len(sent)} texts")
+        if dim is not None and any(len(v) != dim for v in found):
+            raise ValueError(f"a vector has not {dim} values")
+        vectors = dict(zip(sent, found))
+        return [[float(x) for x in vectors[i]] if i in vectors else None for i in range(len(items))]
+
+    return call_model(rows, [text], asked, out, "array<double>", batch, tries, wait, parallel)
+
+
 def embed_queries(leaves: DataFrame, instruction: str = "", dim: int = 64) -> DataFrame:
     """Two vectors per leaf: its query, and its sample answer (else the query)."""
     hyde = F.coalesce(F.nullif(F.trim(F.col("hypothetical_doc")), F.lit("")), F.col("retrieval_query"))

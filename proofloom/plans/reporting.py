@@ -535,6 +535,58 @@ def project_rollup(spark, sf):
     return stats.project_rollup(c, drafts)
 
 
+@query("""SELECT s.scenario, s.stage, s.stale, CASE s.stage WHEN 'sizes' THEN (SELECT count(*) FROM documents) ELSE (SELECT count(DISTINCT source) FROM documents) END AS rows
+FROM (VALUES ('first', 'sizes', true), ('first', 'totals', true), ('first', 'shares', true), ('again', 'sizes', false), ('again', 'totals', false), ('again', 'shares', false),
+  ('settings', 'sizes', false), ('settings', 'totals', true), ('settings', 'shares', true), ('rows', 'sizes', true), ('rows', 'totals', true), ('rows', 'shares', true),
+  ('last settings', 'sizes', false), ('last settings', 'totals', false), ('last settings', 'shares', true)) AS s(scenario, stage, stale)""")
+def stage_refresh(spark, sf):
+    """Three stages over all documents, saved, then asked again after a change of settings or of one row"""
+    from ..sources import stages as G
+
+    root, docs = work_folder(spark), table(spark, sf, "documents").select("doc_id", "source", "text")
+    chain = lambda words=1, digits=4: [G.Stage("sizes", ["documents"], {}), G.Stage("totals", ["sizes"], {"least": words}), G.Stage("shares", ["totals"], {"digits": digits})]
+    source = {"documents": G.table_fingerprint(docs)}
+    other = {"documents": G.table_fingerprint(docs.withColumn("text", F.when(F.col("doc_id") == docs.agg(F.min("doc_id")).scalar(), F.lit("new")).otherwise(F.col("text"))))}
+    found = [("first", G.stale_stages(spark, root, chain(), source))]
+    G.save_stage(docs.select("doc_id", "source", F.length("text").alias("size")), root, "sizes")
+    sizes = G.load_stage(spark, root, "sizes")
+    G.save_stage(sizes.groupBy("source").agg(F.sum("size").alias("size")), root, "totals")
+    totals = G.load_stage(spark, root, "totals")
+    G.save_stage(totals.withColumn("share", F.round(F.col("size") / totals.agg(F.sum("size")).scalar(), 4)), root, "shares")
+    for name, made in G.stage_fingerprints(chain(), source).items():
+        G.mark_saved(spark, root, name, made)
+    found += [("again", G.stale_stages(spark, root, chain(), source)), ("settings", G.stale_stages(spark, root, chain(words=2), source)),
+              ("rows", G.stale_stages(spark, root, chain(), other)), ("last settings", G.stale_stages(spark, root, chain(digits=2), source))]
+    counts = None
+    for s in chain():
+        one = G.load_stage(spark, root, s.name).agg(F.count("*").alias("rows")).select(F.lit(s.name).alias("stage"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    states = spark.createDataFrame([(n, s.name, s.name in stale) for n, stale in found for s in chain()], "scenario string, stage string, stale boolean")
+    return states.join(counts, "stage")
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS now, count(DISTINCT CASE WHEN l_linenumber <> 5 THEN l_partkey END) AS old,
+  count(DISTINCT CASE WHEN l_linenumber <> 5 THEN l_partkey END) AS shared FROM lineitem GROUP BY 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS leaf_id, 'changed' AS change, o_orderpriority = '1-URGENT' AS has_edit
+FROM n JOIN orders ON o_orderkey = l_orderkey WHERE old > 0 AND NOT (now = old AND shared = now)""")
+def diff_with_edits(spark, sf):
+    """Parts of an order as its chunks, without line 5 before; urgent orders were edited"""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("leaf_id"), F.col("l_partkey").alias("chunk_id"), "l_linenumber")
+    diff = H.retrieval_diff(rows, rows.filter("l_linenumber <> 5"))
+    edits = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("leaf_id"))
+    return H.changed_with_edits(diff, edits)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS total, count(*) FILTER (WHERE s = 'done') AS done, count(*) FILTER (WHERE s = 'running') AS running,
+  count(*) FILTER (WHERE s = 'error') AS error, count(*) FILTER (WHERE s = 'pending') AS pending
+FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'running' ELSE 'pending' END AS s FROM events) GROUP BY 1""")
+def substep_states(spark, sf):
+    """Sub-step states per run; an event is a chapter's last state"""
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "error").when(kind == "purchase", "done").when(kind == "view", "running").otherwise("pending")
+    return stats.substep_counts(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("key"), status.alias("status")))
+
+
 # --- streams ---------------------------------------------------------------------------------------------
 
 def _as_steps(events):

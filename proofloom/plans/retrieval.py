@@ -120,6 +120,23 @@ def query_vectors(spark, sf):
     return _places(V.embed_queries(ready, "find passages").withColumnRenamed("leaf_id", "id"), "rq", "hyde").withColumnRenamed("id", "leaf_id")
 
 
+def _letters(texts: list[str]) -> list[list[float]]:
+    """An embedder from outside: counts of five letters; it refuses texts that end in a full stop and hold no comma."""
+    if any(t.endswith(".") and "," not in t for t in texts):
+        raise ValueError("refused")
+    return [[float(t.count(x)) for x in "aeinr"] for t in texts]
+
+
+@query("""SELECT doc_id, CASE WHEN text LIKE '%.' AND NOT contains(text, ',') THEN NULL ELSE
+    array_to_string(list_transform(['a', 'e', 'i', 'n', 'r'], lambda x: CAST(length(text) - length(replace(text, x, '')) AS VARCHAR)), ',') END AS embedding,
+  CASE WHEN text LIKE '%.' AND NOT contains(text, ',') THEN 'ValueError: refused' END AS embedding_error
+FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}]') UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\s\\p{Z}]')""".replace("\\\\", "\\"))
+def embeddings_from_outside(spark, sf):
+    """The caller's embedder; a batch of one text that fails is NULL with its reason"""
+    rows = V.embed_with(table(spark, sf, "documents").select("doc_id", "text"), _letters, dim=5, batch=1, tries=2, wait=0.0)
+    return rows.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"), "embedding_error")
+
+
 # --- BM25 -------------------------------------------------------------------------------------
 
 @query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {t.BM25_CORPUS}
@@ -150,6 +167,31 @@ def bm25_search_by_join(spark, sf):
     return L.search(text_table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", max_terms=0)
 
 
+_LETTERS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥金木水火"
+_HAN = f"translate(lower(text), '{_LETTERS}', '{_SIGNS}')"
+
+
+@query(rf"""WITH dict AS (SELECT DISTINCT unnest([substr(w, 1, 3), substr(w, 2, 4)]) AS term FROM
+  (SELECT unnest(regexp_extract_all({_HAN}, '\p{{Han}}+')) AS w FROM benchmark)),
+x AS (SELECT doc_id, {_HAN} AS t FROM documents), r AS (SELECT doc_id, unnest(regexp_extract_all(t, '\p{{Han}}+')) AS run FROM x),
+p AS (SELECT doc_id, unnest(CASE WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: substr(run, i, 2)) END) AS token FROM r
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '\p{{Han}}+', ' ', 'g'), '[\p{{L}}\p{{N}}]+')) FROM x
+  UNION ALL SELECT doc_id, token FROM (SELECT doc_id, unnest(flatten(list_transform([3, 4], lambda n: list_transform(range(1, length(run) - n + 2), lambda i: substr(run, i, n))))) AS token FROM r)
+    WHERE token IN (SELECT term FROM dict WHERE length(term) > 2))
+SELECT doc_id, count(token) AS n_tokens, count(token) FILTER (WHERE length(token) > 2 AND regexp_full_match(token, '\p{{Han}}+')) AS n_terms,
+  md5(coalesce(string_agg(token, ' ' ORDER BY token), '')) AS tokens
+FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id""")
+def dictionary_tokens(spark, sf):
+    """V8: texts in Han characters, with a dictionary of starts and middles of the benchmark's words"""
+    han = F.translate(F.lower("text"), _LETTERS, _SIGNS)
+    asked = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(han, F.lit(r"\p{IsHan}+"), F.lit(0))).alias("w"))
+    dictionary = asked.select(F.explode(F.array(F.substring("w", 1, 3), F.substring("w", 2, 4))).alias("term"))
+    tokens = L.with_dictionary(dictionary)
+    rows = text_table(spark, sf, "documents").select("doc_id", han.alias("han")).select("doc_id", F.array_sort(tokens("han")).alias("t"))
+    terms = F.filter("t", lambda t: (F.length(t) > 2) & t.rlike(r"^\p{IsHan}+$"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(terms).cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
 # limits that make every status occur on these vectors
 LOW, EXTRA = 0.20, 0.24
 

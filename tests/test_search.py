@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofloom.operators import fusion as X
 from proofloom.operators import lexical as L
+from proofloom.operators import postings
 from proofloom.operators import vectors as V
 from proofloom.operators.ranking import global_rank
 
@@ -54,8 +55,57 @@ def test_bm25_padding(spark):
 
 
 def test_han_pairs(spark):
-    got = spark.createDataFrame([("碳排放 ESG报告",)], "t string").select(L.words_and_han_pairs("t", ["碳排放"])).first()[0]
-    assert got == ["碳排", "排放", "碳排放", "esg", "报告"]
+    rows = spark.createDataFrame([("碳排放 ESG报告",), ("碳排放碳排放",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(L.words_and_han_pairs("t")).collect()] == [["碳排", "排放", "esg", "报告"], ["碳排", "排放", "放碳", "碳排", "排放"], None, []]
+    tokens = L.with_dictionary(spark.createDataFrame([("碳排放",), ("放碳排放",), ("报告",), ("ESG",), (None,)], "term string"))
+    got = [r[0] for r in rows.select(tokens("t")).collect()]
+    assert got[0] == ["碳排", "排放", "esg", "报告", "碳排放"] and got[1][5:] == ["碳排放", "碳排放", "放碳排放"] and got[2:] == [None, []]
+    with pytest.raises(ValueError):
+        L.with_dictionary(spark.range(9).selectExpr("concat('term', id) term"), max_terms=8)
+
+
+@pytest.mark.parametrize("first_ranges", [1, 4])
+def test_stored_postings_equal_the_scan(spark, tmp_path, first_ranges):
+    rng = random.Random(first_ranges)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, weights=range(1, 61), k=rng.randrange(0, 40))) if i % 17 else None) for i in range(400)] + [(900 + i, "same text here") for i in range(30)]
+    asked = [(i, " ".join(rng.choices([*words, "absent", "same"], k=rng.randrange(0, 6)))) for i in range(25)] + [(99, None)]
+    rows, queries = spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(asked, "q long, text string")
+    want = sorted(tuple(r) for r in L.search(rows, "d", queries, "q", 7).collect())
+    index = postings.build(rows, "d", folder=str(tmp_path / "index"), range_docs=16)
+    assert sorted(tuple(r) for r in postings.search(index, queries, "q", "d", 7, first_ranges=first_ranges).collect()) == want
+    again = postings.load(spark, str(tmp_path / "index"), rows.schema["d"].dataType)
+    assert sorted(tuple(r) for r in postings.search(again, queries, "q", "d", 7).collect()) == want
+    empty = postings.build(rows.limit(0), "d", folder=str(tmp_path / "empty"))
+    assert postings.search(empty, queries, "q", "d", 7).collect() == []
+
+
+def test_a_search_of_stored_postings_reads_no_text(spark, tmp_path):
+    """The texts may be gone: the build read them once, a search opens the folders of its tokens only."""
+    spark.createDataFrame([(i, f"a{i % 50} b{i % 7}") for i in range(300)], "d long, text string").write.parquet(str(tmp_path / "docs"))
+    rows = spark.read.parquet(str(tmp_path / "docs"))
+    index = postings.build(rows, "d", folder=str(tmp_path / "index"))
+    for file in (tmp_path / "docs").glob("*"):
+        file.write_bytes(b"")
+    hits = postings.search(index, spark.createDataFrame([(1, "a3 b3")], "q long, text string"), "q", "d", 5)
+    assert hits.count() == 5
+    plan = index.blocks.filter(F.col("bucket").isin([3])).select("token", "top")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "postings" not in plan.split("ReadSchema")[-1]
+
+
+def test_embedder_from_outside(spark):
+    from proofloom.operators import vectors as V
+
+    def fn(texts):
+        assert 0 < len(texts) <= 3
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[len(t), 1] if t != "long" else [1, 2, 3] for t in texts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "  "), (4, "bad"), (5, "b"), (6, "c"), (7, "long")], "i int, text string").coalesce(1)
+    got = {r["i"]: (r["embedding"], r["embedding_error"]) for r in V.embed_with(rows, fn, dim=2, batch=3, tries=2, wait=0.0).collect()}
+    assert got[1] == ([1.0, 1.0], None) and got[2] == got[3] == (None, None)
+    assert all(got[i] == (None, "RuntimeError: no") for i in (4, 5, 6)) and got[7] == (None, "ValueError: a vector has not 2 values")
 
 
 def test_global_rank_with_one_hot_group(spark):
