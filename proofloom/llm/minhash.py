@@ -178,6 +178,18 @@ def _fits(a: str, b: str) -> F.Column:
     return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
 
 
+def _meet(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """``rows`` with the values of their key, if there are any; ``values`` has one row per key.
+
+    Keys of over a thousandth of all rows, fewer than a thousand, are sent to the rows; the others
+    meet them in a join, none of whose keys has more rows than that.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    many = (rows.count() // HOT_SHARE) + 1
+    hot = F.broadcast(cut_lineage(sizes.filter(F.col("__n") > many).join(values, key, "left").drop("__n")))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(values, key, "left"))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows, (d1, d2, n, component_id, k1, k2) of all classes of equal sets).
 
@@ -223,12 +235,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     second = components(more.join(top("a"), "a", "left").join(top("b"), "b", "left").select(
         F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b")), "a", "b") \
         .select(F.col("node").alias("component"), F.col("component").alias("above"))
-    tops = first.join(second, "component", "full").select(
-        F.coalesce("node", "component").alias("node"), F.coalesce("above", "component").alias("top"))
-    # A component of the second round that has no row in the first is a node of its own; one that has is among its nodes.
-    linked_classes = classes.join(tops, "node")
+    # a node of the second round that is no component of the first is a class on its own
+    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("above").alias("top"))
+    tops = cut_lineage(_meet(first, "component", second).select("node", F.coalesce("above", "component").alias("top")).unionByName(alone))
+    linked_classes = cut_lineage(classes.join(tops, "node"))
     heads = linked_classes.groupBy("top").agg(F.min(F.struct("least", "d1", "d2")).alias("head"))
-    joined = linked_classes.join(heads, "top").select("node", F.col("head.least").alias("component_id"), F.col("head.d1").alias("k1"), F.col("head.d2").alias("k2"))
+    joined = _meet(linked_classes, "top", heads).select("node", F.col("head.least").alias("component_id"), F.col("head.d1").alias("k1"), F.col("head.d2").alias("k2"))
     last = classes.join(joined, "node", "left").select(
         "d1", "d2", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("k1", "d1").alias("k1"), F.coalesce("k2", "d2").alias("k2"))
     return signed, cut_lineage(last)
@@ -282,11 +294,20 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows without doc_id stay. Of rows that repeat a doc_id and its set of shingles one stays.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = _with_component(*_classes(plain)).filter("doc_id <> component_id OR d1 <> k1 OR d2 <> k2") \
-        .select(F.col("doc_id").alias("id"), "d1", "d2").distinct()
+    signed, classes = _classes(plain)
+    sets = F.struct("d1", "d2")
+    # ids with one set are judged by id; only the rows of ids with several sets need theirs beside them
+    mixed = cut_lineage(signed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min(sets).alias("lo"), F.max(sets).alias("hi"))
+                        .filter("lo <> hi").select("__id"))
+    gone = cut_lineage(_with_component(signed, classes).filter("doc_id <> component_id OR d1 <> k1 OR d2 <> k2")
+                       .select(F.col("doc_id").alias("__id"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2")).distinct())
+    known = docs.filter("doc_id IS NOT NULL")
+    own = known["doc_id"].cast("long") == F.col("__id")
+    single = known.join(gone.select("__id").unionByName(mixed), own, "left_anti").dropDuplicates(["doc_id"])
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    named = docs.select(row, F.col("text").cast("string").alias("text")).mapInArrow(
-        _digests, T.StructType([T.StructField("row", docs.select(row).schema["row"].dataType), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
-    named = named.withColumn("id", F.col("row.doc_id").cast("long"))
-    kept = named.filter("id IS NOT NULL").join(gone, ["id", "d1", "d2"], "left_anti").dropDuplicates(["id", "d1", "d2"])
-    return kept.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
+    several = known.join(mixed, own, "left_semi").select(row, F.col("text").cast("string").alias("text"))
+    named = several.mapInArrow(_digests, T.StructType([several.schema["row"], T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())])) \
+        .withColumn("id", F.col("row.doc_id").cast("long"))
+    its = (F.col("id") == F.col("__id")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2"))
+    kept = named.join(gone, its, "left_anti").dropDuplicates(["id", "d1", "d2"]).select("row.*")
+    return single.unionByName(kept).unionByName(docs.filter("doc_id IS NULL"))
