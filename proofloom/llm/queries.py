@@ -32,6 +32,13 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.judge(table(spark, sf, "pages"), labels)
 
 
+def url_rules_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """Operator 4 where rules must fire: pages that the given rules block are the bad ones, and mined rules alone judge all pages."""
+    pages = table(spark, sf, "pages")
+    labels = url_rules.judge(pages, pages.limit(0).selectExpr("page_id AS id", "false AS bad")).select(F.col("page_id").alias("id"), (F.col("verdict") == "block").alias("bad"))
+    return url_rules.judge(pages, labels, given=[]).select("page_id", "host", "path", "verdict")
+
+
 def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """Ten nearest vectors of every hundredth vector."""
     vectors = table(spark, sf, "embeddings")
@@ -85,7 +92,7 @@ def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_url_filter, op5_nearest, op6_quality, op7_secrets,
-                                   op8_toxicity, op9_decontamination, op10_token_counts, op11_hard_negatives, op12_conversation_trie, op13_packing)}
+                                   op8_toxicity, op9_decontamination, op10_token_counts, op11_hard_negatives, op12_conversation_trie, op13_packing, url_rules_learned)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -120,16 +127,20 @@ def _given_sql() -> str:
     return "(VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rows) + ") AS given(h, p, v)"
 
 
-#: Every combination of up to three tokens of the labelled URLs is counted; no mining.
-OP4_SQL = rf"""
-WITH u AS (
+_URLS_SQL = rf"""u AS (
   SELECT page_id, url, {_HOST} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
     list_sort(list_distinct(list_concat(
       {_words_sql("regexp_extract(url, '^([A-Za-z]+)://', 1)", "s:")},
       {_words_sql("replace(" + _HOST + ", '-', ' ')", "h:")},
       {_words_sql("regexp_extract(url, '://[^/?#]*([^?#]*)', 1)", "p:")},
       {_words_sql("regexp_extract(url, '://[^?#]*(.*)$', 1)", "q:")}))) AS t
-  FROM pages),
+  FROM pages)"""
+_GIVEN_SQL = f"""SELECT h, p, v FROM {_given_sql()} WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
+  ORDER BY length(h) + length(p) DESC, length(h) DESC LIMIT 1"""
+
+#: Every combination of up to three tokens of the labelled URLs is counted; no mining.
+OP4_SQL = rf"""
+WITH {_URLS_SQL},
 taught AS (SELECT DISTINCT page_id, url, t, quality = 0 AS bad FROM u JOIN labels ON page_id = doc_id),
 total AS (SELECT count(*) AS n, count(*) FILTER (bad) AS b, greatest({url_rules.MIN_COUNT}, ceil(count(*) * {url_rules.MIN_SUPPORT})) AS least FROM taught),
 x AS (SELECT page_id, url, bad, t, unnest(t) AS a FROM taught),
@@ -146,9 +157,23 @@ pruned AS (SELECT k FROM r WHERE NOT EXISTS (
 hit AS (SELECT DISTINCT url FROM u WHERE EXISTS (SELECT 1 FROM pruned WHERE list_has_all(u.t, pruned.k)))
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, g.h || g.p AS "rule",
   coalesce(g.v, CASE WHEN hit.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN hit USING (url) LEFT JOIN LATERAL (
-  SELECT h, p, v FROM {_given_sql()} WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
-  ORDER BY length(h) + length(p) DESC, length(h) DESC LIMIT 1) g ON true"""
+FROM u LEFT JOIN hit USING (url) LEFT JOIN LATERAL ({_GIVEN_SQL}) g ON true"""
+
+#: Every combination of any length of the tokens that are frequent in bad URLs, by the bits of its number.
+LEARNED_SQL = rf"""
+WITH {_URLS_SQL},
+taught AS (SELECT DISTINCT page_id, url, t, coalesce(g.v, '') = 'block' AS bad FROM u LEFT JOIN LATERAL ({_GIVEN_SQL}) g ON true WHERE url IS NOT NULL),
+total AS (SELECT count(*) AS n, count(*) FILTER (bad) AS b, greatest({url_rules.MIN_COUNT}, ceil(count(*) * {url_rules.MIN_SUPPORT})) AS least,
+  greatest({url_rules.MIN_CONFIDENCE}, least({url_rules.MIN_LIFT} * b / n, (1 + b / n) / 2)) AS bound FROM taught),
+often AS (SELECT list(a) AS often FROM (SELECT a FROM (SELECT unnest(t) AS a FROM taught WHERE bad) GROUP BY a HAVING count(*) >= (SELECT least FROM total))),
+x AS (SELECT page_id, bad, list_filter(t, lambda a: list_contains(often, a)) AS t FROM taught, often),
+c AS (SELECT bad, list_filter(t, lambda a, i: (m >> (i - 1)) & 1 = 1) AS k FROM (SELECT *, unnest(range(1, 1 << len(t))) AS m FROM x)),
+k AS (SELECT k, count(*) AS n, count(*) FILTER (bad) AS bad FROM c GROUP BY k),
+r AS (SELECT k, k.bad / k.n AS confidence FROM k, total WHERE k.bad >= least AND k.bad / k.n >= bound),
+pruned AS (SELECT k FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.k <> r.k AND list_has_all(r.k, o.k) AND o.confidence >= r.confidence)),
+hit AS (SELECT DISTINCT url FROM u WHERE EXISTS (SELECT 1 FROM pruned WHERE list_has_all(u.t, pruned.k)))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, CASE WHEN hit.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM u LEFT JOIN hit USING (url)"""
 
 def _seeds_sql(table: str, key: str) -> str:
     """Rows (key, mask, place, seed) of all windows; a seed joins the words that the mask looks at."""
@@ -217,4 +242,4 @@ SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n AS n_convs, f.k AS n
   CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
 FROM f JOIN z USING (p, depth) LEFT JOIN f a ON a.depth = f.depth - 1 AND a.p = f.p[1:f.depth - 1]"""
 
-ORACLE = {"op2_near_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_trie": OP12_SQL}
+ORACLE = {"op2_near_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "url_rules_learned": LEARNED_SQL, "op9_decontamination": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_trie": OP12_SQL}

@@ -101,7 +101,7 @@ def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_count: int
     sets = grow(seen.filter("bad").select(F.col("tokens").alias("items"))).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
     sets = cut_lineage(sets)
     # How often bad or not: every combination of a URL that is in the list of candidates is counted.
-    counted = matches(seen.select("id", "tokens"), sets).groupBy("rule").agg(F.count("*").alias("n"))
+    counted = matches(_dealt(seen.select("id", "tokens")), sets).groupBy("rule").agg(F.count("*").alias("n"))
     sets = cut_lineage(sets.join(counted.withColumnRenamed("rule", "tokens"), "tokens").withColumn("confidence", F.col("bad") / F.col("n")))
     rules = sets.filter(F.col("confidence") >= bound)
     longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
@@ -120,6 +120,11 @@ def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_count: int
     return kept
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all shuffle partitions by their id: a URL meets many rules, so few rows are much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def _shorter() -> Column:
     """The parts of the array ``tokens`` that lack one of its values."""
     return F.transform("tokens", lambda t: F.array_except(F.col("tokens"), F.array(t)))
@@ -153,7 +158,7 @@ def judge(pages: DataFrame, labels: DataFrame, given: list[tuple[str, str, str]]
     taught = pages.filter("url IS NOT NULL").select(F.col("page_id").cast("long").alias("id"), "url").distinct().join(sure, "id")
     rules = cut_lineage(mine_rules(taught.select(url_tokens(F.col("url")).alias("tokens"), "bad"), **mining))
     urls = pages.select("url").filter("url IS NOT NULL").distinct()
-    blocked = matches(urls.select(F.col("url").alias("id"), url_tokens(F.col("url")).alias("tokens")), rules) \
+    blocked = matches(_dealt(urls.select(F.col("url").alias("id"))).select("id", url_tokens(F.col("id")).alias("tokens")), rules) \
         .select(F.col("id").alias("__url")).distinct()
     rule, verdict = given_verdict(F.col("host"), F.col("path"), given)
     return pages.join(blocked, F.col("url") == F.col("__url"), "left").select(
