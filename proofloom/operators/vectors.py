@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..functions.tables import BLANK
 from ..functions.text import col, has_text, let, with_instruction
 from ..session import collect_if_small, top_n
 from .lexical import Tokenizer, words
@@ -86,7 +87,7 @@ def embed_with(rows: DataFrame, fn, text: str = "text", out: str = "embedding",
     of another length than ``dim``, gives NULL and the reason; other batches go on.
     """
     def asked(items: list[tuple]) -> list:
-        sent = [i for i, (t,) in enumerate(items) if t is not None and t.strip()]
+        sent = [i for i, (t,) in enumerate(items) if t is not None and t.strip(BLANK)]
         found = list(fn([items[i][0] for i in sent])) if sent else []
         if len(found) != len(sent):
             raise ValueError(f"{len(found)} vectors for {len(sent)} texts")

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.splitting import split_batches
-from ..functions.text import content_key
+from ..functions.text import content_key, has_text
 from ..operators import browse as B
 from ..operators import drafts as D
 from ..operators import history as H
 from ..operators import lexical as L
 from ..operators import model as M
 from ..operators import stats
-from ..session import table, text_table, work_folder
+from ..operators import vectors as V
+from ..session import cut_lineage, table, text_table, work_folder
 from ..sources import sinks
 from ..streaming import ingest as I
 from ..streaming import progress as P
@@ -659,3 +660,41 @@ def incremental_ingest(spark, sf):
         stream = spark.readStream.schema(schema).parquet(f"{sf}/document[s].parquet").withColumn("text", text)
         I.ingest(stream, f"{folder}/out", f"{folder}/{log}", cut, path="doc_id").awaitTermination()
     return I.current(spark, f"{folder}/out", "doc_id").select("doc_id", "content_key", "pos", F.md5("chunk").alias("chunk"))
+
+
+_VERSIONS = """versions AS (SELECT doc_id, 1 AS version, text FROM documents UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 10 = 0 THEN text || ' v2' ELSE text END FROM documents)"""
+
+
+@query(f"""WITH {_VERSIONS}, k AS (SELECT doc_id, version, text, substr(sha256(text), 1, 16) AS content_key FROM versions),
+live AS (SELECT DISTINCT content_key, text, true AS live FROM k WHERE version = 2),
+gone AS (SELECT DISTINCT content_key, text, false AS live FROM k WHERE content_key NOT IN (SELECT content_key FROM live)),
+d AS (SELECT * FROM live UNION ALL SELECT * FROM gone), c AS (SELECT content_key, live, text, {split_sql('text', 400, 100)} AS parts FROM d),
+x AS (SELECT content_key, live, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS chunk FROM c)
+SELECT content_key, live, 'sections' AS output, 0 AS pos, md5(text) AS value FROM d WHERE {{}}
+UNION ALL SELECT content_key, live, 'chunks', CAST(pos AS INTEGER), md5(chunk) FROM x
+UNION ALL SELECT content_key, live, 'vectors', CAST(pos AS INTEGER), CASE WHEN {{}} THEN array_to_string(list_transform(['a', 'e', 'i', 'n', 'r'],
+  lambda l: CAST(length(chunk) - length(replace(chunk, l, '')) AS VARCHAR)), ',') END FROM x""".replace("{}", "regexp_matches(text, '[^\\s\\p{Z}]')", 1).replace("{}", "regexp_matches(chunk, '[^\\s\\p{Z}]')"))
+def incremental_outputs(spark, sf):
+    """Two versions of all documents as sections, chunks and vectors; rows of replaced content are retired"""
+    folder = work_folder(spark)
+    schema = table(spark, sf, "documents").schema
+    letters = lambda texts: [[float(t.count(x)) for x in "aeinr"] for t in texts]
+
+    def process(rows):
+        chunks = cut_lineage(rows.select("content_key", "text").mapInArrow(split_batches(400, 100), "key string, pos int, chunk string").withColumnRenamed("key", "content_key"))
+        vectors = V.embed_with(chunks, letters, text="chunk", dim=5, batch=50).select("content_key", "pos", "embedding")
+        sections = rows.filter(has_text("text")).select("content_key", F.lit(0).alias("pos"), "text")
+        return {"sections": sections, "chunks": chunks, "vectors": vectors}
+
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
+    for log, text in (("first", F.col("text")), ("second", changed)):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/document[s].parquet").withColumn("text", text)
+        I.ingest(stream, f"{folder}/out", f"{folder}/{log}", process, path="doc_id").awaitTermination()
+    now = I.newest_keys(spark, f"{folder}/out", "doc_id").select("content_key").distinct().withColumn("live", F.lit(True))
+    shown = {"sections": F.md5("text"), "chunks": F.md5("chunk"), "vectors": F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")}
+    out = None
+    for name, value in shown.items():
+        rows = I.output(spark, f"{folder}/out", name).join(now, "content_key", "left").select(
+            "content_key", F.coalesce("live", F.lit(False)).alias("live"), F.lit(name).alias("output"), "pos", value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

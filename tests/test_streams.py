@@ -71,3 +71,21 @@ def test_ingest_keeps_every_path_and_replaces_changed_files(spark, tmp_path):
     got = sorted((r.path, r.word) for r in ingest.current(spark, out, "path").collect())
     assert got == [("p1", "a"), ("p1", "b"), ("p2", "a"), ("p2", "b"), ("p3", "a"), ("p3", "b"), ("p4", "d"), ("p4", "e")]
     assert spark.read.option("basePath", out).parquet(out).count() == 5
+
+
+def test_ingest_of_several_outputs_reads_its_prefixes_and_retires_old_rows(spark, tmp_path):
+    docs = "path string, text string"
+    out = str(tmp_path / "out")
+    process = lambda rows: {"whole": rows.select("content_key", "text"), "words": rows.select("content_key", F.explode(F.split("text", " ")).alias("word"))}
+    for n, rows in enumerate([[("p1", "a b"), ("p2", "c")], [("p2", "a b"), ("p3", "d")], [("p3", "d")]]):
+        spark.createDataFrame(rows, docs).write.parquet(str(tmp_path / f"in/{n}"))
+        for again in (False, True):  # a replay with nothing new changes nothing
+            stream = ingest.read_documents(spark, str(tmp_path / "in/*"), docs)
+            ingest.ingest(stream, out, str(tmp_path / "log"), process, path="path").awaitTermination()
+    words = lambda df: sorted((r["path"], r["word"]) for r in df.collect())
+    assert words(ingest.current(spark, out, "path", name="words")) == [("p1", "a"), ("p1", "b"), ("p2", "a"), ("p2", "b"), ("p3", "d")]
+    assert [r["text"] for r in ingest.retired(spark, out, "path", name="whole").collect()] == ["c"]
+    assert ingest.output(spark, out, "whole").count() == 3
+    keyed = ingest.new_content(spark.createDataFrame([("p", "d")], docs), None)
+    plan = ingest.seen_keys(keyed, out, "none")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and f"[{keyed.first()['content_key'][:ingest.PREFIX]}]" in plan.replace("(", "[").replace(")", "]")
