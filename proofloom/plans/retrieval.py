@@ -40,7 +40,7 @@ def passages_for_questions(spark, sf):
     from ..operators.chunks import make_chunks
 
     chunks = cut_lineage(make_chunks(document_sections(spark, sf)).select("chunk_id", "doc_id", "text"))
-    hits = P.search(P.build(chunks, "chunk_id"), table(spark, sf, "benchmark"), "item_id", "chunk_id", 100)
+    hits = L.search(chunks, "chunk_id", table(spark, sf, "benchmark"), "item_id", 100)
     placed = hits.drop("rank").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     order = [F.desc("score"), F.col("chunk_id")]
     first = top_n(placed, ["item_id", "doc_id"], order, 1, "one").drop("one")
@@ -142,8 +142,8 @@ def embeddings_from_outside(spark, sf):
 @query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {t.BM25_CORPUS}
 SELECT df, round(min(idf), 6) AS idf, count(*) AS tokens, md5(string_agg(token, ' ' ORDER BY token)) AS names FROM d_idf GROUP BY df""")
 def bm25_vocabulary(spark, sf):
-    """V6: the stored vocabulary, tokens of equal frequency (and so of equal weight) in one row"""
-    rows = P.build(text_table(spark, sf, "documents"), "doc_id").vocabulary
+    """V6: the vocabulary, tokens of equal frequency (and so of equal weight) in one row"""
+    rows, _ = L.vocabulary_index(text_table(spark, sf, "documents"))
     return rows.groupBy("df").agg(F.round(F.min("idf"), 6).alias("idf"), F.count("*").alias("tokens"),
                                   F.md5(F.array_join(F.sort_array(F.collect_list("token")), " ")).alias("names"))
 
@@ -151,14 +151,14 @@ def bm25_vocabulary(spark, sf):
 @query(f"""WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT item_id AS qid, text FROM benchmark), {t.BM25}
 SELECT qid AS item_id, id AS doc_id, score, rank FROM bm25 WHERE rank <= 100""")
 def bm25_search(spark, sf):
-    """V6 V7 L1: from stored postings"""
-    return P.search(P.build(text_table(spark, sf, "documents"), "doc_id"), table(spark, sf, "benchmark"), "item_id", "doc_id")
+    """V7 L1"""
+    return L.search(text_table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id")
 
 
 @query(ORACLE["bm25_search"])
-def bm25_search_by_scan(spark, sf):
-    """V7 with the queries shipped to the texts"""
-    return L.search(text_table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id")
+def bm25_search_from_postings(spark, sf):
+    """V6 V7: from stored postings"""
+    return P.search(P.build(text_table(spark, sf, "documents"), "doc_id"), table(spark, sf, "benchmark"), "item_id", "doc_id")
 
 
 @query(ORACLE["bm25_search"])
