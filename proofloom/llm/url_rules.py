@@ -96,9 +96,13 @@ def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_count: int
     seen = kept.select("id", "bad", F.explode("tokens").alias("token")).join(broadcast_if_small(frequent), "token") \
         .groupBy("id", "bad").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     seen = cut_lineage(seen)
-    grow = lambda rows: FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(rows.count(), 1), minConfidence=1.0,
-                                 numPartitions=rows.sparkSession.sparkContext.defaultParallelism).fit(rows).freqItemsets
-    sets = grow(seen.filter("bad").select(F.col("tokens").alias("items"))).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
+    items = seen.filter("bad").select(F.col("tokens").alias("items"))
+    n_items = items.count()
+    if n_items < least:  # no token is frequent
+        return none
+    grown = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_items, minConfidence=1.0,
+                     numPartitions=items.sparkSession.sparkContext.defaultParallelism).fit(items).freqItemsets
+    sets = grown.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad"))
     sets = cut_lineage(sets)
     # How often bad or not: every combination of a URL that is in the list of candidates is counted.
     counted = matches(_dealt(seen.select("id", "tokens")), sets).groupBy("rule").agg(F.count("*").alias("n"))
