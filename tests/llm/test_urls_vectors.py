@@ -182,3 +182,20 @@ def test_repeated_rows_take_one_place(spark):
             got = pstable.search(frame, table.filter("vec_id = 0"), 5).orderBy("rank").collect()
             assert [(r["vec_id"], r["rank"]) for r in got] == [(v, i) for i, (v, _) in enumerate(want, 1)]
             assert np.allclose([r["score"] for r in got], [d for _, d in want])
+
+
+def test_no_token_is_frequent_but_those_of_every_url(spark):
+    """Ten URLs share all their frequent tokens, so nothing is left to mine."""
+    pages = spark.createDataFrame([(i, f"http://a.com/{chr(97 + i) * 3}") for i in range(10)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 6) for i in range(10)], "id long, bad boolean")
+    assert {r["verdict"] for r in url_rules.judge(pages, labels, given=[]).collect()} == {"allow"}
+
+
+def test_mined_rules_fire_where_given_ones_taught_them(spark):
+    from proofloom.llm import queries
+
+    got = {r["page_id"]: r["verdict"] for r in queries.url_rules_learned(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    taught = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, pages.limit(0).selectExpr("page_id id", "false bad")).collect()}
+    bad = {i for i, v in taught.items() if v == "block"}
+    assert len(bad) > 10 and sum(got[i] == "block" for i in bad) > len(bad) / 2
