@@ -178,3 +178,7 @@ WORDS_PER_CITATION = 200
 BATCH_SIZE = 15
 UPLOAD_LIMIT = 4000
 REPORT_STATUSES = ["generated", "reviewed", "approved"]
+
+# --- runs -----------------------------------------------------------------------------
+# Fixed value: error of a run that ended without a word.
+LOST_RUN = "Process exited unexpectedly"

@@ -18,6 +18,7 @@ from ..session import cut_lineage, table, text_table, work_folder
 from ..sources import sinks
 from ..streaming import ingest as I
 from ..streaming import progress as P
+from ..streaming import run_states as R
 from . import tables as t
 from .chunking import split_sql
 
@@ -622,10 +623,14 @@ def silent_runs(spark, sf):
     return P.close_silent(P.progress(_as_steps(events)), now, "2 hours").select("run_id", "status")
 
 
-def _event_stream(spark, sf):
+def _event_rows(spark, sf):
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
-    return _as_steps(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _event_stream(spark, sf):
+    return _as_steps(_event_rows(spark, sf))
 
 
 @query(f"""WITH {_STEPS} SELECT run_id, stage, status, CASE WHEN status = 'completed' THEN 100.0 ELSE round(current / 100 * 100, 1) END AS percent, ts FROM last""")
@@ -646,6 +651,61 @@ def streamed_progress_with_timeouts(spark, sf):
     return P.latest_states(spark.read.parquet(f"{folder}/out")).select("run_id", "stage", "status", "percent")
 
 
+_RUNS = f"""{_STEPS}, said AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, ts, event_type AS stage, 'c' || event_id % 7 AS substep,
+  CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS substep_status,
+  CASE WHEN event_id % 11 = 0 THEN list_transform(range(event_id % 4), lambda i: 'n' || CAST(event_id + i AS VARCHAR)) END AS failed_ids FROM events),
+steps_said AS (SELECT s.*, 'e' || event_id AS error FROM steps s WHERE event_id % 3 <> 0),
+last_step AS (SELECT run_id, arg_max(stage, (ts, event_id)) AS stage, arg_max(status, (ts, event_id)) AS status, arg_max(current, (ts, event_id)) AS current, arg_max(error, (ts, event_id)) AS error
+  FROM steps_said GROUP BY 1),
+span AS (SELECT run_id, stage, min((ts, event_id)) AS entered, max((ts, event_id)) AS seen FROM steps_said GROUP BY ALL),
+part AS (SELECT run_id, substep, arg_max(coalesce(substep_status, 'pending'), (ts, event_id)) AS status FROM said GROUP BY ALL),
+parts AS (SELECT run_id, string_agg(substep || ':' || status, ',' ORDER BY substep) AS substeps FROM part GROUP BY 1),
+failed AS (SELECT run_id, arg_max(failed_ids, (ts, event_id)) AS ids FROM said WHERE failed_ids IS NOT NULL GROUP BY 1),
+heard AS (SELECT run_id, max(ts) AS ts FROM said GROUP BY 1),
+state AS (SELECT h.run_id, l.stage, coalesce(l.status, 'running') AS status, CASE WHEN l.status = 'completed' THEN 100.0 ELSE coalesce(round(current / 100 * 100, 1), 0) END AS percent,
+  coalesce((SELECT string_agg(f.stage, ',' ORDER BY entered) FROM span f WHERE f.run_id = h.run_id AND (f.stage <> l.stage OR l.status = 'completed'
+    OR EXISTS (SELECT 1 FROM span o WHERE o.run_id = h.run_id AND o.stage <> f.stage AND o.seen > f.entered))), '') AS stages_completed,
+  substeps, coalesce(len(ids), 0) AS partial_failed, coalesce(array_to_string(ids, ','), '') AS partial_failed_ids, CASE WHEN l.status = 'failed' THEN error END AS error, h.ts
+  FROM heard h LEFT JOIN last_step l USING (run_id) LEFT JOIN parts USING (run_id) LEFT JOIN failed USING (run_id))"""
+
+
+def _whole_events(events):
+    """Step events that also name sub-steps and failed ids; every third says nothing of its stage."""
+    key = F.col("event_id")
+    named = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    kind = F.col("stage")
+    silent = key % 3 == 0
+    ids = F.transform(F.sequence(F.lit(0), (key % 4).cast("int")), lambda i: named("n", key + i))
+    return _as_steps(events).select(
+        "run_id", "event_id", "ts", F.when(~silent, kind).alias("stage"), F.when(~silent, F.col("status")).alias("status"), "current", "total",
+        named("e", key).alias("error"), named("c", key % 7).alias("substep"),
+        F.when(key % 5 == 0, None).when(kind == "error", "error").when(kind == "purchase", "done").otherwise("running").alias("substep_status"),
+        F.when(key % 11 == 0, F.slice(ids, F.lit(1), (key % 4).cast("int"))).alias("failed_ids"))
+
+
+def _state_columns(states):
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("substeps")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return states.select("run_id", "stage", "status", "percent", F.array_join("stages_completed", ",").alias("stages_completed"), shown.alias("substeps"),
+                         "partial_failed", F.array_join("partial_failed_ids", ",").alias("partial_failed_ids"), "error")
+
+
+@query(f"""WITH {_RUNS} SELECT * EXCLUDE (ts, status, error, late), CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN '{fixed.LOST_RUN}' ELSE error END AS error
+FROM (SELECT *, status = 'running' AND ts < (SELECT max(ts) FROM said) - INTERVAL 2 HOUR AS late FROM state) AS s""")
+def run_states(spark, sf):
+    """T2 A16, batch: stage, sub-steps, partial failures and error of every run; silent runs fail"""
+    events = table(spark, sf, "events")
+    return _state_columns(R.close_silent(R.run_states(_whole_events(events)), events.agg(F.max("ts")).scalar(), "2 hours"))
+
+
+@query(f"""WITH {_RUNS} SELECT * EXCLUDE (ts, status, error, late), CASE WHEN late THEN 'failed' ELSE status END AS status, CASE WHEN late THEN '{fixed.LOST_RUN}' ELSE error END AS error
+FROM (SELECT *, status = 'running' AND ts + INTERVAL 10 MINUTE < (SELECT max(ts) FROM said) - INTERVAL 10 MINUTE AS late FROM state) AS s""")
+def streamed_run_states(spark, sf):
+    """T2 A16 as a stream: map states of stages and sub-steps, event-time timers"""
+    folder = work_folder(spark)
+    P.states_to_table(R.state_stream(_whole_events(_event_rows(spark, sf))), f"{folder}/out", f"{folder}/log").awaitTermination()
+    return _state_columns(P.latest_states(spark.read.parquet(f"{folder}/out")))
+
+
 @query(f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' v2' ELSE text END AS text FROM documents),
 s AS (SELECT doc_id, text, {split_sql('text', 400, 100)} AS parts FROM changed)
 SELECT doc_id, substr(sha256(text), 1, 16) AS content_key, generate_subscripts(parts, 1) - 1 AS pos, md5(unnest(parts)) AS chunk FROM s""")

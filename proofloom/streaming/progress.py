@@ -5,15 +5,10 @@ Events: (run_id, event_id, ts, stage, status, current, total).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-FINAL = ("completed", "failed")
-STATE = "run_id string, stage string, status string, percent double, stages_completed array<string>, ts timestamp"
+from .run_states import state_stream
 
 
 def _percent(current, total):
@@ -56,76 +51,9 @@ def latest_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return latest.select("run_id", "s.*").withColumn("percent", _percent("current", "total"))
 
 
-EVENT = ("run_id string, stage string, first_ms long, ts timestamp, event_id long, status string, "
-         "current int, total int")
-
-
-def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per run and stage of an Arrow batch: when first seen, and its latest event."""
-    for frame in frames:
-        if frame.empty:
-            continue
-        rows = frame.sort_values(["ts", "event_id"])
-        group = rows.groupby(["run_id", "stage"], sort=False)
-        last = group.tail(1).copy()
-        first = group["ts"].min().astype("datetime64[ms]").astype("int64").rename("first_ms").reset_index()
-        yield last.merge(first, on=["run_id", "stage"])[
-            ["run_id", "stage", "first_ms", "ts", "event_id", "status", "current", "total"]]
-
-
 def progress_stream(events: DataFrame, silence_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
-    """Streaming fold with time-outs: a run that falls silent while running fails.
-
-    Events are first reduced where they are read to one row per run and stage,
-    so a very busy run sends few rows to its state. State per run is its
-    latest event and, per stage, its name and when it was first and last seen.
-    """
-    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run,) = key
-        if state.hasTimedOut:
-            stage, status, percent, stages, firsts, lasts, millis, order = state.get
-            state.remove()
-            if status == "running":
-                yield _row(run, stage, "failed", percent, _done(list(stages), list(firsts), list(lasts), stage, "failed"), millis)
-            return
-        stage, status, percent, stages, firsts, lasts, millis, order = (
-            state.get if state.exists else (None, "running", 0.0, [], [], [], 0, -1))
-        stages, firsts, lasts = list(stages), [int(x) for x in firsts], [int(x) for x in lasts]
-        rows = pd.concat(list(frames))  # one row per stage and Arrow batch
-        rows = rows.assign(ms=rows["ts"].astype("datetime64[ms]").astype("int64"))
-        for r in rows.sort_values("first_ms").itertuples():
-            if r.stage not in stages:
-                stages.append(r.stage)
-                firsts.append(int(r.first_ms))
-                lasts.append(int(r.ms))
-            at = stages.index(r.stage)
-            firsts[at], lasts[at] = min(firsts[at], int(r.first_ms)), max(lasts[at], int(r.ms))
-        e = rows.sort_values(["ms", "event_id"]).iloc[-1]
-        if (e.ms, e.event_id) >= (millis, order):
-            stage, status, millis, order = e.stage, e.status, int(e.ms), int(e.event_id)
-            percent = 100.0 if status == "completed" else (
-                round(float(e.current) / float(e.total) * 100, 1) if e.total else 0.0)
-        state.update((stage, status, float(percent), stages, firsts, lasts, millis, order))
-        state.setTimeoutTimestamp(max(millis, state.getCurrentWatermarkMs()) + silence_ms)
-        yield _row(run, stage, status, percent, _done(stages, firsts, lasts, stage, status), millis)
-
-    combined = events.select("run_id", "stage", "ts", "event_id", "status", "current", "total").mapInPandas(
-        _combine, EVENT)
-    return combined.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(
-        fold, STATE, "stage string, status string, percent double, stages array<string>, firsts array<long>, lasts array<long>, ms long, event_id long",
-        "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def _done(stages: list, firsts: list, lasts: list, stage: str, status: str) -> list:
-    """Stages in the order of their first events that another one has followed."""
-    order = sorted(range(len(stages)), key=lambda i: firsts[i])
-    followed = lambda i: any(lasts[j] > firsts[i] for j in order if j != i)
-    return [stages[i] for i in order if stages[i] != stage or status == "completed" or followed(i)]
-
-
-def _row(run, stage, status, percent, done, millis) -> pd.DataFrame:
-    return pd.DataFrame({"run_id": [run], "stage": [stage], "status": [status], "percent": [float(percent)],
-                         "stages_completed": [done], "ts": [pd.Timestamp(millis, unit="ms")]})
+    """Streaming fold with time-outs: a run that falls silent while running fails. See :func:`run_states.state_stream`."""
+    return state_stream(events, silence_ms, late).select("run_id", "stage", "status", "percent", "stages_completed", "ts")
 
 
 def states_to_table(stream: DataFrame, path: str, checkpoint: str):

@@ -57,7 +57,6 @@ def test_a_stage_entered_again_stays_finished(spark):
     df = spark.createDataFrame(rows, "run_id string, event_id long, ts timestamp, stage string, status string, current int, total int")
     want = {"aba": ["A", "B"], "abab": ["A", "B"], "ab": ["A"], "a": []}
     assert {r.run_id: r.stages_completed for r in progress.progress(df).collect()} == want
-    assert progress._done(["A", "B"], [0, 1], [2, 1], "A", "running") == ["A", "B"] and progress._done(["A"], [0], [5], "A", "running") == []
 
 
 def test_ingest_keeps_every_path_and_replaces_changed_files(spark, tmp_path):
@@ -89,3 +88,60 @@ def test_ingest_of_several_outputs_reads_its_prefixes_and_retires_old_rows(spark
     keyed = ingest.new_content(spark.createDataFrame([("p", "d")], docs), None)
     plan = ingest.seen_keys(keyed, out, "none")._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and f"[{keyed.first()['content_key'][:ingest.PREFIX]}]" in plan.replace("(", "[").replace(")", "]")
+
+
+RUN_EVENTS = SCHEMA + ", error string, substep string, substep_status string, failed_ids array<string>"
+
+
+def _run_events():
+    none = (None,) * 4
+    return [
+        ("full", 1, at(0), "load", "running", 1, 2, *none), ("full", 2, at(1), None, None, None, None, None, "c1", "running", None),
+        ("full", 3, at(2), None, None, None, None, None, "c2", None, ["x", "y"]), ("full", 4, at(3), "rank", "running", 1, 3, None, "c1", "done", None),
+        ("full", 5, at(4), "rank", "completed", 3, 3, *none), ("full", 6, at(5), None, None, None, None, None, "c2", "error", ["y"]),
+        ("full", 6, at(5), None, None, None, None, None, "c2", "error", ["y"]),
+        ("bad", 7, at(3), "load", "failed", 0, 0, "no disk", None, None, []), ("quiet", 8, at(1), "load", "running", 1, 3, *none),
+        ("quiet", 9, at(2), None, None, None, None, None, "c9", "running", None), ("parts", 10, at(4), None, None, None, None, None, "c1", "done", None),
+        ("again", 11, at(590), "a", "running", None, 4, *none), ("again", 12, at(591), "b", "running", 9, None, *none), ("again", 13, at(592), "a", "running", 1, 4, *none),
+        ("late", 14, at(600), "load", "running", 1, 2, *none), ("mute", 15, at(600), None, None, None, None, *none)]
+
+
+def _shown(rows):
+    return {r.run_id: (r.stage, r.status, r.percent, r.stages_completed, r.substeps, r.partial_failed, r.partial_failed_ids, r.error, r.ts) for r in rows}
+
+
+def test_run_states_batch_and_stream_with_substeps_and_partial_failures(spark, tmp_path):
+    from proofloom.streaming import run_states as R
+
+    lost = "Process exited unexpectedly"
+    want = {
+        "full": ("rank", "completed", 100.0, ["load", "rank"], {"c1": "done", "c2": "error"}, 1, ["y"], None, at(5)),
+        "bad": ("load", "failed", 0.0, [], {}, 0, [], "no disk", at(3)), "quiet": ("load", "failed", 33.3, [], {"c9": "running"}, 0, [], lost, at(2)),
+        "parts": (None, "failed", 0.0, [], {"c1": "done"}, 0, [], lost, at(4)), "again": ("a", "running", 25.0, ["a", "b"], {}, 0, [], None, at(592)),
+        "late": ("load", "running", 50.0, [], {}, 0, [], None, at(600))}
+    df = spark.createDataFrame(_run_events(), RUN_EVENTS)
+    assert _shown(R.close_silent(R.run_states(df), F.lit(at(600)), "20 minutes").collect()) == want
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+
+    def run(out=out, log=log):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in/*"))
+        progress.states_to_table(R.state_stream(stream), out, log).awaitTermination()
+        return _shown(progress.latest_states(spark.read.parquet(out)).collect())
+
+    # two arrivals: state carries over, and what came before is not read again
+    df.filter("run_id = 'full' AND event_id <= 3").coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    assert run()["full"][:7] == ("load", "running", 50.0, [], {"c1": "running", "c2": "pending"}, 2, ["x", "y"])
+    df.filter("run_id = 'full' AND event_id > 3").coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    assert run() == run() == {"full": want["full"]}  # a restart without news changes nothing
+    df.write.parquet(str(tmp_path / "all/1"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "all/*"))
+    progress.states_to_table(R.state_stream(stream), str(tmp_path / "out3"), str(tmp_path / "log3")).awaitTermination()
+    assert _shown(progress.latest_states(spark.read.parquet(str(tmp_path / "out3"))).collect()) == want
+
+
+def test_run_states_of_an_empty_table_and_of_plain_step_events(spark):
+    from proofloom.streaming import run_states as R
+
+    assert R.run_states(spark.createDataFrame([], RUN_EVENTS)).count() == 0
+    plain = spark.createDataFrame([("a", 1, at(0), "load", "running", 1, 2), ("a", 2, at(1), "rank", "failed", 1, 2)], SCHEMA)
+    assert _shown(R.run_states(plain).collect()) == {"a": ("rank", "failed", 50.0, ["load"], {}, 0, [], None, at(1))}
