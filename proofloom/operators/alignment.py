@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import col, format_top, one_line_preview, without_control_chars
-from ..session import top_n
+from ..session import broadcast_if_small, cut_lineage
 from .fusion import rrf_score
 from .lexical import Tokenizer, search, words
-from .vectors import nearest
-
-TOP = "array<struct<code:string,score:double>>"
-
-
-def as_top(ranked: DataFrame, row_id: str = "chunk_id") -> DataFrame:
-    """Ranked (row, code, score, rank) rows as one array per row; at most k entries."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "code", "score")))
-    return ranked.groupBy(row_id).agg(F.transform(rows, lambda x: F.struct(
-        x["code"].alias("code"), x["score"].alias("score"))).alias("top"))
+from .vectors import TOP, with_nearest
 
 
 def classify(folder, top, topn: int = fixed.TOP_N, extra: float = fixed.EXTRA_SCORE,
@@ -49,13 +40,25 @@ def classify(folder, top, topn: int = fixed.TOP_N, extra: float = fixed.EXTRA_SC
 
 def align(chunks: DataFrame, indicators: DataFrame, k: int = fixed.TOP_K, **limits) -> DataFrame:
     """Status of every chunk from its ``k`` nearest indicators."""
-    top = as_top(nearest(chunks, "chunk_id", indicators, "code", k))
-    joined = chunks.join(top, "chunk_id", "left").withColumn(
-        "semantic_topk", F.coalesce("top", F.array().cast(TOP))).drop("top")
+    joined = with_nearest(chunks, "chunk_id", indicators, "code", k, "semantic_topk")
     return joined.withColumn("__c", classify("folder_code", "semantic_topk", **limits)).select(
         *joined.columns, "__c.*")
 
 
+def _fused(near: Column, lexical: Column, k: int, k_rrf: int) -> Column:
+    """Best ``k`` codes of a cosine list and a list of (code, rank), by reciprocal ranks, ties by code."""
+    lexical = F.coalesce(lexical, F.array().cast("array<struct<code:string,rank:int>>"))
+    code_of = lambda entries: F.transform(entries, lambda e: e["code"])
+
+    def score(code):
+        by_vector = F.nullif(F.array_position(code_of(near), code), F.lit(0))
+        by_words = F.get(F.filter(lexical, lambda e: e["code"] == code), F.lit(0))["rank"]
+        return F.struct((-rrf_score([by_vector, by_words], k_rrf)).alias("below"), code.alias("code"))
+
+    ordered = F.array_sort(F.transform(F.array_union(code_of(near), code_of(lexical)), score))
+    return F.transform(F.slice(ordered, 1, k), lambda x: F.struct(x["code"].alias("code"), (-x["below"]).alias("score")))
+
+
 def align_two_routes(chunks: DataFrame, indicators: DataFrame, k: int = fixed.TOP_K,
                      topn: int = fixed.TOP_N, extra: float = fixed.EXTRA_SCORE,
                      low: float = fixed.MIN_SCORE, k_rrf: int = fixed.RRF_K,
@@ -67,24 +70,18 @@ def align_two_routes(chunks: DataFrame, indicators: DataFrame, k: int = fixed.TO
     within an indicator (best ``2 k``); the rank is then read per chunk. A
     chunk whose best cosine is below ``low`` keeps its cosine list.
     """
-    cosine = nearest(chunks, "chunk_id", indicators, "code", k)
+    near = with_nearest(chunks, "chunk_id", indicators, "code", k, "emb_topk")
     lexical = search(chunks.select("chunk_id", "text"), "chunk_id",
                      indicators.select("code", "query_text"), "code", 2 * k,
-                     query_text="query_text", tokenizer=tokenizer).select(
-        "chunk_id", "code", F.col("rank").alias("rank_bm25"))
-    gate = cosine.filter(F.col("rank") == 1).select("chunk_id", (F.col("score") >= low).alias("open"))
-    both = cosine.select("chunk_id", "code", F.col("rank").alias("rank_cos")).join(
-        lexical, ["chunk_id", "code"], "full")
-    fused = both.join(gate.filter("open"), "chunk_id", "left_semi").withColumn(
-        "score", rrf_score([F.col("rank_cos"), F.col("rank_bm25")], k_rrf))
-    best = as_top(top_n(fused.select("chunk_id", "code", "score"), ["chunk_id"],
-                        [F.desc("score"), F.col("code")], k)).withColumnRenamed("top", "fused")
-    plain = as_top(cosine).withColumnRenamed("top", "emb")
-    joined = chunks.join(plain, "chunk_id", "left").join(best, "chunk_id", "left").withColumns({
-        "emb_topk": F.coalesce("emb", F.array().cast(TOP)),
-        "semantic_topk": F.coalesce("fused", "emb", F.array().cast(TOP)),
-        "__low": F.when(F.col("fused").isNotNull(), fused_low).otherwise(low),
-    }).drop("emb", "fused")
+                     query_text="query_text", tokenizer=tokenizer)
+    # at most 2 k rows an indicator: as a rule few beside the chunks, which then stay where they are
+    words_of = broadcast_if_small(cut_lineage(lexical.groupBy("chunk_id").agg(
+        F.collect_list(F.struct(F.col("code").cast("string").alias("code"), F.col("rank").alias("rank"))).alias("__words"))))
+    first = F.get("emb_topk", F.lit(0))
+    joined = near.join(words_of, "chunk_id", "left").withColumn(
+        "__fused", F.when(first["score"] >= low, _fused(F.col("emb_topk"), F.col("__words"), k, k_rrf))).withColumns({
+            "semantic_topk": F.coalesce("__fused", "emb_topk"),
+            "__low": F.when(F.col("__fused").isNotNull(), fused_low).otherwise(low)}).drop("__fused", "__words")
     status = classify("folder_code", "semantic_topk", topn, extra, F.col("__low"),
                       F.col("emb_topk") if extra_on_cosine else None)
     return joined.withColumn("__c", status).select(

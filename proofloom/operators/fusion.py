@@ -40,14 +40,16 @@ def candidate_reasons(chunks: DataFrame, vectors: DataFrame, alignment: DataFram
     ``alignment`` holds (chunk_id, top1). Reasons are tried in this order:
     no vector, not aligned, low score, photo.
     """
-    joined = chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(
+    # phrase and vector are tested where they are read: texts that nobody reads later are not shuffled
+    joined = chunks.withColumn("__photo", is_photo("text")).join(
+        vectors.select("chunk_id", "embedding", is_empty("embedding").alias("__empty")), "chunk_id", "left").join(
         alignment.select("chunk_id", "top1"), "chunk_id", "left")
     reason = (
-        F.when(is_empty("embedding"), "invalid_embedding")
+        F.when(F.coalesce("__empty", F.lit(True)), "invalid_embedding")
         .when(F.col("top1").isNull(), "not_in_table")
         .when(F.col("top1") < min_score, "low_score")
-        .when(is_photo("text"), "photo"))
-    return joined.withColumn("reason", reason)
+        .when(F.col("__photo"), "photo"))
+    return joined.withColumn("reason", reason).drop("__photo", "__empty")
 
 
 def candidate_pool(reasons: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ TINY = 1e-9
 MAX_SHIPPED = 4096          # rows of the smaller side sent to every task
 BLOCK = 4096                # rows per block on each side beyond that
 DIGITS = 6                  # scores are compared after rounding
+ROWS_AT_ONCE = 1024         # rows scored by one matrix product
+TOP = "array<struct<code:string,score:double>>"
 
 
 def norm(v) -> Column:
@@ -195,6 +199,54 @@ def nearest(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str, k:
     return top_n(scored.drop("rank"), [row_id], [F.desc("score"), F.col("code")], k)
 
 
+def with_nearest(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str, k: int = fixed.TOP_K, out: str = "top",
+                 vector: str = "embedding", shipped: int = MAX_SHIPPED) -> DataFrame:
+    """All rows with their ``k`` closest targets as one array of (code, score), best first; empty without a usable vector.
+
+    Targets up to ``shipped`` rows are scored as a column of the vector alone: no row moves, and columns that nobody
+    reads later are not read here. More targets go through :func:`nearest` and a join of the ids.
+    """
+    usable = targets.filter(~is_empty(vector)).select(F.col(target_id).cast("string").alias("code"), F.col(vector).alias("v"))
+    small = collect_if_small(usable, shipped)
+    if small is None:
+        ranked = nearest(rows, row_id, targets, target_id, k, vector, shipped)
+        lists = ranked.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("rank", "code", "score"))).alias("__l"))
+        joined = rows.join(lists, row_id, "left")
+        shown = F.transform("__l", lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score")))
+        return joined.withColumn(out, F.coalesce(shown, F.array().cast(TOP))).drop("__l")
+    small = sorted(small, key=lambda r: r["code"])
+    codes = pa.array([r["code"] for r in small], pa.string())
+    table = rows.sparkSession.sparkContext.broadcast(matrix([r["v"] for r in small]))
+
+    @F.arrow_udf(TOP)
+    def lists(v: pa.Array) -> pa.Array:
+        y = table.value
+        found = [_lists(v.slice(low, ROWS_AT_ONCE), y, codes, k) for low in range(0, len(v), ROWS_AT_ONCE)]
+        return pa.concat_arrays(found) if found else pa.array([], LISTS)
+
+    return rows.withColumn(out, lists(col(vector)))
+
+
+LISTS = pa.list_(pa.struct([("code", pa.string()), ("score", pa.float64())]))
+
+
+def _lists(v: pa.Array, y: np.ndarray, codes: pa.Array, k: int) -> pa.Array:
+    """Best ``k`` codes per vector, ties by code (``codes`` are sorted); vectors that are missing, near zero or of another length get none."""
+    dim = y.shape[1]
+    right = pc.fill_null(pc.equal(pc.list_value_length(v), dim), False) if len(codes) else pa.array([False] * len(v), pa.bool_())
+    at = np.flatnonzero(right.to_numpy(zero_copy_only=False))
+    x = pc.list_flatten(v.filter(right)).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), dim) if len(at) else np.zeros((0, dim))
+    length = np.linalg.norm(x, axis=1)
+    good = length >= TINY
+    at, x = at[good], x[good] / length[good, None]
+    scores = np.round(x @ y.T, DIGITS) if len(at) else np.zeros((0, len(codes)))
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    sizes = np.zeros(len(v) + 1, np.int32)
+    sizes[at + 1] = best.shape[1]
+    entries = pa.StructArray.from_arrays([codes.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["code", "score"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), entries)
+
+
 def blocks(rows: DataFrame, row_id: str, targets: DataFrame, target_id: str,
            size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Both sides cut into hash blocks of about ``size`` and paired block by block."""

@@ -220,3 +220,34 @@ def test_query_vectors_fall_back_to_the_query(spark):
     ready, rejected = V.split_ready(leaves)
     got = {r.leaf_id: r for r in V.embed_queries(ready).collect()}
     assert got["a"].rq == got["a"].hyde and got["b"].rq != got["b"].hyde and [r.leaf_id for r in rejected.collect()] == ["c"]
+
+
+def test_nearest_lists_equal_nearest_rows_without_moving_the_rows(spark):
+    import random
+
+    random.seed(5)
+    draw = lambda: [round(random.uniform(-1, 1), 1) for _ in range(4)]
+    rows = spark.createDataFrame([(f"c{i}", f"t{i}", draw()) for i in range(60)] + [("c60", "z", [0.0] * 4), ("c61", "n", None), ("c62", "e", []), ("c63", "x", [1.0])],
+                                 "chunk_id string, text string, embedding array<double>")
+    targets = spark.createDataFrame([(f"d{i:02}", v) for i in range(12) for v in [draw()]] + [("d98", [1.0, 0.0, 0.0, 0.0]), ("d99", [2.0, 0.0, 0.0, 0.0]), ("bad", None)],
+                                    "code string, embedding array<double>")
+    proper = rows.filter("chunk_id <> 'c63'")
+    want = {}
+    for r in V.nearest(proper, "chunk_id", targets, "code", 3).orderBy("chunk_id", "rank").collect():
+        want.setdefault(r["chunk_id"], []).append((r["code"], r["score"]))
+    for df, shipped in ((rows, 4096), (proper, 0)):
+        got = {r.chunk_id: [tuple(x) for x in r.top] for r in V.with_nearest(df, "chunk_id", targets, "code", 3, shipped=shipped).collect()}
+        assert {k: v for k, v in got.items() if v} == want and set(got) == {r.chunk_id for r in df.collect()}
+    plan = V.with_nearest(rows, "chunk_id", targets, "code", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    none = V.with_nearest(rows, "chunk_id", targets.limit(0), "code", 3)
+    assert none.count() == 64 and all(r.top == [] for r in none.collect())
+
+
+def test_pool_reasons_carry_no_text_that_is_not_asked_for(spark):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "类型：照片"), ("c", "x"), ("d", "x"), ("e", None)], "chunk_id string, text string")
+    vectors = spark.createDataFrame([(c, [1.0, 0.0]) for c in "abc"] + [("d", [0.0, 0.0]), ("e", [1.0, 0.0])], "chunk_id string, embedding array<double>")
+    scores = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.1), ("d", 0.9), ("e", 0.9)], "chunk_id string, top1 double")
+    reasons = X.candidate_reasons(chunks, vectors, scores, 0.3)
+    assert {r.chunk_id: r.reason for r in reasons.collect()} == {"a": None, "b": "photo", "c": "low_score", "d": "invalid_embedding", "e": None}
+    assert reasons.columns == ["chunk_id", "text", "embedding", "top1", "reason"]
