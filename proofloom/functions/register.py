@@ -1,34 +1,71 @@
-"""Scalar helpers as SQL functions: expressions, no Python per row."""
+"""Scalar helpers as SQL functions: every body is made from the column expression, no Python per row."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-# name -> (parameters, return type, SQL body)
-SQL_FUNCTIONS = {
-    "meaningful_chars": ("t STRING", "INT", r"length(regexp_replace(t, '[^一-鿿㐀-䶿a-zA-Z0-9]', ''))"),
-    "squeeze_text": ("t STRING", "STRING",
-                     r"regexp_replace(regexp_replace(coalesce(t, ''), '[\\n\\r\\t ]+', ''), '(?U)^\\s+|\\s+$', '')"),
-    "is_blank_text": ("t STRING", "BOOLEAN",
-                      r"t IS NULL OR lower(regexp_replace(t, '(?U)^\\s+|\\s+$', '')) IN ('', 'nan', 'none')"),
-    "first_code": ("t STRING", "STRING",
-                   r"nullif(regexp_extract(upper(t), '(?<![A-Z0-9])([AGEDS][A-Z]{0,3}\\d{1,3})(?!\\d)', 1), '')"),
-    "all_codes": ("t STRING", "ARRAY<STRING>",
-                  r"regexp_extract_all(upper(t), '(?<![A-Z0-9])([AGEDS][A-Z]{0,3}\\d{1,3})(?!\\d)', 1)"),
-    "word_tokens": ("t STRING", "ARRAY<STRING>", r"regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+', 0)"),
-    "shorten_text": ("t STRING, n INT", "STRING",
-                     "CASE WHEN length(t) > n THEN concat(substring(t, 1, n), '...') ELSE t END"),
-    "content_key": ("t STRING", "STRING", "substring(sha2(t, 256), 1, 16)"),
-    "dot_product": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE",
-                    "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
-}
+import re
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from . import citations, codes, text
+
+LIST = "ARRAY<STRUCT<code: STRING, score: DOUBLE>>"
+
+
+def scalars() -> dict:
+    """name -> (parameters with types, columns to column). The column form is the only definition."""
+    from ..operators import chunks, lexical, vectors
+
+    t = {"t": "STRING"}
+    numbers = {"a": "ARRAY<DOUBLE>", "b": "ARRAY<DOUBLE>"}
+    return {
+        # texts
+        "meaningful_chars": (t, text.meaningful_chars), "squeeze_text": (t, text.squeeze), "strip_text": (t, text.strip),
+        "is_blank_text": (t, text.is_blank), "text_word_count": (t, text.word_count), "heading_level": (t, text.heading_level),
+        "is_heading": ({"style": "STRING", "t": "STRING"}, text.is_heading), "title_level": ({"label": "STRING", "t": "STRING"}, text.title_level),
+        "without_control_chars": (t, text.without_control_chars), "one_line_preview": (t, text.one_line_preview),
+        "shorten_text": ({"t": "STRING", "n": "INT"}, text.shorten), "context_text": ({"parent": "STRING", "t": "STRING"}, text.context_text),
+        "word_tokens": (t, lexical.words), "word_and_han_tokens": (t, lexical.words_and_han_pairs), "content_key": (t, text.content_key),
+        "path_parts": (t, text.path_parts), "image_answer": (t, text.image_answer), "split_instruction": (t, text.split_instruction),
+        "is_photo_text": (t, text.is_photo), "tables_in_text": (t, chunks.table_html_list),
+        "embedding_text": ({"is_table": "BOOLEAN", "summary": "STRING", "t": "STRING"}, text.embedding_text),
+        "query_text": ({"code": "STRING", "topic": "STRING", "indicator": "STRING", "requirement": "STRING", "enhanced": "STRING"}, text.query_text),
+        "image_passes": ({"n_bytes": "BIGINT", "width": "INT", "height": "INT"}, text.image_passes),
+        # codes and folders
+        "first_code": (t, codes.first_code), "all_codes": (t, codes.all_codes), "distinct_codes": (t, codes.distinct_codes),
+        "code_prefix": (t, codes.code_prefix), "serial_number": (t, codes.serial_number), "is_pure_code": (t, codes.is_pure_code),
+        "row_code": ({"code": "STRING", "serial": "STRING", "category": "STRING"}, codes.row_code),
+        "dimension_folder": (t, codes.dimension_folder), "topic_folder": (t, codes.topic_folder), "target_folder": (t, codes.target_folder),
+        "codes_in_file_name": (t, codes.codes_in_file_name),
+        # citations
+        "cited_sources": (t, citations.cited_sources), "is_no_content": (t, citations.is_no_content), "pending_blocks": (t, citations.pending_blocks),
+        "empty_source_tags": (t, citations.empty_source_tags), "clean_for_report": (t, citations.clean_for_report),
+        # scores and vectors
+        "format_top": ({"top": LIST}, text.format_top), "top_score": (t, text.top_score),
+        "score_source": ({"rq": "DOUBLE", "hyde": "DOUBLE"}, text.score_source),
+        "rank_source": ({"rq": "BIGINT", "hyde": "BIGINT", "bm25": "BIGINT"}, text.rank_source),
+        "dot_product": (numbers, vectors.dot), "vector_length": ({"a": "ARRAY<DOUBLE>"}, vectors.norm), "unit_vector": ({"a": "ARRAY<DOUBLE>"}, vectors.unit),
+    }
+
+
+# a quoted string stays as it is; an operator in front of a bracket names a function; a number with a point is a double
+_TOKEN = re.compile(r"(?P<text>'(?:[^'\\]|\\.)*')|(?<![\w`])(?P<name>and|or|in|[-+*/%=<>!&|]+)(?=\()|(?<![\w.])(?P<number>\d+\.\d+(?:E-?\d+)?)(?!\w)", re.S)
+
+
+def sql_of(column: Column) -> str:
+    """SQL of a column expression, from the text Spark shows for it, with operators as quoted function names."""
+    shown = str(column)
+    shown = shown[shown.index("'") + 1:shown.rindex("'")]
+    return _TOKEN.sub(lambda m: m["text"] or (f"`{m['name']}`" if m["name"] else f"{m['number']}D"), shown)
 
 
 def register(spark: SparkSession) -> list[str]:
     """Create the functions in this session and return their names."""
-    for name, (params, result, body) in SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
-    return list(SQL_FUNCTIONS)
+    made = scalars()
+    for name, (params, fn) in made.items():
+        signature = ", ".join(f"{p} {kind}" for p, kind in params.items())
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({signature}) RETURN {sql_of(fn(*[F.col(p) for p in params]))}")
+    return list(made)
 
 
 def register_chunker(spark: SparkSession, name: str = "split_chunks") -> str:

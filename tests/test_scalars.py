@@ -154,3 +154,22 @@ def test_splitter_takes_long_texts():
 
     begun = time.time()
     assert len(split_text("abcd efgh ijkl。\n" * 200_000, 16, 1)) >= 100_000 and time.time() - begun < 20
+
+
+def test_every_sql_function_equals_its_column(spark):
+    from proofloom.functions.register import scalars
+    from proofloom.plans.text import _SCALARS
+
+    made = scalars()
+    assert register(spark) == list(made) and sorted(made) == sorted(_SCALARS)
+    odd = [None, "", " ", "nan", "a\n b\t'c' \\d", "\u3000x\u3000", "1.2.3 标题", "第3章 x", "EB10 ga1 EB10", "EB10", "[来源1, 3-5] x [来源]", "[待补充：q] y", "[NO_CONTENT]",
+           "类型：照片\n描述：多\n", "a > b >c", "Instruct: i\nQuery: q", "x:0.5, y:0.1", "x" * 5000, "or(1) and(2) in(3) 1.5", "A1/B2_EB3.pdf", "<table>1</table> z"]
+    values = {
+        "STRING": odd, "INT": [None, 0, 3, 600] + [7] * 17, "BIGINT": [None, 0, 1, 5, 90000] + [9] * 16, "DOUBLE": [None, 0.0, 0.51, 0.5] + [0.9] * 17,
+        "BOOLEAN": [None, True, False] * 7, "ARRAY<DOUBLE>": [None, [], [0.0, 0.0], [3.0, 4.0]] + [[1.0, None]] * 17,
+        "ARRAY<STRUCT<code: STRING, score: DOUBLE>>": [None, [], [("a", 0.5)], [("a", None), (None, 0.25)]] + [[("b", 1.0)]] * 17}
+    for name, (params, fn) in made.items():
+        shifted = [values[kind][-i:] + values[kind][:-i] if i else values[kind] for i, kind in enumerate(params.values())]
+        rows = spark.createDataFrame(list(zip(*shifted)), ", ".join(f"{p} {kind}" for p, kind in params.items())).coalesce(1)
+        got = [r[0] for r in rows.select(F.call_function(name, *params)).collect()]
+        assert got == [r[0] for r in rows.select(fn(*[F.col(p) for p in params])).collect()], name
