@@ -79,13 +79,29 @@ def runs_of_project(runs: DataFrame, project: str, limit: int = 20, config: str
     return runs.filter(mine).orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
 
 
-def step_states(events: DataFrame, keys: list[str] = ["run_id", "step_name"]) -> DataFrame:
-    """Latest status and details per step; of each field, also the start, the newest value that was set."""
+def latest_fields(events: DataFrame, keys: list[str], kept: list[str], cleared: list[str] = [], names: str = "cleared") -> DataFrame:
+    """Newest value per field of an update log (ts, event_id), one row per key.
+
+    NULL in ``kept`` fields says nothing. ``cleared`` fields say nothing by NULL either, unless the
+    array column ``names`` of the event names the field: then NULL is its new value.
+    """
     at = F.struct("ts", "event_id")
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
-    return events.groupBy(*keys).agg(
-        latest("status"), F.max_by("started_at", F.when(F.col("started_at").isNotNull(), at)).alias("started_at"),
-        latest("completed_at"), latest("error"))
+    emptied = F.coalesce(F.col(names), F.array()) if names in events.columns else F.array().cast("array<string>")
+    said = lambda c: F.col(c).isNotNull() | F.array_contains(emptied, c) if c in cleared else F.col(c).isNotNull()
+    value = lambda c: F.when(F.array_contains(emptied, c), None).otherwise(F.col(c)) if c in cleared else F.col(c)
+    return events.groupBy(*keys).agg(*[F.max_by(value(c), F.when(said(c), at)).alias(c) for c in [*kept, *cleared]])
+
+
+def step_states(events: DataFrame, keys: list[str] = ["run_id", "step_name"]) -> DataFrame:
+    """Latest status, start, end, process, exit code, error and warning per step; fields that the log lacks are left out."""
+    has = lambda fields: [c for c in fields if c in events.columns]
+    return latest_fields(events, keys, has(["status", "started_at", "completed_at"]), has(["error", "pid", "warning", "exit_code"]))
+
+
+def run_records(events: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
+    """Latest status, start, end, retries (0 at first), current step and error per run."""
+    rows = latest_fields(events, keys, ["status", "started_at", "completed_at", "retry_count"], ["current_step", "error"])
+    return rows.withColumn("retry_count", F.coalesce("retry_count", F.lit(0)))
 
 
 # --- prompt versions --------------------------------------------------------------------

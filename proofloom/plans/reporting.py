@@ -412,6 +412,46 @@ def step_states(spark, sf):
     return H.step_states(rows)
 
 
+_UPDATES = """u AS (SELECT user_id AS run_id, event_type AS step_name, ts, event_id, CASE WHEN event_id % 4 <> 0 THEN CASE WHEN value > 10 THEN 'completed' ELSE 'running' END END AS status,
+  CASE WHEN event_id % 3 = 0 THEN ts END AS started_at, CASE WHEN value > 10 THEN ts END AS completed_at, CASE WHEN event_id % 11 = 0 THEN 'e' || event_id END AS error,
+  CASE WHEN event_id % 2 = 0 THEN event_id % 1000 END AS pid, CASE WHEN event_id % 6 = 0 THEN 'w' || event_id END AS warning, CASE WHEN event_id % 5 = 0 THEN event_id % 3 END AS exit_code,
+  CASE WHEN event_id % 9 = 0 THEN event_id % 4 END AS retry_count, CASE WHEN event_id % 2 = 1 THEN event_type END AS current_step,
+  CASE event_id % 7 WHEN 0 THEN ['error', 'pid', 'current_step'] WHEN 1 THEN ['warning', 'exit_code'] ELSE [] END AS cleared FROM events)"""
+
+
+def _newest(field, empties=False):
+    """SQL of the newest value that was set, or emptied; wrapped, since the aggregate skips NULL."""
+    said = f"{field} IS NOT NULL" + (f" OR list_contains(cleared, '{field}')" if empties else "")
+    value = f"CASE WHEN list_contains(cleared, '{field}') THEN NULL ELSE {field} END" if empties else field
+    return f"arg_max(struct_pack(v := {value}), (ts, event_id)) FILTER (WHERE {said}).v AS {field}".replace("arg_max(", "(arg_max(").replace(").v AS", ")).v AS")
+
+
+def _updates(spark, sf):
+    key, ts = F.col("event_id"), F.col("ts")
+    every = lambda n, c: F.when(key % n == 0, c)
+    named = lambda head: F.concat(F.lit(head), key.cast("string"))
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_type").alias("step_name"), "ts", "event_id",
+        F.when(key % 4 != 0, F.when(F.col("value") > 10, "completed").otherwise("running")).alias("status"), every(3, ts).alias("started_at"),
+        F.when(F.col("value") > 10, ts).alias("completed_at"), every(11, named("e")).alias("error"), every(2, key % 1000).alias("pid"), every(6, named("w")).alias("warning"),
+        every(5, key % 3).alias("exit_code"), every(9, key % 4).alias("retry_count"), F.when(key % 2 == 1, F.col("event_type")).alias("current_step"),
+        F.when(key % 7 == 0, F.array(F.lit("error"), F.lit("pid"), F.lit("current_step"))).when(key % 7 == 1, F.array(F.lit("warning"), F.lit("exit_code"))).alias("cleared"))
+
+
+@query(f"""WITH {_UPDATES} SELECT run_id, step_name, {', '.join(map(_newest, ['status', 'started_at', 'completed_at']))}, {', '.join(_newest(c, True) for c in ['error', 'pid', 'warning', 'exit_code'])}
+FROM u GROUP BY ALL""")
+def step_records(spark, sf):
+    """H5: all fields of a step; an event may set a field to NULL"""
+    return H.step_states(_updates(spark, sf))
+
+
+@query(f"""WITH {_UPDATES}, r AS (SELECT run_id, {', '.join(map(_newest, ['status', 'started_at', 'completed_at', 'retry_count']))}, {', '.join(_newest(c, True) for c in ['current_step', 'error'])}
+FROM u GROUP BY ALL) SELECT * REPLACE (coalesce(retry_count, 0) AS retry_count) FROM r""")
+def run_records(spark, sf):
+    """H5: all fields of a run"""
+    return H.run_records(_updates(spark, sf))
+
+
 def _prompt_versions(spark, sf):
     key = F.col("event_id")
     return table(spark, sf, "events").select(
@@ -665,7 +705,7 @@ heard AS (SELECT run_id, max(ts) AS ts FROM said GROUP BY 1),
 state AS (SELECT h.run_id, l.stage, coalesce(l.status, 'running') AS status, CASE WHEN l.status = 'completed' THEN 100.0 ELSE coalesce(round(current / 100 * 100, 1), 0) END AS percent,
   coalesce((SELECT string_agg(f.stage, ',' ORDER BY entered) FROM span f WHERE f.run_id = h.run_id AND (f.stage <> l.stage OR l.status = 'completed'
     OR EXISTS (SELECT 1 FROM span o WHERE o.run_id = h.run_id AND o.stage <> f.stage AND o.seen > f.entered))), '') AS stages_completed,
-  substeps, coalesce(len(ids), 0) AS partial_failed, coalesce(array_to_string(ids, ','), '') AS partial_failed_ids, CASE WHEN l.status = 'failed' THEN error END AS error, h.ts
+  substeps, CAST(coalesce(len(ids), 0) AS INTEGER) AS partial_failed, coalesce(array_to_string(ids, ','), '') AS partial_failed_ids, CASE WHEN l.status = 'failed' THEN error END AS error, h.ts
   FROM heard h LEFT JOIN last_step l USING (run_id) LEFT JOIN parts USING (run_id) LEFT JOIN failed USING (run_id))"""
 
 

@@ -159,3 +159,18 @@ def test_score_brackets(spark):
     rows = spark.createDataFrame([("a", 0.6), ("b", 0.5999), ("c", 0.1)], "leaf_id string, avg_score double")
     got = [(r.bracket, r.leaves) for r in stats.score_brackets(rows).orderBy("place").collect()]
     assert got == [("≥ 0.60", 1), ("0.50-0.59", 1), ("0.40-0.49", 0), ("0.30-0.39", 0), ("< 0.30", 1)]
+
+
+def test_fields_of_a_run_keep_their_newest_value_and_can_be_emptied(spark):
+    from proofloom.operators import history as H
+
+    log = [("a", 1, 1, "running", "t1", None, None, "s1", "bad", None), ("a", 2, 2, None, None, None, 2, None, None, ["error", "status"]), ("a", 3, 3, "completed", None, "t3", None, None, None, []),
+           ("a", 3, 3, "completed", None, "t3", None, None, None, []), ("b", 1, 1, None, None, None, None, "s1", "old", ["current_step"]), ("b", 2, 1, None, None, None, None, None, "new", None),
+           (None, 1, 1, "running", None, None, None, None, None, None)]
+    df = spark.createDataFrame(log, "run_id string, ts int, event_id int, status string, started_at string, completed_at string, retry_count int, current_step string, error string, cleared array<string>")
+    got = {r.run_id: (r.status, r.started_at, r.completed_at, r.retry_count, r.current_step, r.error) for r in H.run_records(df).collect()}
+    assert got == {"a": ("completed", "t1", "t3", 2, "s1", None), "b": (None, None, None, 0, None, "new"), None: ("running", None, None, 0, None, None)}
+    assert H.run_records(df.limit(0)).count() == 0
+    steps = H.step_states(df.withColumns({"step_name": F.lit("s"), "pid": F.lit(7)}).drop("cleared"))
+    assert steps.columns == ["run_id", "step_name", "status", "started_at", "completed_at", "error", "pid"]
+    assert {r.run_id: r.error for r in steps.collect()} == {"a": "bad", "b": "new", None: None}
