@@ -170,12 +170,13 @@ def segments(text) -> Column:
 # --- chunks -------------------------------------------------------------------------
 
 def make_chunks(sections: DataFrame, path: str = "relative_path", max_size: int = fixed.CHUNK_MAX,
-                min_size: int = fixed.CHUNK_MIN, max_rows: int = fixed.TABLE_ROWS) -> DataFrame:
+                min_size: int = fixed.CHUNK_MIN, max_rows: int = fixed.TABLE_ROWS, keep_blank: bool = False) -> DataFrame:
     """Chunk rows of section rows; other columns are kept.
 
     Tables are cut by rows, texts by separators; a text piece below ``min_size`` joins the nearest text
-    piece before it, else the next one, over tables in between. A section is cut by positions in
-    one walk, so the work grows with its length; its chunks leave the task in bounded batches.
+    piece before it, else the next one, over tables in between. A piece of white space alone is left out
+    or, with ``keep_blank``, treated like any short piece, so that no character is lost. A section is cut by
+    positions in one walk, so the work grows with its length; its chunks leave the task in bounded batches.
     """
     others = [c for c in sections.columns if c not in ("text", "section_id", "pos")]
     rows = sections.select(
@@ -183,7 +184,7 @@ def make_chunks(sections: DataFrame, path: str = "relative_path", max_size: int
         F.concat_ws("#", F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.col("section_id")).alias("parent_id"), F.col("text").cast("string").alias("text"))
     made = T.StructType([rows.schema["row"], *T.StructType.fromDDL(
         "parent_id string, chunk_id string, chunk_pos int, text string, char_count int, is_table boolean, table_html string, table_rows int").fields])
-    chunks = rows.mapInArrow(chunk_batches(max_size, min_size, max_rows), made)
+    chunks = rows.mapInArrow(chunk_batches(max_size, min_size, max_rows, keep_blank), made)
     return chunks.select(
         "chunk_id", "parent_id", *[F.col("row")[c].alias(c) for c in others], "chunk_pos", "text", "char_count", "is_table",
         F.when(F.col("is_table"), F.col("text")).alias("table_markdown"), "table_html", "table_rows")

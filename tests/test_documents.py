@@ -136,6 +136,13 @@ def test_short_text_joins_text_before_it(spark):
     assert got[0].text == "长" * 120 + "\nshort"
 
 
+def test_blank_pieces(spark):
+    text = "a" * 1200 + "\n\n" + "b" * 1200
+    assert [(r.text[-2:], r.char_count) for r in chunk_rows(spark, text)] == [("aa", 1200), ("bb", 1200)]
+    assert [(r.chunk_id, r.text[-3:], r.char_count) for r in chunk_rows(spark, "a" * 1200 + "\n" + "b" * 1200, keep_blank=True)] == [
+        ("f.pdf#s0#c0p0", "a\n\n", 1201), ("f.pdf#s0#c0p2", "bbb", 1200)]
+
+
 def test_parents_and_context(spark):
     df = spark.createDataFrame([("f", "s0", "x<TABLE><tr><th>A</th></tr><tr><td>1 &amp; 2</td></tr></TABLE>y")], "relative_path string, section_id string, text string")
     parent = C.make_parents(df).first()["parent_text"]
