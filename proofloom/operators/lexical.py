@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -40,12 +39,20 @@ def words_and_han_pairs(c) -> Column:
     return F.flatten(F.transform(runs, cut))
 
 
-def occurrences(runs: list[str], terms: set[str]) -> list[str]:
+def occurrences(runs: list[str], terms: set[str], lengths: list[int] | None = None) -> list[str]:
     """Every occurrence of a term in the runs, also overlapping ones, by one look-up per place and length of terms."""
-    lengths = sorted({len(t) for t in terms})
+    lengths = sorted({len(t) for t in terms}) if lengths is None else lengths
     return [run[i:i + n] for run in runs for n in lengths for i in range(len(run) - n + 1) if run[i:i + n] in terms]
 
 
+def _occurrence_lists(runs: pa.Array, terms: set[str]) -> pa.Array:
+    """:func:`occurrences` of a column of run lists; only one text at a time leaves its Arrow form."""
+    lengths = sorted({len(t) for t in terms})
+    kind = pa.list_(pa.string())
+    found = lambda r: None if r is None else occurrences(r, terms, lengths)
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([found(r.as_py())], kind) for r in runs)])
+
+
 def with_dictionary(dictionary: DataFrame, term: str = "term", max_terms: int = MAX_TERMS) -> "Tokenizer":
     """A tokenizer: words and Han pairs, and every occurrence of a dictionary term in a run of Han characters.
 
@@ -58,10 +65,9 @@ def with_dictionary(dictionary: DataFrame, term: str = "term", max_terms: int =
         raise ValueError(f"a dictionary may hold at most {max_terms} terms")
     sent = spark.sparkContext.broadcast({r["t"] for r in rows})
 
-    @F.pandas_udf("array<string>")
-    def found(runs: pd.Series) -> pd.Series:
-        terms = sent.value
-        return runs.map(lambda r: None if r is None else occurrences(list(r), terms))
+    @F.arrow_udf("array<string>")
+    def found(runs: pa.Array) -> pa.Array:
+        return _occurrence_lists(runs, sent.value)
 
     return lambda c: F.concat(words_and_han_pairs(c), found(F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{IsHan}+"), F.lit(0))))
 

@@ -267,3 +267,17 @@ def test_vocabulary_query_lists_every_token(spark, tmp_path):
     spark.createDataFrame([(1, "one two two"), (2, "Two three"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.token: r.df for r in bm25_vocabulary(spark, str(tmp_path)).select("token", "df").collect()}
     assert got == {"one": 1, "two": 2, "three": 1}
+
+
+def test_dictionary_holds_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    runs = pa.concat_arrays([pa.array([["甲乙丙丁", "丙丁"] * 1000, None, []], pa.list_(pa.string()))] * 300)
+    tracemalloc.start()
+    got = L._occurrence_lists(runs, {"甲乙丙", "丙丁戊"})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].as_py() == ["甲乙丙"] * 1000 and got[1].as_py() is None and got[899].as_py() == [] and len(got) == 900
+    assert peak < 5_000_000
