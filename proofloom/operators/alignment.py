@@ -63,15 +63,16 @@ def align_two_routes(chunks: DataFrame, indicators: DataFrame, k: int = fixed.TO
                      topn: int = fixed.TOP_N, extra: float = fixed.EXTRA_SCORE,
                      low: float = fixed.MIN_SCORE, k_rrf: int = fixed.RRF_K,
                      fused_low: float = 0.01, extra_on_cosine: bool = True,
-                     tokenizer: Tokenizer = words) -> DataFrame:
+                     tokenizer: Tokenizer = words, texts: DataFrame | None = None) -> DataFrame:
     """Status from cosine and BM25 ranks fused per chunk.
 
     ``indicators`` holds (code, embedding, query_text). BM25 ranks chunks
     within an indicator (best ``2 k``); the rank is then read per chunk. A
-    chunk whose best cosine is below ``low`` keeps its cosine list.
+    chunk whose best cosine is below ``low`` keeps its cosine list. ``texts`` holds
+    the (chunk_id, text) rows of the chunks where they can be read more cheaply than from ``chunks``.
     """
     near = with_nearest(chunks, "chunk_id", indicators, "code", k, "emb_topk")
-    lexical = search(chunks.select("chunk_id", "text"), "chunk_id",
+    lexical = search((chunks if texts is None else texts).select("chunk_id", "text"), "chunk_id",
                      indicators.select("code", "query_text"), "code", 2 * k,
                      query_text="query_text", tokenizer=tokenizer)
     # at most 2 k rows an indicator: as a rule few beside the chunks, which then stay where they are

@@ -281,3 +281,22 @@ def test_dictionary_holds_one_text_at_a_time():
     tracemalloc.stop()
     assert got[0].as_py() == ["甲乙丙"] * 1000 and got[1].as_py() is None and got[899].as_py() == [] and len(got) == 900
     assert peak < 5_000_000
+
+
+def test_texts_are_searched_where_they_are_read(spark, monkeypatch):
+    from proofloom.operators import alignment
+    from proofloom.plans import retrieval, tables
+
+    sf, plans, real = "/root/testdata/sf0.001", [], L.search
+
+    def search(docs, *args, **options):
+        plans.append(docs._jdf.queryExecution().optimizedPlan().toString())
+        return real(docs, *args, **options)
+
+    monkeypatch.setattr(L, "search", search)
+    monkeypatch.setattr(alignment, "search", search)
+    retrieval.fusion_inputs(spark, sf)
+    retrieval.two_route_alignment(spark, sf)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    whole, light = tables.chunks(spark, sf), tables.chunk_texts(spark, sf)
+    assert sorted(whole.select(*light.columns).collect()) == sorted(light.collect())
