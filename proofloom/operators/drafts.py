@@ -81,24 +81,31 @@ def batches(leaves: DataFrame, size: int = fixed.BATCH_SIZE, group: str = "l1",
         "batch", (F.floor((F.col("place") - 1) / F.col("width")) + 1).cast("int")).drop("place")
 
 
+BATCHES_AT_ONCE = 256       # batches of a group that share one copy of its sibling list
+
+
 def batch_messages(batched: DataFrame) -> DataFrame:
     """Task text of every batch: its leaves, and all siblings if the group was split.
 
-    A message lists its whole group by definition; sibling lists are built once
-    per group and marked per batch.
+    A message lists its whole group by definition, so the texts of a group grow with its square.
+    Sibling lists are built once per group as one text per batch (batches follow the order of rows)
+    and copied for every ``BATCHES_AT_ONCE`` batches, so a large group spreads over many tasks.
     """
     line = F.concat(F.lit("["), F.col("leaf_id"), F.lit("] "), F.col("full_path"))
-    siblings = batched.groupBy("l1").agg(F.array_sort(F.collect_list(
-        F.struct("row", F.col("batch").alias("batch"), line.alias("line")))).alias("siblings"))
     own = F.concat(F.lit("["), F.col("leaf_id"), F.lit("] 路径："), F.col("full_path"),
                    F.lit("\n    标题："), F.col("leaf_title"), F.lit("\n    释义："), F.col("gloss"))
+    listed = lambda mark: F.nullif(F.array_join(F.transform("lines", lambda s: F.concat(F.lit(mark), s["line"])), "\n\n"), F.lit(""))
     rows = batched.groupBy("l1", "batch").agg(
+        F.array_sort(F.collect_list(F.struct("row", line.alias("line")))).alias("lines"),
         F.array_sort(F.collect_list(F.struct("row", own.alias("own")))).alias("own"),
         F.max("splits").alias("splits"), F.array_sort(F.collect_list("leaf_id")).alias("leaf_ids"))
-    joined = rows.join(siblings, "l1")
-    marked = F.transform("siblings", lambda s: F.concat(
-        F.when(s["batch"] == F.col("batch"), "→ ").otherwise("  "), s["line"]))
-    head = F.concat(F.array(F.lit("## 完整章节列表（供参考，理解各节点间的区分）\n")), marked,
+    rows = rows.withColumns({"part": F.floor(F.col("batch") / BATCHES_AT_ONCE), "plain": listed("  "), "marked": listed("→ ")})
+    siblings = rows.groupBy("l1").agg(
+        F.array_sort(F.collect_list(F.struct("batch", "plain"))).alias("siblings"), F.max("part").alias("__last")).select(
+        "l1", "siblings", F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias("part"))
+    joined = rows.join(siblings, ["l1", "part"])
+    around = F.transform("siblings", lambda s: F.when(s["batch"] == F.col("batch"), F.col("marked")).otherwise(s["plain"]))
+    head = F.concat(F.array(F.lit("## 完整章节列表（供参考，理解各节点间的区分）\n")), around,
                     F.array(F.lit(""), F.lit("## 待生成节点（只需为以下节点生成输出）\n")))
     details = F.transform("own", lambda o: o["own"])
     lines = F.when(F.col("splits") > 1, F.concat(head, details)).otherwise(details)

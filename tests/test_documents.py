@@ -209,3 +209,18 @@ def test_chunks_keep_other_columns(spark):
     got = C.make_chunks(df)
     assert got.columns == ["chunk_id", "parent_id", "relative_path", "row", "list", "parent", "chunk_pos", "text", "char_count", "is_table", "table_markdown", "table_html", "table_rows"]
     assert [tuple(r)[:9] for r in got.collect()] == [("f#s#c0", "f#s", "f", 1, [1, 2], ("x", 2), 0, "a b", 2)]
+
+
+def test_messages_of_a_large_group_spread_over_parts(spark, monkeypatch):
+    from proofloom.operators import drafts as D
+
+    monkeypatch.setattr(D, "BATCHES_AT_ONCE", 2)
+    leaves = [("a", i, f"r{i:03d}", f"p{i}" if i != 4 else None, f"t{i}", f"g{i}") for i in range(23)] + [("b", 99, "r099", "p", "t", "g")]
+    rows = D.batches(spark.createDataFrame(leaves, "l1 string, row int, leaf_id string, full_path string, leaf_title string, gloss string"), 3)
+    got = {(r.l1, r.batch): r.message for r in D.batch_messages(rows).collect()}
+    assert len(got) == 9 and got["b", 1] == "[r099] 路径：p\n    标题：t\n    释义：g"
+    for batch in range(1, 9):
+        mine = range(3 * batch - 3, min(3 * batch, 23))
+        around = [f"{'→ ' if i in mine else '  '}[r{i:03d}] p{i}" for i in range(23) if i != 4]
+        own = [f"[r{i:03d}] 路径：p{i}\n    标题：t{i}\n    释义：g{i}" for i in mine if i != 4]
+        assert got["a", batch] == "\n\n".join(["## 完整章节列表（供参考，理解各节点间的区分）\n", *around, "", "## 待生成节点（只需为以下节点生成输出）\n", *own])
