@@ -22,6 +22,7 @@ STATE = ("run_id string, stage string, status string, percent double, stages_com
          "partial_failed int, partial_failed_ids array<string>, error string, ms long")
 FACT = ("run_id string, kind string, name string, first_ms long, ms long, event_id long, status string, current int, total int, "
         "error string, ids array<string>, ts timestamp")
+FOLDED = ("kind", "name", "first_ms", "ms", "event_id", "status", "current", "total", "error", "ids")
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -114,47 +115,70 @@ class RunFold(StatefulProcessor):
         self.substeps = handle.getMapState("substeps", "name string", "ms long, event_id long, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"], kind="stable")  # one row per thing and Arrow batch
-        newer = lambda held, r, at: held is None or (int(r.ms), int(r.event_id)) >= (held[at], held[at + 1])
-        for r in batch.itertuples():
-            name, ms, event = (r.name,), int(r.ms), int(r.event_id)
-            if r.kind == "stage":
-                first, last = self.stages.getValue(name) if self.stages.containsKey(name) else (ms, ms)
-                self.stages.updateValue(name, (min(first, int(r.first_ms)), max(last, ms)))
-                if newer(self.now.get() if self.now.exists() else None, r, 4):
-                    status, current, total = _given(r.status) or "running", _given(r.current), _given(r.total)
+        """State is read once and an entry is written once, however many rows speak of it: each call crosses to the JVM."""
+        facts = [fact for frame in rows for fact in zip(*(frame[c].tolist() for c in FOLDED))]
+        facts.sort(key=lambda f: (f[3], f[4]))
+        held = self._held()
+        now, heard, failed, stages, substeps = held["now"], held["heard"], held["failed"], held["stages"], held["substeps"]
+        new_stages, new_substeps, before = set(), set(), (now, failed)
+        for kind, name, first_ms, ms, event, status, current, total, error, ids in facts:
+            first_ms, ms, event = int(first_ms), int(ms), int(event)
+            newer = lambda held, at: held is None or (ms, event) >= (held[at], held[at + 1])
+            heard = ms if heard is None else max(heard, ms)
+            if kind == "stage":
+                first, last = stages.get(name, (ms, ms))
+                stages[name] = (min(first, first_ms), max(last, ms))
+                new_stages.add(name)
+                if newer(now, 4):
+                    status, current, total = _given(status) or "running", _given(current), _given(total)
                     percent = 100.0 if status == "completed" else round(float(current) / float(total) * 100, 1) if total and total > 0 and current is not None else 0.0
-                    self.now.update((r.name, status, percent, _given(r.error) if status == "failed" else None, ms, event))
-            elif r.kind == "substep":
-                if newer(self.substeps.getValue(name) if self.substeps.containsKey(name) else None, r, 0):
-                    self.substeps.updateValue(name, (ms, event, _given(r.status) or "pending"))
-            elif newer(self.failed.get() if self.failed.exists() else None, r, 0):
-                self.failed.update((ms, event, [str(i) for i in r.ids]))
-        heard = max(int(batch["ms"].max()), self.heard.get()[0] if self.heard.exists() else 0)
+                    now = (name, status, percent, _given(error) if status == "failed" else None, ms, event)
+            elif kind == "substep":
+                if newer(substeps.get(name), 0):
+                    substeps[name] = (ms, event, _given(status) or "pending")
+                    new_substeps.add(name)
+            elif newer(failed, 0):
+                failed = (ms, event, [str(i) for i in ids])
+        for name in new_stages:
+            self.stages.updateValue((name,), stages[name])
+        for name in new_substeps:
+            self.substeps.updateValue((name,), substeps[name])
+        for state, value, old in ((self.now, now, before[0]), (self.failed, failed, before[1])):
+            if value is not old:
+                state.update(value)
         self.heard.update((heard,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(heard, timerValues.getCurrentWatermarkInMs()) + self.silence)
-        yield self._state(key[0])
+        yield self._state(key[0], {"now": now, "heard": heard, "failed": failed, "stages": stages, "substeps": substeps})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status = self.now.get()[1] if self.now.exists() else "running"
+        held = self._held()
+        status = held["now"][1] if held["now"] else "running"
         if status == "running":
-            yield self._state(key[0], lost=True)
+            yield self._state(key[0], held, lost=True)
         for state in (self.now, self.heard, self.failed, self.stages, self.substeps):
             state.clear()
 
-    def _state(self, run: str, lost: bool = False) -> pd.DataFrame:
-        stage, status, percent, error = self.now.get()[:4] if self.now.exists() else (None, "running", 0.0, None)
+    def _held(self) -> dict:
+        """The whole state of a run as plain values."""
+        one = lambda state: state.get() if state.exists() else None
+        heard = one(self.heard)
+        return {"now": one(self.now), "heard": None if heard is None else heard[0], "failed": one(self.failed),
+                "stages": {name[0]: (span[0], span[1]) for name, span in self.stages.iterator()},
+                "substeps": {name[0]: tuple(value) for name, value in self.substeps.iterator()}}
+
+    def _state(self, run: str, held: dict, lost: bool = False) -> pd.DataFrame:
+        stage, status, percent, error = held["now"][:4] if held["now"] else (None, "running", 0.0, None)
         if lost:
             status, error = "failed", fixed.LOST_RUN
-        spans = sorted((first, last, name[0]) for name, (first, last) in self.stages.iterator())
+        spans = sorted((first, last, name) for name, (first, last) in held["stages"].items())
         done = [s for first, _, s in spans if s != stage or status == "completed" or any(o != s and last > first for _, last, o in spans)]
-        parts = {name[0]: value[2] for name, value in self.substeps.iterator()}
-        ids = list(self.failed.get()[2]) if self.failed.exists() else []
+        parts = {name: value[2] for name, value in held["substeps"].items()}
+        ids = list(held["failed"][2]) if held["failed"] else []
         return pd.DataFrame({"run_id": [run], "stage": [stage], "status": [status], "percent": [float(percent)], "stages_completed": [done],
                              "substeps": [dict(sorted(parts.items()))], "partial_failed": [len(ids)], "partial_failed_ids": [ids],
-                             "error": [error], "ms": [self.heard.get()[0]]})
+                             "error": [error], "ms": [held["heard"]]})
 
     def close(self) -> None:
         pass

@@ -145,3 +145,35 @@ def test_run_states_of_an_empty_table_and_of_plain_step_events(spark):
     assert R.run_states(spark.createDataFrame([], RUN_EVENTS)).count() == 0
     plain = spark.createDataFrame([("a", 1, at(0), "load", "running", 1, 2), ("a", 2, at(1), "rank", "failed", 1, 2)], SCHEMA)
     assert _shown(R.run_states(plain).collect()) == {"a": ("rank", "failed", 50.0, ["load"], {}, 0, [], None, at(1))}
+
+
+def test_run_state_is_read_and_written_once_per_batch():
+    import pandas as pd
+
+    from proofloom.streaming.run_states import FOLDED, RunFold
+
+    calls = []
+
+    class Held:
+        def __init__(self): self.value, self.map = None, {}
+        def exists(self): return self.value is not None
+        def get(self): return self.value
+        def update(self, value): calls.append("update"); self.value = value
+        def iterator(self): calls.append("iterator"); return iter(self.map.items())
+        def updateValue(self, name, value): calls.append("updateValue"); self.map[name] = value
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: Held()
+        listTimers = lambda self: iter([])
+        registerTimer = deleteTimer = lambda self, t: None
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    fold = RunFold(1000)
+    fold.init(Handle())
+    facts = [("stage", "ab"[i % 2], i, i, i, "running", i, 200, None, None) for i in range(100)] + [("substep", "c", i, i, i, None, None, None, None, None) for i in range(100)]
+    for part in (facts[::2], facts[1::2]):
+        out = next(iter(fold.handleInputRows(("r",), iter([pd.DataFrame(part, columns=FOLDED)]), Clock()))).iloc[0]
+    assert (out.stage, out.percent, out.stages_completed, out.substeps, out.ms) == ("b", 49.5, ["a", "b"], {"c": "pending"}, 99)
+    assert len(calls) <= 14
