@@ -11,9 +11,10 @@
    true ones give a first partition.
 4. Star edges alone can miss a link between two members of a bucket when
    neither is its centre. So every bucket whose members still lie in several
-   components is compared in full, block by block: rows are bounded by
-   (members x blocks), a task holds two blocks, and only links that join
-   components leave it. Buckets that lie in one component, which is what large
+   components is compared in full, block by block: members of its largest
+   component meet only the others, so rows are bounded by (members x blocks
+   of the others) and (others x blocks), a task holds two blocks, and only
+   links that join components leave it. Buckets that lie in one component, which is what large
    groups of copies come to, cost nothing here.
 
 A pair at similarity 0.75 shares no bucket with probability
@@ -190,6 +191,21 @@ def _meet(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(values, key, "left"))
 
 
+def _deal(placed: DataFrame) -> DataFrame:
+    """Rows (key, low, high, node, component, block): the block pairs of buckets whose members (key, node, component) lie in several components.
+
+    Members of a bucket's largest component meet the others only, never each other, so rows grow with the others.
+    """
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_keys = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")) \
+        .filter("parts > 1").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("own"), F.ceil((F.col("all") - F.col("n")) / BLOCK).cast("int").alias("rest"))
+    of_main = F.col("component") == F.col("main")
+    place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks).cast("long")).cast("int")
+    blocks = placed.join(open_keys, "key").withColumn("block", F.when(of_main, F.col("rest") + place("own")).otherwise(place("rest")))
+    return blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(of_main, 0).otherwise(F.col("own")) - 1))).select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block")
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows, (d1, d2, n, component_id, k1, k2) of all classes of equal sets).
 
@@ -223,12 +239,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     placed = cut_lineage(shared.join(first, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")).distinct())
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block")
-    pairs = dealt.join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    pairs = _deal(placed).join(sets, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     more = pairs.mapInArrow(_block_links, "a long, b long")
 
     top = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"top_{c}"))

@@ -127,3 +127,17 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges + [(5, 5), (None, 3)], "a long, b long"), "a", "b").collect()}
     nodes = {n for e in edges if e[0] != e[1] for n in e}
     assert got == helpers.components(nodes, [e for e in edges if e[0] != e[1]])
+
+
+def test_members_of_one_component_do_not_meet_again(spark):
+    from proofloom.llm.minhash import BLOCK, _deal
+
+    sizes = {1: 3 * BLOCK, 2: BLOCK // 2, 3: 2}
+    rows = [(7, 1000 * c + i, c) for c, n in sizes.items() for i in range(n)] + [(8, i, 1) for i in range(9)]
+    got = _deal(spark.createDataFrame(rows, "key long, node long, component long")).collect()
+    assert {r.key for r in got} == {7} and len(got) <= sizes[1] + (sizes[2] + sizes[3]) * 4
+    meet = {}
+    for r in got:
+        meet.setdefault((r.low, r.high), []).append(r)
+    pairs = {frozenset((a.node, b.node)) for side in meet.values() for a in side for b in side if a.component < b.component and (a.block != b.block or a.block == side[0].low == side[0].high)}
+    assert pairs == {frozenset((a, b)) for _, a, c in rows[:-9] for _, b, d in rows[:-9] if c < d}
