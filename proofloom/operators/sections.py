@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import col, has_text, heading_level, is_heading, let, meaningful_chars, strip
+from ..session import cut_lineage
+
+PART_CHARS = 16_000_000     # characters of blocks sorted by one task
+BLOCK_CHARS = 64            # a block's other columns, counted as characters
 
 SECTION = "struct<section_id:string,page_or_sheet:string,text:string,section_title:string>"
 
@@ -148,20 +152,31 @@ def title_thresholds(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     most half of the blocks is taken. Spans and blocks are first reduced to
     one row per distinct size, so a huge document does not gather its spans.
     """
-    sizes = spans.filter(F.col("size") > 0).groupBy("doc_id", "size").agg(F.count("*").alias("n"))
+    return _thresholds(_span_sizes(spans), _block_sizes(blocks))
+
+
+def _span_sizes(spans: DataFrame) -> DataFrame:
+    return spans.filter(F.col("size") > 0).groupBy("doc_id", "size").agg(F.count("*").alias("n"))
+
+
+def _block_sizes(blocks: DataFrame) -> DataFrame:
+    """Blocks, short blocks and characters of every font size of a document."""
+    return blocks.groupBy("doc_id", "max_size").agg(
+        F.count("*").alias("n"), F.count_if(F.length("text") <= fixed.TITLE_MAX_CHARS).alias("titles"),
+        F.sum(F.length("text")).alias("chars"))
+
+
+def _thresholds(sizes: DataFrame, shape: DataFrame, deal=lambda rows: rows) -> DataFrame:
     upto = Window.partitionBy("doc_id").orderBy("size")
     all_of = Window.partitionBy("doc_id")
     ranked = sizes.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(all_of))
     place = F.least(F.floor(F.col("total") * fixed.TITLE_PERCENTILE), F.col("total") - 1)
     base = ranked.filter(F.col("upto") > place).groupBy("doc_id").agg(F.min("size").alias("base"))
 
-    shape = blocks.groupBy("doc_id", "max_size").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.length("text") <= fixed.TITLE_MAX_CHARS).alias("titles"))
-    totals = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    totals = shape.groupBy("doc_id").agg(F.sum("n").alias("blocks"))
     # hits at a size = short blocks at least that large: a running sum over sizes
-    points = sizes.select("doc_id", "size", F.lit(0).cast("long").alias("titles")).unionByName(
-        shape.select("doc_id", F.col("max_size").alias("size"), "titles"))
+    points = deal(sizes.select("doc_id", "size", F.lit(0).cast("long").alias("titles")).unionByName(
+        shape.select("doc_id", F.col("max_size").alias("size"), "titles")))
     down = Window.partitionBy("doc_id").orderBy(F.desc("size"))
     hits = (
         points.groupBy("doc_id", "size").agg(F.sum("titles").alias("titles"))
@@ -186,9 +201,19 @@ def title_thresholds(spans: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def sections_from_blocks(spans: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Sections of (doc_id, pos, page, max_size, text) blocks cut at title fonts."""
+    """Sections of (doc_id, pos, page, max_size, text) blocks cut at title fonts.
+
+    Blocks are dealt by document into a number of parts that follows their characters. Left to adaptive execution,
+    which merges parts by their compressed size, a task could sort texts many times that size.
+    Sizes and thresholds are dealt likewise, or a join would set the number.
+    """
     blocks = blocks.withColumn("text", strip("text")).filter(F.col("text") != "")
-    joined = blocks.join(title_thresholds(spans, blocks), "doc_id")
+    sizes, shape = cut_lineage(_span_sizes(spans)), cut_lineage(_block_sizes(blocks))
+    size = shape.agg(F.sum("chars") + BLOCK_CHARS * F.sum("n")).first()[0] or 0
+    # one part more than other shuffles have: a deal into as many as the rows come in would be left out as done
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, -(-size // PART_CHARS))
+    deal = lambda rows: rows.repartition(parts, "doc_id")
+    joined = deal(blocks).join(deal(_thresholds(deal(sizes), deal(shape), deal)), "doc_id")
     title = (F.col("threshold") > 0) & (F.col("max_size") >= F.col("threshold")) & (
         F.length("text") <= fixed.TITLE_MAX_CHARS)
     docs = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(

@@ -224,3 +224,11 @@ def test_messages_of_a_large_group_spread_over_parts(spark, monkeypatch):
         around = [f"{'→ ' if i in mine else '  '}[r{i:03d}] p{i}" for i in range(23) if i != 4]
         own = [f"[r{i:03d}] 路径：p{i}\n    标题：t{i}\n    释义：g{i}" for i in mine if i != 4]
         assert got["a", batch] == "\n\n".join(["## 完整章节列表（供参考，理解各节点间的区分）\n", *around, "", "## 待生成节点（只需为以下节点生成输出）\n", *own])
+
+
+def test_blocks_are_dealt_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_CHARS", 1000)
+    rows = spark.range(90).selectExpr("id % 30 doc_id", "id pos", "1 page", "10.0D size", "10.0D max_size", "repeat('x', 200) text")
+    got = S.sections_from_blocks(rows.select("doc_id", "size"), rows)
+    assert got.rdd.getNumPartitions() == -(-90 * (200 + S.BLOCK_CHARS) // 1000)
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(i, "\n".join(["x" * 200] * 3)) for i in range(30)}
