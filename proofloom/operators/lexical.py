@@ -21,6 +21,7 @@ HAN_RUN = r"^\p{IsHan}+$"
 DIGITS = 6                  # scores are compared after rounding, half up, the same way in both search forms
 MAX_TERMS = 500_000         # (query, token) pairs sent to the tasks
 MAX_CELLS = 20_000_000      # distinct tokens times queries sent to the tasks
+PAIRS_AT_ONCE = 1_000_000   # pairs of document and token, or document and query, that one task of the join holds
 
 
 def words(c) -> Column:
@@ -85,18 +86,20 @@ def _explode(rows: DataFrame, *kept) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: str = "text", tokenizer: Tokenizer = words,
-                vocabulary: DataFrame | None = None) -> DataFrame:
+                vocabulary: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(doc_id, token, tf, length) of every document with a token.
 
     Given a ``vocabulary(token)``, all other tokens are dropped before anything
     is shuffled. Rows are placed by document once: counting terms here and
-    summing a document's score later need no further shuffle.
+    summing a document's score later need no further shuffle. ``parts`` fixes the
+    number of places, which adaptive execution else sets by bytes.
     """
     tokens = docs.filter(F.col(text).isNotNull()).select(doc_id, tokenizer(text).alias("tokens"))
     rows = _explode(tokens, doc_id, F.size("tokens").alias("length"))
     if vocabulary is not None:
         rows = rows.join(broadcast_if_small(vocabulary.select("token")), "token", "left_semi")
-    return rows.repartition(doc_id).groupBy(doc_id, "token").agg(
+    placed = rows.repartition(parts, doc_id) if parts else rows.repartition(doc_id)
+    return placed.groupBy(doc_id, "token").agg(
         F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -190,9 +193,15 @@ def search(docs: DataFrame, doc_id: str, queries: DataFrame, query_id: str, n: i
 def _join(docs, doc_id, text, tokenizer, asked, vocabulary, stats, query_id, salts: int = 16) -> DataFrame:
     """Scores of all matching pairs by a join on equal (token, salt).
 
-    The salt spreads the postings of a very common token over many tasks.
+    The salt spreads the postings of a very common token over many tasks. Documents are dealt
+    into parts by the pairs they make, which may be many more than the rows shuffled for them.
     """
-    counts = term_counts(docs, doc_id, text, tokenizer, vocabulary)
+    made = asked.join(vocabulary.select("token", "df"), "token").agg(F.sum("df").alias("n")).first()["n"] or 0
+    held = vocabulary.agg(F.sum("df").alias("n")).first()["n"] or 0
+    all_pairs = (stats.first()["docs"] or 0) * asked.select(query_id).distinct().count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                -(-max(held, min(made, all_pairs)) // PAIRS_AT_ONCE))
+    counts = term_counts(docs, doc_id, text, tokenizer, vocabulary, parts)
     needed = postings(counts, vocabulary, stats, doc_id)
     salted = needed.withColumn("salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int"))
     spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

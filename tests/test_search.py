@@ -300,3 +300,14 @@ def test_texts_are_searched_where_they_are_read(spark, monkeypatch):
     assert len(plans) == 2 and not any("Join" in p for p in plans)
     whole, light = tables.chunks(spark, sf), tables.chunk_texts(spark, sf)
     assert sorted(whole.select(*light.columns).collect()) == sorted(light.collect())
+
+
+def test_join_deals_documents_by_the_pairs_they_make(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", 50)
+    docs = spark.createDataFrame([(i, "z" if i >= 100 else "a b" if i % 2 else "a") for i in range(300)], "d long, text string")
+    asked = L.query_terms(spark.createDataFrame([(q, "a b") for q in range(7)], "q long, text string"), "q")
+    idf, stats = L.vocabulary_index(docs)
+    scored = L._join(docs, "d", "text", L.words, asked, idf, stats, "q")
+    # 7 queries, 100 documents with one word and 50 with the other: the join makes 1,050 rows
+    assert scored.rdd.getNumPartitions() == 21
+    assert scored.select("q", "d").distinct().count() == scored.count() == 700
