@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import is_photo, rank_source, score_source
-from ..session import cut_lineage, top_n
+from ..session import broadcast_if_small, cut_lineage, top_n
 from .ranking import global_rank
 from .vectors import DIGITS, dual_scores, has_vector, is_empty, matrix, usable_rows
 
@@ -158,11 +158,18 @@ def _keep_best(pool: DataFrame, leaves: list, shared, depth: int) -> DataFrame:
         if kept is not None:
             yield _cut(kept, depth)
 
-    local = pool.mapInPandas(scan, schema)
-    best_rq = top_n(local, ["leaf", "cls"], [F.desc("score_rq"), F.col("chunk_id")], depth, "place_rq")
-    best_hyde = top_n(local, ["leaf", "cls"], [F.desc("score_hyde"), F.col("chunk_id")], depth, "place_hyde")
-    columns = ["leaf", "cls", "chunk_id", "parent_id", "score_rq", "score_hyde"]
-    return best_rq.join(best_hyde, columns, "full")
+    # both routes are placed in one pass: the pool is scored once, and what its tasks kept moves once for both
+    local = pool.mapInPandas(scan, schema).withColumn("__piece", F.pmod(F.spark_partition_id(), F.lit(64)))
+    return _best_places(_best_places(local, ["leaf", "cls", "__piece"], depth).drop("__piece"), ["leaf", "cls"], depth)
+
+
+def _best_places(rows: DataFrame, group: list[str], depth: int) -> DataFrame:
+    """Rows among the best ``depth`` of their group in either route, with their places; a place beyond ``depth`` is NULL."""
+    for route, place in (("score_rq", "place_rq"), ("score_hyde", "place_hyde")):
+        at = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(route), F.col("chunk_id")))
+        rows = rows.withColumn(place, at)
+    kept = rows.filter((F.col("place_rq") <= depth) | (F.col("place_hyde") <= depth))
+    return kept.withColumns({p: F.when(F.col(p) <= depth, F.col(p)) for p in ("place_rq", "place_hyde")})
 
 
 # --- scan 2: count the chunks in front of every kept one ----------------------------------
@@ -250,10 +257,11 @@ def fuse(pool: DataFrame, leaves: DataFrame, bm25: DataFrame | None = None, k: i
     cosine. One chunk per parent, order (score desc, chunk_id).
     """
     spark = pool.sparkSession
-    rows = pool.filter(has_vector("embedding")).select(
+    # read several times in every round, so what the pool asks (here a join with its vectors) is done once
+    rows = cut_lineage(pool.filter(has_vector("embedding")).select(
         F.col("chunk_id").cast("string").alias("chunk_id"), F.col("parent_id").cast("string").alias("parent_id"),
         F.col("folder_code").cast("string").alias("folder_code"),
-        F.col("alignment_status").alias("status"), F.col("embedding").alias("v"))
+        F.col("alignment_status").alias("status"), F.col("embedding").alias("v")))
     asked = leaves.select(F.col("leaf_id").cast("string").alias("leaf_id"),
                           F.col("code").cast("string").alias("code"), "rq", "hyde")
     lexical = None
@@ -345,7 +353,8 @@ def _score_rows(rows: DataFrame, pairs: DataFrame, shared) -> DataFrame:
                 "score_rq": np.round(np.einsum("ij,ij->i", x, rq[at]), DIGITS),
                 "score_hyde": np.round(np.einsum("ij,ij->i", x, hyde[at]), DIGITS)})
 
-    return rows.join(pairs.select("leaf", "chunk_id"), "chunk_id").mapInPandas(score, schema)
+    # a few pairs a leaf as a rule: vectors then stay where they are
+    return rows.join(broadcast_if_small(pairs.select("leaf", "chunk_id")), "chunk_id").mapInPandas(score, schema)
 
 
 def _open_leaves(kept, fused, top, names, k, k_rrf, boost, depth) -> list[str]:

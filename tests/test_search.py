@@ -311,3 +311,36 @@ def test_join_deals_documents_by_the_pairs_they_make(spark, monkeypatch):
     # 7 queries, 100 documents with one word and 50 with the other: the join makes 1,050 rows
     assert scored.rdd.getNumPartitions() == 21
     assert scored.select("q", "d").distinct().count() == scored.count() == 700
+
+
+@pytest.mark.parametrize("depth,limit", [(2, 16384), (1, 1)])
+def test_fusion_reads_its_pool_once(spark, depth, limit):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rng = np.random.default_rng(4)
+    schema = "chunk_id string, parent_id string, folder_code string, alignment_status string, embedding array<double>"
+    pool = spark.createDataFrame([(f"c{i:03}", f"p{i // 2}", str(i % 3), "consistent", rng.normal(size=4).tolist()) for i in range(200)],
+                                 schema).repartition(3).mapInPandas(counted, schema)
+    leaves = spark.createDataFrame([(f"r{i}", str(i), rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for i in range(2)],
+                                   "leaf_id string, code string, rq array<double>, hyde array<double>")
+    bm25 = spark.createDataFrame([("r0", f"c{i:03}", i + 1, 1.0 / (i + 1)) for i in range(30)], "leaf_id string, chunk_id string, rank int, score double")
+    assert X.fuse(pool, leaves, bm25, k=20, depth=depth, depth_limit=limit).count() == 40
+    assert read.value == 200
+
+
+def test_places_in_both_routes_come_from_one_pass(spark):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i % 2, i % 3, f"c{i:03}", float(rng.randint(0, 9)), float(rng.randint(0, 9))) for i in range(120)],
+                                 "leaf int, cls int, chunk_id string, score_rq double, score_hyde double")
+    got = X._best_places(rows, ["leaf", "cls"], 4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {}
+    for place, route in (("place_rq", "score_rq"), ("place_hyde", "score_hyde")):
+        for r in X.top_n(rows, ["leaf", "cls"], [F.desc(route), F.col("chunk_id")], 4, place).collect():
+            want.setdefault(r.chunk_id, {})[place] = r[place]
+    assert {r.chunk_id: {p: r[p] for p in ("place_rq", "place_hyde") if r[p]} for r in got.collect()} == want
