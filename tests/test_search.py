@@ -363,3 +363,11 @@ def test_leaves_are_derived_once(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "query_leaves", lambda *args: calls.append(args) or real(*args))
     retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["retrieval_diff", "weakest_leaves", "leaf_stats", "mean_score_by_source", "source_distribution", "rerank"])
+def test_figures_over_results_read_no_text_again(spark, name):
+    from proofloom.plans import retrieval
+
+    figures = retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert figures.inputFiles() and not any("/documents.parquet" in f or "/embeddings.parquet" in f for f in figures.inputFiles())
