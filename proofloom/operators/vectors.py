@@ -56,15 +56,17 @@ def hashing_vector(c, dim: int = 64, tokenizer: Tokenizer = words) -> Column:
 
     A token's code is the first 16 bits of its MD5: modulo ``dim`` it names the
     place, its bit 8 the sign. Codes are made in the JVM and counted in
-    Arrow batches.
+    Arrow batches. Tokens that cancel each other everywhere give zeros.
     """
-    def codes(tokens):
-        return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int"))
-
     def vector(numbers: pd.Series) -> pd.Series:
         return numbers.map(lambda v: None if v is None else _counted(np.asarray(v, np.int64), dim))
 
-    return F.pandas_udf(vector, "array<double>")(codes(tokenizer(c)))
+    return F.pandas_udf(vector, "array<double>")(token_codes(c, tokenizer))
+
+
+def token_codes(c, tokenizer: Tokenizer = words) -> Column:
+    """The code of every token of a text."""
+    return F.transform(tokenizer(c), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int"))
 
 
 def _counted(numbers: np.ndarray, dim: int) -> np.ndarray:
@@ -103,12 +105,16 @@ def embed_with(rows: DataFrame, fn, text: str = "text", out: str = "embedding",
     return call_model(rows, [text], asked, out, "array<double>", batch, tries, wait, parallel)
 
 
+def sample_answer() -> Column:
+    """A leaf's sample answer, else its query."""
+    return F.coalesce(F.nullif(F.trim(F.col("hypothetical_doc")), F.lit("")), F.col("retrieval_query"))
+
+
 def embed_queries(leaves: DataFrame, instruction: str = "", dim: int = 64) -> DataFrame:
     """Two vectors per leaf: its query, and its sample answer (else the query)."""
-    hyde = F.coalesce(F.nullif(F.trim(F.col("hypothetical_doc")), F.lit("")), F.col("retrieval_query"))
     return leaves.withColumn(
         "rq", hashing_vector(with_instruction(instruction, "retrieval_query"), dim)
-    ).withColumn("hyde", hashing_vector(hyde, dim))
+    ).withColumn("hyde", hashing_vector(sample_answer(), dim))
 
 
 def split_ready(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:

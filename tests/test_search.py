@@ -371,3 +371,26 @@ def test_figures_over_results_read_no_text_again(spark, name):
 
     figures = retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert figures.inputFiles() and not any("/documents.parquet" in f or "/embeddings.parquet" in f for f in figures.inputFiles())
+
+
+def test_vectors_of_texts_whose_tokens_cancel_equal_their_sql(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    from proofloom.plans.retrieval import ORACLE, query_vectors, text_vectors
+
+    code = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16)
+    first = {}
+    pair = next((first[key], w) for w in (f"w{i}" for i in range(999)) for key in [(code(w) % 64, 1 - code(w) // 256 % 2)]
+                if first.setdefault((code(w) % 64, code(w) // 256 % 2), w) and key in first)
+    texts = [" ".join(pair), " ".join(pair * 3), f"{pair[0]} {pair[1]} {pair[0]}", "...", " ", None, "one two three"]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts) if (t or "").strip()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for query, view, least in ((text_vectors, "documents", 2), (query_vectors, "benchmark", 1)):
+        name = query.__name__
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{tmp_path}/{view}.parquet/*.parquet'")
+        want = sorted(map(str, con.execute(ORACLE[name]).fetchall()))
+        assert sorted(str(tuple(r)) for r in query(spark, str(tmp_path)).collect()) == want
+        assert sum("nan" in w for w in want) == least
