@@ -18,10 +18,12 @@ from ..session import broadcast_if_small, collect_if_small, cut_lineage, top_n
 
 WORD = r"[\p{L}\p{N}]+"
 HAN_RUN = r"^\p{IsHan}+$"
+RUNS = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 DIGITS = 6                  # scores are compared after rounding, half up, the same way in both search forms
 MAX_TERMS = 500_000         # (query, token) pairs sent to the tasks
 MAX_CELLS = 20_000_000      # distinct tokens times queries sent to the tasks
 PAIRS_AT_ONCE = 1_000_000   # pairs of document and token, or document and query, that one task of the join holds
+BYTES_AT_ONCE = 1 << 21     # bytes of short texts whose tokens are counted at a time; a longer text is counted alone
 
 
 def words(c) -> Column:
@@ -31,7 +33,7 @@ def words(c) -> Column:
 
 def words_and_han_pairs(c) -> Column:
     """Words; runs of Han characters become overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.lower(col(c)), F.lit(RUNS), F.lit(0))
 
     def cut(run):
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
@@ -60,11 +62,7 @@ def with_dictionary(dictionary: DataFrame, term: str = "term", max_terms: int =
     Terms are lower-cased; those of fewer than three characters add nothing to the pairs. The
     dictionary is sent to the tasks, so it may hold at most ``max_terms`` terms; a larger one is an error.
     """
-    spark = dictionary.sparkSession
-    rows = collect_if_small(dictionary.select(F.lower(F.col(term)).alias("t")).filter(F.length("t") > 2).distinct(), max_terms)
-    if rows is None:
-        raise ValueError(f"a dictionary may hold at most {max_terms} terms")
-    sent = spark.sparkContext.broadcast({r["t"] for r in rows})
+    sent = dictionary.sparkSession.sparkContext.broadcast(_terms(dictionary, term, max_terms))
 
     @F.arrow_udf("array<string>")
     def found(runs: pa.Array) -> pa.Array:
@@ -73,6 +71,129 @@ def with_dictionary(dictionary: DataFrame, term: str = "term", max_terms: int =
     return lambda c: F.concat(words_and_han_pairs(c), found(F.regexp_extract_all(F.lower(col(c)), F.lit(r"\p{IsHan}+"), F.lit(0))))
 
 
+def _terms(dictionary: DataFrame, term: str, max_terms: int) -> set[str]:
+    rows = collect_if_small(dictionary.select(F.lower(F.col(term)).alias("t")).filter(F.length("t") > 2).distinct(), max_terms)
+    if rows is None:
+        raise ValueError(f"a dictionary may hold at most {max_terms} terms")
+    return {r["t"] for r in rows}
+
+
+def counts_with_dictionary(dictionary: DataFrame, term: str = "term", max_terms: int = MAX_TERMS) -> "Tokenizer":
+    """Different tokens of :func:`with_dictionary` and how often each occurs: array of (token, n), in order of the tokens' bytes."""
+    sent = dictionary.sparkSession.sparkContext.broadcast(_lookup(_terms(dictionary, term, max_terms)))
+
+    @F.arrow_udf("array<struct<token:string,n:long>>")
+    def counted(runs: pa.Array, han: pa.Array) -> pa.Array:
+        return _counted_lists(runs, han, *sent.value)
+
+    def tokens(c):
+        runs = F.regexp_extract_all(F.lower(col(c)), F.lit(RUNS), F.lit(0))
+        return counted(runs, F.transform(runs, lambda r: r.rlike(r"^\p{IsHan}")))
+
+    return tokens
+
+
+COUNTED = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
+_CHAR = 21                  # bits of a code point
+_MARKS = 20                 # bits of the mark of three characters
+
+
+def _marks(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (((a << _CHAR | b) << _CHAR | c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MARKS)
+
+
+def _points(texts: pa.Array) -> np.ndarray:
+    """Code points of all texts, one after the other."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:][:len(texts) + 1] if len(texts) else [0, 0]
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0]:offsets[-1]]
+    return np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _lookup(terms: set[str]) -> tuple[np.ndarray, dict[int, pa.Array]]:
+    """Marks of the first three characters of any term, and the terms by length."""
+    first = np.array([[ord(x) for x in t[:3]] for t in terms], np.int64).reshape(-1, 3).T
+    marked = np.zeros(1 << _MARKS, bool)
+    marked[_marks(*first)] = True
+    return marked, {n: pa.array(sorted(t for t in terms if len(t) == n)) for n in sorted({len(t) for t in terms})}
+
+
+def _counted_lists(runs: pa.Array, han: pa.Array, marked: np.ndarray, terms: dict[int, pa.Array]) -> pa.Array:
+    """Counted tokens of every list of runs, some texts at a time."""
+    sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    words, flags = runs.flatten(), han.flatten().to_numpy(zero_copy_only=False).astype(bool)
+    read = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))])[first]
+    done, at = [pa.array([], COUNTED)], 0
+    while at < len(runs):
+        end = max(at + 1, int(np.searchsorted(read, read[at] + BYTES_AT_ONCE, "right")) - 1)
+        part = slice(first[at], first[end])
+        done.append(_counted_block(words[part], flags[part], sizes[at:end], runs[at:end].is_null(), marked, terms))
+        at = end
+    return pa.concat_arrays(done)
+
+
+def _counted_block(words: pa.Array, flags: np.ndarray, sizes: np.ndarray, null: pa.Array,
+                   marked: np.ndarray, terms: dict[int, pa.Array]) -> pa.Array:
+    """Tokens are pairs of a text and the place of a token among all tokens of the block; only different ones become strings."""
+    text_of = np.repeat(np.arange(len(sizes)), sizes)
+    other = words.filter(pa.array(~flags)).dictionary_encode()
+    found = [(text_of[~flags], other.indices.to_numpy(), other.dictionary)]
+    runs = words.filter(pa.array(flags))
+    lengths = pc.utf8_length(runs).to_numpy(zero_copy_only=False)
+    c = _points(runs)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(c))
+    text_of = np.repeat(text_of[flags], lengths)
+
+    # two characters of a run, or the one of a run of one, as one number
+    kept = np.flatnonzero((left > 1) | np.repeat(lengths == 1, lengths))
+    next_one = np.where(left > 1, np.append(c[1:], 0)[:len(c)], 0)
+    code, both = _numbered((c << _CHAR | next_one)[kept])
+    found.append((text_of[kept], code, _strings(np.stack([both >> _CHAR, both & (1 << _CHAR) - 1], 1))))
+
+    # longer ones grow by one character at a time where any term may begin
+    more = left[kept] > 2
+    at, code, size = kept[more], code[more], 2
+    begins = marked[_marks(c[at], c[at + 1], c[at + 2])]
+    at, code = at[begins], code[begins]
+    for n, known in terms.items():
+        fits = left[at] >= n
+        at, code = at[fits], code[fits]
+        while size < n:
+            code, both = _numbered(code << _CHAR | c[at + size])
+            size += 1
+        first = np.zeros(len(both), np.int64)
+        first[code[::-1]] = at[::-1]
+        texts = _strings(c[first[:, None] + np.arange(n)])
+        listed = pc.is_in(texts, value_set=known).to_numpy(zero_copy_only=False)
+        hits = listed[code]
+        found.append((text_of[at[hits]], (np.cumsum(listed) - 1)[code[hits]], texts.filter(pa.array(listed))))
+
+    tokens = pa.concat_arrays([values for _, _, values in found])
+    order = pc.sort_indices(tokens).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    before = np.cumsum([0] + [len(values) for _, _, values in found])
+    counts = pc.value_counts(pa.array(np.concatenate([text * len(order) + rank[at + i] for (text, i, _), at in zip(found, before)])))
+    keys = counts.field("values").to_numpy()
+    by_key = np.argsort(keys)
+    text, token = np.divmod(keys[by_key], max(len(order), 1))
+    pairs_of = pa.StructArray.from_arrays([tokens.take(pa.array(order[token])), counts.field("counts").take(pa.array(by_key))], fields=list(COUNTED.value_type))
+    offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pairs_of, type=COUNTED, mask=null)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every key among the different keys, and these."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+
+
+def _strings(points: np.ndarray) -> pa.Array:
+    """Rows of code points as strings; zeros at the end count for nothing."""
+    n = points.shape[1]
+    return pa.array(np.ascontiguousarray(points, np.uint32).view(f"<U{n}").ravel(), pa.string())
+
+
 Tokenizer = Callable[[str], Column]
 
 

@@ -394,3 +394,42 @@ def test_vectors_of_texts_whose_tokens_cancel_equal_their_sql(spark, tmp_path):
         want = sorted(map(str, con.execute(ORACLE[name]).fetchall()))
         assert sorted(str(tuple(r)) for r in query(spark, str(tmp_path)).collect()) == want
         assert sum("nan" in w for w in want) == least
+
+
+def test_counts_with_a_dictionary_equal_its_tokens(spark, monkeypatch):
+    import pyarrow as pa
+
+    random.seed(3)
+    draw = lambda n: "".join(random.choice("甲乙丙丁𠀀々é9a 〆.") for _ in range(n))
+    texts = [draw(n) for n in (0, 1, 2, 3, 5, 40, 40, 400, 2000)] + [None, "甲", "abc", "甲" * 50, "𠀀𠀀𠀀", "Ab甲乙丙"] + [draw(60) for _ in range(40)]
+    terms = spark.createDataFrame([("甲乙丙",), ("丙丁𠀀",), ("甲甲甲甲",), ("乙丙丁甲乙",), ("甲乙",), ("9甲乙",), ("甲乙é",), (None,)] + [(draw(3),) for _ in range(300)], "term string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    words, counts = L.with_dictionary(terms), L.counts_with_dictionary(terms)
+    marked, known = L._lookup(L._terms(terms, "term", 1000))
+    for size in (1, 100, 1 << 21):
+        monkeypatch.setattr(L, "BYTES_AT_ONCE", size)
+        made = rows.select("i", words("t").alias("w"), F.regexp_extract_all(F.lower("t"), F.lit(L.RUNS), F.lit(0)).alias("r")).select(
+            "*", F.transform("r", lambda r: r.rlike(r"^\p{IsHan}")).alias("h")).collect()
+        lists = L._counted_lists(pa.array([r.r for r in made], pa.list_(pa.string())), pa.array([r.h for r in made], pa.list_(pa.bool_())), marked, known)
+        for r, got in zip(made, lists.to_pylist()):
+            want = None if r.w is None else [{"token": t, "n": n} for t, n in sorted(Counter(r.w).items(), key=lambda x: x[0].encode())]
+            assert got == want, r.i
+    found = {r.i: r.c for r in rows.select("i", counts("t").alias("c")).collect()}
+    assert found[9] is None and found[0] == [] and [tuple(x) for x in found[12]] == [("甲甲", 49), ("甲甲甲甲", 47)]
+    assert L._counted_lists(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.bool_())), marked, known).to_pylist() == []
+    assert [tuple(x) for r in rows.filter("i = 14").select(L.counts_with_dictionary(terms.limit(0))("t").alias("c")).collect() for x in r.c] == [("ab", 1), ("乙丙", 1), ("甲乙", 1)]
+
+
+def test_dictionary_query_equals_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from proofloom.plans.retrieval import ORACLE, dictionary_tokens
+
+    texts = ["abcd abcd xabcdx", None, "", "...", "a", "12 é9 ab", "Water WATER water-course", "abc" * 200]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "abcde water"), (2, None), (3, "bc")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for view in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{tmp_path}/{view}.parquet/*.parquet'")
+    got = sorted(map(tuple, dictionary_tokens(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLE["dictionary_tokens"]).fetchall()) and len(got) == 8
