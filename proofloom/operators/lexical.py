@@ -23,7 +23,7 @@ DIGITS = 6                  # scores are compared after rounding, half up, the s
 MAX_TERMS = 500_000         # (query, token) pairs sent to the tasks
 MAX_CELLS = 20_000_000      # distinct tokens times queries sent to the tasks
 PAIRS_AT_ONCE = 1_000_000   # pairs of document and token, or document and query, that one task of the join holds
-BYTES_AT_ONCE = 1 << 21     # bytes of short texts whose tokens are counted at a time; a longer text is counted alone
+BYTES_AT_ONCE = 1 << 19     # bytes of short texts whose tokens are counted at a time; a longer text is counted alone
 
 
 def words(c) -> Column:
@@ -83,14 +83,16 @@ def counts_with_dictionary(dictionary: DataFrame, term: str = "term", max_terms:
     sent = dictionary.sparkSession.sparkContext.broadcast(_lookup(_terms(dictionary, term, max_terms)))
 
     @F.arrow_udf("array<struct<token:string,n:long>>")
-    def counted(runs: pa.Array, han: pa.Array) -> pa.Array:
-        return _counted_lists(runs, han, *sent.value)
+    def counted(runs: pa.Array) -> pa.Array:
+        return _counted_lists(runs, *sent.value)
 
-    def tokens(c):
-        runs = F.regexp_extract_all(F.lower(col(c)), F.lit(RUNS), F.lit(0))
-        return counted(runs, F.transform(runs, lambda r: r.rlike(r"^\p{IsHan}")))
+    return lambda c: counted(_marked_runs(c))
 
-    return tokens
+
+def _marked_runs(c) -> Column:
+    """Runs of a text and whether they are runs of Han characters."""
+    runs = F.regexp_extract_all(F.lower(col(c)), F.lit(RUNS), F.lit(0))
+    return F.transform(runs, lambda r: F.struct(r.alias("run"), r.rlike(r"^\p{IsHan}").alias("han")))
 
 
 COUNTED = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
@@ -102,9 +104,13 @@ def _marks(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (((a << _CHAR | b) << _CHAR | c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MARKS)
 
 
+def _offsets(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:][:len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+
+
 def _points(texts: pa.Array) -> np.ndarray:
     """Code points of all texts, one after the other."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:][:len(texts) + 1] if len(texts) else [0, 0]
+    offsets = _offsets(texts)
     data = memoryview(texts.buffers()[2] or b"")[offsets[0]:offsets[-1]]
     return np.frombuffer(str(data, "utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
 
@@ -117,12 +123,13 @@ def _lookup(terms: set[str]) -> tuple[np.ndarray, dict[int, pa.Array]]:
     return marked, {n: pa.array(sorted(t for t in terms if len(t) == n)) for n in sorted({len(t) for t in terms})}
 
 
-def _counted_lists(runs: pa.Array, han: pa.Array, marked: np.ndarray, terms: dict[int, pa.Array]) -> pa.Array:
+def _counted_lists(runs: pa.Array, marked: np.ndarray, terms: dict[int, pa.Array]) -> pa.Array:
     """Counted tokens of every list of runs, some texts at a time."""
     sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    words, flags = runs.flatten(), han.flatten().to_numpy(zero_copy_only=False).astype(bool)
-    read = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))])[first]
+    words, flags = runs.flatten().flatten()
+    flags = flags.to_numpy(zero_copy_only=False).astype(bool)
+    read = _offsets(words)[first].astype(np.int64)
     done, at = [pa.array([], COUNTED)], 0
     while at < len(runs):
         end = max(at + 1, int(np.searchsorted(read, read[at] + BYTES_AT_ONCE, "right")) - 1)

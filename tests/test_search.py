@@ -406,17 +406,17 @@ def test_counts_with_a_dictionary_equal_its_tokens(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
     words, counts = L.with_dictionary(terms), L.counts_with_dictionary(terms)
     marked, known = L._lookup(L._terms(terms, "term", 1000))
-    for size in (1, 100, 1 << 21):
+    kind = pa.list_(pa.struct([("run", pa.string()), ("han", pa.bool_())]))
+    for size in (1, 100, 1 << 19):
         monkeypatch.setattr(L, "BYTES_AT_ONCE", size)
-        made = rows.select("i", words("t").alias("w"), F.regexp_extract_all(F.lower("t"), F.lit(L.RUNS), F.lit(0)).alias("r")).select(
-            "*", F.transform("r", lambda r: r.rlike(r"^\p{IsHan}")).alias("h")).collect()
-        lists = L._counted_lists(pa.array([r.r for r in made], pa.list_(pa.string())), pa.array([r.h for r in made], pa.list_(pa.bool_())), marked, known)
+        made = rows.select("i", words("t").alias("w"), L._marked_runs("t").alias("r")).collect()
+        lists = L._counted_lists(pa.array([r.r and [x.asDict() for x in r.r] for r in made], kind), marked, known)
         for r, got in zip(made, lists.to_pylist()):
             want = None if r.w is None else [{"token": t, "n": n} for t, n in sorted(Counter(r.w).items(), key=lambda x: x[0].encode())]
             assert got == want, r.i
     found = {r.i: r.c for r in rows.select("i", counts("t").alias("c")).collect()}
     assert found[9] is None and found[0] == [] and [tuple(x) for x in found[12]] == [("甲甲", 49), ("甲甲甲甲", 47)]
-    assert L._counted_lists(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.bool_())), marked, known).to_pylist() == []
+    assert L._counted_lists(pa.array([], kind), marked, known).to_pylist() == []
     assert [tuple(x) for r in rows.filter("i = 14").select(L.counts_with_dictionary(terms.limit(0))("t").alias("c")).collect() for x in r.c] == [("ab", 1), ("乙丙", 1), ("甲乙", 1)]
 
 
