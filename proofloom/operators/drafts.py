@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, fixed, template
 from ..functions.text import col, context_text, has_text, json_items, strip, word_count
+from ..session import broadcast_if_small
 
 
 def _known(c, missing: str) -> Column:
@@ -69,49 +74,113 @@ def batches(leaves: DataFrame, size: int = fixed.BATCH_SIZE, group: str = "l1",
     """Even batches of at most ``size`` leaves per first level: batch number and width.
 
     Group sizes come from a partial aggregation and positions from range
-    partitions, so a hot group is not sorted in one task.
+    partitions, so a hot group is not sorted in one task; a join on the group
+    would bring it into one, so the sizes are sent to the leaves.
     """
     from .ranking import global_rank
 
-    sized = leaves.groupBy(group).agg(F.count("*").alias("group_size")).withColumn(
+    placed = global_rank(leaves, [group], [F.col(order)], "place")
+    sized = placed.groupBy(group).agg(F.count("*").alias("group_size")).withColumn(
         "splits", F.ceil(F.col("group_size") / size)).withColumn(
         "width", F.ceil(F.col("group_size") / F.col("splits")))
-    placed = global_rank(leaves, [group], [F.col(order)], "place")
-    return placed.join(sized, group).withColumn(
+    return placed.join(broadcast_if_small(sized), group).withColumn(
         "batch", (F.floor((F.col("place") - 1) / F.col("width")) + 1).cast("int")).drop("place")
 
 
-BATCHES_AT_ONCE = 256       # batches of a group that share one copy of its sibling list
+BATCHES_AT_ONCE = 256       # batches of a group that one task handles at least
+PARTS = 64                  # tasks of a group at most, each with a copy of its sibling list
+TASKS_PER_CORE = 16         # parts of a group go to tasks in turn
+TEXT_AT_ONCE = 1 << 20      # bytes of messages that leave a task at a time; a longer one leaves alone
+
+LIST_HEAD = "## 完整章节列表（供参考，理解各节点间的区分）\n".encode()
+OWN_HEAD = "## 待生成节点（只需为以下节点生成输出）\n".encode()
+GAP = b"\n\n"
 
 
-def batch_messages(batched: DataFrame) -> DataFrame:
+def batch_messages(batched: DataFrame, digest: bool = False) -> DataFrame:
     """Task text of every batch: its leaves, and all siblings if the group was split.
 
-    A message lists its whole group by definition, so the texts of a group grow with its square.
-    Sibling lists are built once per group as one text per batch (batches follow the order of rows)
-    and copied for every ``BATCHES_AT_ONCE`` batches, so a large group spreads over many tasks.
+    A message lists its whole group by definition, so the texts of a group grow with its square. A large group
+    is dealt to at most ``PARTS`` tasks. Each reads the group's list in order of the batches (which follow the
+    order of rows), holds it once and makes one message at a time. With ``digest`` the column ``message`` holds
+    the MD5 of the texts and no text is made; what stands in front of a batch is hashed once for all that follow.
     """
     line = F.concat(F.lit("["), F.col("leaf_id"), F.lit("] "), F.col("full_path"))
     own = F.concat(F.lit("["), F.col("leaf_id"), F.lit("] 路径："), F.col("full_path"),
                    F.lit("\n    标题："), F.col("leaf_title"), F.lit("\n    释义："), F.col("gloss"))
-    listed = lambda mark: F.nullif(F.array_join(F.transform("lines", lambda s: F.concat(F.lit(mark), s["line"])), "\n\n"), F.lit(""))
-    rows = batched.groupBy("l1", "batch").agg(
+    joined = lambda lines: F.nullif(F.array_join(lines, "\n\n"), F.lit(""))
+    listed = lambda mark: joined(F.transform("lines", lambda s: F.concat(F.lit(mark), s["line"])))
+    step = F.greatest(F.lit(BATCHES_AT_ONCE), F.ceil(F.col("splits") / PARTS))
+    part = lambda batch: F.floor((batch - 1) / step)
+    last = part(F.ceil(F.col("group_size") / F.col("width")))
+    rows = batched.filter(F.col("l1").isNotNull()).groupBy("l1", "batch").agg(
         F.array_sort(F.collect_list(F.struct("row", line.alias("line")))).alias("lines"),
         F.array_sort(F.collect_list(F.struct("row", own.alias("own")))).alias("own"),
-        F.max("splits").alias("splits"), F.array_sort(F.collect_list("leaf_id")).alias("leaf_ids"))
-    rows = rows.withColumns({"part": F.floor(F.col("batch") / BATCHES_AT_ONCE), "plain": listed("  "), "marked": listed("→ ")})
-    siblings = rows.groupBy("l1").agg(
-        F.array_sort(F.collect_list(F.struct("batch", "plain"))).alias("siblings"), F.max("part").alias("__last")).select(
-        "l1", "siblings", F.explode(F.sequence(F.lit(0).cast("long"), "__last")).alias("part"))
-    joined = rows.join(siblings, ["l1", "part"])
-    around = F.transform("siblings", lambda s: F.when(s["batch"] == F.col("batch"), F.col("marked")).otherwise(s["plain"]))
-    head = F.concat(F.array(F.lit("## 完整章节列表（供参考，理解各节点间的区分）\n")), around,
-                    F.array(F.lit(""), F.lit("## 待生成节点（只需为以下节点生成输出）\n")))
-    details = F.transform("own", lambda o: o["own"])
-    lines = F.when(F.col("splits") > 1, F.concat(head, details)).otherwise(details)
+        F.array_sort(F.collect_list("leaf_id")).alias("leaf_ids"),
+        F.max("splits").alias("splits"), F.max(last).alias("last"), F.max(part(F.col("batch"))).alias("at"))
+    mine = F.col("part") == F.col("at")
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part")).select(
+        "l1", "part", "batch", "splits", listed("  ").cast("binary").alias("plain"), mine.alias("mine"),
+        F.when(mine, listed("→ ")).cast("binary").alias("marked"),
+        F.when(mine, joined(F.transform("own", lambda o: o["own"]))).cast("binary").alias("own"),
+        F.when(mine, F.col("leaf_ids")).alias("leaf_ids"))
+    tasks = TASKS_PER_CORE * batched.sparkSession.sparkContext.defaultParallelism
+    made = dealt.repartitionById(tasks, F.pmod(F.hash("l1") + F.col("part"), F.lit(tasks)).cast("int")).sortWithinPartitions("l1", "part", "batch").mapInArrow(
+        _messages(digest), dealt.select("l1", "batch", "splits", "leaf_ids", F.lit("").alias("message")).schema)
     name = F.when(F.col("splits") > 1, F.concat_ws("_", "l1", F.col("batch").cast("string"))).otherwise(F.col("l1"))
-    return joined.select("l1", "batch", name.alias("batch_name"), "leaf_ids",
-                         F.array_join(lines, "\n\n").alias("message"))
+    return made.select("l1", "batch", name.alias("batch_name"), "leaf_ids", "message")
+
+
+def _messages(digest: bool):
+    """Messages of batches from rows in order of (l1, part, batch), as Arrow batches."""
+    def made(kind: pa.Schema, siblings: bytearray, own: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        before, at = hashlib.md5(LIST_HEAD, usedforsecurity=False), 0
+        with memoryview(siblings) as listed:
+            for l1, batch, splits, leaf_ids, start, end, marked, details in own:
+                marked = b"" if marked is None else GAP + marked
+                tail = GAP + GAP + OWN_HEAD + (b"" if details is None else GAP + details)
+                whole = [details or b""] if splits <= 1 else [LIST_HEAD, listed[:start], marked, listed[end:], tail]
+                if not digest:
+                    text = str(b"".join(whole), "utf-8")
+                elif splits <= 1:
+                    text = hashlib.md5(whole[0], usedforsecurity=False).hexdigest()
+                else:
+                    before.update(listed[at:start])
+                    at, this = start, before.copy()
+                    for piece in whole[2:]:
+                        this.update(piece)
+                    text = this.hexdigest()
+                rows.append((l1, batch, splits, leaf_ids, text))
+                size += len(text)
+                if size >= TEXT_AT_ONCE:
+                    yield _record(rows, kind)
+                    rows, size = [], 0
+        if rows:
+            yield _record(rows, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, siblings, own, kind = None, bytearray(), [], None
+        for rows in batches:
+            kind = kind or pa.schema([*(rows.schema.field(c) for c in ("l1", "batch", "splits", "leaf_ids")), pa.field("message", pa.string())])
+            for r in zip(*(rows.column(c).to_pylist() for c in ("l1", "part", "batch", "splits", "plain", "mine", "marked", "own", "leaf_ids"))):
+                l1, part, batch, splits, plain, mine, marked, details, leaf_ids = r
+                if (l1, part) != key:
+                    yield from made(kind, siblings, own)
+                    key, siblings, own = (l1, part), bytearray(), []
+                start = len(siblings)
+                if plain is not None and splits > 1:
+                    siblings += GAP
+                    siblings += plain
+                if mine:
+                    own.append((l1, batch, splits, leaf_ids, start, len(siblings), marked, details))
+        yield from made(kind, siblings, own)
+
+    return run
+
+
+def _record(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
 
 def accept_answers(answers: DataFrame, expected: DataFrame, field: str,

@@ -130,8 +130,8 @@ SELECT l1, batch, CASE WHEN splits > 1 THEN l1 || '_' || batch ELSE l1 END AS ba
     '## 待生成节点（只需为以下节点生成输出）' || chr(10) || chr(10) || chr(10) || own ELSE own END) AS message FROM own JOIN around USING (l1, batch)""")
 def batch_prompts(spark, sf):
     """D4"""
-    rows = D.batch_messages(D.batches(t.leaf_rows(spark, sf)))
-    return rows.select("l1", "batch", "batch_name", F.md5(F.array_join("leaf_ids", ",")).alias("leaf_ids"), F.md5("message").alias("message"))
+    rows = D.batch_messages(D.batches(t.leaf_rows(spark, sf)), digest=True)
+    return rows.select("l1", "batch", "batch_name", F.md5(F.array_join("leaf_ids", ",")).alias("leaf_ids"), "message")
 
 
 def _answers(spark, sf):

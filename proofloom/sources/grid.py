@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import cell_text, col, meaningful_chars, squeeze, strip
+from ..session import broadcast_if_small, cut_lineage
+
+TASKS_PER_CORE = 16         # rows of cells are put together in this many tasks, however well the cells compress
 
 
 def any_word(c, words: list[str], ignore_case: bool = False) -> Column:
@@ -106,8 +109,13 @@ def flatten_merged(grid: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def pick_columns(grid: DataFrame, columns: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows below the header with one named column per field (NULL when blank)."""
-    body = grid.join(columns, "sheet").filter(F.col("row") > F.col("header"))
+    """Rows below the header with one named column per field (NULL when blank).
+
+    One row of ``columns`` stands for a whole sheet, so it is sent to the cells: a join would
+    bring all cells of a sheet into one task, and keep them there for all that follows.
+    """
+    body = grid.join(broadcast_if_small(columns), "sheet").filter(F.col("row") > F.col("header"))
+    body = body.repartition(TASKS_PER_CORE * grid.sparkSession.sparkContext.defaultParallelism, "sheet", "row")
     picks = [F.max(F.when(F.col("col") == F.col(f"{f}_col"), cell_text("value"))).alias(f) for f in fields]
     return body.groupBy("sheet", "row").agg(*picks)
 
@@ -115,7 +123,8 @@ def pick_columns(grid: DataFrame, columns: DataFrame, fields: list[str]) -> Data
 def filled_rows(grid: DataFrame, header: DataFrame, fields: dict[str, list[str]],
                 filled: list[str]) -> DataFrame:
     """Named rows of every sheet, with some fields filled downwards."""
-    columns = find_columns(grid, header, {f"{f}_col": words for f, words in fields.items()})
+    header = broadcast_if_small(cut_lineage(header))
+    columns = cut_lineage(find_columns(grid, header, {f"{f}_col": words for f, words in fields.items()}))
     rows = pick_columns(grid, columns, list(fields))
     return fill_down(rows, ["sheet"], "row", filled)
 

@@ -232,3 +232,44 @@ def test_blocks_are_dealt_by_their_characters(spark, monkeypatch):
     got = S.sections_from_blocks(rows.select("doc_id", "size"), rows)
     assert got.rdd.getNumPartitions() == -(-90 * (200 + S.BLOCK_CHARS) // 1000)
     assert {(r.doc_id, r.text) for r in got.collect()} == {(i, "\n".join(["x" * 200] * 3)) for i in range(30)}
+
+
+def test_message_digests_are_those_of_the_messages(spark, monkeypatch):
+    import hashlib
+
+    from proofloom.operators import drafts as D
+
+    leaves = [("a", i, f"r{i:03d}", f"p{i}" if i not in (4, 12, 13, 14) else None, f"t{i}", f"g{i}" if i < 20 else None) for i in range(23)]
+    leaves += [("b", 99, "r099", "p", "t", "g"), ("c", 100, "r100", None, "t", "g"), (None, 101, "r101", "p", "t", "g")]
+    rows = D.batches(spark.createDataFrame(leaves, "l1 string, row int, leaf_id string, full_path string, leaf_title string, gloss string"), 3)
+    want = None
+    for at_once, parts, text in ((256, 64, 1 << 20), (1, 3, 1), (1, 64, 200)):
+        monkeypatch.setattr(D, "BATCHES_AT_ONCE", at_once)
+        monkeypatch.setattr(D, "PARTS", parts)
+        monkeypatch.setattr(D, "TEXT_AT_ONCE", text)
+        texts, digests = (sorted(map(tuple, D.batch_messages(rows, digest).select("l1", "batch", "batch_name", "leaf_ids", "message").collect())) for digest in (False, True))
+        assert [(*r[:4], hashlib.md5(r[4].encode()).hexdigest()) for r in texts] == digests and len(texts) == 10
+        assert texts == (want := want or texts) and texts[-1][4] == "" and "p13" not in texts[0][4]
+
+
+def test_message_digests_hold_one_list_and_no_message():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from proofloom.operators import drafts as D
+
+    line = ("  [r] " + "x" * 994).encode()
+    columns = [("l1", pa.string()), ("part", pa.int64()), ("batch", pa.int32()), ("splits", pa.int64()), ("plain", pa.binary()), ("mine", pa.bool_()),
+               ("marked", pa.binary()), ("own", pa.binary()), ("leaf_ids", pa.list_(pa.string()))]
+
+    def rows():
+        for at in range(0, 4000, 100):
+            batch = [("a", 0, i, 4000, line, i < 40, line if i < 40 else None, b"own" if i < 40 else None, ["r"] if i < 40 else None) for i in range(at, at + 100)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*batch), columns)], schema=pa.schema(columns))
+
+    tracemalloc.start()
+    got = [r for b in D._messages(True)(rows()) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 40 and len({r["message"] for r in got}) == 1 and peak < 12_000_000

@@ -174,3 +174,25 @@ def test_fields_of_a_run_keep_their_newest_value_and_can_be_emptied(spark):
     steps = H.step_states(df.withColumns({"step_name": F.lit("s"), "pid": F.lit(7)}).drop("cleared"))
     assert steps.columns == ["run_id", "step_name", "status", "started_at", "completed_at", "error", "pid"]
     assert {r.run_id: r.error for r in steps.collect()} == {"a": "bad", "b": "new", None: None}
+
+
+def test_cells_of_one_sheet_spread_over_many_tasks(spark):
+    from proofloom.sources import grid
+
+    cells = [("s", 0, c, f"h{c}") for c in range(2)] + [("s", r, c, f"v{r}" if r % 3 else None) for r in range(1, 400) for c in range(2)]
+    df = spark.createDataFrame(cells, "sheet string, row int, col int, value string")
+    header = df.filter("row = 0").groupBy("sheet").agg(F.min("row").alias("header"))
+    columns = grid.find_columns(df, header, {"a_col": ["h0"], "b_col": ["h1"]})
+    rows = grid.pick_columns(df, columns, ["a", "b"])
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 8 and rows.count() == 399
+    filled = grid.filled_rows(df, header, {"a": ["h0"], "b": ["h1"]}, ["a"]).orderBy("row").collect()
+    assert [r.a for r in filled[:7]] == ["v1", "v2", "v2", "v4", "v5", "v5", "v7"] and filled[2].b is None
+
+
+def test_leaves_of_one_group_spread_over_many_tasks(spark):
+    from proofloom.operators import drafts
+
+    leaves = spark.range(4000).selectExpr("'a' l1", "id row")
+    got = drafts.batches(leaves, 10)
+    assert got.count() == 4000 and got.agg(F.max("batch")).first()[0] == 400
+    assert "BroadcastHashJoin [l1#" in got._jdf.queryExecution().executedPlan().toString()
